@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from quillspark.llm import licence_scan
+from quillspark.llm.anisotropic_search import search
+from quillspark.llm.common import checkpointed
 from quillspark.llm.exact_dedup import exact_duplicates
 from quillspark.llm.fair_mixing import weighted_fair_mix
+from quillspark.llm.html_layout import extract
+from quillspark.llm.merkle_fixity import fixity, warc_record
 from quillspark.llm.noisy_channel_toxicity import score_toxicity
+from quillspark.llm.pii_surrogates import surrogates
 from quillspark.llm.simhash_dedup import near_components
 from quillspark.llm.slack_packing import pack
 
@@ -17,6 +24,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
+
+
+def op2_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = surrogates(_table(spark, sf_dir, "documents"))
+    kinds = F.array_join(F.transform("entities", lambda e: e["kind"]), ",")
+    return replaced.select("doc_id", "text", F.size("entities").alias("n_entities"), kinds.alias("kinds"))
+
+
 def op4_simhash_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_table(spark, sf_dir, "documents"))
 
@@ -33,16 +54,67 @@ def op7_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def warc_replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two replicas of the WARC archives of ``pages``, 512 pages each; the second has known damage.
+
+    Pages of number 7 mod 101 have lost the record's last character, those of 5 mod 211 are missing.
+    """
+    record = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
+    damaged = F.when(F.col("page_id") % 101 == 7, F.left(record, F.length(record) - 1)).otherwise(record)
+    hashed = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.format_string("pages-%06d.warc", F.floor(F.col("page_id") / 512)).alias("archive"),
+        F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"),
+        F.octet_length(damaged).cast("long").alias("damaged_length"), F.sha2(damaged, 256).alias("damaged_digest"),
+    )
+    before = Window.partitionBy("archive").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    placed = checkpointed(hashed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))))
+    first = placed.select("page_id", "archive", "offset", "length", "digest")
+    second = placed.where("page_id % 211 <> 5").select("archive", "offset", F.col("damaged_length").alias("length"), F.col("damaged_digest").alias("digest"))
+    return first, second
+
+
+def op8_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = warc_replicas(_table(spark, sf_dir, "pages"))
+    return fixity(first, second).select("page_id", "archive", "offset", "length", "digest", "status")
+
+
 def op9_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_fair_mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_simhash_bitslice, op5_minimum_bin_slack, op6_noisy_channel_toxicity, op7_chunk_recipes, op9_fair_queueing)
+    for f in (
+        op1_anisotropic_search, op2_html_layout, op3_pii_surrogates, op4_simhash_bitslice, op5_minimum_bin_slack,
+        op6_noisy_channel_toxicity, op7_chunk_recipes, op8_merkle_fixity, op9_fair_queueing, op10_licence_digests,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_merkle_fixity": r"""
+        WITH records AS (
+            SELECT page_id, url, coalesce(html, '') AS body FROM pages),
+        written AS (
+            SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+                   || 'WARC-Record-ID: <urn:record:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+                   || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(body)) || chr(13) || chr(10) || chr(13) || chr(10)
+                   || body || chr(13) || chr(10) || chr(13) || chr(10) AS record
+            FROM records),
+        placed AS (
+            SELECT page_id, 'pages-' || lpad((page_id // 512)::VARCHAR, 6, '0') || '.warc' AS archive,
+                   octet_length(encode(record))::BIGINT AS length, sha256(record) AS digest,
+                   CASE WHEN page_id % 101 = 7 THEN sha256(left(record, length(record) - 1)) ELSE sha256(record) END AS other
+            FROM written)
+        SELECT page_id, archive,
+               coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+               length, digest,
+               CASE WHEN page_id % 211 = 5 THEN 'missing' WHEN digest <> other THEN 'corrupt' ELSE 'intact' END AS status
+        FROM placed""",
+    "op10_licence_digests": licence_scan.oracle_sql(),
     "op7_chunk_recipes": r"""
         WITH plain AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_points,
