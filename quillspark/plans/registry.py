@@ -1,4 +1,12 @@
-"""All queries of the library's operators, by name."""
+"""All queries of the library's operators, by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from importlib import import_module
+
+from quillspark.plans.declare import ORACLE_SQL, QUERIES
+
+for _family in ("text", "matching", "retrieval", "dedup", "gates", "joins", "splits", "metrics", "windows", "nested", "statistics", "ingest"):
+    import_module(f"quillspark.plans.{_family}")
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
