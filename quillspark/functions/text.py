@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The word lists that the published results rest on.
 ARTICLES = ("a", "an", "the")
@@ -40,7 +41,7 @@ QUERY_WORD = rf"{WORD}(?:['’-]{WORD})?"
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "MMMM d yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatibility_fold(text: pd.Series) -> pd.Series:
     """NFKC and full case folding, which Spark has no function for (an Arrow batch at a time)."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
