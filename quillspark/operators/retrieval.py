@@ -47,9 +47,15 @@ def top_k(scored: DataFrame, by: str | list[str], k: int, tie: str, score: str =
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def word_chunks(text: Column, size: int = 320, overlap: int = 48) -> Column:
-    """Runs of ``size`` words, each sharing ``overlap`` with the next; the last ends with the text."""
-    tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")
+def spaced_words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda t: t != "")
+
+
+def word_chunks(tokens: Column, size: int = 320, overlap: int = 48) -> Column:
+    """Runs of ``size`` tokens, each sharing ``overlap`` with the next; the last ends with the array.
+
+    Pass a column of a table, not an expression: it is read once for each chunk.
+    """
     step = size - overlap
     last = F.greatest(F.lit(0), F.ceil((F.size(tokens) - size) / F.lit(float(step)))).cast("int")
     starts = F.when(F.size(tokens) > 0, F.transform(F.sequence(F.lit(0), last), lambda k: k * step)).otherwise(F.array().cast("array<int>"))

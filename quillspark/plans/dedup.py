@@ -1 +1,113 @@
-"""Queries (to come)."""
+"""Queries of groups, duplicates, similarity and components (GRP, SET, SIM)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillspark.functions import hashing as H
+from quillspark.functions import text as T
+from quillspark.functions.matching import shingles
+from quillspark.operators import grouping as G
+from quillspark.plans.declare import Table, query
+from quillspark.plans.text import WORD_SQL
+
+
+@query(
+    """SELECT p_partkey, 'entity:' || left(sha256(lower(CASE WHEN length(split_part(p_name, ' - ', 1)) >= 3 THEN split_part(p_name, ' - ', 1) ELSE p_type END)), 20) AS entity,
+              'near:' || left(sha256(coalesce(CASE WHEN p_partkey % 2 = 0 THEN sha256(p_name) END, 'dhash:' || p_size)), 20) AS near FROM part"""
+)
+def grp02_grp03_grp04_group_ids(table: Table) -> DataFrame:
+    head = F.split("p_name", " - ", 2)[0]
+    entity = F.lower(F.when(F.length(head) >= 3, head).otherwise(F.col("p_type")))
+    near = F.coalesce(F.when(F.col("p_partkey") % 2 == 0, F.sha2("p_name", 256)), F.concat(F.lit("dhash:"), "p_size"))
+    return table("part").select("p_partkey", H.group_id("entity", entity).alias("entity"), H.group_id("near", near).alias("near"))
+
+
+@query("SELECT page_id, sha256(html) AS digest, octet_length(encode(html))::INT AS bytes FROM pages")
+def grp05_fingerprints(table: Table) -> DataFrame:
+    return table("pages").select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("bytes"))
+
+
+@query(
+    """SELECT vec_id, sum(CASE WHEN embedding[i + 1] < embedding[i + 2] THEN 1 << (i - 0) ELSE 0 END)::BIGINT AS dhash
+       FROM embeddings, (SELECT unnest(range(0, 32)) AS i) GROUP BY vec_id"""
+)
+def grp06_grp07_difference_hash(table: Table) -> DataFrame:
+    """Bits that say where neighbours of a row of numbers rise (of an image: its shrunken grey rows)."""
+    rises = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.when(F.get("embedding", i) < F.get("embedding", i + 1), F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long")))
+    return table("embeddings").select("vec_id", F.aggregate(rises, F.lit(0).cast("long"), lambda s, x: s + x).alias("dhash"))
+
+
+@query("SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+def set01_first_of_each(table: Table) -> DataFrame:
+    return G.first_of_each(table("documents").select("doc_id", "lang", "source"), ["lang", "source"], [F.col("doc_id")])
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def set02_last_of_each(table: Table) -> DataFrame:
+    e = table("events").select("user_id", "event_type", "event_id", "ts")
+    return G.first_of_each(e, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).drop("ts")
+
+
+@query("SELECT p_partkey, array_to_string([p_name, p_brand], '|') AS answers FROM part")
+def set03_set04_set05_accepted_answers(table: Table) -> DataFrame:
+    listed = F.to_json(F.array(F.concat(F.lit("The "), "p_name"), F.upper("p_name"), "p_brand"))
+    return table("part").select("p_partkey", F.array_join(T.accepted_answers(F.col("p_name"), listed), "|").alias("answers"))
+
+
+@query(
+    """SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS repeats_text, row_number() OVER (PARTITION BY lang, n_chars ORDER BY doc_id) > 1 AS repeats_size FROM documents"""
+)
+def set06_flt29_repeats_in_order(table: Table) -> DataFrame:
+    again = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id")) > 1
+    hashed = table("documents").select("doc_id", "lang", "n_chars", F.sha2("text", 256).alias("h"))
+    return hashed.select("doc_id", again("h").alias("repeats_text"), again("lang", "n_chars").alias("repeats_size"))
+
+
+@query(
+    """SELECT 'union' AS op, count(*) AS n FROM (SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer) UNION ALL
+       SELECT 'except', count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL
+       SELECT 'intersect', count(*) FROM (SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders)"""
+)
+def set07_set08_key_sets(table: Table) -> DataFrame:
+    c, o = table("customer").select("c_custkey"), table("orders").select(F.col("o_custkey").alias("c_custkey"))
+    size = lambda op, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(op).alias("op"), "n")
+    return size("union", o.union(c).distinct()).union(size("except", c.subtract(o))).union(size("intersect", c.intersect(o)))
+
+
+@query("SELECT sha256(text) AS key, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY sha256(text) HAVING count(*) > 1")
+def set09_exact_groups(table: Table) -> DataFrame:
+    hashed = table("documents").select("doc_id", F.sha2("text", 256).alias("key"))
+    return hashed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM documents) WHERE len(w) >= 5),
+        t AS (SELECT doc_id, unnest(s) AS t, len(s) AS n FROM w),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS common FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)
+        SELECT a, b, round(common / (na + nb - common)::DOUBLE, 9) AS similarity FROM c WHERE common / (na + nb - common)::DOUBLE >= 0.8"""
+)
+def sim02_similar_documents(table: Table) -> DataFrame:
+    worded = table("documents").select("doc_id", T.words(F.col("text")).alias("w"))  # tokens once a row, not once a shingle
+    held = worded.select("doc_id", shingles(F.col("w"), 5).alias("s"))
+    return G.similar_pairs(held, "doc_id", "s", 0.8).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(
+    """WITH h AS (SELECT vec_id, sum(CASE WHEN embedding[i + 1] < embedding[i + 2] THEN 1 << i ELSE 0 END)::BIGINT AS h FROM embeddings, (SELECT unnest(range(0, 32)) AS i) GROUP BY vec_id)
+       SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 5"""
+)
+def sim01_near_hashes(table: Table) -> DataFrame:
+    h = grp06_grp07_difference_hash(table).select(F.col("vec_id").alias("id"), F.col("dhash").alias("hash"))
+    return G.near_hashes(h, h, 5, bits=32).where("a < b")
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT supplier.s_suppkey AS id, s_nationkey AS k FROM supplier), g AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.k = b.k OR abs(a.id - b.id) = 7 AND a.k % 2 = b.k % 2),
+       r AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a) SELECT a AS id, min(b) AS component FROM r GROUP BY a"""
+)
+def set10_set11_components(table: Table) -> DataFrame:
+    n = table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("k"))
+    apart = n.select(F.col("id").alias("a"), F.col("k").alias("ka")).join(n.select(F.col("id").alias("b"), F.col("k").alias("kb")), F.col("b") == F.col("a") + 7).where("ka % 2 = kb % 2")
+    return G.components(G.key_edges(n, "id", ["k"]).unionByName(apart.select("a", "b")))

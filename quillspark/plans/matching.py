@@ -33,7 +33,8 @@ def mat01_exact_match(table: Table) -> DataFrame:
         SELECT item_id, round(CASE WHEN nx = 0 OR ny = 0 OR coalesce(n, 0) = 0 THEN 0.0 ELSE 2.0 * n / (nx + ny) END, 9) AS f1 FROM c"""
 )
 def mat02_token_f1(table: Table) -> DataFrame:
-    return _pairs(table).select("item_id", F.round(M.token_f1(T.words(F.col("a")), T.words(F.col("t"))), 9).alias("f1"))
+    worded = _pairs(table).select("item_id", T.words(F.col("a")).alias("x"), T.words(F.col("t")).alias("y"))
+    return worded.select("item_id", F.round(M.token_f1(F.col("x"), F.col("y")), 9).alias("f1"))
 
 
 @query(

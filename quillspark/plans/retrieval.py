@@ -50,12 +50,14 @@ def ret03_leave_one_source_out(table: Table) -> DataFrame:
         SELECT doc_id, k::INT AS chunk, array_to_string(w[k * 272 + 1 : k * 272 + 320], ' ') AS text FROM k"""
 )
 def ret04_word_chunks(table: Table) -> DataFrame:
-    chunks = table("documents").select("doc_id", F.posexplode(R.word_chunks(F.col("text"))).alias("chunk", "c"))
+    worded = table("documents").select("doc_id", R.spaced_words(F.col("text")).alias("w"))
+    chunks = worded.select("doc_id", F.posexplode(R.word_chunks(F.col("w"))).alias("chunk", "c"))
     return chunks.select("doc_id", "chunk", F.col("c.text").alias("text"))
 
 
 def _page_chunks(table: Table) -> DataFrame:
-    lines = table("pages").select("page_id", F.posexplode(R.word_chunks(T.html_lines(F.col("html")), 60, 10)).alias("chunk", "c"))
+    worded = table("pages").select("page_id", R.spaced_words(T.html_lines(F.col("html"))).alias("w"))
+    lines = worded.select("page_id", F.posexplode(R.word_chunks(F.col("w"), 60, 10)).alias("chunk", "c"))
     return lines.select(F.col("page_id"), (F.col("page_id") * 100_000 + F.col("chunk")).alias("chunk_id"), F.col("c.text").alias("text"))
 
 
