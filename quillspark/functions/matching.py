@@ -67,9 +67,13 @@ def copy_ratio(question: Column, query: Column) -> Column:
 
 
 def shingles(tokens: Column, n: int) -> Column:
-    """All runs of ``n`` tokens, joined by spaces; none of shorter arrays. Pass a column of a table: it is read for each run."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    """All runs of ``n`` tokens, joined by spaces; none of shorter arrays.
+
+    Pass a column of a table: it is read for each run.  Elements are fetched one by one,
+    since ``slice`` would copy the whole array each time.
+    """
+    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]))
 
 
 def answer_bearing(blob: Column, refs: Column, recall: float = 0.5) -> Column:

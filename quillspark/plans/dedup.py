@@ -89,7 +89,7 @@ def set09_exact_groups(table: Table) -> DataFrame:
         SELECT a, b, round(common / (na + nb - common)::DOUBLE, 9) AS similarity FROM c WHERE common / (na + nb - common)::DOUBLE >= 0.8"""
 )
 def sim02_similar_documents(table: Table) -> DataFrame:
-    worded = table("documents").select("doc_id", T.words(F.col("text")).alias("w"))  # tokens once a row, not once a shingle
+    worded = G.settled(table("documents").select("doc_id", T.words(F.col("text")).alias("w")))  # tokens once a row, not once a shingle
     held = worded.select("doc_id", shingles(F.col("w"), 5).alias("s"))
     return G.similar_pairs(held, "doc_id", "s", 0.8).withColumn("similarity", F.round("similarity", 9))
 
