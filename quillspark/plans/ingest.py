@@ -1 +1,92 @@
-"""Queries (to come)."""
+"""Queries of sources, sinks and streams (SRC, SNK, UDF surface)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillspark.operators.grouping import settled
+from quillspark.plans.declare import Table, query
+from quillspark.sources import readers as R
+from quillspark.sources import sinks as K
+from quillspark.sources.registry import build, names
+from quillspark.streaming import incremental as I
+
+
+def _folder(df: DataFrame, name: str) -> str:
+    """A fresh folder beside the session's checkpoints, which every executor can reach."""
+    settled(df.limit(0))
+    return f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders")
+def src01_src02_src03_snk01_snk07_json_round_trip(table: Table) -> DataFrame:
+    o = table("orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    path = _folder(o, "json")
+    K.write_json_lines(o, path)
+    return R.read_json_lines(o.sparkSession, path, o.schema)
+
+
+@query("SELECT c_custkey, replace(c_name, '-', '_') AS name FROM customer")
+def src05_src06_src07_src08_checked_parquet(table: Table) -> DataFrame:
+    c = table("customer")
+    path = _folder(c, "parquet")
+    K.write_new(c.select("c_custkey", "c_name"), path)
+    return R.read_records(c.sparkSession, path, ["c_custkey", "c_name"], "c_custkey").select("c_custkey", F.replace("c_name", F.lit("-"), F.lit("_")).alias("name"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def src13_src14_src15_csv_round_trip(table: Table) -> DataFrame:
+    n = table("nation")
+    path = _folder(n, "csv")
+    n.write.csv(path, header=True)
+    return R.read_csv(n.sparkSession, path, n.schema).select("n_nationkey", "n_name", "n_regionkey")
+
+
+@query("SELECT event_id, 'k' AS field, json_extract_string(props, '$.k') AS value FROM events")
+def src04_src09_src12_src17_src38_json_fields(table: Table) -> DataFrame:
+    return table("events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("field", "value"))
+
+
+@query("SELECT 'events' AS table_name, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events UNION ALL SELECT 'orders', count(*), sum(o_orderkey)::BIGINT FROM orders")
+def src29_src30_src31_source_union(table: Table) -> DataFrame:
+    part = lambda name, key: table(name).agg(F.count("*").alias("n"), F.sum(key).alias("ids")).select(F.lit(name).alias("table_name"), "n", "ids")
+    return part("events", "event_id").unionByName(part("orders", "o_orderkey"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index FROM documents WHERE doc_id < 100")
+def src33_row_index(table: Table) -> DataFrame:
+    """A dense row index by two passes: rows of each id range, then their offset; no window over all rows."""
+    return R.indexed(table("documents").where("doc_id < 100").select("doc_id"), "doc_id")
+
+
+@query("SELECT e.name AS adapter, true AS registered FROM (VALUES ('checked_parquet'), ('csv'), ('json_lines'), ('ranked_table')) e(name)")
+def udf01_udf02_udf03_udf04_udf06_registry(table: Table) -> DataFrame:
+    spark = table("nation").sparkSession
+    return spark.createDataFrame([(n, callable(build(n))) for n in names()], "adapter string, registered boolean")
+
+
+@query("SELECT page_id, octet_length(encode(html))::BIGINT AS bytes, sha256(html) AS digest FROM pages")
+def src37_snk03_snk16_binary_manifest(table: Table) -> DataFrame:
+    pages = table("pages").select("page_id", F.encode("html", "utf-8").alias("content"))
+    return pages.select("page_id", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("digest"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def stream01_incremental_metrics(table: Table) -> DataFrame:
+    e = table("events").select("event_id", "ts", "user_id", "event_type", "value")
+    return I.replayed(e, _folder(e, "stream"), I.running_totals).select("event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT min(event_id) AS event_id, user_id, event_type FROM events GROUP BY user_id, event_type")
+def stream02_incremental_dedup(table: Table) -> DataFrame:
+    e = table("events").select("event_id", "ts", "user_id", "event_type", "value")
+    return I.replayed(e, _folder(e, "stream"), I.first_seen)
+
+
+@query()
+def stream03_windowed_counts(table: Table) -> DataFrame:
+    e = table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    return I.replayed(e, _folder(e, "stream"), I.hourly_counts)

@@ -1 +1,38 @@
-"""Queries (to come)."""
+"""Queries of statistics (STA)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillspark.operators import statistics as S
+from quillspark.plans.declare import Table, query
+
+
+def _pairs(table: Table) -> DataFrame:
+    e = table("events").select("event_id", "event_type", "value")
+    right = e.select((F.col("event_id") - 1).alias("event_id"), F.col("value").alias("after"))
+    return e.where("event_id % 2 = 0").join(right, "event_id").select(F.col("event_id").alias("id"), "event_type", "value", "after", (F.col("after") - F.col("value")).alias("delta"))
+
+
+@query()
+def sta01_sta02_sta03_paired_bootstrap(table: Table) -> DataFrame:
+    return S.bootstrap_interval(_pairs(table).select("id", "delta"), samples=200)
+
+
+@query()
+def sta06_bootstrap_of_each(table: Table) -> DataFrame:
+    return S.grouped_bootstrap(_pairs(table).select("id", "event_type", "delta"), "event_type", samples=200)
+
+
+@query(
+    """SELECT a.event_type, count(*) FILTER (WHERE a.value > 50 AND b.value <= 50) AS only_left, count(*) FILTER (WHERE a.value <= 50 AND b.value > 50) AS only_right FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.event_id % 2 = 0 GROUP BY 1"""
+)
+def sta04_discordant_counts(table: Table) -> DataFrame:
+    left, right = F.col("value") > 50, F.col("after") > 50
+    return _pairs(table).groupBy("event_type").agg(F.count_if(left & ~right).alias("only_left"), F.count_if(~left & right).alias("only_right"))
+
+
+@query()
+def sta04_mcnemar(table: Table) -> DataFrame:
+    return sta04_discordant_counts(table).withColumn("p", S.mcnemar_p("only_left", "only_right"))
