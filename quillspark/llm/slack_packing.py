@@ -9,6 +9,7 @@ their rank among the pieces of their length, which Spark counts in salted groups
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -23,12 +24,12 @@ from quillspark.llm.common import checkpointed, rows_of
 SIZE = 2048
 END = 0  # the id that ends each document
 TOKENIZER = "byte_bpe_50k.json"
-CACHED_UNITS = 400_000
+CACHED_UNITS = 300_000  # of each of two generations
 LEAST_SALTS, ROWS_A_SALT = 256, 100_000
 
-#: A cut before a lone space between two other characters never splits a pre-token.
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
-_WIDE = re.compile(r"\s | \s|^ | $")
+#: A cut before a lone space or line end between two other characters never splits a pre-token.
+_SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_PLAIN = re.compile(r"[^\S \n]|\s\s|^\s|\s$|<\|")
 _encoders: dict[str, Callable[[str], bytes]] = {}
 
 
@@ -38,52 +39,73 @@ def token_bytes(tokenizer: str = TOKENIZER) -> Callable[[str], bytes]:
     ``tokenizer`` is the path of a byte-level BPE file of ``tokenizers``, or the name of a
     public one.  A text is encoded in units cut where no pre-token crosses, and a worker
     keeps the ids of the units it has met, so memory does not follow a text's length.
+    Units it has not met are encoded together: their first tokens alone begin with a space
+    or a line end, which tells the units' ids apart again.
     """
-    if tokenizer in _encoders:
-        return _encoders[tokenizer]
-    import os
+    if tokenizer not in _encoders:
+        _encoders[tokenizer] = _encoder(tokenizer)
+    return _encoders[tokenizer]
 
+
+def _encoder(tokenizer: str) -> Callable[[str], bytes]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     if "/" not in tokenizer:
         import public_tokenizers
 
-        tokenizer_file = public_tokenizers.path(tokenizer)
-    else:
-        tokenizer_file = tokenizer
-    model = Tokenizer.from_file(str(tokenizer_file))
+        tokenizer = str(public_tokenizers.path(tokenizer))
+    model = Tokenizer.from_file(tokenizer)
+    begins = np.zeros(model.get_vocab_size(), bool)
+    for token, k in model.get_vocab().items():
+        begins[k] = token[0] in "\u0120\u010a"  # how byte-level tokens write a space and a line end
     known: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
 
-    def plain(unit: str) -> bytes:
-        return np.array(model.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def unit_bytes(unit: str) -> bytes:
-        if (ids := known.get(unit)) is None:
-            if len(known) >= CACHED_UNITS:
-                known.clear()
-            at = unit.find("\n")
-            if 0 < at < len(unit) - 1 and not unit[at - 1].isspace() and not unit[at + 1].isspace():
-                return unit_bytes(unit[:at]) + unit_bytes("\n") + unit_bytes(unit[at + 1 :])  # a lone line end is a pre-token
-            if unit[-1:] in {".", ","} and unit[1:-1].isalpha() and (unit[0] == " " or unit[0].isalpha()):
-                ids = unit_bytes(unit[:-1]) + unit_bytes(unit[-1])  # letters and punctuation are pre-tokens of their own
-            else:
-                ids = plain(unit)
-            if len(unit) < 100:
+    def ids_of(text: str) -> np.ndarray:
+        return np.array(model.encode(text, add_special_tokens=False).ids, "<u4")
+
+    marks = {m: ids_of(m).tobytes() for m in ".,"}
+
+    def learn(units: list[str]) -> None:
+        """Puts the ids of units (a space or line end and what is no white space) into ``known``."""
+        nonlocal known, older
+        if len(known) + len(units) > CACHED_UNITS:
+            known, older = {}, known
+        fresh, marked = {}, []
+        for unit in units:
+            if (ids := older.get(unit)) is not None:
                 known[unit] = ids
-        return ids
+            elif unit[-1] in marks and unit[1:-1].isalpha():  # letters and punctuation are pre-tokens of their own
+                marked.append(unit)
+                if unit[:-1] not in known:
+                    fresh[unit[:-1]] = None
+            else:
+                fresh[unit] = None
+        if fresh:
+            ids = ids_of("".join(fresh))
+            starts = np.flatnonzero(begins[ids]).tolist()
+            if len(starts) == len(fresh):
+                data = ids.tobytes()
+                known.update({u: data[4 * s : 4 * e] for u, s, e in zip(fresh, starts, [*starts[1:], len(ids)], strict=True)})
+            else:
+                known.update({u: ids_of(u).tobytes() for u in fresh})
+        for unit in marked:
+            known[unit] = known[unit[:-1]] + marks[unit[-1]]
 
     def encode(text: str) -> bytes:
         if not text:
             return b""
-        parts = _SAFE.split(text) if _WIDE.search(text) else text.split(" ")
-        parts[1:] = [" " + x for x in parts[1:]]
-        found = list(map(known.get, parts))
+        if _PLAIN.search(text):
+            return b"".join(ids_of(part).tobytes() for part in _SAFE.split(text)) if len(text) > 65_536 else ids_of(text).tobytes()
+        first, *rest = text.replace("\n", " \n").split(" ")
+        units = [u if u[0] == "\n" else " " + u for u in rest]
+        found = list(map(known.get, units))
         if None in found:
-            found = [unit_bytes(p) if f is None else f for p, f in zip(parts, found, strict=True)]
-        return b"".join(found)
+            learn(list({u for u, f in zip(units, found, strict=True) if f is None}))
+            found = [f if f is not None else known[u] for u, f in zip(units, found, strict=True)]
+        return ids_of(first).tobytes() + b"".join(found)
 
-    _encoders[tokenizer] = encode
     return encode
 
 
