@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quillspark.operators import metrics as K
 from quillspark.plans.declare import Table, query
 
-BY_USER = Window.partitionBy("user_id").orderBy("ts", "event_id")
 SQL_USER = "PARTITION BY user_id ORDER BY ts, event_id"
 
 
+def by_user() -> WindowSpec:
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+
 @query("""SELECT event_id, round(CASE WHEN count(*) OVER w < 2 OR stddev_pop(value) OVER w <= 1e-12 THEN 0.0 ELSE (value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-6) END, 6) AS advantage FROM events WINDOW w AS (PARTITION BY user_id)""")
 def win01_group_advantage(table: Table) -> DataFrame:
     return table("events").select("event_id", F.round(K.group_advantage("value", "user_id"), 6).alias("advantage"))
@@ -30,7 +33,7 @@ def win02_win03_local_advantage(table: Table) -> DataFrame:
 @query(f"SELECT event_id, event_type = 'view' AND lead(event_type) OVER ({SQL_USER}) = 'click' AS view_to_click, count(*) OVER (PARTITION BY user_id, lower(event_type), json_extract_string(props, '$.k')) > 1 AS repeated FROM events")
 def win05_win18_adjacency(table: Table) -> DataFrame:
     again = F.count("*").over(Window.partitionBy("user_id", F.lower("event_type"), F.get_json_object("props", "$.k"))) > 1
-    return table("events").select("event_id", ((F.col("event_type") == "view") & (F.lead("event_type").over(BY_USER) == "click")).alias("view_to_click"), again.alias("repeated"))
+    return table("events").select("event_id", ((F.col("event_type") == "view") & (F.lead("event_type").over(by_user()) == "click")).alias("view_to_click"), again.alias("repeated"))
 
 
 @query("SELECT user_id, arg_min(event_id, (ts, event_id)) FILTER (WHERE value > 80) AS first_hit FROM events GROUP BY user_id")
@@ -48,13 +51,13 @@ def win07_win09_running_context(table: Table) -> DataFrame:
 
 @query(f"SELECT event_id, first_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER ({SQL_USER} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_purchase FROM events")
 def win08_look_ahead(table: Table) -> DataFrame:
-    ahead = BY_USER.rowsBetween(1, Window.unboundedFollowing)
+    ahead = by_user().rowsBetween(1, Window.unboundedFollowing)
     return table("events").select("event_id", F.first(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(ahead).alias("next_purchase"))
 
 
 @query(f"SELECT event_id, value < 30 AND coalesce(lag(value) OVER ({SQL_USER}) < 30, false) AS stop FROM events")
 def win10_two_bad_in_a_row(table: Table) -> DataFrame:
-    return table("events").select("event_id", ((F.col("value") < 30) & F.coalesce(F.lag("value").over(BY_USER) < 30, F.lit(False))).alias("stop"))
+    return table("events").select("event_id", ((F.col("value") < 30) & F.coalesce(F.lag("value").over(by_user()) < 30, F.lit(False))).alias("stop"))
 
 
 @query(
@@ -72,7 +75,7 @@ def rwd01_rwd02_rwd07_mat06_reward_variants(table: Table) -> DataFrame:
     f"""SELECT event_id, round(least(greatest(value - coalesce(lag(value) OVER ({SQL_USER}), 0), 0), 100) / 100, 9) AS gain, round(CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE greatest(least(value / 100 - 0.4, 1), -1) END, 9) AS masked FROM events"""
 )
 def rwd03_rwd04_rwd06_marginal_gain(table: Table) -> DataFrame:
-    gain = K.clipped(F.col("value") - F.coalesce(F.lag("value").over(BY_USER), F.lit(0.0)), 0.0, 100.0) / 100
+    gain = K.clipped(F.col("value") - F.coalesce(F.lag("value").over(by_user()), F.lit(0.0)), 0.0, 100.0) / 100
     masked = F.when(F.col("event_id") % 5 == 0, 0.0).otherwise(K.clipped(F.col("value") / 100 - 0.4, -1.0, 1.0))
     return table("events").select("event_id", F.round(gain, 9).alias("gain"), F.round(masked, 9).alias("masked"))
 
