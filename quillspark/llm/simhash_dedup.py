@@ -21,11 +21,13 @@ from quillspark.llm.common import checkpointed, connected_components, skew_join
 
 SEED = 42
 RADIUS = 3
-BAND_BITS = 12
-SIGNATURE = (42, 43, 44, 45)  # seeds of the four words of a similarity signature
+SIGNATURE = tuple(range(42, 50))  # seeds of the eight words of a similarity signature
+BANDS, BAND_MINIMA = 16, 4  # at a similarity of 0.8, all bands miss one pair in 4,000
+HASHES_AT_ONCE = 1 << 17
 BLOCK = 2048  # fingerprints compared with each other at once
 TILE = 256
 _LANES = np.uint64(0x0101010101010101)
+_ORDERS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**63, (BANDS, BAND_MINIMA, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 # --- fingerprints -----------------------------------------------------------------------------
@@ -43,40 +45,75 @@ def shingles(text: bytes, words: int) -> list[bytes]:
     return [line[s:e] for s, e in zip(starts, ends[words - 1 :], strict=False)]
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The 64-bit number whose bits are set in over half of ``hashes``."""
-    n = len(hashes)
-    counts = np.zeros(64, np.int64)
-    full = n // 255 * 255
-    for k in range(8):  # eight counters of a byte in a word, 255 hashes at most before they are emptied
-        lanes = (hashes >> np.uint64(k)) & _LANES
-        sums = [lanes[full:].sum(dtype=np.uint64, keepdims=True), lanes[:full].reshape(-1, 255).sum(axis=1, dtype=np.uint64)]
-        counts[k::8] = np.concatenate(sums).view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+def majorities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each of the neighbouring groups of ``sizes`` hashes: the number whose bits are set in over half of them (0 for none)."""
+    out, n = np.zeros(len(sizes), np.uint64), sizes[sizes > 0]
+    if not len(n):
+        return out
+    parts = -(-n // 255)  # eight counters of a byte in a word, 255 hashes at most before they are emptied
+    groups = np.cumsum(parts) - parts
+    starts = np.repeat(np.cumsum(n) - n, parts) + 255 * (np.arange(parts.sum()) - np.repeat(groups, parts))
+    counts = np.empty((len(n), 64), np.int64)
+    for k in range(8):
+        lanes = np.add.reduceat((hashes >> np.uint64(k)) & _LANES, starts)
+        counts[:, k::8] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8), groups, axis=0, dtype=np.int64)
+    out[sizes > 0] = np.packbits(counts * 2 > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
+
+
+def band_keys(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """BANDS keys for each of the neighbouring groups of ``sizes`` hashes, each of BAND_MINIMA least hashes (0 for no hashes).
+
+    Two groups share a key with the probability of their Jaccard similarity to the power of BAND_MINIMA.
+    """
+    out, n = np.zeros((len(sizes), BANDS), np.uint64), sizes[sizes > 0]
+    if not len(n):
+        return out
+    starts = np.cumsum(n) - n
+    for band in range(BANDS):
+        key = np.full(len(n), band + 1, np.uint64)
+        for flip, odd in _ORDERS[band]:
+            key = _mixed(key ^ np.minimum.reduceat((hashes ^ flip) * odd, starts), SEED)
+        out[sizes > 0, band] = key
+    return out
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seeds: tuple[int, ...] = (SEED,), repeats: bool = True) -> DataFrame:
-    """row_id, doc_id, fp (array<long>: a fingerprint for each seed) of each row of ``docs`` (doc_id, text).
+    """doc_id, fp (array<long>: a fingerprint for each seed), keys of each row of ``docs`` (doc_id, text).
 
     A text without words has fingerprints of zero, as a null text has. With repeats false
-    a shingle counts once. Seeds after the first mix the first one's hashes anew.
+    a shingle counts once, and keys has the text's bands; else keys is empty.  Seeds after
+    the first mix the first one's hashes anew.
     """
 
+    def found(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        sizes, joined = np.array(list(map(len, hashes)), np.int64), np.concatenate(hashes)
+        fps = [majorities(joined if k == 0 else _mixed(joined, seed), sizes) for k, seed in enumerate(seeds)]
+        return np.column_stack(fps), np.zeros((len(sizes), 0), np.uint64) if repeats else band_keys(joined, sizes)
+
+    def lists(parts: list[np.ndarray], rows: int) -> pa.Array:
+        flat = np.concatenate(parts) if parts else np.zeros((0, 1), np.uint64)
+        ends = np.arange(rows + 1, dtype=np.int32) * flat.shape[1]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.reshape(-1).view(np.int64)))
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            pending, size = [], 0
             for raw in batch.column("text").cast(pa.binary()).to_pylist():
-                found = shingles(raw or b"", words)
-                if not repeats:
-                    found = list(set(found))
-                first = np.array([xxhash.xxh64_intdigest(s, seeds[0]) for s in found], np.uint64)
-                out.append([0] * len(seeds) if not len(first) else [majority(first), *[majority(_mixed(first, s)) for s in seeds[1:]]])
-            flat = np.array(out, np.uint64).reshape(-1).view(np.int64)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(flat), len(seeds)).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "fp"])
+                h = np.array([xxhash.xxh64_intdigest(s, seeds[0]) for s in shingles(raw or b"", words)], np.uint64)
+                pending.append(h if repeats else np.unique(h))
+                size += len(h)
+                if size >= HASHES_AT_ONCE:
+                    out.append(found(pending))
+                    pending, size = [], 0
+            if pending:
+                out.append(found(pending))
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists([f for f, _ in out], n), lists([k for _, k in out], n)], ["doc_id", "fp", "keys"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return found.mapInArrow(rows, "doc_id long, fp array<long>").withColumn("row_id", F.monotonically_increasing_id())
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return named.mapInArrow(rows, "doc_id long, fp array<long>, keys array<long>")
 
 
 def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
@@ -163,8 +200,9 @@ def _root(parent: dict[int, int], x: int) -> int:
 def bucket_edges(keyed: DataFrame, radius: int) -> DataFrame:
     """Edges (a, b) that join all rows (key, id, fp) within ``radius`` bits of each other that share a key.
 
-    Buckets must be bounded: each is compared whole, in blocks that hold several. Only
-    ids, fingerprints and a forest of a task's rows are in memory.
+    Buckets must be bounded: each is compared whole, in blocks that hold several; rows
+    alone in their bucket meet none. Only ids, fingerprints and a forest of a task's rows
+    are in memory.
     """
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,14 +221,24 @@ def bucket_edges(keyed: DataFrame, radius: int) -> DataFrame:
                     _forest(ids[:end], words[:end], radius, parent)
                 keys, ids, words = keys[end:], ids[end:], words[end:]
 
+        def drop_single(last: bool) -> None:
+            nonlocal keys, ids, words
+            same = keys[1:] == keys[:-1]
+            met = np.append(False, same) | np.append(same, False)
+            met[-1:] |= not last  # the last bucket may go on
+            keys, ids, words = keys[met], ids[met], words[met]
+
         for batch in batches:
             k, i = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id"))
             fp = batch.column("fp")
             w = fp.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(k), -1) if len(k) else np.zeros((0, 1), np.uint64)
             keys, ids = np.concatenate([keys, k]), np.concatenate([ids, i])
             words = w if words is None else np.concatenate([words, w])
+            drop_single(last=False)
             if len(keys) >= 4 * BLOCK:
                 settle(last=False)
+        if len(keys):
+            drop_single(last=True)
         settle(last=True)
         found = [(x, _root(parent, x)) for x in list(parent)]
         found = [p for p in found if p[0] != p[1]]
@@ -265,26 +313,23 @@ def _next_mask(known: Column, part: int, parts: int, depth: int) -> Column:
     return F.element_at(F.create_map(*pairs), known)
 
 
-def signature_links(sigs: DataFrame, radius: int, band_bits: int = BAND_BITS) -> DataFrame:
-    """Edges (a, b) of rows (id, fp: array of 64-bit words; distinct) within ``radius`` bits that share a band.
+def signature_links(sigs: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) of rows (id, fp: array of 64-bit words, keys; fps distinct) within ``radius`` bits that share a key.
 
-    A band is ``band_bits`` neighbouring bits of one word.  Bands shared by more than half a
-    block of rows are dealt into salted blocks; then what each block found alike is
-    represented by one row, and the representatives meet again, until no band is too full
-    or nothing more joins.
+    Keys shared by more than half a block of rows are dealt into salted blocks; then what
+    each block found alike is represented by one row, and the representatives meet again.
+    Once nothing more joins, those under keys still too full meet by keys of two bands.
     """
-    width = len(sigs.select("fp").first()[0]) if not sigs.isEmpty() else 1
-    bands = [(w, k) for w in range(width) for k in range(64 // band_bits)]
-    key = lambda w, k: F.xxhash64(F.lit(w), F.lit(k), F.shiftrightunsigned(F.col("fp")[w], k * band_bits).bitwiseAND((1 << band_bits) - 1))
-    edges, level, before = None, sigs, None
+    edges, level, before, chain = None, sigs, None, 1
     while True:
-        wide = level.withColumn("key", F.explode(F.array(*[key(w, k) for w, k in bands])))
+        keys = F.col("keys") if chain == 1 else F.transform("keys", lambda k, i: F.xxhash64(k, F.element_at("keys", (i + 1) % F.size("keys") + 1)))
+        wide = level.select("id", "fp", F.explode(keys).alias("key"))
         full = wide.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK // 2)
         full = checkpointed(full.select("key", F.ceil(F.col("n") / (BLOCK // 2)).alias("blocks")))
         some = not full.isEmpty()
         if some:
             wide = skew_join(wide, full, ["key"], "left")
-            salt = F.pmod(F.xxhash64("id", F.lit(len(bands))), F.coalesce("blocks", F.lit(1)).cast("long"))
+            salt = F.pmod(F.xxhash64("id", F.lit(BANDS)), F.coalesce("blocks", F.lit(1)).cast("long"))
             wide = wide.withColumn("key", F.xxhash64("key", salt)).drop("blocks")
         found = checkpointed(bucket_edges(wide, radius))
         edges = found if edges is None else edges.unionByName(found)
@@ -294,7 +339,9 @@ def signature_links(sigs: DataFrame, radius: int, band_bits: int = BAND_BITS) ->
         level = checkpointed(skew_join(level, joined, ["id"], "left_anti"))
         rows = level.count()
         if rows == before:
-            return edges
+            if chain == 2:
+                return edges
+            chain += 1
         before = rows
 
 
@@ -302,19 +349,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, sl
     """doc_id, group_id, kept of each row of ``docs`` (doc_id, text) that has words.
 
     Documents are alike when the Jaccard similarity of their sets of ``words``-word shingles
-    is ``similarity`` or more, as four SimHash words estimate it from the angle between
-    the sets; ``slack`` widens the share of differing bits by half a standard error.  One
-    document of each group stays, that of the smallest doc_id.
+    is ``similarity`` or more, as eight SimHash words estimate it from the angle between
+    the sets; ``slack`` widens the share of differing bits by a standard error.  Those
+    compared share the least of their shingles' hashes in one of BANDS ways.  One document
+    of each group stays, that of the smallest doc_id.
     """
     cosine = 2 * similarity / (1 + similarity)
     radius = int(64 * len(SIGNATURE) * (float(np.arccos(cosine)) / np.pi + slack))
-    found = checkpointed(fingerprints(docs.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")), words, SIGNATURE, repeats=False).select("doc_id", "fp"))
-    nodes = checkpointed(found.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("id", F.monotonically_increasing_id()))
-    linked = connected_components(signature_links(nodes.select("id", "fp"), radius))
-    groups = skew_join(nodes, linked, ["id"], "left").withColumn("component", F.coalesce("component", "id"))
+    found = checkpointed(fingerprints(docs.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")), words, SIGNATURE, repeats=False))
+    nodes = found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("keys").alias("keys"))
+    nodes = checkpointed(nodes.withColumn("id", F.monotonically_increasing_id()))
+    linked = connected_components(signature_links(nodes.select("id", "fp", "keys"), radius))
+    groups = skew_join(nodes.drop("keys"), linked, ["id"], "left").withColumn("component", F.coalesce("component", "id"))
     smallest = groups.groupBy("component").agg(F.min("first").alias("group_id"))
     classes = skew_join(groups.select("fp", "component"), smallest, ["component"], "inner").select("fp", "group_id")
-    return skew_join(found, classes, ["fp"], "inner").select("doc_id", "group_id", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))
+    return skew_join(found.select("doc_id", "fp"), classes, ["fp"], "inner").select("doc_id", "group_id", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
