@@ -32,7 +32,7 @@ BEGINNINGS = (3, 4, 5, 6, 7)
 LEAST_TOXIC = 4
 TELLING = 1.0
 MOST_FEATURES = 50_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 
 # Characters and the letters they stand for in leetspeak.
 LEET = {

@@ -24,30 +24,31 @@ from quillspark.llm.common import checkpointed, rows_of
 SIZE = 2048
 END = 0  # the id that ends each document
 TOKENIZER = "byte_bpe_50k.json"
-CACHED_UNITS = 300_000  # of each of two generations
+CACHED_UNITS = 150_000  # of each of two generations
 LEAST_SALTS, ROWS_A_SALT = 256, 100_000
 
 #: A cut before a lone space or line end between two other characters never splits a pre-token.
 _SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _PLAIN = re.compile(r"[^\S \n]|\s\s|^\s|\s$|<\|")
-_encoders: dict[str, Callable[[str], bytes]] = {}
+_models: dict[str, tuple] = {}
 
 
 def token_bytes(tokenizer: str = TOKENIZER) -> Callable[[str], bytes]:
     """A function from a text to its ids as little-endian 32-bit numbers.
 
     ``tokenizer`` is the path of a byte-level BPE file of ``tokenizers``, or the name of a
-    public one.  A text is encoded in units cut where no pre-token crosses, and a worker
-    keeps the ids of the units it has met, so memory does not follow a text's length.
-    Units it has not met are encoded together: their first tokens alone begin with a space
-    or a line end, which tells the units' ids apart again.
+    public one.  A text is encoded in units cut where no pre-token crosses, and the function
+    keeps the ids of the units it has met, so memory does not follow a text's length; a
+    task's units go with it.  Units not met before are encoded together: their first tokens
+    alone begin with a space or a line end, which tells the units' ids apart again.
     """
-    if tokenizer not in _encoders:
-        _encoders[tokenizer] = _encoder(tokenizer)
-    return _encoders[tokenizer]
+    if tokenizer not in _models:
+        _models[tokenizer] = _model(tokenizer)
+    return _encoder(*_models[tokenizer])
 
 
-def _encoder(tokenizer: str) -> Callable[[str], bytes]:
+def _model(tokenizer: str) -> tuple:
+    """The tokenizer, and whether each id's token begins with a space or a line end."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -59,6 +60,10 @@ def _encoder(tokenizer: str) -> Callable[[str], bytes]:
     begins = np.zeros(model.get_vocab_size(), bool)
     for token, k in model.get_vocab().items():
         begins[k] = token[0] in "\u0120\u010a"  # how byte-level tokens write a space and a line end
+    return model, begins
+
+
+def _encoder(model, begins: np.ndarray) -> Callable[[str], bytes]:
     known: dict[str, bytes] = {}
     older: dict[str, bytes] = {}
 
