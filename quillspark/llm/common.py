@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,13 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> Dat
     return joined.drop(*[c for c in joined.columns if c == key or c.startswith("_r_")])
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` a few at a time, so that what Python makes of whole texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def rows_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A local table of rows whose number a parameter bounds (never the data)."""
     return spark.createDataFrame(rows, schema)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import SPACES, checkpointed, skew_join
+from quillspark.llm.common import SPACES, checkpointed, skew_join, small
 
 LEAST, USUAL, MOST = 256, 1024, 8192  # bytes of a chunk; USUAL is a power of two
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -56,7 +56,7 @@ def _texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
 
 
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         points, recipes, digests = [], [], []
         for raw in _texts(batch, "text"):
             data = raw.translate(None, SPACES)
@@ -70,7 +70,7 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _distinct_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         found = {c for raw in _texts(batch, "text") for c in _chunks(raw.translate(None, SPACES))}
         content = list(found)
         yield pa.RecordBatch.from_arrays(

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import small
+
 # Elements by the roles that HTML gives them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -287,7 +289,7 @@ def extract(pages: DataFrame, column: str = "html", into: str = "text") -> DataF
     kept = [c for c in pages.columns if c not in (column, into)]
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = pa.array(map(visible_text, batch.column(column).to_pylist()), pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), found], [*kept, into])
 

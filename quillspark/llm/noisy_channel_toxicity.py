@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import checkpointed
+from quillspark.llm.common import checkpointed, small
 
 #: Labelled rows that the classifier is fitted on, at most: those of the smallest hashes.
 SAMPLE = 20_000
@@ -59,7 +59,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES**3, np.int64)
-        for batch in batches:
+        for batch in small(batches):
             joined = "  ".join(t for t in batch.column("text").to_pylist() if t).lower().encode("latin-1", "replace")
             for at in range(0, max(0, len(joined) - 2), 1 << 22):
                 k = _CLASS[np.frombuffer(joined[at : at + (1 << 22) + 2], np.uint8)]
@@ -177,7 +177,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     rows = texts.join(F.broadcast(chosen), "doc_id")
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             marks = pa.array([np.uint64(_sketch(t)).view(np.int64) for t in batch.column("text").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "text", "toxic")] + [marks], ["doc_id", "text", "toxic", "mark"])
 
@@ -189,7 +189,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 def _counted(rows: DataFrame, model: np.ndarray, wanted: set[str] | None) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, seen = lru_cache(CACHED_WORDS)(restorer(model)), Counter()
-        for batch in batches:
+        for batch in small(batches):
             for text in batch.column("text").to_pylist():
                 found = {f for w in words_of(text) for f in features(read(w))}
                 seen.update(found if wanted is None else found & wanted)
@@ -238,7 +238,7 @@ def profiler(told: dict[str, float], model: np.ndarray) -> Callable[[str], tuple
 def _profiled(rows: DataFrame, told: dict[str, float], model: np.ndarray, keep: list[str], types: str) -> DataFrame:
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profile = profiler(told, model)
-        for batch in batches:
+        for batch in small(batches):
             found = [profile(t or "") for t in batch.column("text").to_pylist()]
             columns = list(zip(*found, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(c, pa.float64()) for c in columns], [*keep, "a", "b", "c", "d"])

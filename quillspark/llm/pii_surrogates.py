@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import small
+
 # Given names by gender and script; a surrogate name comes from the same list.
 GIVEN = {
     ("f", "latin"): "Alice Anna Barbara Carla Charlotte Clara Diana Elena Emma Eva Fatima Hannah Helen Ingrid Irene Isabella Jane Julia Karen Laura Linda Lucia Maria Marta Mary Nina Olivia Paula Rosa Sara Sofia Susan Teresa Ursula Valentina Vera".split(),
@@ -197,7 +199,7 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replace = replacer(key.encode())
         kinds = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string()), ("surrogate", pa.string())]))
-        for batch in batches:
+        for batch in small(batches):
             texts, lists = [], []
             for text in batch.column("text").to_pylist():
                 new, found = replace(text) if text else (text, [])

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import checkpointed, connected_components, skew_join
+from quillspark.llm.common import checkpointed, connected_components, skew_join, small
 
 SEED = 42
 RADIUS = 3
@@ -97,7 +97,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seeds: tuple[int, ...] = (SEED
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.reshape(-1).view(np.int64)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list[tuple[np.ndarray, np.ndarray]] = []
             pending, size = [], 0
             for raw in batch.column("text").cast(pa.binary()).to_pylist():

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import checkpointed, rows_of
+from quillspark.llm.common import checkpointed, rows_of, small
 
 SIZE = 2048
 END = 0  # the id that ends each document
@@ -127,7 +127,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SIZE) -> Dat
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = token_bytes(tokenizer), np.array([END], "<u4").tobytes()
-        for batch in batches:
+        for batch in small(batches):
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = encode(text or "") + end
