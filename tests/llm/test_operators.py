@@ -242,16 +242,20 @@ def test_packing(spark, documents, hard, empty):
     assert slack_packing.pack(hard).count() == len(rows)
 
 
-def test_units_never_change_ids():
+def test_ids_are_those_of_the_tokenizer_file(monkeypatch):
     from tokenizers import Tokenizer
     import public_tokenizers
 
+    monkeypatch.setattr(slack_packing, "LONG", 40)
     model, encode = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))), slack_packing.token_bytes()
     random.seed(1)
-    parts = ["a", "Bc", " ", "\n", ".", ",", "'s", "é", "ß", "12", "😀", "\t", " ", "<|endoftext|>", "Ġ", "-", "日本", "́", "\x1c"]
-    for _ in range(5000):
-        text = "".join(random.choice(parts) for _ in range(random.randint(0, 14)))
+    parts = ["a", "Bc", " ", "\n", ".", ",", "'s", "é", "ß", "12", "😀", "\t", " ", "<|endoftext|>", "Ġ", "-", "日本", "́", "\x1c", "\x85", "\xa0", "Ж", "한", "—", "\u2028", " " * 1200]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 14))) for _ in range(5000)]
+    texts += [f"a{chr(c)} {chr(c)}{chr(c)}1 {chr(c)}\n{chr(c)}b" for c in range(0x3200) if not slack_packing._UNUSUAL.search(chr(c))]
+    texts += ["".join(random.choice("ab cde\nf. ") for _ in range(500)) for _ in range(50)]
+    for text in texts:
         assert encode(text) == np.array(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+    assert slack_packing.token_bytes("word_bpe_49k.json")("Some words") == np.array(Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json"))).encode("Some words", add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_fullest_is_the_best_of_all_subsets():
