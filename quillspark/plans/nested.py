@@ -22,10 +22,12 @@ def nst01_nst08_unfold(table: Table) -> DataFrame:
     return steps.select("conv_id", "s.turn", "step", history.alias("history"))
 
 
-@query("SELECT role, count(*) AS n, min(conv_id) AS first, string_agg(conv_id || ':' || turn, ',' ORDER BY conv_id, turn) AS ids FROM conversations WHERE conv_id < 20 GROUP BY role")
+@query("SELECT role, conv_id // 100 AS block, count(*) AS n, min(conv_id) AS first, string_agg(conv_id || ':' || turn, ',' ORDER BY conv_id, turn) AS ids FROM conversations GROUP BY 1, 2")
 def nst02_fold_by_split(table: Table) -> DataFrame:
-    c = table("conversations").where("conv_id < 20").groupBy("role").agg(F.count("*").alias("n"), F.min("conv_id").alias("first"), F.array_sort(F.collect_list(F.struct("conv_id", "turn"))).alias("x"))
-    return c.select("role", "n", "first", F.array_join(F.transform("x", lambda r: F.concat_ws(":", r["conv_id"], r["turn"])), ",").alias("ids"))
+    """Rows folded by role in blocks of a hundred conversations, so that no list grows with the table."""
+    c = table("conversations").groupBy("role", F.floor(F.col("conv_id") / 100).alias("block"))
+    c = c.agg(F.count("*").alias("n"), F.min("conv_id").alias("first"), F.array_sort(F.collect_list(F.struct("conv_id", "turn"))).alias("x"))
+    return c.select("role", "block", "n", "first", F.array_join(F.transform("x", lambda r: F.concat_ws(":", r["conv_id"], r["turn"])), ",").alias("ids"))
 
 
 @query(

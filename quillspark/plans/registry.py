@@ -6,7 +6,7 @@ from importlib import import_module
 
 from quillspark.plans.declare import ORACLE_SQL, QUERIES
 
-for _family in ("text", "matching", "retrieval", "dedup", "gates", "joins", "splits", "metrics", "windows", "nested", "statistics", "ingest"):
+for _family in ("text", "matching", "retrieval", "dedup", "gates", "joins", "splits", "metrics", "windows", "nested", "statistics", "ingest", "records"):
     import_module(f"quillspark.plans.{_family}")
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -212,15 +212,19 @@ _ACTION_SQL = r"""
     FROM forms"""
 
 
-def _acted(table: Table) -> DataFrame:
+def _forms() -> list:
+    """Texts of an action in nine states of form, from the row's own text."""
     t = F.concat(F.left(F.regexp_replace("text", "[^a-zA-Z ]", ""), F.lit(20)), F.lit("x"))
-    forms = [
+    return [
         F.concat(F.lit("<reason>r</reason><answer>"), t, F.lit("</answer>")), F.concat(F.lit("<reason>r</reason> <text_search>"), t, F.lit("</text_search>")),
         F.lit("<reason>r</reason><search><img></search>"), F.lit(""), F.concat(F.lit("<answer>"), t, F.lit("</answer>")), F.lit("<reason>r</reason><answer> </answer>"),
         F.lit("<reason>r</reason><answer>a</answer><answer>b</answer>"), F.lit("<reason>r</reason><answer>a</answer> and more"), F.lit("<reason> </reason><answer>a</answer>"),
     ]
+
+
+def _acted(table: Table) -> DataFrame:
     which = ((F.col("conv_id") + F.col("turn")) % 9 + 1).cast("int")
-    return table("conversations").select("conv_id", "turn", F.element_at(F.array(*forms), which).alias("raw"))
+    return table("conversations").select("conv_id", "turn", F.element_at(F.array(*_forms()), which).alias("raw"))
 
 
 @query(_ACTION_SQL)
@@ -249,10 +253,10 @@ def str49_error_category(table: Table) -> DataFrame:
 @query(
     """SELECT conv_id, turn, s.kind, s.start::INT AS start, s.length::INT AS length FROM (
          SELECT conv_id, turn, unnest([{'kind': 'reason', 'start': 9, 'length': 1}, {'kind': 'answer', 'start': 27, 'length': length(left(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 20) || 'x')}]) AS s
-         FROM conversations WHERE (conv_id + turn) % 9 = 0)"""
+         FROM conversations)"""
 )
 def str50_target_segments(table: Table) -> DataFrame:
-    parts = _acted(table).where((F.col("conv_id") + F.col("turn")) % 9 == 0).select("conv_id", "turn", F.explode(A.target_segments(F.col("raw"))).alias("s"))
+    parts = table("conversations").select("conv_id", "turn", _forms()[0].alias("raw")).select("conv_id", "turn", F.explode(A.target_segments(F.col("raw"))).alias("s"))
     return parts.select("conv_id", "turn", "s.kind", "s.start", "s.length")
 
 
