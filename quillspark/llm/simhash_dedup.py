@@ -21,7 +21,7 @@ from quillspark.llm.common import checkpointed, connected_components, skew_join,
 
 SEED = 42
 RADIUS = 3
-SIGNATURE = tuple(range(42, 50))  # seeds of the eight words of a similarity signature
+SIGNATURE = tuple(range(42, 58))  # seeds of the sixteen words of a similarity signature
 BANDS, BAND_MINIMA = 16, 4  # at a similarity of 0.8, all bands miss one pair in 4,000
 HASHES_AT_ONCE = 1 << 17
 BLOCK = 2048  # fingerprints compared with each other at once
@@ -345,12 +345,12 @@ def signature_links(sigs: DataFrame, radius: int) -> DataFrame:
         before = rows
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: float = 0.015) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: float = 0.02) -> DataFrame:
     """doc_id, group_id, kept of each row of ``docs`` (doc_id, text) that has words.
 
     Documents are alike when the Jaccard similarity of their sets of ``words``-word shingles
-    is ``similarity`` or more, as eight SimHash words estimate it from the angle between
-    the sets; ``slack`` widens the share of differing bits by a standard error.  Those
+    is ``similarity`` or more, as sixteen SimHash words estimate it from the angle between
+    the sets; ``slack`` widens the share of differing bits by two standard errors.  Those
     compared share the least of their shingles' hashes in one of BANDS ways.  One document
     of each group stays, that of the smallest doc_id.
     """
