@@ -314,35 +314,69 @@ def _next_mask(known: Column, part: int, parts: int, depth: int) -> Column:
 
 
 def signature_links(sigs: DataFrame, radius: int) -> DataFrame:
-    """Edges (a, b) of rows (id, fp: array of 64-bit words, keys; fps distinct) within ``radius`` bits that share a key.
+    """Edges (a, b) that connect all rows (id, fp: array of 64-bit words, keys; fps distinct) within ``radius`` bits that share a key.
 
     Keys shared by more than half a block of rows are dealt into salted blocks; then what
-    each block found alike is represented by one row, and the representatives meet again.
-    Once nothing more joins, those under keys still too full meet by keys of two bands.
+    each block found alike is represented by one row, and the representatives meet again,
+    as long as that joins more.  This only saves work: at last all rows of these keys that
+    are not connected yet are compared across the blocks.
     """
-    edges, level, before, chain = None, sigs, None, 1
-    while True:
-        keys = F.col("keys") if chain == 1 else F.transform("keys", lambda k, i: F.xxhash64(k, F.element_at("keys", (i + 1) % F.size("keys") + 1)))
-        wide = level.select("id", "fp", F.explode(keys).alias("key"))
-        full = wide.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK // 2)
-        full = checkpointed(full.select("key", F.ceil(F.col("n") / (BLOCK // 2)).alias("blocks")))
-        some = not full.isEmpty()
-        if some:
-            wide = skew_join(wide, full, ["key"], "left")
-            salt = F.pmod(F.xxhash64("id", F.lit(BANDS)), F.coalesce("blocks", F.lit(1)).cast("long"))
-            wide = wide.withColumn("key", F.xxhash64("key", salt)).drop("blocks")
-        found = checkpointed(bucket_edges(wide, radius))
-        edges = found if edges is None else edges.unionByName(found)
-        if not some:
-            return edges
+    wide = sigs.select("id", "fp", F.explode("keys").alias("key"))
+    full = _crowded(wide)
+    found = edges = checkpointed(bucket_edges(_dealt(wide, full), radius))
+    if full.isEmpty():
+        return edges
+    held = level = checkpointed(skew_join(wide, full.select("key"), ["key"], "left_semi"))
+    before = held.count()
+    while not full.isEmpty():
         joined = connected_components(found).where("id <> component").select("id")
         level = checkpointed(skew_join(level, joined, ["id"], "left_anti"))
         rows = level.count()
         if rows == before:
-            if chain == 2:
-                return edges
-            chain += 1
-        before = rows
+            break
+        before, full = rows, _crowded(level)
+        found = checkpointed(bucket_edges(_dealt(level, full), radius))
+        edges = edges.unionByName(found)
+    return edges.unionByName(_across_blocks(held, connected_components(edges), radius))
+
+
+def _crowded(wide: DataFrame) -> DataFrame:
+    """key, blocks of the keys of more than half a block of rows."""
+    full = wide.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK // 2)
+    return checkpointed(full.select("key", F.ceil(F.col("n") / (BLOCK // 2)).alias("blocks")))
+
+
+def _dealt(wide: DataFrame, full: DataFrame) -> DataFrame:
+    """``wide`` with the rows of each of the ``full`` keys dealt into blocks."""
+    if full.isEmpty():
+        return wide
+    salt = F.pmod(F.xxhash64("id", F.lit(BANDS)), F.coalesce("blocks", F.lit(1)).cast("long"))
+    return skew_join(wide, full, ["key"], "left").withColumn("key", F.xxhash64("key", salt)).drop("blocks")
+
+
+def _across_blocks(held: DataFrame, linked: DataFrame, radius: int) -> DataFrame:
+    """Edges that join all rows (key, id, fp) within the radius that share a key, beyond the components of ``linked``.
+
+    Large components have blocks of their own, the others are pooled whole.  Every two
+    blocks of a key meet, and each pool meets itself, unless one component has both.
+    """
+    half = BLOCK // 2
+    rows = skew_join(held, linked, ["id"], "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = checkpointed(rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")))
+    large = F.col("n") > half // 4
+    pools = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("components"), F.sum(F.when(~large, F.col("n"))).alias("pooled")).where("components > 1")
+    sizes = skew_join(sizes, checkpointed(pools), ["key"], "inner").select(
+        "key", "component", F.when(large, F.col("component")).alias("owner"), F.ceil(F.when(large, F.col("n")).otherwise(F.col("pooled")) / half).alias("blocks")
+    )
+    salt = F.pmod(F.xxhash64(F.when(F.col("owner").isNull(), F.col("component")).otherwise(F.col("id")), F.lit(BANDS)), F.col("blocks"))
+    rows = skew_join(rows, checkpointed(sizes), ["key", "component"], "inner")
+    rows = checkpointed(rows.select("key", "id", "fp", "owner", F.xxhash64("owner", salt).alias("block")))
+    blocks = checkpointed(rows.select("key", "owner", "block").distinct())
+    others = blocks.select("key", F.col("owner").alias("owner_b"), F.col("block").alias("block_b"))
+    pairs = skew_join(blocks, others, ["key"], "inner").where("block < block_b and not owner <=> owner_b or block <= block_b and owner is null and owner_b is null")
+    pairs = pairs.withColumn("pair", F.xxhash64("key", "block", "block_b"))
+    sides = pairs.select("key", "block", "pair").unionByName(pairs.select("key", F.col("block_b").alias("block"), "pair")).distinct()
+    return checkpointed(bucket_edges(skew_join(rows, sides, ["key", "block"], "inner").select(F.col("pair").alias("key"), "id", "fp"), radius))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: float = 0.02) -> DataFrame:

@@ -192,6 +192,27 @@ def test_full_buckets_are_divided(spark, monkeypatch):
     assert {i: got.get(i, i) for i in range(len(fps))} == {i: least[r] for i, r in enumerate(roots)}
 
 
+@pytest.mark.parametrize("kind", ["chain", "clusters"])
+def test_crowded_keys_lose_no_links(spark, monkeypatch, kind):
+    monkeypatch.setattr(simhash_dedup, "BLOCK", 16)
+    random.seed(7)
+    if kind == "chain":  # each is near its two neighbours only, so no row may stand for another
+        fps = [(1 << 3 * k) - 1 for k in range(80)]
+    else:
+        bases = [random.getrandbits(256) for _ in range(12)]
+        fps = list({base ^ sum({1 << random.randrange(256) for _ in range(random.randrange(1, 4))}) for base in bases for _ in range(20)})
+    random.shuffle(fps)
+    keys = [[1, 2 + i % 3] for i in range(len(fps))]
+    words = lambda f: np.array([f >> 64 * k & 2**64 - 1 for k in range(4)], np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(i, words(f), k) for i, (f, k) in enumerate(zip(fps, keys, strict=True))], "id long, fp array<long>, keys array<long>")
+    got = {r["id"]: r["component"] for r in connected_components(simhash_dedup.signature_links(df, 3)).collect()}
+    roots = brute_components(range(len(fps)), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3)
+    least = {}
+    for i, r in enumerate(roots):
+        least[r] = min(least.get(r, i), i)
+    assert {i: got.get(i, i) for i in range(len(fps))} == {i: least[r] for i, r in enumerate(roots)}
+
+
 def test_near_copies_go_and_others_stay(spark):
     random.seed(11)
     word = lambda: "".join(random.choice("abcdefghij") for _ in range(6))
