@@ -11,7 +11,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,10 +33,16 @@ GIVEN = {
 TITLES = {"Mr": "m", "Herr": "m", "Señor": "m", "Monsieur": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Señora": "f", "Madame": "f"}
 #: Alphabets that a letter stays in.
 ALPHABETS = ("aeiouy", "bcdfghjklmnpqrstvwxz", "àáâäèéêëìíîïòóôöùúûü", "çñß", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "0123456789")
+SIGNS = "._%+-"  # what the local part of an address may have besides letters and digits
 _PLACE = {c: (a, a.index(c)) for a in ALPHABETS for c in a}
+_UPPER = {c: "ẞ" if c == "ß" else c.upper() for c in _PLACE}
+_LOWER = {u: c for c, u in _UPPER.items()}  # only what the other leads back to, so that no two letters become one
 _NAMED = {name: (key, names.index(name)) for key, names in GIVEN.items() for name in names}
 
-_NAME = r"[^\W\d_][^\W\d_'’-]+"
+#: Words within a name that stay as they are.
+PARTICLES = "al bin da dal de del della den der di do dos du el la las le los ten ter van von zu zum zur".split()
+_PART = r"(?:[^\W\d_]{1,2}['’](?=[^\W\d_]{2}))?[^\W\d_]{2,}"
+_NAME = rf"(?:[^\W\d_]\. )*(?:(?:{'|'.join(PARTICLES)}) )*{_PART}(?:-{_PART})*"
 PATTERNS = (
     ("email", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
@@ -87,21 +95,38 @@ def _walk(x: int, n: int, bits: int, key: bytes, back: bool) -> int:
     return x
 
 
+@cache
+def _others() -> dict[str, tuple[str, int]]:
+    """(alphabet, place) of all letters that ALPHABETS lacks: those of a category among 64 neighbours, single ones together."""
+    groups: dict[tuple, list[str]] = {}
+    for c in map(chr, range(0x80, 0x110000)):
+        if (kind := unicodedata.category(c))[0] == "L" and c not in _PLACE and c not in _LOWER:
+            groups.setdefault((kind, ord(c) >> 6), []).append(c)
+    alphabets: dict[tuple, str] = {}
+    for (kind, run), letters in groups.items():
+        to = (kind, run) if len(letters) > 1 else (kind,)
+        alphabets[to] = alphabets.get(to, "") + "".join(letters)
+    return {c: (a, k) for a in alphabets.values() for k, c in enumerate(a)}
+
+
 def alike(value: str, key: bytes) -> str:
     """Another string of the same form: digits stay digits, letters stay in their alphabet and case, all else stays."""
-    low = value.lower()
-    spots = [(i, *_PLACE[c]) for i, c in enumerate(low) if c in _PLACE] if len(low) == len(value) else []
+    low = "".join(_LOWER.get(c, c) for c in value)
+    spots = [(i, *(_PLACE.get(c) or _others()[c])) for i, c in enumerate(low) if c in _PLACE or c > "\x7f" and c in _others()]
     n, x = 1, 0
     for _, alphabet, at in spots:
         n, x = n * len(alphabet), x * len(alphabet) + at
     if n < 2:
         return value
     # The form is the key's domain: values of different forms never meet.
-    form = "".join(_PLACE[c][0][0] if c in _PLACE else c for c in low)
+    form = list(low)
+    for i, alphabet, _ in spots:
+        form[i] = alphabet[0]
+    form = "".join(form)
     y, out = permuted(x, n, hmac.digest(key, form.encode(), "sha256")), list(value)
     for i, alphabet, _ in reversed(spots):
         y, k = divmod(y, len(alphabet))
-        out[i] = alphabet[k].upper() if value[i] != low[i] else alphabet[k]
+        out[i] = _UPPER[alphabet[k]] if value[i] != low[i] else alphabet[k]
     return "".join(out)
 
 
@@ -122,7 +147,8 @@ def surrogate(kind: str, value: str, key: bytes) -> str:
     if kind == "email":
         local, _, domain = value.partition("@")
         name, _, top = domain.rpartition(".")
-        return f"{alike(local, hmac.digest(key, name.lower().encode(), 'sha256'))}@{name}.{top}"
+        within = hmac.digest(key, name.lower().encode(), "sha256")
+        return f"{alike(local, within) if re.search('[A-Za-z0-9]', local) else _signs(local, within)}@{alike(name, hmac.digest(key, b'domain', 'sha256'))}.{top}"
     if kind == "ip":
         parts = [int(p) for p in value.split(".")]
         fixed = 2 if parts[:2] == [192, 168] else 1 if parts[0] in (10, 127) else 0  # private addresses stay private
@@ -155,7 +181,24 @@ def _name(word: str, key: bytes) -> str:
         (gender, script), at = _NAMED[word]
         names = GIVEN[gender, script]
         return names[permuted(at, len(names), hmac.digest(key, f"{gender}{script}".encode(), "sha256"))]
-    return alike(word, key)
+    if word in PARTICLES:
+        return word
+    new = alike(word, key)
+    while new in _NAMED or new in PARTICLES:  # on in the same cycle, so that no two words meet and listed names are left to listed names
+        new = alike(new, key)
+    return new
+
+
+def _signs(local: str, key: bytes) -> str:
+    """Another local part of as many signs, for one that has neither letters nor digits."""
+    x = 0
+    for c in local:
+        x = x * len(SIGNS) + SIGNS.index(c)
+    y, out = permuted(x, len(SIGNS) ** len(local), key), ""
+    for _ in local:
+        y, k = divmod(y, len(SIGNS))
+        out = SIGNS[k] + out
+    return out
 
 
 def entities(text: str) -> Iterator[tuple[int, int, str, str]]:

@@ -132,6 +132,24 @@ def test_surrogates_keep_type_and_reference(spark):
     assert pii_surrogates.collisions(pii_surrogates.surrogates(spark.read.parquet(f"{SF_DIR}/documents.parquet"))).isEmpty()
 
 
+def test_surrogates_of_odd_values_do_not_stop_the_rest(spark):
+    text = "_@foo.com ...@foo.com, Mr. Łł, Mr. İnan; Mary Smith-Jones, John O'Brien, John F. Kennedy, Maria de la Cruz, John Smith's book"
+    got = pii_surrogates.surrogates(spark.createDataFrame([(1, text), (2, "Anna Petrova")], "doc_id long, text string")).collect()
+    new = {e["value"]: e["surrogate"] for r in got for e in r["entities"]}
+    assert set(new) == {"_@foo.com", "...@foo.com", "Mr. Łł", "Mr. İnan", "Mary Smith-Jones", "John O'Brien", "John F. Kennedy", "Maria de la Cruz", "John Smith", "Anna Petrova"}
+    assert len(set(new.values())) == len(new) and all(v != s for v, s in new.items())
+    assert "foo.com" not in got[0]["text"] + got[1]["text"] and "Jones" not in got[0]["text"] + got[1]["text"]
+
+
+def test_surrogate_words_never_meet():
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a.upper() + b + c for a in letters for b in letters for c in letters] + [w for key in pii_surrogates.GIVEN for w in pii_surrogates.GIVEN[key] if len(w) != 3]
+    new = [pii_surrogates._name(w, b"k") for w in words]
+    assert len(set(new)) == len(words) and all(a != b for a, b in zip(words, new, strict=True))
+    capitals = ["ÇA", "ÑA", "ẞA", "ÇE", "ÑE", "ẞE", "KA", "\u212aA"]
+    assert len({pii_surrogates._name(w, b"k") for w in capitals}) == len(capitals)
+
+
 # --- 4: SimHash ---
 
 
