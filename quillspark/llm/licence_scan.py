@@ -32,6 +32,9 @@ STEPS = (
     (r"^ +| +$", ""),
 )
 
+#: Found in every text whose canonical form has "licens" or "public domain".
+HINT = r"(?i)licen[sc]|public[^a-zA-Z0-9]+domain"
+
 
 def canonical_text(text: str) -> str:
     """What ``canonical`` makes of a text, for the known ones."""
@@ -74,9 +77,8 @@ def scan(docs: DataFrame) -> DataFrame:
     lines = F.broadcast(rows_of(spark, known(NOTICES.items()), "line_digest string, notice string"))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     looked_up = named.select("doc_id", F.sha2(canonical("text"), 256).alias("digest")).join(whole, "digest", "left")
-    # Every known notice has one of these words in its canonical form, so other lines need no digest.
-    hint = r"(?i)licen[sc]|public domain"
-    candidates = named.where(F.col("text").rlike(hint)).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(hint))
+    # Every known notice has "licens" or "public domain" in its canonical form; these are all spellings of them, so other lines need no digest.
+    candidates = named.where(F.col("text").rlike(HINT)).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(HINT))
     hits = candidates.select("doc_id", F.sha2(canonical("line"), 256).alias("line_digest")).join(lines, "line_digest")
     noted = hits.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("notice")), ",").alias("notices"))
     return skew_join(looked_up, checkpointed(noted), ["doc_id"], "left").select("doc_id", "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"))

@@ -433,6 +433,13 @@ def test_licence_scan(spark):
     assert got == {1: ("MIT", ""), 2: (None, "Apache-2.0"), 3: (None, ""), 4: (None, ""), 5: (None, "")}
 
 
+def test_notices_in_every_spelling(spark):
+    spellings = ["This work is dedicated to the public-domain.", "This work is dedicated to the public  domain", "THIS work is dedicated to the Public\tDomain"]
+    df = spark.createDataFrame(list(enumerate(spellings)), "doc_id long, text string")
+    assert [r["notices"] for r in licence_scan.scan(df).collect()] == ["CC0-1.0"] * 3
+    assert all("licens" in c or "public domain" in c for c in map(licence_scan.canonical_text, licence_scan.NOTICES.values()))
+
+
 # --- the pipeline ---
 
 
