@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -15,30 +16,53 @@ SPACES = b" \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all executors see; a local session without one gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp()
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
-    The folder is the session's ``spark.checkpoint.dir``; only a session without
-    one (a local test) gets a temporary folder.
-    """
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder, with its lineage cut."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet to a new folder beside the checkpoints, and read again: for whole texts, which it compresses."""
+    folder = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, or a longer one where a column of ``frames`` has it (Spark tells no case apart)."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
     """Null-safe equi-join on columns of equal names whose hot keys adaptive execution may split.
 
     Both sides are hashed on a derived key, so each gets an exchange of the join's own;
-    an aggregate's partitioning is never reused, which would forbid the split.
+    an aggregate's partitioning is never reused, which would forbid the split.  Other
+    columns of ``right`` must have names of their own (see ``unused``).
     """
-    key = "_skew_key"
+    key, other = unused("_skew_key", left, right), unused("_skew_other", left, right)
+    names = {c: unused(f"_right_{c}", left, right) for c in on}
     a = left.withColumn(key, F.xxhash64(*on))
-    b = right.select(F.xxhash64(*on).alias(key), *[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
-    same = reduce(Column.__and__, [a[c].eqNullSafe(b[f"_r_{c}"]) for c in on], a[key] == b[key])
-    joined = a.join(b, same, how)  # (a semi or anti join keeps the left columns alone)
-    return joined.drop(*[c for c in joined.columns if c == key or c.startswith("_r_")])
+    b = right.select(F.xxhash64(*on).alias(other), *[F.col(c).alias(names.get(c, c)) for c in right.columns])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(names[c])) for c in on], F.col(key) == F.col(other))
+    return a.join(b, same, how).drop(key, other, *names.values())  # (a semi or anti join keeps the left columns alone)
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
