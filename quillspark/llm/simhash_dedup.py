@@ -9,7 +9,7 @@ spanning forest, never with all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,7 @@ from quillspark.llm.common import checkpointed, connected_components, skew_join,
 SEED = 42
 RADIUS = 3
 SIGNATURE = tuple(range(42, 58))  # seeds of the sixteen words of a similarity signature
+FORESTS = 3  # spanning forests of each block whose pairs are held against their exact similarity
 BANDS, BAND_MINIMA = 16, 4  # at a similarity of 0.8, all bands miss one pair in 4,000
 HASHES_AT_ONCE = 1 << 17
 BLOCK = 2048  # fingerprints compared with each other at once
@@ -79,26 +80,33 @@ def band_keys(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seeds: tuple[int, ...] = (SEED,), repeats: bool = True) -> DataFrame:
-    """doc_id, fp (array<long>: a fingerprint for each seed), keys of each row of ``docs`` (doc_id, text).
+    """doc_id, fp (array<long>: a fingerprint for each seed), keys, shingles of each row of ``docs`` (doc_id, text).
 
     A text without words has fingerprints of zero, as a null text has. With repeats false
-    a shingle counts once, and keys has the text's bands; else keys is empty.  Seeds after
-    the first mix the first one's hashes anew.
+    a shingle counts once, keys has the text's bands and shingles the set of its shingles,
+    as numbers of 32 bits; else both are empty.  Seeds after the first mix the first one's
+    hashes anew.
     """
 
-    def found(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def found(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         sizes, joined = np.array(list(map(len, hashes)), np.int64), np.concatenate(hashes)
         fps = [majorities(joined if k == 0 else _mixed(joined, seed), sizes) for k, seed in enumerate(seeds)]
-        return np.column_stack(fps), np.zeros((len(sizes), 0), np.uint64) if repeats else band_keys(joined, sizes)
+        keys = np.zeros((len(sizes), 0), np.uint64) if repeats else band_keys(joined, sizes)
+        return np.column_stack(fps), keys, [] if repeats else [np.unique((h >> np.uint64(32)).astype(np.uint32)) for h in hashes]
 
     def lists(parts: list[np.ndarray], rows: int) -> pa.Array:
         flat = np.concatenate(parts) if parts else np.zeros((0, 1), np.uint64)
         ends = np.arange(rows + 1, dtype=np.int32) * flat.shape[1]
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.reshape(-1).view(np.int64)))
 
+    def sets(parts: list[list[np.ndarray]], rows: int) -> pa.Array:
+        each = [s for part in parts for s in part] or [np.zeros(0, np.uint32)] * rows
+        ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint32), *each]).view(np.int32)))
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            out: list[tuple[np.ndarray, np.ndarray]] = []
+            out: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = []
             pending, size = [], 0
             for raw in batch.column("text").cast(pa.binary()).to_pylist():
                 h = np.array([xxhash.xxh64_intdigest(s, seeds[0]) for s in shingles(raw or b"", words)], np.uint64)
@@ -110,10 +118,11 @@ def fingerprints(docs: DataFrame, words: int = 3, seeds: tuple[int, ...] = (SEED
             if pending:
                 out.append(found(pending))
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists([f for f, _ in out], n), lists([k for _, k in out], n)], ["doc_id", "fp", "keys"])
+            columns = [batch.column("doc_id"), lists([f for f, _, _ in out], n), lists([k for _, k, _ in out], n), sets([s for _, _, s in out], n)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "keys", "shingles"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return named.mapInArrow(rows, "doc_id long, fp array<long>, keys array<long>")
+    return named.mapInArrow(rows, "doc_id long, fp array<long>, keys array<long>, shingles array<int>")
 
 
 def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
@@ -126,7 +135,8 @@ def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
 
 
 def near_rows(words: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Tiles (rows, near) of the rows of ``words`` (n x words, uint64): near[k, j] for rows[k] < j within ``radius`` bits.
+    """Tiles (rows, near) of the rows of ``words`` (n x words, uint64): near[k, j] is one more than the distance of
+    rows[k] < j where that is within ``radius`` bits, else 0.
 
     Rows without a near one do not appear.
     """
@@ -156,11 +166,16 @@ def near_rows(words: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.n
                     if not len(rows):
                         break
         if len(rows):
-            near = np.unpackbits((~_exceeds(counters, over, radius)).view(np.uint8), axis=1, bitorder="little")
-            some = near.any(axis=1)
+            within = ~_exceeds(counters, over, radius)
+            some = within.any(axis=1)
             if some.any():
-                full = np.zeros((int(some.sum()), n), bool)
-                full[:, first * 64 :] = near[some][:, : n - first * 64]
+                full = np.zeros((int(some.sum()), n), np.uint16)
+                lanes_of = lambda plane: np.unpackbits(plane[some].view(np.uint8), axis=1, bitorder="little")[:, : n - first * 64]
+                near = full[:, first * 64 :]
+                for level, c in enumerate(counters):
+                    near += lanes_of(c).astype(np.uint16) << np.uint16(level)
+                near += np.uint16(1)
+                near *= lanes_of(within)
                 yield rows[some], full
 
 
@@ -180,7 +195,7 @@ def _forest(ids: np.ndarray, words: np.ndarray, radius: int, parent: dict[int, i
     """Joins in ``parent`` (a union-find over ids) what lies within the radius in one block."""
     label = np.arange(len(ids))
     for rows, near in near_rows(words, radius):
-        for i, others in zip(rows, near, strict=True):
+        for i, others in zip(rows, near > 0, strict=True):
             met = np.append(label[others], label[i])
             low = met.min()
             if (met != low).any():
@@ -197,16 +212,59 @@ def _root(parent: dict[int, int], x: int) -> int:
     return x
 
 
-def bucket_edges(keyed: DataFrame, radius: int) -> DataFrame:
+def least_forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the edges i-j between n nodes, listed from the nearest on, make the spanning forest of the nearest."""
+    label, live, chosen = np.arange(n), np.arange(len(i)), [np.zeros(0, np.intp)]
+    while True:
+        a, b = label[i[live]], label[j[live]]
+        apart = a != b
+        live, a, b = live[apart], a[apart], b[apart]
+        if not len(live):
+            return np.concatenate(chosen)
+        best = np.full(n, len(i))  # the nearest edge that leaves each tree
+        np.minimum.at(best, a, live)
+        np.minimum.at(best, b, live)
+        picked = np.unique(best[best < len(i)])
+        chosen.append(picked)
+        a, b = label[i[picked]], label[j[picked]]
+        while (a != b).any():
+            low, parent = np.minimum(a, b), np.arange(n)
+            np.minimum.at(parent, a, low)
+            np.minimum.at(parent, b, low)
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            label, a, b = parent[label], parent[a], parent[b]
+
+
+def _nearest(ids: np.ndarray, words: np.ndarray, radius: int, forests: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) of one block: the spanning forest of the nearest pairs within the radius, again of the pairs left, and so on."""
+    found = [(rows[k], j, near[k, j]) for rows, near in near_rows(words, radius) for k, j in [np.nonzero(near)]]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j, distance = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((j, i, distance))
+    i, j, a, b = i[order], j[order], [], []
+    for _ in range(forests):
+        chosen = least_forest(len(ids), i, j)
+        a.append(ids[i[chosen]])
+        b.append(ids[j[chosen]])
+        i, j = np.delete(i, chosen), np.delete(j, chosen)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def bucket_edges(keyed: DataFrame, radius: int, forests: int = 0) -> DataFrame:
     """Edges (a, b) that join all rows (key, id, fp) within ``radius`` bits of each other that share a key.
 
     Buckets must be bounded: each is compared whole, in blocks that hold several; rows
     alone in their bucket meet none. Only ids, fingerprints and a forest of a task's rows
-    are in memory.
+    are in memory.  With ``forests``, edges are pairs within the radius: those of so many
+    spanning forests of each block, the nearest first; else they join a task's rows to
+    the least of each component.
     """
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
         keys, ids, words = np.zeros(0, np.int64), np.zeros(0, np.int64), None
 
         def settle(last: bool) -> None:
@@ -217,7 +275,9 @@ def bucket_edges(keyed: DataFrame, radius: int) -> DataFrame:
                 end = ends[max(0, np.searchsorted(ends, BLOCK, side="right") - 1)]
                 if end < min(BLOCK, len(keys)) // 2 and not last and len(keys) < BLOCK:
                     return
-                if end > 1:
+                if end > 1 and forests:
+                    pairs.append(_nearest(ids[:end], words[:end], radius, forests))
+                elif end > 1:
                     _forest(ids[:end], words[:end], radius, parent)
                 keys, ids, words = keys[end:], ids[end:], words[end:]
 
@@ -228,6 +288,11 @@ def bucket_edges(keyed: DataFrame, radius: int) -> DataFrame:
             met[-1:] |= not last  # the last bucket may go on
             keys, ids, words = keys[met], ids[met], words[met]
 
+        def found() -> Iterator[pa.RecordBatch]:
+            for a, b in pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            pairs.clear()
+
         for batch in batches:
             k, i = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id"))
             fp = batch.column("fp")
@@ -237,14 +302,16 @@ def bucket_edges(keyed: DataFrame, radius: int) -> DataFrame:
             drop_single(last=False)
             if len(keys) >= 4 * BLOCK:
                 settle(last=False)
+                yield from found()
         if len(keys):
             drop_single(last=True)
         settle(last=True)
-        found = [(x, _root(parent, x)) for x in list(parent)]
-        found = [p for p in found if p[0] != p[1]]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], ["a", "b"])
+        yield from found()
+        joined = [(x, _root(parent, x)) for x in list(parent)]
+        joined = [p for p in joined if p[0] != p[1]]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in joined], pa.int64()), pa.array([r for _, r in joined], pa.int64())], ["a", "b"])
 
-    return keyed.repartition("key").sortWithinPartitions("key").select("key", "id", "fp").mapInArrow(edges, "a long, b long")
+    return keyed.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "fp").mapInArrow(edges, "a long, b long")
 
 
 # --- exact search within a small radius ---------------------------------------------------------
@@ -313,17 +380,20 @@ def _next_mask(known: Column, part: int, parts: int, depth: int) -> Column:
     return F.element_at(F.create_map(*pairs), known)
 
 
-def signature_links(sigs: DataFrame, radius: int) -> DataFrame:
+def signature_links(sigs: DataFrame, radius: int, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Edges (a, b) that connect all rows (id, fp: array of 64-bit words, keys; fps distinct) within ``radius`` bits that share a key.
 
+    ``check`` keeps those pairs that are links indeed; each block offers it FORESTS spanning
+    forests of its nearest pairs, so that what one pair fails to connect another may.
     Keys shared by more than half a block of rows are dealt into salted blocks; then what
     each block found alike is represented by one row, and the representatives meet again,
     as long as that joins more.  This only saves work: at last all rows of these keys that
     are not connected yet are compared across the blocks.
     """
+    links = lambda keyed: checkpointed(check(bucket_edges(keyed, radius, FORESTS)) if check else bucket_edges(keyed, radius))
     wide = sigs.select("id", "fp", F.explode("keys").alias("key"))
     full = _crowded(wide)
-    found = edges = checkpointed(bucket_edges(_dealt(wide, full), radius))
+    found = edges = links(_dealt(wide, full))
     if full.isEmpty():
         return edges
     held = level = checkpointed(skew_join(wide, full.select("key"), ["key"], "left_semi"))
@@ -335,9 +405,9 @@ def signature_links(sigs: DataFrame, radius: int) -> DataFrame:
         if rows == before:
             break
         before, full = rows, _crowded(level)
-        found = checkpointed(bucket_edges(_dealt(level, full), radius))
+        found = links(_dealt(level, full))
         edges = edges.unionByName(found)
-    return edges.unionByName(_across_blocks(held, connected_components(edges), radius))
+    return edges.unionByName(links(_across_blocks(held, connected_components(edges))))
 
 
 def _crowded(wide: DataFrame) -> DataFrame:
@@ -354,8 +424,8 @@ def _dealt(wide: DataFrame, full: DataFrame) -> DataFrame:
     return skew_join(wide, full, ["key"], "left").withColumn("key", F.xxhash64("key", salt)).drop("blocks")
 
 
-def _across_blocks(held: DataFrame, linked: DataFrame, radius: int) -> DataFrame:
-    """Edges that join all rows (key, id, fp) within the radius that share a key, beyond the components of ``linked``.
+def _across_blocks(held: DataFrame, linked: DataFrame) -> DataFrame:
+    """Buckets (key, id, fp) in which all rows of ``held`` that share a key meet, but for those that are in one component of ``linked``.
 
     Large components have blocks of their own, the others are pooled whole.  Every two
     blocks of a key meet, and each pool meets itself, unless one component has both.
@@ -376,24 +446,40 @@ def _across_blocks(held: DataFrame, linked: DataFrame, radius: int) -> DataFrame
     pairs = skew_join(blocks, others, ["key"], "inner").where("block < block_b and not owner <=> owner_b or block <= block_b and owner is null and owner_b is null")
     pairs = pairs.withColumn("pair", F.xxhash64("key", "block", "block_b"))
     sides = pairs.select("key", "block", "pair").unionByName(pairs.select("key", F.col("block_b").alias("block"), "pair")).distinct()
-    return checkpointed(bucket_edges(skew_join(rows, sides, ["key", "block"], "inner").select(F.col("pair").alias("key"), "id", "fp"), radius))
+    return skew_join(rows, sides, ["key", "block"], "inner").select(F.col("pair").alias("key"), "id", "fp")
+
+
+def similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``edges`` (a, b) whose ``sets`` (id, shingles) have a Jaccard similarity of ``similarity`` or more."""
+    pairs = checkpointed(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    held = checkpointed(skew_join(sets.select("id", "shingles"), asked, ["id"], "left_semi"))
+    pairs = skew_join(pairs, held.select(F.col("id").alias("a"), F.col("shingles").alias("x")), ["a"], "inner")
+    pairs = skew_join(pairs, held.select(F.col("id").alias("b"), F.col("shingles").alias("y")), ["b"], "inner")
+    both, all_of_both = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    return pairs.where(both >= similarity * (all_of_both - both) - 1e-9).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: float = 0.02) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: float = 0.045) -> DataFrame:
     """doc_id, group_id, kept of each row of ``docs`` (doc_id, text) that has words.
 
-    Documents are alike when the Jaccard similarity of their sets of ``words``-word shingles
-    is ``similarity`` or more, as sixteen SimHash words estimate it from the angle between
-    the sets; ``slack`` widens the share of differing bits by two standard errors.  Those
-    compared share the least of their shingles' hashes in one of BANDS ways.  One document
-    of each group stays, that of the smallest doc_id.
+    Documents are linked when the Jaccard similarity of their sets of ``words``-word shingles
+    (a shorter text is one shingle) is ``similarity`` or more.  Candidates share the least of
+    their shingles' hashes in one of BANDS ways, and sixteen SimHash words of theirs lie
+    within the angle of that similarity, widened by ``slack`` as a share of the bits (four
+    standard errors); nearest first, they are then held against the exact similarity.  One
+    document of each group stays, that of the smallest doc_id (null last); of rows that
+    repeat a doc_id and its text all stay or go.  Texts without words, null ones too, are
+    in no row; very long texts are read whole; an empty table gives no rows; other columns
+    are ignored.
     """
     cosine = 2 * similarity / (1 + similarity)
     radius = int(64 * len(SIGNATURE) * (float(np.arccos(cosine)) / np.pi + slack))
-    found = checkpointed(fingerprints(docs.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")), words, SIGNATURE, repeats=False))
-    nodes = found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("keys").alias("keys"))
-    nodes = checkpointed(nodes.withColumn("id", F.monotonically_increasing_id()))
-    linked = connected_components(signature_links(nodes.select("id", "fp", "keys"), radius))
+    found = fingerprints(docs.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")), words, SIGNATURE, repeats=False)
+    found = checkpointed(found.withColumn("row_id", F.monotonically_increasing_id()))
+    nodes = checkpointed(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("row_id").alias("id"), F.min("keys").alias("keys")))
+    sets = found.select(F.col("row_id").alias("id"), "shingles")
+    linked = connected_components(signature_links(nodes.select("id", "fp", "keys"), radius, lambda pairs: similar(pairs, sets, similarity)))
     groups = skew_join(nodes.drop("keys"), linked, ["id"], "left").withColumn("component", F.coalesce("component", "id"))
     smallest = groups.groupBy("component").agg(F.min("first").alias("group_id"))
     classes = skew_join(groups.select("fp", "component"), smallest, ["component"], "inner").select("fp", "group_id")
@@ -401,7 +487,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, sl
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; texts without words all stay."""
+    """The rows of ``docs`` that stay, with all their columns; texts without words all stay, as in ``near_duplicates``."""
     decided = near_duplicates(docs, words, similarity)
     dropped = decided.groupBy("doc_id").agg(F.max("kept").alias("stays")).where("not stays").select("doc_id")
     return skew_join(docs, dropped, ["doc_id"], "left_anti")
