@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import SPACES, checkpointed, skew_join, small
+from quillspark.llm.common import SPACES, checkpointed, skew_join, small, unused
 
 LEAST, USUAL, MOST = 256, 1024, 8192  # bytes of a chunk; USUAL is a power of two
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -107,13 +107,13 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts are equal when identical without the characters [\\x20\\x09-\\x0D]; null counts
     as empty.  The row with the most code points in its original text stays, then the
-    smallest doc_id (null last); of fully repeated rows one stays.  Other columns are
-    ignored, an empty table gives no rows.
+    smallest doc_id (null last); of fully repeated rows one stays.  Very long texts are
+    compared whole, chunk by chunk; other columns are ignored; an empty table gives no rows.
     """
     listed = recipes(docs)
-    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("order"), "row_id"))
+    best = F.min(F.struct((-F.col("n_points")).alias("points"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id"))
     groups = listed.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best")).where("group_size > 1")
-    groups = groups.select("recipe", "group_size", (-F.col("best.order")).alias("keep_id"), F.col("best.row_id").alias("keep_row"))
+    groups = groups.select("recipe", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row_id").alias("keep_row"))
     return skew_join(listed, groups, ["recipe"], "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -124,20 +124,22 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    decided = checkpointed(exact_duplicates(docs).select("doc_id", "kept"))
+    """The rows of ``docs`` that stay, with all their columns: those ``exact_duplicates`` keeps.
+
+    Of rows that repeat doc_id and text, one stays.
+    """
+    repeated, digest, stays = (unused(n, docs) for n in ("_repeated", "_digest", "_stays"))
+    decided = checkpointed(exact_duplicates(docs))
     ids = decided.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("kept").cast("int")).alias("stay"))
-    dropped = ids.where("stay < rows").withColumn("repeated", F.col("rows") > 1).select("doc_id", "repeated")
+    dropped = ids.where("stay < rows").select("doc_id", (F.col("rows") > 1).alias(repeated))
     joined = skew_join(docs, dropped, ["doc_id"], "left")
-    clean = joined.where("repeated is null").drop("repeated")
+    clean = joined.where(F.col(repeated).isNull()).drop(repeated)
     if ids.where("stay < rows and rows > 1").isEmpty():
         return clean
-    # Rows that share a doc_id: the decisions are redone among them alone, by their whole normalised text.
-    again = joined.where("repeated").drop("repeated")
-    digest = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", ""), 256)
-    kept = exact_duplicates(docs).where("kept").select("doc_id", "text_sha256").withColumn("stays", F.lit(True))
-    again = skew_join(again.withColumn("text_sha256", digest), kept, ["doc_id", "text_sha256"], "inner")
-    longest = again.withColumn("_points", F.length(F.coalesce("text", F.lit(""))))
-    order = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy(F.desc("_points")))
-    return clean.unionByName(longest.withColumn("_nth", order).where("_nth = 1").select(*docs.columns))
-
+    # Rows that share a doc_id: which of them stays is told by their normalised texts.
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    again = joined.where(F.col(repeated)).withColumn(digest, F.sha2(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", ""), 256))
+    kept = decided.where("kept").select("doc_id", F.col("text_sha256").alias(digest)).distinct().withColumn(stays, F.lit(True))
+    again = skew_join(again, kept, ["doc_id", digest], "inner")
+    best = F.max_by(F.struct(*docs.columns), F.struct(F.length(text), text))
+    return clean.unionByName(again.groupBy("doc_id", digest).agg(best.alias(stays)).select(f"{stays}.*"))
