@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import checkpointed, small
+from quillspark.llm.common import checkpointed, skew_join, small
 
 #: Labelled rows that the classifier is fitted on, at most: those of the smallest hashes.
 SAMPLE = 20_000
@@ -31,7 +31,6 @@ SAMPLE = 20_000
 BEGINNINGS = (3, 4, 5, 6, 7)
 LEAST_TOXIC = 4
 TELLING = 1.0
-MOST_FEATURES = 50_000
 CACHED_WORDS = 150_000
 
 # Characters and the letters they stand for in leetspeak.
@@ -48,7 +47,6 @@ CLASSES = len(_LETTERS) + 1  # 0: whatever is no letter
 _SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_*]\S){3,}(?!\S)")
 _DRAWN_OUT = re.compile(r"(.)\1\1")
 _EDGE = string.punctuation + "¡¿«»…"
-PIECE = 64  # characters of a word decoded at once
 
 
 # --- the character language model -----------------------------------------------------------------
@@ -109,26 +107,37 @@ def arcs(word: str) -> list[tuple[int, int, str, float]]:
 
 
 def restore(word: str, model: np.ndarray) -> str:
-    """The likeliest letters behind a lower-case word: Viterbi search over its lattice, states being the last two letters."""
-    if len(word) > PIECE:
-        return "".join(restore(word[k : k + PIECE], model) for k in range(0, len(word), PIECE))
+    """The likeliest letters behind a lower-case word: Viterbi search over its lattice, states being the last two letters.
+
+    Of equally likely readings the first by the alphabet wins.  Time and memory grow with
+    the length of the word alone.
+    """
     leaving: dict[int, list] = {}
-    for a in arcs(word):
-        leaving.setdefault(a[0], []).append(a)
-    best: list[dict] = [{} for _ in range(len(word) + 1)]
-    best[0][(0, 0)] = (0.0, "")
+    for start, to, letters, cost in arcs(word):
+        leaving.setdefault(start, []).append((to, letters, cost))
+    best: dict[int, dict] = {0: {(0, 0): (0.0, None)}}  # at each place, of each state: its score, and (the entry before, letters)
     for at in range(len(word)):
-        for (a, b), (score, text) in best[at].items():
-            for _, to, letters, cost in leaving.get(at, ()):
-                x, y, s = a, b, score + cost
+        for (a, b), entry in best.pop(at, {}).items():
+            for to, letters, cost in leaving.get(at, ()):
+                x, y, s = a, b, entry[0] + cost
                 for letter in letters:
                     k = _NUMBER[letter]
                     s += float(model[x, y, k])
                     x, y = y, k
-                if s > best[to].get((x, y), (-math.inf,))[0]:
-                    best[to][(x, y)] = (s, text + letters)
-    ends = [(s + float(model[a, b, 0]), t) for (a, b), (s, t) in best[len(word)].items()]
-    return max(ends)[1] if ends else ""
+                states = best.setdefault(to, {})
+                if s > states.get((x, y), (-math.inf,))[0]:
+                    states[x, y] = (s, (entry, letters) if letters else entry[1])
+    ends = [(s + float(model[a, b, 0]), before) for (a, b), (s, before) in best.get(len(word), {}).items()]
+    top = max((s for s, _ in ends), default=0.0)
+    return min((_read(before) for s, before in ends if s == top), default="")
+
+
+def _read(before: tuple | None) -> str:
+    letters = []
+    while before is not None:
+        letters.append(before[1])
+        before = before[0][1]
+    return "".join(reversed(letters))
 
 
 def restorer(model: np.ndarray) -> Callable[[str], str]:
@@ -186,32 +195,33 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return rows.join(first, ["mark", "toxic", "doc_id"], "left_semi").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int"))
 
 
-def _counted(rows: DataFrame, model: np.ndarray, wanted: set[str] | None) -> DataFrame:
+def _counted(rows: DataFrame, model: np.ndarray) -> DataFrame:
+    """feature, t, c: in how many toxic and how many clean texts of ``rows`` each feature is."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, seen = lru_cache(CACHED_WORDS)(restorer(model)), Counter()
+        read, seen = lru_cache(CACHED_WORDS)(restorer(model)), (Counter(), Counter())
         for batch in small(batches):
-            for text in batch.column("text").to_pylist():
-                found = {f for w in words_of(text) for f in features(read(w))}
-                seen.update(found if wanted is None else found & wanted)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["feature", "n"])
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                seen[toxic].update({f for w in words_of(text) for f in features(read(w))})
+        found = list(seen[0] | seen[1])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array([seen[k][f] for f in found], pa.int64()) for k in (1, 0))], ["feature", "t", "c"])
 
-    return rows.select("text").mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    counted = rows.select("text", "toxic").mapInArrow(count, "feature string, t long, c long")
+    return counted.groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
 
 
 def telling_features(rows: DataFrame, model: np.ndarray) -> dict[str, float]:
-    """Feature: how far, at the least, the odds of a toxic text rise with it (a logarithm). Bounded by the sample."""
+    """Feature: how far, at the least, the odds of a toxic text rise with it (a logarithm).
+
+    All features that occur in LEAST_TOXIC toxic texts are weighed; the sample of labelled
+    rows bounds their number.
+    """
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    often = _counted(rows.where("toxic = 1"), model, None).where(F.col("n") >= LEAST_TOXIC).orderBy(F.desc("n"), "feature").limit(MOST_FEATURES)
-    found = {r["feature"]: r["n"] for r in often.collect()}
-    also = {r["feature"]: r["n"] for r in _counted(rows.where("toxic = 0"), model, set(found)).collect()} if found else {}
-    out = {}
-    for f, t in found.items():
-        c = also.get(f, 0)
-        odds = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
-        if (least := odds - 1.3 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))) > TELLING:
-            out[f] = least
-    return out
+    t, c = F.col("t") + 0.5, F.col("c") + 0.5
+    odds = F.log(t / (toxic + 1)) - F.log(c / (clean + 1))
+    weighed = _counted(rows, model).where(F.col("t") >= LEAST_TOXIC).select("feature", (odds - 1.3 * F.sqrt(1 / t + 1 / c)).alias("least"))
+    return {r["feature"]: r["least"] for r in weighed.where(F.col("least") > TELLING).collect()}
 
 
 def profiler(told: dict[str, float], model: np.ndarray) -> Callable[[str], tuple[float, float, float, float]]:
@@ -265,7 +275,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     ``labels`` (doc_id, toxic) are learned from outside the fold of crc32(doc_id) mod 5 = 0 only,
     on at most ``sample`` rows; the language model counts every text.  Null texts are empty, and
     empty texts get the score of a text without telling words; without labels of both kinds
-    the score is the share of toxic labels.  Other columns are ignored.
+    the score is the share of toxic labels.  Texts and words are read whole, however long;
+    repeated rows get equal scores; a doc_id labelled twice counts as toxic if either label
+    says so; other columns are ignored; an empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = checkpointed(training_rows(docs, labels, sample))
@@ -285,8 +297,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    from quillspark.llm.common import skew_join
-
+    """The rows of ``docs`` that are not predicted toxic, with all their columns; rows that share a doc_id go together."""
     toxic = score_toxicity(docs, labels).where("predicted = 1").select("doc_id").distinct()
     return skew_join(docs, toxic, ["doc_id"], "left_anti")
