@@ -34,6 +34,10 @@ GENERIC_WORDS = tuple(
 CONTEXT_STOP_WORDS = tuple(
     "a an and are as at be been being by do does for from had has have he her here his how i if in into is it its of on or our she that the their them there these they this those to was we were what when where which who why with you your".split()
 )
+TITLES = tuple("duke duchess king queen prince princess emperor empress president saint sir dame dr doctor professor".split()) + ("grand duke", "grand duchess")
+#: Words of a question that its search query leaves out: all of them, or only those that open a question.
+UNSEARCHED = tuple("what which who whom whose where when why how am are can could did do does is was were would this that".split())
+OPENERS = tuple("what which who whom whose where when why how".split())
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 WORD = r"[\p{L}\p{N}]+"
 JOINED_WORD = rf"{WORD}(?:['’-]{WORD})*"
@@ -128,10 +132,15 @@ def singular_words(tokens: Column) -> Column:
 
 
 def person_core(text: Column) -> Column:
-    """A normalised name without a leading title and a trailing "of ..."."""
-    titles = "grand duke|grand duchess|duke|duchess|king|queen|prince|princess|emperor|empress|president|saint|sir|dame|dr|doctor|professor"
-    bare = F.trim(F.regexp_replace(text, f"^(?:{titles}) ", ""))
-    return F.regexp_replace(bare, r"\s+of\s+(?:the\s+)?[a-z][a-z\s-]+$", "")
+    """A normalised name without a leading title and without the plain words from "of" on that end it."""
+    tokens = F.filter(F.split(text, " "), lambda t: t != "")
+    first, two = F.get(tokens, F.lit(0)), F.array_join(F.slice(tokens, 1, 2), " ")
+    title = F.when(two.isin(*TITLES), 2).when(first.isin(*TITLES), 1).otherwise(0)
+    name = F.when(F.size(tokens) > title, F.slice(tokens, title + 1, F.size(tokens))).otherwise(tokens)
+    plain_after = lambda i: F.forall(F.slice(name, i + 2, F.size(name)), lambda t: t.rlike("^[a-z-]+$"))
+    places = F.when(F.size(name) > 2, F.sequence(F.lit(1), F.size(name) - 2)).otherwise(F.array().cast("array<int>"))
+    origin = F.get(F.filter(places, lambda i: (F.get(name, i) == "of") & plain_after(i)), F.lit(0))
+    return F.array_join(F.when(origin.isNotNull(), F.slice(name, 1, origin)).otherwise(name), " ")
 
 
 def search_title(title: Column) -> Column:
@@ -141,14 +150,11 @@ def search_title(title: Column) -> Column:
 
 
 def bootstrap_query(question: Column, most: int = 32) -> Column:
-    """A search query from a question: its words once each, function words dropped where three remain."""
-    dropped = tuple("what which who whom whose where when why how am are can could did do does is was were would this that".split())
-    leading = tuple("what which who whom whose where when why how".split())
-    plain = F.regexp_replace(question, r"<[^>]*>", " ")
-    tokens = F.array_distinct(F.transform(query_words(plain), lambda t: F.lower(t)))
-    short, long = without(tokens, dropped), without(tokens, leading)
-    padded = F.when(F.size(long) < 3, F.slice(F.concat(long, F.array(F.lit("factual"), F.lit("information"))), 1, 3)).otherwise(long)
-    return F.array_join(F.slice(F.when(F.size(short) >= 3, short).otherwise(padded), 1, most), " ")
+    """A search query from a question: its distinct words, without the unsearched ones if three remain, else without openers and filled up to three."""
+    spoken = F.array_distinct(all_matches(F.lower(F.regexp_replace(question, r"<[^>]*>", " ")), QUERY_WORD))
+    few, more = without(spoken, UNSEARCHED), without(spoken, OPENERS)
+    filled = F.concat(more, F.slice(F.array(F.lit("factual"), F.lit("information")), F.lit(1), F.greatest(F.lit(0), 3 - F.size(more))))
+    return F.array_join(F.slice(F.when(F.size(few) > 2, few).otherwise(filled), 1, most), " ")
 
 
 def query_faults(query: Column, least: int = 3, most: int = 32) -> Column:

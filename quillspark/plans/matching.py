@@ -89,15 +89,18 @@ def mat04_mat05_num01_num08_answer_equivalence(table: Table) -> DataFrame:
     p = table("part")
     said = F.when(F.col("p_partkey") % 3 == 0, F.concat((F.col("p_size") * 1000).cast("string"), F.lit(" grams"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("the "), F.col("p_name"))).otherwise(F.lit("free"))
     gold = F.when(F.col("p_partkey") % 3 == 0, F.array(F.concat(F.col("p_size").cast("string"), F.lit(" kg")))).when(F.col("p_partkey") % 3 == 1, F.array("p_name")).otherwise(F.array(F.lit("no cost")))
-    return p.select("p_partkey", E.evaluated(said, gold, F.lit("how much")).alias("e")).select("p_partkey", "e.*")
+    read = E.with_readings(p.select("p_partkey", said.alias("said"), gold.alias("gold")), F.col("said"), F.col("gold"))
+    judged = E.judged(read, F.lit("how much"), "e").withColumn("signatures", F.array_join(E.signatures(F.col("_said")), "|"))
+    return judged.select("p_partkey", "e.*", "signatures")
 
 
 @query()
 def mat06_mat07_mat08_support_match(table: Table) -> DataFrame:
-    m = E.supported(F.array(F.array_join(F.slice(T.words(F.col("a")), 1, 3), " ")), F.col("t"), F.lit(""))
-    return _pairs(table).select("item_id", m.alias("m")).select("item_id", "m.match_type", F.round("m.score", 9).alias("score"))
+    read = E.with_readings(_pairs(table), F.col("t"), F.transform(F.sentences("a"), lambda words: F.array_join(words, " ")))
+    m = E.supported(F.col("_said"), F.col("_aliases"), F.lit(""))
+    return read.select("item_id", m.alias("m")).select("item_id", "m.match_type", F.round("m.score", 9).alias("score"))
 
 
 @query()
 def str16_str19_str20_num02_num07_quantities(table: Table) -> DataFrame:
-    return table("documents").select("doc_id", E.quantities(F.col("text")).alias("quantities"))
+    return table("documents").select("doc_id", E.read(F.col("text"))["quantities"].alias("quantities"))

@@ -26,18 +26,45 @@ def test_action_errors(spark):
     assert found == cases
 
 
-def test_equivalence():
-    assert E.numbers_in_digits("two hundred and five people") == "205 people"
-    assert E.evaluate("5 km", ["5000 meters"], "how long")["unit"]
-    assert E.evaluate("1,200", ["1200"], "how many")["exact"]
-    assert E.evaluate("$3 million", ["3000000 dollars"], "cost")["unit"]
-    assert E.evaluate("9 am", ["09:00"], "when does it open")["numeric"]
-    assert E.evaluate("free", ["no cost"], "price")["semantic"]
-    assert E.evaluate("Queen Anne Stuart", ["Anne Stuart"], "who")["alias"]
-    assert not E.evaluate("7 kg", ["8 kg"], "weight")["strict"]
-    assert E.evaluate(None, [], "")["f1"] == 0.0
-    assert E.support(["blue whales"], "the blue whale", "")["match_type"] == "alias_equivalent"
-    assert E.support([], "", "")["match_type"] == "none"
+def test_numbers_and_times():
+    assert " ".join(E.in_digits("two hundred and five people".split())) == "205 people"
+    assert E.spelled_out("three hundred twenty thousand four hundred six".split()) == 320_406
+    assert E.spelled_out(["thousand"]) == 1000 and E.spelled_out("one million two".split()) == 1_000_002
+    for text, minutes in {"9 am": 540, "12:30 a.m.": 30, "at 18:05": 1085, "12 pm": 720, "25:00": None, "in 1998": None, "13 pm": None}.items():
+        assert E.reading(text)["clock"] == minutes, text
+    assert [(q["dimension"], round(q["base"], 9)) for q in E.reading("5 km, 32 °F, 3 million dollars and $2k")["quantities"]] == [("length", 5000.0), ("temperature", 0.0), ("currency:usd", 3e6), (None, 2000.0)]
+    assert (E.reading("ten to 12")["low"], E.reading("ten to 12")["high"]) == (10.0, 12.0)
+
+
+def test_equivalence(spark):
+    cases = [
+        ("5 km", ["5000 meters"], "how long", "unit"), ("1,200", ["1200"], "how many", "exact"), ("$3 million", ["3000000 dollars"], "cost", "unit"),
+        ("9 am", ["09:00"], "when does it open", "numeric"), ("free", ["no cost"], "price", "semantic"), ("Queen Anne Stuart", ["Anne Stuart"], "who", "alias"),
+        ("Anne Stuart of England", ["Anne Stuart"], "who", "alias"), ("50 percent", ["0.5 %", "50%"], "how much", "unit"), ("5-7", ["five to 7"], "how many", "numeric"),
+        ("7 kg", ["8 kg"], "weight", None), ("$5 for 3 kg", ["$6 for 3 kg"], "cost", None), ("twenty", ["21"], "how many", None), (None, [], "", None), ("x", [None], "", None),
+    ]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, said string, aliases array<string>, question string, way string")
+    ways = ("exact", "numeric", "unit", "alias", "semantic")
+    judged = E.judged(E.with_readings(df, F.col("said"), F.col("aliases")), F.col("question"), "e").select("k", "way", "e")
+    for r in judged.collect():
+        if r["way"]:
+            assert r["e"][r["way"]] and r["e"]["f1"] == 1.0, r
+        else:
+            assert not any(r["e"][w] for w in ways) and not r["e"]["strict"], r
+    score = judged.select("k", E.answer_score(F.col("e")).alias("s"))
+    assert {r["k"]: r["s"] for r in score.where("k in (0, 12)").collect()} == {0: 1.0, 12: 0.0}
+
+
+def test_support(spark):
+    cases = [
+        (["blue whales"], "the blue whale", "", "alias_equivalent"), ([], "", "", "none"), (["Anne Stuart"], "So said Anne Stuart.", "", "normalized_exact"),
+        (["King Louis Philippe of France"], "it was Louis Philippe who", "", "alias_equivalent"), (["2 km"], "about 2000 metres away", "", "unit_equivalent"),
+        (["large brown river dog"], "a brown dog", "", "core_token_recall"), (["whale"], "dolphin", "", "none"), ([" ", None, "cat"], "a cat", "", "normalized_exact"),
+    ]
+    df = spark.createDataFrame(cases, "aliases array<string>, said string, question string, way string")
+    for r in E.with_readings(df, F.col("said"), F.col("aliases")).select("way", E.supported(F.col("_said"), F.col("_aliases"), F.col("question")).alias("m")).collect():
+        assert r["m"]["match_type"] == r["way"], r
+    assert ["length:2000"] in [r["s"] for r in df.select(E.signatures(E.read(F.col("said"))).alias("s")).collect()]
 
 
 def test_compaction():
