@@ -20,7 +20,8 @@ SAMPLE = 8192
 CENTRES, WIDTH = 16, 2  # a code of four bits for each two dimensions
 THRESHOLD = 0.2  # scores above this share of the norm are the ones that matter
 BLOCK, QUERY_BLOCK, TILE = 16_384, 4096, 256
-RERANK = 48  # a block's best by table sums, for each query
+LEAST_BLOCK, LEAST_BLOCKS = 512, 32  # small tables are cut into up to 32 blocks of 512 vectors at least
+RERANK = 48  # a block's best by table sums, for each query: these and all that tie with the last get exact products
 
 
 def parallel_weight(dim: int, threshold: float = THRESHOLD) -> float:
@@ -121,12 +122,12 @@ def best_of_block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, query_ids:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding of the rows that take part; a vec_id that repeats counts once."""
+    """vec_id, embedding of the rows that take part; a vec_id that repeats counts once, with the least of its vectors."""
     x = F.col("embedding")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     some = F.exists(x, lambda v: v != 0)
     kept = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull()).where(fine & some)
-    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<double>").alias("embedding")).dropDuplicates(["vec_id"])
+    return kept.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(x.cast("array<double>")).alias("embedding"))
 
 
 def search(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20) -> DataFrame:
@@ -134,15 +135,20 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20) -
 
     ``vectors`` has vec_id and embedding; rows for which ``is_query`` holds are queries, and
     every row but the query's own is a candidate.  Vectors that are null, zero or hold null
-    or non-finite numbers take no part, nor do those of another dimension than most have.
-    Each pair of a block of vectors and a block of queries is one bounded task.
+    or non-finite numbers take no part, nor do those of another dimension than most have (of
+    equally frequent ones, the smaller).  A vec_id that repeats is one candidate.  Where all
+    candidates tie, those of smaller vec_id come first; other columns are ignored; an empty
+    table gives no rows.  Blocks are of hashes of vec_id and their number depends on the
+    rows alone, so every cluster finds the same.  Each pair of a block of vectors and a
+    block of queries is one bounded task.
     """
     schema = "query_id long, rank int, vec_id long, score double"
     spark = vectors.sparkSession
-    usual = usable(vectors).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    able = checkpointed(usable(vectors))
+    usual = able.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if usual is None:
         return spark.createDataFrame([], schema)
-    rows = checkpointed(usable(vectors).where(F.size("embedding") == usual["d"]))
+    rows = able.where(F.size("embedding") == usual["d"])
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
     books = fit_codebooks(np.stack(sample["embedding"].to_numpy()))
     weight = parallel_weight(usual["d"])
@@ -155,7 +161,7 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20) -
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flat, pa.binary())], ["vec_id", "embedding", "codes"])
 
     count, asked = rows.count(), rows.where(is_query).count()
-    blocks = max(-(-count // BLOCK), min(-(-count // 512), 4 * spark.sparkContext.defaultParallelism))
+    blocks = max(-(-count // BLOCK), min(-(-count // LEAST_BLOCK), LEAST_BLOCKS))
     query_blocks = max(1, -(-asked // QUERY_BLOCK))
     everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     index = rows.mapInArrow(coded, "vec_id long, embedding array<double>, codes binary")
