@@ -2,44 +2,113 @@
 
 Records are hashed, and ranges of offsets of an archive form a tree: a leaf hashes the
 records that start within its range, in order, a higher node the sixteen ranges below it.
-Replicas are compared from the roots down, and only below nodes that differ.
+Replicas are compared from the roots down, and only below nodes that differ.  Each replica
+has the offsets of its own bytes: what stands behind a lost byte has moved, and is told
+apart from what is corrupt.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gzip
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import checkpointed
+from quillspark.llm.common import checkpointed, skew_join, unused
 
 LEAF_BYTES, FANOUT = 65_536, 16
+END = "\r\n\r\n"
+_LENGTH = re.compile(rb"^content-length:[ \t]*(\d+)", re.I | re.M)
+_ID = re.compile(rb"^warc-record-id:[ \t]*<?(?:urn:record:)?([^>\r\n]*)", re.I | re.M)
+
+
+# --- archives and their records -------------------------------------------------------------------
 
 
 def warc_record(record_id: Column, uri: Column, payload: Column) -> Column:
     """The text of a WARC resource record; null parts are empty."""
     body = F.coalesce(payload, F.lit(""))
     head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:record:"), record_id.cast("string"),
+        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:record:"), F.coalesce(record_id.cast("string"), F.lit("")),
         F.lit(">\r\nWARC-Target-URI: "), F.coalesce(uri, F.lit("")),
-        F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
+        F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit(END),
     )
-    return F.concat(head, body, F.lit("\r\n\r\n"))
+    return F.concat(head, body, F.lit(END))
+
+
+def write_archives(records: DataFrame, folder: str, compression: str = "none") -> None:
+    """Writes ``records`` (archive, nth, record) as one WARC file an archive, in the order of nth.
+
+    A record is the text of ``warc_record``.  An archive is written by one task: it should
+    be of the usual size of WARC files, a gigabyte at most.
+    """
+    bare = F.expr(f"left(record, length(record) - {len(END)})")  # the writer ends each row with the end of a record
+    rows = records.repartition("archive").sortWithinPartitions("archive", "nth").select("archive", bare.alias("value"))
+    rows.write.partitionBy("archive").option("lineSep", END).option("compression", compression).text(folder)
+
+
+def records_in(content: bytes) -> Iterator[tuple[int, int, str | None, str]]:
+    """(offset, length, record id, digest) of the records of a WARC file.
+
+    A record goes as far as its Content-Length says, if another or the end follows there;
+    else, as in a damaged file, to where the next one starts.
+    """
+    at, content = 0, gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+    while at < len(content):
+        head = content.find(END.encode(), at)
+        said = _LENGTH.search(content, at, head) if head >= 0 else None
+        end = head + 2 * len(END) + int(said[1]) if said else -1
+        if end != len(content) and content[end : end + 5] != b"WARC/":
+            following = content.find(b"WARC/1", at + 5)
+            end = following if following >= 0 else len(content)
+        name = _ID.search(content, at, max(at, head if head >= 0 else end))
+        yield at, end - at, name[1].decode("utf-8", "replace") if name else None, hashlib.sha256(content[at:end]).hexdigest()
+        at = end
+
+
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """archive, offset, length, record_id, digest of the WARC files under ``folder``, plain or gzipped as a whole; a task holds one file."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive, content in zip(batch.column("archive").to_pylist(), batch.column("content"), strict=True):
+                found = list(zip(*records_in(content.as_py()), strict=True)) or [(), (), (), ()]
+                types = (pa.int64(), pa.int64(), pa.string(), pa.string())
+                columns = [pa.array(c, t) for c, t in zip(found, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([archive] * len(found[0]), pa.string()), *columns], ["archive", "offset", "length", "record_id", "digest"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    name = F.coalesce(F.nullif(F.regexp_extract("path", "archive=([^/]+)/", 1), F.lit("")), F.element_at(F.split("path", "/"), -1))
+    return files.select(name.alias("archive"), "content").mapInArrow(split, "archive string, offset long, length long, record_id string, digest string")
+
+
+# --- trees ----------------------------------------------------------------------------------------
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """archive, level 0, range, hash of ``records`` (archive, offset, length, digest)."""
-    ordered = F.array_sort(F.collect_list(F.struct("offset", "length", "digest")))
-    text = F.array_join(F.transform(ordered, lambda r: F.concat_ws(":", r["offset"], r["length"], r["digest"])), "\n")
-    keyed = records.groupBy("archive", F.floor(F.col("offset") / LEAF_BYTES).alias("range"))  # records of 64 KB at most
-    return keyed.agg(F.sha2(text, 256).alias("hash")).select("archive", F.lit(0).alias("level"), "range", "hash")
+    """archive, level 0, range, hash of ``records`` (archive, offset, length, digest); no hash where an offset or digest is null.
+
+    Of records repeated whole, the leaf holds one and their number, so it is never larger
+    than what 64 KB can start.
+    """
+    each = F.struct("offset", F.coalesce("length", F.lit(-1).cast("long")).alias("length"), "digest")
+    text = F.array_join(F.transform(F.array_sort(F.collect_set(F.when(F.col("offset").isNotNull(), each))), lambda r: F.concat_ws(":", r["offset"], r["length"], r["digest"])), "\n")
+    keyed = records.groupBy("archive", F.floor(F.col("offset") / LEAF_BYTES).alias("range"))
+    unsure = F.bool_or(F.col("offset").isNull() | F.col("digest").isNull())
+    node = keyed.agg(F.when(~unsure, F.sha2(F.concat_ws("\n", F.count(F.lit(1)).cast("string"), text), 256)).alias("hash"))
+    return node.select("archive", F.lit(0).alias("level"), "range", "hash")
 
 
 def above(nodes: DataFrame, level: int) -> DataFrame:
-    """The level over ``nodes``: each node hashes up to FANOUT neighbouring ranges in order."""
+    """The level over ``nodes``: each node hashes up to FANOUT neighbouring ranges in order; none has a hash above one that has none."""
     children = F.array_sort(F.collect_list(F.struct("range", "hash")))
     text = F.array_join(F.transform(children, lambda c: F.concat_ws(":", c["range"], c["hash"])), "\n")
     keyed = nodes.groupBy("archive", F.floor(F.col("range") / FANOUT).alias("range"))
-    return keyed.agg(F.sha2(text, 256).alias("hash")).select("archive", F.lit(level).alias("level"), "range", "hash")
+    return keyed.agg(F.when(F.count("hash") == F.count(F.lit(1)), F.sha2(text, 256)).alias("hash")).select("archive", F.lit(level).alias("level"), "range", "hash")
 
 
 def tree(records: DataFrame, levels: int) -> list[DataFrame]:
@@ -59,36 +128,54 @@ def levels_for(longest: int) -> int:
 
 
 def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
-    both = a.alias("a").join(b.alias("b"), ["archive", "range"], "full")
-    return both.where(~F.col("a.hash").eqNullSafe(F.col("b.hash"))).select("archive", "range")
-
+    """archive, range of the nodes that are not known to be equal."""
+    other = b.select("archive", "range", F.col("hash").alias("other"))
+    both = skew_join(a.select("archive", "range", "hash"), other, ["archive", "range"], "left").where(~F.coalesce(F.col("hash") == F.col("other"), F.lit(False)))
+    more = skew_join(other, a.select("archive", "range"), ["archive", "range"], "left_anti")
+    return both.select("archive", "range").unionByName(more.select("archive", "range"))
 
-def audit(left: DataFrame, right: DataFrame) -> DataFrame:
-    """archive, offset, status of each record that differs between two replicas (archive, offset, length, digest).
 
-    Status is "corrupt" (digest or length differ), "missing" (only in ``left``) or "extra"
-    (only in ``right``).  Equal replicas give no rows, as do empty ones.  Of records that
-    share archive and offset, all are compared together.
-    """
-    longest = max(r.agg(F.max("offset")).first()[0] or 0 for r in (left, right))
-    levels = levels_for(longest)
+def _suspects(left: DataFrame, right: DataFrame) -> DataFrame:
+    """archive, range of the leaves that differ, found by descent from the roots."""
+    levels = levels_for(max(r.agg(F.max("offset")).first()[0] or 0 for r in (left, right)))
     a, b = tree(left, levels), tree(right, levels)
-    suspects = checkpointed(_differing(a[-1], b[-1]))
+    found = checkpointed(_differing(a[-1], b[-1]))
     for level in range(levels - 2, -1, -1):
-        if suspects.isEmpty():
+        if found.isEmpty():
             break
-        parents = suspects.withColumnRenamed("range", "parent")
-        under = [t[level].withColumn("parent", F.floor(F.col("range") / FANOUT)).join(parents, ["archive", "parent"], "left_semi") for t in (a, b)]
-        suspects = checkpointed(_differing(*under))
+        parents = found.withColumnRenamed("range", "parent")
+        under = [skew_join(t[level].withColumn("parent", F.floor(F.col("range") / FANOUT)), parents, ["archive", "parent"], "left_semi") for t in (a, b)]
+        found = checkpointed(_differing(*under))
+    return found
+
+
+def audit(left: DataFrame, right: DataFrame) -> DataFrame:
+    """archive, record_id, offset, length, digest, status of the records that differ between two replicas (the first five columns).
+
+    Records are known by archive and record_id, null being a name like any other.  Status is
+    "corrupt" (``right`` has the record, but not its bytes; a null digest is never known to
+    be the same), "moved" (it has the bytes elsewhere), "missing" (it lacks the record) or
+    "extra" (only ``right`` has it; its own offset).  Equal replicas give no rows, as do empty
+    ones; repeated rows are one; of records that share a name, each is held against all.
+    """
+    suspects = _suspects(left, right)
+    name, body = ["archive", "record_id"], ["length", "digest"]
     inside = []
     for records in (left, right):
-        within = records.withColumn("range", F.floor(F.col("offset") / LEAF_BYTES)).join(suspects, ["archive", "range"], "left_semi")
-        inside.append(within.groupBy("archive", "offset").agg(F.array_sort(F.collect_list(F.struct("length", "digest"))).alias("what")))
-    both = inside[0].alias("a").join(inside[1].alias("b"), ["archive", "offset"], "full")
-    status = F.when(F.col("b.what").isNull(), "missing").when(F.col("a.what").isNull(), "extra").when(F.col("a.what") != F.col("b.what"), "corrupt")
-    return both.select("archive", "offset", status.alias("status")).where("status is not null")
+        keyed = records.select(*name, "offset", *body).distinct().withColumn("range", F.floor(F.col("offset") / LEAF_BYTES))
+        inside.append(checkpointed(skew_join(keyed, suspects, ["archive", "range"], "left_semi").drop("range")))
+    ours, theirs = inside
+    seen = ours
+    for flag, keys in (("_same", [*name, "offset", *body]), ("_elsewhere", [*name, *body]), ("_known", name)):
+        seen = skew_join(seen, theirs.select(*keys).distinct().withColumn(flag, F.lit(True)), keys, "left")
+    sure = F.col("digest").isNotNull()
+    status = F.when(F.col("_known").isNull(), "missing").when(sure & F.col("_same"), "intact").when(sure & F.col("_elsewhere"), "moved").otherwise("corrupt")
+    extra = skew_join(theirs, ours.select(*name).distinct(), name, "left_anti").withColumn("status", F.lit("extra"))
+    return seen.select(*name, "offset", *body, status.alias("status")).where("status <> 'intact'").unionByName(extra)
 
 
 def fixity(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Each record of ``left`` (with all its columns) and its status: intact, or as ``audit`` says."""
-    return left.join(audit(left, right).where("status <> 'extra'"), ["archive", "offset"], "left").withColumn("status", F.coalesce("status", F.lit("intact")))
+    """Each record of ``left`` (with all its columns) and its status: intact, or as ``audit`` says; a column status of its own is replaced."""
+    keys, found = ["archive", "record_id", "offset", "length", "digest"], unused("_found", left)
+    told = audit(left, right).where("status <> 'extra'").withColumnRenamed("status", found)
+    return skew_join(left, told, keys, "left").withColumn("status", F.coalesce(found, F.lit("intact"))).drop(found)

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small
+from quillspark.llm.common import small, written
 
-# Given names by gender and script; a surrogate name comes from the same list.
+# Given names by gender and script, surnames by script; a surrogate name comes from the same list.
 GIVEN = {
     ("f", "latin"): "Alice Anna Barbara Carla Charlotte Clara Diana Elena Emma Eva Fatima Hannah Helen Ingrid Irene Isabella Jane Julia Karen Laura Linda Lucia Maria Marta Mary Nina Olivia Paula Rosa Sara Sofia Susan Teresa Ursula Valentina Vera".split(),
     ("m", "latin"): "Adam Albert Alexander Antonio Bernard Carlos Charles Daniel David Diego Edward Felix Frank George Hans Henry Hugo Ivan James Jan John Jorge Juan Karl Lucas Luis Marco Martin Michael Miguel Oscar Otto Pablo Paul Peter Robert Thomas Victor William".split(),
@@ -30,6 +30,12 @@ GIVEN = {
     ("f", "greek"): "Άννα Ελένη Ειρήνη Κατερίνα Μαρία Σοφία".split(),
     ("m", "greek"): "Γιώργος Δημήτρης Ιωάννης Κώστας Νίκος Πέτρος".split(),
 }
+SURNAMES = {
+    "latin": "Adams Allen Anderson Baker Becker Bennett Brown Campbell Carter Clark Cooper Davis Diaz Edwards Evans Fischer Garcia Gomez Gonzalez Green Hall Harris Hernandez Hill Hoffmann Hughes Jackson Johnson Jones King Klein Koch Lee Lewis Lopez Martinez Meyer Miller Mitchell Moore Morgan Morris Muller Murphy Nelson Parker Perez Phillips Ramirez Reed Richter Roberts Robinson Rodriguez Rogers Sanchez Schmidt Schneider Schulz Scott Smith Stewart Taylor Thompson Torres Turner Wagner Walker Weber White Williams Wilson Wolf Wood Wright Young Zimmermann".split(),
+    "greek": "Αθανασίου Βασιλείου Γεωργίου Δημητρίου Κωνσταντίνου Νικολάου Παπαδόπουλος Παπαδοπούλου Χρήστου".split(),
+}
+#: Endings of surnames that tell gender or origin; a surname keeps its own.
+ENDINGS = tuple("ская ский цкая цкий ова ева ёва ина ына ов ев ёв ин ын енко ук юк ян skaya skaia ska sky skiy ski ova eva ina ov ev in son sen mann berg stein ez opoulos opoulou".split())
 TITLES = {"Mr": "m", "Herr": "m", "Señor": "m", "Monsieur": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Señora": "f", "Madame": "f"}
 #: Alphabets that a letter stays in.
 ALPHABETS = ("aeiouy", "bcdfghjklmnpqrstvwxz", "àáâäèéêëìíîïòóôöùúûü", "çñß", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "0123456789")
@@ -37,12 +43,18 @@ SIGNS = "._%+-"  # what the local part of an address may have besides letters an
 _PLACE = {c: (a, a.index(c)) for a in ALPHABETS for c in a}
 _UPPER = {c: "ẞ" if c == "ß" else c.upper() for c in _PLACE}
 _LOWER = {u: c for c, u in _UPPER.items()}  # only what the other leads back to, so that no two letters become one
-_NAMED = {name: (key, names.index(name)) for key, names in GIVEN.items() for name in names}
+_LISTS = {**GIVEN, **{("surname", script): names for script, names in SURNAMES.items()}}
+#: Lower-case given names and surnames; no word is both.
+_NAMED = {name.lower(): (key, k) for key, names in GIVEN.items() for k, name in enumerate(names)}
+_SURNAMED = {name.lower(): (("surname", script), k) for script, names in SURNAMES.items() for k, name in enumerate(names)}
+_TITLED = {t.lower(): g for t, g in TITLES.items()}
+_CALLED = [w for name in sorted({n for names in GIVEN.values() for n in names}, key=lambda n: (-len(n), n)) for w in dict.fromkeys((name, name.upper()))]
+_ADDRESSED = [w for t in TITLES for w in dict.fromkeys((t, t.upper()))]
 
 #: Words within a name that stay as they are.
 PARTICLES = "al bin da dal de del della den der di do dos du el la las le los ten ter van von zu zum zur".split()
 _PART = r"(?:[^\W\d_]{1,2}['’](?=[^\W\d_]{2}))?[^\W\d_]{2,}"
-_NAME = rf"(?:[^\W\d_]\. )*(?:(?:{'|'.join(PARTICLES)}) )*{_PART}(?:-{_PART})*"
+_NAME = rf"(?:[^\W\d_]\. )*(?:(?:{'|'.join([*PARTICLES, *map(str.upper, PARTICLES)])}) )*{_PART}(?:-{_PART})*"
 PATTERNS = (
     ("email", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
@@ -50,11 +62,11 @@ PATTERNS = (
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"),
     ("card", r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])"),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"),
-    ("title", rf"\b(?:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME})?"),
-    ("name", rf"\b(?:{'|'.join(sorted(_NAMED, key=len, reverse=True))}) {_NAME}"),
+    ("title", rf"\b(?:{'|'.join(_ADDRESSED)})\.? {_NAME}(?: {_NAME})?"),
+    ("name", rf"\b(?:{'|'.join(_CALLED)}) {_NAME}"),
 )
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
-_HINT = re.compile(rf"[0-9@]|\b(?:{'|'.join([*TITLES, *sorted(_NAMED, key=len, reverse=True)])})\b")
+_HINT = re.compile(rf"[0-9@]|\b(?:{'|'.join([*_ADDRESSED, *_CALLED])})\b")
 
 
 # --- keyed permutations -----------------------------------------------------------------------------
@@ -167,26 +179,63 @@ def surrogate(kind: str, value: str, key: bytes) -> str:
         at = country.end() if country else 2
         return value[:at] + _refilled(value[at:], alike(re.sub(r"\D", "", value[at:]), key))
     if kind == "iban":
-        return value[:2] + alike(value[2:], key)
+        plain = value.replace(" ", "")
+        account = alike(plain[4:], hmac.digest(key, plain[:2].encode(), "sha256"))
+        new = iter(plain[:2] + _check_digits(plain, account) + account)
+        return "".join(c if c == " " else next(new) for c in value)
     if kind in ("title", "name"):
         words = value.split(" ")
-        return " ".join(w if k == 0 and w.rstrip(".") in TITLES else _name(w, key) for k, w in enumerate(words))
+        first = 1 if words[0].rstrip(".").lower() in _TITLED and len(words) > 1 else 0
+        return " ".join([*words[:first], *(_name(w, key) for w in words[first:])])
     if kind in ("phone", "ssn"):
         return _refilled(value, alike(re.sub(r"\D", "", value), key))
     return alike(value, key)
 
 
+def _check_digits(plain: str, account: str) -> str:
+    """The check digits of another account of the same country: right ones for right ones, and for the n-th wrong ones the n-th wrong ones."""
+    right = [f"{98 - int(''.join(str(int(c, 36)) for c in number + plain[:2] + '00')) % 97:02d}" for number in (plain[4:], account)]
+    if plain[2:4] == right[0]:
+        return right[1]
+    wrong = [[f"{k:02d}" for k in range(100) if f"{k:02d}" != r] for r in right]
+    return wrong[1][wrong[0].index(plain[2:4])]
+
+
+def _listed(word: str, known: dict[str, tuple], key: bytes) -> str:
+    (kind, script), at = known[word.lower()]
+    names = _LISTS[kind, script]
+    new = names[permuted(at, len(names), hmac.digest(key, f"{kind}{script}".encode(), "sha256"))]
+    return new.upper() if word.isupper() else new
+
+
+def _kept_apart(word: str) -> str:
+    """"particle" and "listed" for words that have no surrogate of letters, and so are none; else ""."""
+    low = word.lower()
+    if low in PARTICLES and (word == low or word.isupper()):
+        return "particle"
+    return "listed" if (low in _NAMED or low in _SURNAMED) and (word.isupper() or word == word.capitalize()) else ""
+
+
+def _ending(word: str) -> str:
+    low = word.lower()
+    return next((e for e in ENDINGS if low.endswith(e) and len(low) - len(e) > 1), "")
+
+
 def _name(word: str, key: bytes) -> str:
-    if word in _NAMED:
-        (gender, script), at = _NAMED[word]
-        names = GIVEN[gender, script]
-        return names[permuted(at, len(names), hmac.digest(key, f"{gender}{script}".encode(), "sha256"))]
-    if word in PARTICLES:
-        return word
-    new = alike(word, key)
-    while new in _NAMED or new in PARTICLES:  # on in the same cycle, so that no two words meet and listed names are left to listed names
-        new = alike(new, key)
-    return new
+    """The surrogate of a word of a name: upper or lower case, one word gets one surrogate.
+
+    Listed names go to names of their own list, if they are written as there or all in
+    capitals; other words to letters of the same kind before the same ending.
+    """
+    if kind := _kept_apart(word):
+        return word if kind == "particle" else _listed(word, _NAMED if word.lower() in _NAMED else _SURNAMED, key)
+    ending = _ending(word)
+    at = len(word) - len(ending)
+    within = hmac.digest(key, b"stem" + ending.encode(), "sha256")
+    new = alike(word[:at], within)
+    while _kept_apart(new + word[at:]) or _ending(new + word[at:]) != ending:  # on in the same cycle, so that no two words meet
+        new = alike(new, within)
+    return new + word[at:]
 
 
 def _signs(local: str, key: bytes) -> str:
@@ -207,7 +256,7 @@ def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
         kind, value = found.lastgroup, found[0]
         if kind in ("title", "name") and not value.split(" ")[-1][0].isupper():
             value = " ".join(value.split(" ")[:-1])
-            if kind == "name" or value.split(" ")[-1].rstrip(".") in TITLES or not value.split(" ")[-1][0].isupper():
+            if kind == "name" or value.split(" ")[-1].rstrip(".").lower() in _TITLED or not value.split(" ")[-1][0].isupper():
                 continue
         yield found.start(), found.start() + len(value), kind, value
 
@@ -262,10 +311,15 @@ def collisions(replaced: DataFrame) -> DataFrame:
     return met.where("n > 1 or bad").select("kind", "surrogate")
 
 
-def surrogates(docs: DataFrame, key: str = "quillspark", attempts: int = 4) -> DataFrame:
-    """``with_surrogates`` under a key that the collision check accepts: the first of ``attempts`` derived ones."""
+def surrogates(docs: DataFrame, key: str, attempts: int = 4) -> DataFrame:
+    """``with_surrogates`` under a key that the collision check accepts: the first of ``attempts`` derived ones.
+
+    ``key`` is a secret of the caller's: who knows it can lead surrogates back to values.
+    Texts are searched once and written to the shared folder; the check and the caller read
+    what was written.  Very long texts are read whole; repeated rows get equal surrogates.
+    """
     for attempt in range(attempts):
-        replaced = with_surrogates(docs, key if not attempt else f"{key}/{attempt}")
+        replaced = written(with_surrogates(docs, key if not attempt else f"{key}/{attempt}"))
         if collisions(replaced).isEmpty():
             return replaced
     raise ValueError("surrogates collide under every key tried")

@@ -33,7 +33,8 @@ def op2_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    replaced = surrogates(_table(spark, sf_dir, "documents"))
+    key = spark.conf.get("spark.quillspark.surrogateKey", "an example, not a secret")
+    replaced = surrogates(_table(spark, sf_dir, "documents"), key)
     kinds = F.array_join(F.transform("entities", lambda e: e["kind"]), ",")
     return replaced.select("doc_id", "text", F.size("entities").alias("n_entities"), kinds.alias("kinds"))
 
@@ -55,22 +56,24 @@ def op7_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def warc_replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two replicas of the WARC archives of ``pages``, 512 pages each; the second has known damage.
+    """Two replicas of the WARC archives of ``pages``, 512 pages each, with offsets of their own; the second has known damage.
 
-    Pages of number 7 mod 101 have lost the record's last character, those of 5 mod 211 are missing.
+    Pages of number 7 mod 1009 have lost the record's last character, those of 5 mod 2003 are
+    missing, and of those of 11 mod 307 the last character is another.
     """
-    record = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
-    damaged = F.when(F.col("page_id") % 101 == 7, F.left(record, F.length(record) - 1)).otherwise(record)
-    hashed = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.format_string("pages-%06d.warc", F.floor(F.col("page_id") / 512)).alias("archive"),
-        F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"),
+    record, number = warc_record(F.col("page_id"), F.col("url"), F.col("html")), F.col("page_id")
+    bare = F.left(record, F.length(record) - 1)
+    damaged = F.when(number % 1009 == 7, bare).when(number % 307 == 11, F.concat(bare, F.lit("!"))).otherwise(record)
+    archive = F.when(number.isNotNull(), F.format_string("pages-%06d.warc", F.floor(number / 512))).otherwise("pages-unnumbered.warc")
+    hashed = checkpointed(pages.select(
+        number.cast("long").alias("page_id"), archive.alias("archive"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"),
         F.octet_length(damaged).cast("long").alias("damaged_length"), F.sha2(damaged, 256).alias("damaged_digest"),
-    )
+    ))
+    first = hashed.select("page_id", "archive", "length", "digest")
+    second = hashed.where("page_id is null or page_id % 2003 <> 5").select("page_id", "archive", F.col("damaged_length").alias("length"), F.col("damaged_digest").alias("digest"))
     before = Window.partitionBy("archive").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    placed = checkpointed(hashed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))))
-    first = placed.select("page_id", "archive", "offset", "length", "digest")
-    second = placed.where("page_id % 211 <> 5").select("archive", "offset", F.col("damaged_length").alias("length"), F.col("damaged_digest").alias("digest"))
-    return first, second
+    placed = [checkpointed(r.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))) for r in (first, second)]
+    return tuple(r.withColumn("record_id", F.col("page_id").cast("string")) for r in placed)
 
 
 def op8_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,20 +103,24 @@ ORACLE_SQL: dict[str, str] = {
             SELECT page_id, url, coalesce(html, '') AS body FROM pages),
         written AS (
             SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
-                   || 'WARC-Record-ID: <urn:record:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+                   || 'WARC-Record-ID: <urn:record:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
                    || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(body)) || chr(13) || chr(10) || chr(13) || chr(10)
                    || body || chr(13) || chr(10) || chr(13) || chr(10) AS record
             FROM records),
         placed AS (
-            SELECT page_id, 'pages-' || lpad((page_id // 512)::VARCHAR, 6, '0') || '.warc' AS archive,
-                   octet_length(encode(record))::BIGINT AS length, sha256(record) AS digest,
-                   CASE WHEN page_id % 101 = 7 THEN sha256(left(record, length(record) - 1)) ELSE sha256(record) END AS other
-            FROM written)
-        SELECT page_id, archive,
-               coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
-               length, digest,
-               CASE WHEN page_id % 211 = 5 THEN 'missing' WHEN digest <> other THEN 'corrupt' ELSE 'intact' END AS status
-        FROM placed""",
+            SELECT page_id, coalesce('pages-' || lpad((page_id // 512)::VARCHAR, 6, '0') || '.warc', 'pages-unnumbered.warc') AS archive, record,
+                   CASE WHEN page_id % 1009 = 7 THEN left(record, length(record) - 1) WHEN page_id % 307 = 11 THEN left(record, length(record) - 1) || '!' ELSE record END AS other
+            FROM written),
+        hashed AS (
+            SELECT page_id, archive, octet_length(encode(record))::BIGINT AS length, sha256(record) AS digest, octet_length(encode(other))::BIGINT AS other_length, sha256(other) AS other_digest FROM placed),
+        one AS (
+            SELECT *, coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM hashed),
+        two AS (
+            SELECT page_id, archive, coalesce(sum(other_length) OVER (PARTITION BY archive ORDER BY page_id, other_digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS other_offset
+            FROM hashed WHERE page_id IS NULL OR page_id % 2003 <> 5)
+        SELECT page_id, archive, "offset", length, digest,
+               CASE WHEN other_offset IS NULL THEN 'missing' WHEN digest <> other_digest THEN 'corrupt' WHEN "offset" <> other_offset THEN 'moved' ELSE 'intact' END AS status
+        FROM one LEFT JOIN two USING (page_id, archive)""",
     "op10_licence_digests": licence_scan.oracle_sql(),
     "op7_chunk_recipes": r"""
         WITH plain AS (
