@@ -21,7 +21,7 @@ from quillspark.llm.common import small
 # Elements by the roles that HTML gives them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe object svg math canvas audio video title textarea select datalist noembed noframes dialog".split())
+HIDDEN = frozenset("head script style template noscript iframe object canvas audio video title datalist noembed noframes dialog desc defs metadata annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul caption".split()
 )
@@ -46,8 +46,11 @@ CELLS = frozenset(["td", "th"])
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|![^>]*>|\?[^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACES = re.compile(r"[ \t\n\f\r]+")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_GONE = re.compile(r"(?:^|[;{\s])display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|[;{\s])visibility\s*:\s*(visible|hidden|collapse)", re.I)
+_COMMENT = re.compile(r"/\*.*?\*/", re.S)
 DEEPEST = 200  # deeper elements are hung on their ancestor at this depth, as browsers do
+WIDEST, TALLEST = 1000, 65_534  # columns and rows a cell may span: the bounds that HTML sets
 
 
 @dataclass(slots=True)
@@ -63,8 +66,23 @@ class Node:
         return None
 
 
+def style_rules(sheet: str) -> dict[str, str]:
+    """Selector of one tag, class or id: its declarations, as far as they concern visibility."""
+    found: dict[str, str] = {}
+    for block in re.finditer(r"([^{}]*)\{([^{}]*)\}", _COMMENT.sub("", sheet)):
+        if _GONE.search(block[2]) or _VISIBILITY.search(block[2]):
+            for selector in block[1].split(","):
+                if re.fullmatch(r"[.#]?[\w-]+", selector.strip()):
+                    found[selector.strip()] = found.get(selector.strip(), "") + ";" + block[2]
+    return found
+
+
 def build_tree(source: str) -> Node:
-    """The tree of a page; text that no tag claims hangs on the open element."""
+    """The tree of a page; text that no tag claims hangs on the open element.
+
+    Elements deeper than DEEPEST hang on their ancestor at that depth; four times as deep,
+    they no longer hold what follows them.  No text is lost by either.
+    """
     root = Node("html")
     stack, at = [root], 0
 
@@ -118,18 +136,40 @@ def _close(stack: list[Node], tags: frozenset[str], limits: frozenset[str]) -> N
             return _close(stack, tags, limits)
 
 
-def visible(node: Node) -> bool:
+def _styles(node: Node, rules: dict[str, str]) -> str:
+    """The declarations that apply to an element, its own last."""
+    if not rules:
+        return (node.attribute("style") or "") if "style" in node.attributes else ""
+    names = [node.tag]
+    if "class" in node.attributes:
+        names += [f".{c}" for c in (node.attribute("class") or "").split()]
+    if "id" in node.attributes:
+        names.append(f"#{node.attribute('id')}")
+    own = node.attribute("style") if "style" in node.attributes else None
+    return ";".join([*(rules[n] for n in names if n in rules), own or ""])
+
+
+def gone(node: Node, rules: dict[str, str]) -> bool:
+    """Whether an element and all within it takes no place."""
     if node.tag in HIDDEN:
-        return node.tag == "dialog" and node.attribute("open") is not None
-    if node.attributes and ("hidden" in node.attributes or "style" in node.attributes):
-        return node.attribute("hidden") is None and not _UNSEEN.search(node.attribute("style") or "")
-    return True
+        return node.tag != "dialog" or node.attribute("open") is None
+    if "hidden" in node.attributes and node.attribute("hidden") is not None:
+        return True
+    return bool((node.attributes or rules) and _GONE.search(_styles(node, rules)))
+
+
+def seen(node: Node, rules: dict[str, str], before: bool) -> bool:
+    """Whether an element's own text is seen, as its style or, without one, its parent's visibility says."""
+    said = _VISIBILITY.findall(_styles(node, rules)) if node.attributes or rules else ()
+    return said[-1].lower() == "visible" if said else before
 
 
 class Renderer:
     """Lines of text so far; ``gap`` is the number of line ends due before the next text."""
 
-    def __init__(self) -> None:
+    def __init__(self, rules: dict[str, str] | None = None, shown: bool = True) -> None:
+        self.rules = rules or {}
+        self.shown = shown
         self.lines: list[str] = [""]
         self.gap = 0
         self.space = False
@@ -163,6 +203,8 @@ class Renderer:
     def walk(self, node: Node, pre: bool = False) -> None:
         for child in node.children:
             if isinstance(child, str):
+                if not self.shown:
+                    continue
                 if pre:
                     for k, line in enumerate(child.split("\n")):
                         if k:
@@ -171,10 +213,15 @@ class Renderer:
                             self.emit(line.rstrip())
                 else:
                     self.inline(child)
-            elif visible(child):
+            elif not gone(child, self.rules):
                 self.element(child, pre)
 
     def element(self, node: Node, pre: bool) -> None:
+        before, self.shown = self.shown, seen(node, self.rules, self.shown)
+        self.laid_out(node, pre)
+        self.shown = before
+
+    def laid_out(self, node: Node, pre: bool) -> None:
         tag = node.tag
         if tag == "br":
             self.gap = self.gap + 1 if self.gap else 1
@@ -184,6 +231,21 @@ class Renderer:
             self.breaks(2)
         elif tag in LISTS:
             self.listed(node, pre)
+        elif tag == "svg":
+            for label in _labels(node):
+                self.inline(f" {label} ")
+        elif tag == "select":
+            options = [o for o in _descendants(node, "option") if not gone(o, self.rules)]
+            if node.attribute("multiple") is None and (node.attribute("size") or "1") in ("", "0", "1"):  # a closed list shows one
+                options = [o for o in options if o.attribute("selected") is not None][-1:] or options[:1]
+            for option in options:
+                self.inline(" ")
+                self.walk(option)
+                self.inline(" ")
+        elif tag in ("textarea", "xmp"):
+            self.breaks(1)
+            self.walk(node, pre=True)
+            self.breaks(1)
         elif tag == "details" and node.attribute("open") is None:
             self.breaks(1)
             self.walk(Node("details", "", [c for c in node.children if isinstance(c, Node) and c.tag == "summary"]))
@@ -204,87 +266,161 @@ class Renderer:
         start = node.attribute("start") or "1"
         number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
         for child in node.children:
-            if isinstance(child, Node) and child.tag == "li" and visible(child):
+            if isinstance(child, str):
+                if self.shown:
+                    self.inline(child)
+            elif gone(child, self.rules):
+                continue
+            elif child.tag == "li":
                 self.breaks(1)
                 mark = f"{number}. " if node.tag == "ol" else "- "
                 number += 1
                 self.indent, self.mark = indent + " " * len(mark), mark
+                before, self.shown = self.shown, seen(child, self.rules, self.shown)
                 self.walk(child, pre)
-                self.indent, self.mark = indent, ""
+                self.indent, self.mark, self.shown = indent, "", before
                 self.breaks(1)
-            elif isinstance(child, str):
-                self.inline(child)
-            elif visible(child):
+            else:
                 self.element(child, pre)
         self.breaks(around)
 
     def table(self, node: Node) -> None:
-        rows, captions = _rows(node)
-        for caption in captions:
-            self.walk(caption)
+        rows, captions = self.rows(node)
+        for caption, shown in captions:
+            before, self.shown = self.shown, shown
+            self.element(caption, False)
+            self.shown = before
             self.breaks(1)
-        cells = [[(rendered(c).split("\n"), _span(c)) for c in row] for row in rows]
-        widths: list[int] = []
+        cells, widths = _placed([[(rendered(c, self.rules, seen(c, self.rules, shown)).split("\n"), c) for c in row] for row, shown in rows])
         for row in cells:
-            at = 0
-            for lines, span in row:
-                widths += [0] * (at + span - len(widths))
-                if span == 1:
-                    widths[at] = max(widths[at], *map(len, lines))
-                at += span
-        for row in cells:
-            for k in range(max((len(lines) for lines, _ in row), default=0)):
-                line, at = "", 0
-                for lines, span in row:
-                    width = sum(widths[at : at + span]) + 2 * (span - 1)
-                    line += (lines[k] if k < len(lines) else "").ljust(width) + "  "
-                    at += span
+            for k in range(max((len(lines) for _, lines, _ in row), default=0)):
+                line = ""
+                for at, lines, span in row:
+                    line = line.ljust(sum(w + 2 for w in widths[:at] if w)) + (lines[k] if k < len(lines) else "")
                 if line.strip():
                     self.breaks(1)
                     self.emit(line.rstrip())
             self.breaks(1)
 
+    def rows(self, table: Node) -> tuple[list[tuple[list[Node], bool]], list[tuple[Node, bool]]]:
+        """The cells of each row of a table, header first and footer last, and what else is in it, each with whether it is seen."""
+        rows, captions, pending = [], [], [(table, self.shown)]
 
-def _span(cell: Node) -> int:
-    span = cell.attribute("colspan") or "1"
-    return min(100, max(1, int(span))) if re.fullmatch(r"\d{1,4}", span) else 1
-
-
-def _rows(table: Node) -> tuple[list[list[Node]], list[Node]]:
-    rows, captions, pending = [], [], [table]
-    while pending:
-        node = pending.pop(0)
-        for child in node.children:
-            if not isinstance(child, Node):
+        def loose(child: Node | str, shown: bool) -> None:
+            if isinstance(child, str):
                 if child.strip():
-                    captions.append(Node("p", "", [child]))
-            elif not visible(child):
-                continue
-            elif child.tag == "tr":
-                rows.append([c for c in child.children if isinstance(c, Node) and c.tag in CELLS and visible(c)])
-                captions += [c for c in child.children if isinstance(c, Node) and c.tag not in CELLS]
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                pending.append(child)
+                    captions.append((Node("p", "", [child]), shown))
+            elif not gone(child, self.rules):
+                captions.append((child, shown))
+
+        parts = {"thead": [], "tbody": [], "tfoot": []}
+        for child in table.children:
+            if isinstance(child, Node) and child.tag in parts and not gone(child, self.rules):
+                parts[child.tag].append((child, seen(child, self.rules, self.shown)))
+        pending = [*parts["thead"], (table, self.shown), *parts["tfoot"]]
+        for part, shown in pending:
+            for child in part.children:
+                if isinstance(child, Node) and child.tag == "tbody" and part is table and not gone(child, self.rules):
+                    inner = seen(child, self.rules, shown)
+                    bodies = [(c, inner) for c in child.children]
+                elif isinstance(child, Node) and child.tag in parts and part is table:
+                    continue
+                else:
+                    bodies = [(child, shown)]
+                for item, inner in bodies:
+                    if not isinstance(item, Node) or item.tag != "tr":
+                        loose(item, inner)
+                    elif not gone(item, self.rules):
+                        of_row = seen(item, self.rules, inner)
+                        rows.append(([c for c in item.children if isinstance(c, Node) and c.tag in CELLS and not gone(c, self.rules)], of_row))
+                        for c in item.children:
+                            if isinstance(c, str) or c.tag not in CELLS:
+                                loose(c, of_row)
+        return rows, captions
+
+
+def _descendants(node: Node, tag: str) -> Iterator[Node]:
+    for child in node.children:
+        if isinstance(child, Node):
+            if child.tag == tag:
+                yield child
             else:
-                captions.append(child)
-    return rows, captions
+                yield from _descendants(child, tag)
+
 
+def _labels(node: Node) -> Iterator[str]:
+    """The text of a drawing: that of its text elements."""
+    for text in _descendants(node, "text"):
+        pending, parts = [text], []
+        while pending:
+            item = pending.pop()
+            if isinstance(item, str):
+                parts.append(item)
+            elif item.tag not in HIDDEN:
+                pending += reversed(item.children)
+        yield "".join(parts)
 
-def rendered(node: Node) -> str:
-    view = Renderer()
+
+def _placed(rows: list[list[tuple[list[str], Node]]]) -> tuple[list[list[tuple[int, list[str], int]]], list[int]]:
+    """(column, lines, columns spanned) of the cells of each row, and the columns' widths.
+
+    A cell takes the first columns that no cell above reaches down to.
+    """
+    placed, widths, held = [], [], {}  # held: column -> rows that a cell above still takes there
+    for row in rows:
+        at, here, now = 0, [], {}
+        for lines, cell in row:
+            while held.get(at, 0):
+                at += 1
+            span, down = _spans(cell, "colspan", WIDEST), _spans(cell, "rowspan", TALLEST)
+            here.append((at, lines, span))
+            for column in range(at, at + span):
+                now[column] = down
+            at += span
+        widths += [0] * (max([at, *(c + 1 for c in held)], default=0) - len(widths))
+        for column, lines, span in here:
+            if span == 1:
+                widths[column] = max(widths[column], *map(len, lines))
+        held = {c: n - 1 for c, n in {**held, **now}.items() if n > 1}
+        placed.append(here)
+    for row in placed:  # a cell over several columns widens the last of them
+        for column, lines, span in row:
+            inside = [w for w in widths[column : column + span] if w]
+            short = max(map(len, lines)) - sum(inside) - 2 * max(0, len(inside) - bool(widths[column + span - 1]))
+            if span > 1 and short > 0 and column + span < len(widths):
+                widths[column + span - 1] += short
+    return placed, widths
+
+
+def _spans(cell: Node, name: str, most: int) -> int:
+    said = cell.attribute(name) or "1"
+    if not re.fullmatch(r"\d{1,9}", said):
+        return 1
+    return min(most, int(said)) or (most if name == "rowspan" else 1)  # a rowspan of 0 reaches down to the end
+
+
+def rendered(node: Node, rules: dict[str, str] | None = None, shown: bool = True) -> str:
+    view = Renderer(rules, shown)
     view.walk(node)
     return "\n".join(line.rstrip() for line in view.lines).strip("\n")
 
 
 def visible_text(source: str | None) -> str:
     """The text that a reader of an HTML page sees; "" for none."""
-    return rendered(build_tree(source)) if source else ""
+    if not source:
+        return ""
+    sheets = re.findall(r"<style\b[^>]*>(.*?)</style\s*>", source, re.S | re.I) if "<style" in source.lower() else ()
+    return rendered(build_tree(source), style_rules("\n".join(sheets)))
 
 
 def extract(pages: DataFrame, column: str = "html", into: str = "text") -> DataFrame:
-    """``pages`` with the visible text of the HTML in ``column``; null pages have an empty text.
+    """``pages`` with the visible text of the HTML in ``column``; null and empty pages have an empty text.
 
-    All rows and all other columns stay as they are, the HTML itself left out.
+    Visible is what a browser shows at first: not hidden elements, nor what inline styles or
+    rules of a style sheet for one tag, class or id take away, but what is visible again
+    within invisible elements.  All rows, repeated ones too, and all other columns stay as
+    they are, the HTML itself left out and a column named like ``into`` replaced; pages are
+    read whole, however long; an empty table gives no rows.
     """
     kept = [c for c in pages.columns if c not in (column, into)]
 
