@@ -68,8 +68,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Licence is that whose canonical text the whole document is, or null; notices lists the
     licences of which a line of the document is a known notice, sorted and joined by commas
-    ("" for none).  Null texts are empty and match nothing; rows that repeat a doc_id share
-    their notices; other columns are ignored.
+    ("" for none).  Null texts are empty and match nothing, as empty ones do; texts are read
+    whole, however long; rows that repeat a doc_id share their notices; other columns are
+    ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     # Both tables of known digests are constants of this module: they are broadcast.

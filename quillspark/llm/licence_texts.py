@@ -1,4 +1,9 @@
-"""Texts of public licences and of the short notices by which documents name them."""
+"""Texts of public licences and of the short notices by which documents name them.
+
+Long licences are in files of their own beside this module, as their authors publish them.
+"""
+
+from importlib.resources import files
 
 # Licence texts, as their authors publish them, without copyright lines.
 LICENCES = {
@@ -54,3 +59,4 @@ LICENCES["BSD-3-Clause"] = LICENCES["BSD-2-Clause"].replace(
     "\n\nTHIS SOFTWARE IS PROVIDED BY",
     "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED BY",
 )
+LICENCES |= {file.name.removesuffix(".txt"): file.read_text("utf-8") for file in sorted(files("quillspark.llm").joinpath("licences").iterdir(), key=lambda f: f.name) if file.name.endswith(".txt")}
