@@ -98,6 +98,18 @@ def test_html_layout():
     assert html_layout.visible_text("a < b <unclosed") .startswith("a < b")
 
 
+def test_html_tables_and_visibility():
+    seen = html_layout.visible_text
+    assert seen("<table><tr><td rowspan=2>A<td>B<tr><td>C<tr><td colspan=2>wide one<td>z</table>") == "A  B\n   C\nwide one  z"
+    assert seen("<table><tr>loose<td>a</td><script>x</script><div hidden>y</div><td>b</table>") == "loose\n\na  b"
+    assert seen("<table><tr><td>one<td>two<tr><td>a longer cell<td>x</table>") == "one            two\na longer cell  x"
+    assert seen("<style>.x, #k{display:none} p.z {visibility:hidden} em{ visibility: hidden }</style><p class='a x'>no<p id=k>no<p class=z>kept: two selectors<p>yes <em>not <b style='visibility:visible'>but</b></em> end") == "kept: two selectors\n\nyes but end"
+    assert seen("<div style='visibility:hidden'>a<span style='visibility:visible'>b</span><ul><li>c<li style='visibility: visible'>d</ul></div>") == "b\n\n- d"
+    assert seen("<svg><title>t</title><text>lab<tspan>el</tspan></text></svg> <math><mi>x</mi><mo>=</mo><mn>2</mn></math> <select><option>1<option selected>7</select><textarea>a\n  b</textarea>") == "label x=2 7\na\n  b"
+    assert seen("<select multiple><option>1<option>2</select>") == "1 2" and seen("<dialog>no</dialog><dialog open>yes</dialog>") == "yes"
+    assert seen("<table><td colspan=0 rowspan=0>a<td rowspan=99999999>b<tr><td>c") .split() == ["a", "b", "c"]
+
+
 def test_html_all_words_stay(spark):
     """Every word outside hidden elements comes out, in order."""
     for r in spark.read.parquet(f"{SF_DIR}/pages.parquet").limit(50).collect():
@@ -121,7 +133,7 @@ def test_permutation_is_one_and_moves_all():
 def test_surrogates_keep_type_and_reference(spark):
     text = "Anna Petrova (anna.p@example.org, +1 (212) 555-7713, 4111 1111 1111 1111, 192.168.1.5) wrote; Anna Petrova. Иван Петров, Mr. John Smith."
     df = spark.createDataFrame([(1, text), (2, "Anna Petrova"), (3, None), (4, "nothing here")], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in pii_surrogates.surrogates(df).collect()}
+    got = {r["doc_id"]: r for r in pii_surrogates.surrogates(df, "k").collect()}
     new = {e["value"]: e["surrogate"] for e in got[1]["entities"]}
     assert got[2]["text"] == new["Anna Petrova"] and got[1]["text"].count(new["Anna Petrova"]) == 2
     assert new["Anna Petrova"].split()[0] in pii_surrogates.GIVEN["f", "latin"] and new["Иван Петров"].split()[0] in pii_surrogates.GIVEN["m", "cyrillic"]
@@ -129,21 +141,36 @@ def test_surrogates_keep_type_and_reference(spark):
     assert pii_surrogates._luhn(card[:-1]) == int(card[-1]) and new["192.168.1.5"].startswith("192.168.")
     assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", new["+1 (212) 555-7713"]) and re.fullmatch(r"\w{4}\.\w@\w+\.org|\w{4}\.\w@example\.org", new["anna.p@example.org"])
     assert got[3]["text"] is None and got[4]["text"] == "nothing here"
-    assert pii_surrogates.collisions(pii_surrogates.surrogates(spark.read.parquet(f"{SF_DIR}/documents.parquet"))).isEmpty()
+    assert pii_surrogates.collisions(pii_surrogates.surrogates(spark.read.parquet(f"{SF_DIR}/documents.parquet"), "k")).isEmpty()
 
 
 def test_surrogates_of_odd_values_do_not_stop_the_rest(spark):
     text = "_@foo.com ...@foo.com, Mr. Łł, Mr. İnan; Mary Smith-Jones, John O'Brien, John F. Kennedy, Maria de la Cruz, John Smith's book"
-    got = pii_surrogates.surrogates(spark.createDataFrame([(1, text), (2, "Anna Petrova")], "doc_id long, text string")).collect()
+    got = pii_surrogates.surrogates(spark.createDataFrame([(1, text), (2, "Anna Petrova")], "doc_id long, text string"), "k").collect()
     new = {e["value"]: e["surrogate"] for r in got for e in r["entities"]}
     assert set(new) == {"_@foo.com", "...@foo.com", "Mr. Łł", "Mr. İnan", "Mary Smith-Jones", "John O'Brien", "John F. Kennedy", "Maria de la Cruz", "John Smith", "Anna Petrova"}
     assert len(set(new.values())) == len(new) and all(v != s for v, s in new.items())
     assert "foo.com" not in got[0]["text"] + got[1]["text"] and "Jones" not in got[0]["text"] + got[1]["text"]
 
 
+def test_surrogates_follow_case_and_kind():
+    new = lambda kind, value: pii_surrogates.surrogate(kind, value, b"k")
+    turned = lambda v: v.replace(" ", "")[4:] + v[:4]
+    mod97 = lambda v: int("".join(str(int(c, 36)) for c in turned(v))) % 97
+    for iban in ("DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606"):
+        assert mod97(iban) == 1 == mod97(new("iban", iban)) and new("iban", iban)[:2] == iban[:2] and new("iban", iban) != iban
+    assert new("iban", "DE89370400440532013000") == new("iban", "DE89 3704 0044 0532 0130 00").replace(" ", "")
+    numbers = [f"DE{k:02d}370400440532013000" for k in range(100)]
+    assert len({new("iban", n) for n in numbers}) == 100 and [mod97(n) == 1 for n in numbers] == [mod97(new("iban", n)) == 1 for n in numbers]
+    for name in ("John Smith", "Anna Petrova", "Mary Smith-Jones", "Иван Петров"):
+        assert new("name", name.upper()) == new("name", name).upper()
+    assert new("name", "John Smith").split()[1] in pii_surrogates.SURNAMES["latin"] and new("name", "Anna Petrova").endswith("ova") and new("name", "Анна Иванова").endswith("ова")
+    assert [k for _, _, k, _ in pii_surrogates.entities("so JOHN SMITH and MR. SMITH said")] == ["name", "title"]
+
+
 def test_surrogate_words_never_meet():
     letters = "abcdefghijklmnopqrstuvwxyz"
-    words = [a.upper() + b + c for a in letters for b in letters for c in letters] + [w for key in pii_surrogates.GIVEN for w in pii_surrogates.GIVEN[key] if len(w) != 3]
+    words = [a.upper() + b + c for a in letters for b in letters for c in letters] + [w for names in pii_surrogates._LISTS.values() for w in names if len(w) != 3]
     new = [pii_surrogates._name(w, b"k") for w in words]
     assert len(set(new)) == len(words) and all(a != b for a, b in zip(words, new, strict=True))
     capitals = ["ÇA", "ÑA", "ẞA", "ÇE", "ÑE", "ẞE", "KA", "\u212aA"]
@@ -372,17 +399,50 @@ def test_chunks_follow_content():
 # --- 8: fixity ---
 
 
+RECORDS = "archive string, record_id string, offset long, length long, digest string"
+
+
 def test_fixity_of_replicas(spark):
-    rows = [(f"a{i % 3}", i * 40_000, 40_000, hashlib.sha256(str(i).encode()).hexdigest()) for i in range(3000)]
-    schema = "archive string, offset long, length long, digest string"
-    left = spark.createDataFrame(rows, schema)
-    changed = [r for r in rows if r[1] != 4_000_000]
-    changed = [(a, o, n, "x" if o == 80_000_000 else d) for a, o, n, d in changed] + [("a9", 5, 1, "new")]
-    got = sorted(tuple(r) for r in merkle_fixity.audit(left, spark.createDataFrame(changed, schema)).collect())
-    assert got == sorted([(f"a{100 % 3}", 4_000_000, "missing"), (f"a{2000 % 3}", 80_000_000, "corrupt"), ("a9", 5, "extra")])
+    rows = [(f"a{i % 3}", str(i), i * 40_000, 40_000, hashlib.sha256(str(i).encode()).hexdigest()) for i in range(3000)]
+    left = spark.createDataFrame(rows, RECORDS)
+    changed = [r for r in rows if r[1] != "100"]
+    changed = [(a, i, o, n, "x" if i == "2000" else d) for a, i, o, n, d in changed]
+    changed = [(a, i, o + 7 * (i == "2999"), n, d) for a, i, o, n, d in changed] + [("a9", "new", 5, 1, "new")]
+    got = sorted((r["archive"], r["record_id"], r["status"]) for r in merkle_fixity.audit(left, spark.createDataFrame(changed, RECORDS)).collect())
+    assert got == sorted([("a1", "100", "missing"), ("a2", "2000", "corrupt"), ("a2", "2999", "moved"), ("a9", "new", "extra")])
     assert merkle_fixity.audit(left, left).count() == 0 == merkle_fixity.audit(left.limit(0), left.limit(0)).count()
 
 
+def test_fixity_passes_nothing_it_cannot_compare(spark):
+    rows = [(None, "1", 0, 5, "a"), ("x", None, 0, 5, "b"), ("x", "2", None, 5, "c"), ("x", "3", 9, 5, None), ("x", "4", 20, None, "d"), ("x", "4", 20, None, "d"), ("y", "5", 0, 5, "e")]
+    other = [(a, i, o, n, d and d + "?") for a, i, o, n, d in rows]
+    left, right = spark.createDataFrame(rows, RECORDS), spark.createDataFrame(other, RECORDS)
+    schema = left.columns
+    assert {tuple(r[c] for c in ("archive", "record_id")): r["status"] for r in merkle_fixity.fixity(left, right).collect()} == {(a, i): "corrupt" for a, i, *_ in rows}
+    same = merkle_fixity.fixity(left.withColumn("status", F.lit("old")), left)
+    assert same.columns == [*schema, "status"] and {r["record_id"]: r["status"] for r in same.collect()} == {**{i: "intact" for _, i, *_ in rows}, "3": "corrupt"} and same.count() == len(rows)
+
+
+def test_archives_are_written_and_read(spark, tmp_path):
+    bodies = {1: "plain", 2: "blank\r\n\r\nlines", 3: "", 4: "é" * 100, 5: "last"}
+    pages = spark.createDataFrame([(i, f"http://x/{i}", b) for i, b in bodies.items()], "page_id long, url string, html string")
+    record = merkle_fixity.warc_record(F.col("page_id"), F.col("url"), F.col("html"))
+    rows = pages.select(F.when(F.col("page_id") < 4, "a").otherwise("b").alias("archive"), F.col("page_id").alias("nth"), record.alias("record"), "page_id")
+    texts = {r["page_id"]: r["record"].encode() for r in rows.collect()}
+    for kind in ("none", "gzip"):
+        merkle_fixity.write_archives(rows, f"{tmp_path}/{kind}", kind)
+        got = sorted(tuple(r) for r in merkle_fixity.read_archives(spark, f"{tmp_path}/{kind}").collect())
+        expected, at = [], {"a": 0, "b": 0}
+        for i, text in texts.items():
+            archive = "a" if i < 4 else "b"
+            expected.append((archive, at[archive], len(text), str(i), hashlib.sha256(text).hexdigest()))
+            at[archive] += len(text)
+        assert got == sorted(expected)
+    damaged = texts[1][:-1] + texts[2] + texts[3][:40] + texts[4]
+    found = list(merkle_fixity.records_in(damaged))
+    assert [f[0] for f in found] == [0, len(texts[1]) - 1, len(texts[1]) + len(texts[2]) - 1, len(damaged) - len(texts[4])] and found[1][3] == hashlib.sha256(texts[2]).hexdigest()
+
+
 # --- 9: mixing ---
 
 
