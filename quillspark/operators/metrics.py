@@ -49,11 +49,6 @@ def entropy(counts: DataFrame, n: str = "n") -> DataFrame:
     return sums.select(F.col("distinct"), (F.log2("total") - F.col("nlogn") / F.col("total")).alias("entropy"), (F.col("most") / F.col("total")).alias("largest"))
 
 
-def nearest_rank(column: str, q: float) -> Column:
-    """The smallest value with a share of ``q`` of the rows at or below it: a value that occurs."""
-    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})")
-
-
 def group_advantage(value: str, group: str, epsilon: float = 1e-6, least: float = 1e-12) -> Column:
     """(value - mean) / (population deviation + epsilon) within the group; 0 in a group of one or without spread."""
     w = Window.partitionBy(group)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import hashing as H
 from quillspark.functions import text as T
 from quillspark.functions.matching import shingles
 from quillspark.operators import grouping as G
+from quillspark.operators.exchange import skew_join
 from quillspark.plans.declare import Table, query
 from quillspark.plans.text import WORD_SQL
 
@@ -41,13 +42,13 @@ def grp06_grp07_difference_hash(table: Table) -> DataFrame:
 
 @query("SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
 def set01_first_of_each(table: Table) -> DataFrame:
-    return G.first_of_each(table("documents").select("doc_id", "lang", "source"), ["lang", "source"], [F.col("doc_id")])
+    return G.first_of_each(table("documents").select("doc_id", "lang", "source"), ["lang", "source"], ["doc_id"])
 
 
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def set02_last_of_each(table: Table) -> DataFrame:
     e = table("events").select("user_id", "event_type", "event_id", "ts")
-    return G.first_of_each(e, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).drop("ts")
+    return G.first_of_each(e, ["user_id", "event_type"], ["ts", "event_id"], last=True).drop("ts")
 
 
 @query("SELECT p_partkey, array_to_string([p_name, p_brand], '|') AS answers FROM part")
@@ -60,9 +61,10 @@ def set03_set04_set05_accepted_answers(table: Table) -> DataFrame:
     """SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS repeats_text, row_number() OVER (PARTITION BY lang, n_chars ORDER BY doc_id) > 1 AS repeats_size FROM documents"""
 )
 def set06_flt29_repeats_in_order(table: Table) -> DataFrame:
-    again = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id")) > 1
     hashed = table("documents").select("doc_id", "lang", "n_chars", F.sha2("text", 256).alias("h"))
-    return hashed.select("doc_id", again("h").alias("repeats_text"), again("lang", "n_chars").alias("repeats_size"))
+    first = lambda name, *keys: hashed.groupBy(*keys).agg(F.min("doc_id").alias(name))
+    both = skew_join(skew_join(hashed, first("of_text", "h"), ["h"], "inner"), first("of_size", "lang", "n_chars"), ["lang", "n_chars"], "inner")
+    return both.select("doc_id", (F.col("doc_id") > F.col("of_text")).alias("repeats_text"), (F.col("doc_id") > F.col("of_size")).alias("repeats_size"))
 
 
 @query(
@@ -82,16 +84,41 @@ def set09_exact_groups(table: Table) -> DataFrame:
     return hashed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
 
 
+_SHINGLES_SQL = f"""w AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM documents) WHERE len(w) >= 5),
+        m AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY list_sort(s)) AS same FROM w)"""
+
+
+def _shingled(table: Table) -> DataFrame:
+    worded = G.settled(table("documents").select("doc_id", T.words(F.col("text")).alias("w")))  # tokens once a row, not once a shingle
+    return worded.select("doc_id", shingles(F.col("w"), 5).alias("s"))
+
+
 @query(
-    f"""WITH w AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM documents) WHERE len(w) >= 5),
-        t AS (SELECT doc_id, unnest(s) AS t, len(s) AS n FROM w),
+    f"""WITH {_SHINGLES_SQL}, t AS (SELECT doc_id, unnest(s) AS t, len(s) AS n FROM m WHERE doc_id = same),
         c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS common FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)
         SELECT a, b, round(common / (na + nb - common)::DOUBLE, 9) AS similarity FROM c WHERE common / (na + nb - common)::DOUBLE >= 0.8"""
 )
 def sim02_similar_documents(table: Table) -> DataFrame:
-    worded = G.settled(table("documents").select("doc_id", T.words(F.col("text")).alias("w")))  # tokens once a row, not once a shingle
-    held = worded.select("doc_id", shingles(F.col("w"), 5).alias("s"))
-    return G.similar_pairs(held, "doc_id", "s", 0.8).withColumn("similarity", F.round("similarity", 9))
+    """Similar pairs of distinct texts; documents of equal shingles are in ``sim02_equal_documents``."""
+    return G.similar_pairs(_shingled(table), "doc_id", "s", 0.8)[0].withColumn("similarity", F.round("similarity", 9))
+
+
+@query(f"WITH {_SHINGLES_SQL} SELECT doc_id AS id, same FROM m")
+def sim02_equal_documents(table: Table) -> DataFrame:
+    """Each document with the first one of equal shingles, which stands for it in ``sim02_similar_documents``."""
+    return G.similar_pairs(_shingled(table), "doc_id", "s", 0.8)[1]
+
+
+@query(
+    f"""WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '{WORD_SQL}')) AS s FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '{WORD_SQL}')) AS s FROM documents),
+        p AS (SELECT item_id, doc_id, len(list_intersect(q.s, d.s)) AS c, len(q.s) AS nq, len(d.s) AS nd FROM q, d WHERE len(q.s) > 0 AND len(d.s) BETWEEN 0.9 * len(q.s) AND len(q.s) / 0.9),
+        j AS (SELECT item_id, doc_id, c / (nq + nd - c)::DOUBLE AS s FROM p WHERE c / (nq + nd - c)::DOUBLE >= 0.9 AND c < nq + nd - c)
+        SELECT item_id, doc_id, round(s, 9) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS r FROM j) WHERE r <= 20"""
+)
+def sim02_reworded_questions(table: Table) -> DataFrame:
+    """Documents that a benchmark item's words make up to nine tenths but not quite, the twenty nearest of each item."""
+    words = lambda t, key: table(t).select(F.col(key).alias("id"), F.array_distinct(T.words(F.col("text"))).alias("s"))
+    return G.similar_across(words("benchmark", "item_id"), words("documents", "doc_id"), 0.9, 20).select(F.col("a").alias("item_id"), F.col("b").alias("doc_id"), F.round("similarity", 9).alias("similarity"))
 
 
 @query(

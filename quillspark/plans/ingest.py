@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.grouping import settled
+from quillspark.operators.exchange import shared_folder
 from quillspark.plans.declare import Table, query
 from quillspark.sources import readers as R
 from quillspark.sources import sinks as K
@@ -17,8 +17,7 @@ from quillspark.streaming import incremental as I
 
 def fresh_folder(df: DataFrame, name: str) -> str:
     """A fresh folder beside the session's checkpoints, which every executor can reach."""
-    settled(df.limit(0))
-    return f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders")
@@ -86,7 +85,7 @@ def stream02_incremental_dedup(table: Table) -> DataFrame:
     return I.replayed(e, fresh_folder(e, "stream"), I.first_seen)
 
 
-@query()
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream03_windowed_counts(table: Table) -> DataFrame:
     e = table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     return I.replayed(e, fresh_folder(e, "stream"), I.hourly_counts)

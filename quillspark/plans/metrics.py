@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import metrics as K
 from quillspark.operators import retrieval as R
+from quillspark.operators.statistics import exact_quantiles
 from quillspark.plans.declare import Table, query
 
 SAID_SQL = "SELECT doc_id, lang, source, n_chars, toxic = 1 AS t, contains(lower(text), 'the') AS s FROM documents JOIN labels USING (doc_id)"
@@ -41,7 +42,9 @@ def agg04_search_decision(table: Table) -> DataFrame:
 
 @query("SELECT event_type, round(avg(value), 6) AS mean_value, round(count(*) / sum(value) * 60, 6) AS per_minute, round(median(value), 6) AS middle FROM events GROUP BY event_type")
 def agg05_agg06_efficiency(table: Table) -> DataFrame:
-    return table("events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean_value"), F.round(F.count("*") / F.sum("value") * 60, 6).alias("per_minute"), F.round(F.median("value"), 6).alias("middle"))
+    e = table("events").select("event_type", "value")
+    rates = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean_value"), F.round(F.count("*") / F.sum("value") * 60, 6).alias("per_minute"))
+    return rates.join(exact_quantiles(e, ["event_type"], "value", {"middle": (0.5, "linear")}), "event_type").withColumn("middle", F.round("middle", 6))
 
 
 @query(
@@ -167,8 +170,8 @@ def agg35_cmp42_retrieval_funnel(table: Table) -> DataFrame:
 
 @query("SELECT lang, quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.95) AS p95, round(quantile_cont(n_chars, 0.9), 6) AS p90 FROM documents GROUP BY lang")
 def agg38_agg39_sta05_percentiles(table: Table) -> DataFrame:
-    linear = F.round(F.percentile("n_chars", 0.9), 6)
-    return table("documents").groupBy("lang").agg(K.nearest_rank("n_chars", 0.5).cast("long").alias("p50"), K.nearest_rank("n_chars", 0.95).cast("long").alias("p95"), linear.alias("p90"))
+    found = exact_quantiles(table("documents").select("lang", "n_chars"), ["lang"], "n_chars", {"p50": (0.5, "nearest"), "p95": (0.95, "nearest"), "p90": (0.9, "linear")})
+    return found.select("lang", F.col("p50").cast("long").alias("p50"), F.col("p95").cast("long").alias("p95"), F.round("p90", 6).alias("p90"))
 
 
 @query("SELECT CASE WHEN n_chars < 100 THEN 'truncated' WHEN lang <> 'en' THEN 'language' WHEN source = 'src0' THEN 'source' ELSE 'other' END AS cause, count(*) AS n FROM documents GROUP BY 1")

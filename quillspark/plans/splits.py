@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.hashing import digest, uniform
@@ -34,8 +34,8 @@ def win14_win15_round_robin(table: Table) -> DataFrame:
 )
 def win16_sel06_diversity_order(table: Table) -> DataFrame:
     c = table("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    keys = S.rarity_order(["c_nationkey", "c_mktsegment"], "s4", "c_custkey")
-    return c.select("c_custkey", *[k.alias(f"k{i}") for i, k in enumerate(keys)]).orderBy("k0", "k1", "k2", "k3").limit(30).select("c_custkey")
+    counted, keys = S.rarity_order(c, ["c_nationkey", "c_mktsegment"], "s4", "c_custkey")
+    return counted.orderBy(*keys).limit(30).select("c_custkey")
 
 
 @query(
@@ -106,44 +106,61 @@ def sel05_sel09_cmp17_cmp18_joint_capacity(table: Table) -> DataFrame:
 
 @query()
 def sel07_join31_shard_cover(table: Table) -> DataFrame:
-    """Suppliers as shards that cover parts' sizes, the fewest first chosen greedily."""
-    held = table("lineitem").join(table("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey").agg(F.collect_set("p_size").alias("sizes"), F.count("*").alias("bytes"))
-    best = held.orderBy(F.desc(F.size("sizes")), "l_suppkey").limit(200).collect()  # shards are few; 200 candidates at most
-    chosen = S.greedy_cover([(str(r["l_suppkey"]), set(r["sizes"]), r["bytes"]) for r in best], 5)
+    """Suppliers as shards that cover parts' sizes, the fewest first chosen greedily among all."""
+    parts = table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("member"))
+    held = table("lineitem").select("l_partkey", F.col("l_suppkey").cast("string").alias("shard")).join(parts, "l_partkey")
+    sizes = held.groupBy("shard").agg(F.count(F.lit(1)).alias("bytes"))
+    chosen = S.shard_cover(held, sizes, 5)
     return held.sparkSession.createDataFrame(list(enumerate(chosen, 1)), "nth long, shard string")
 
 
 @query()
 def spl05_spl06_spl07_group_splits(table: Table) -> DataFrame:
-    """Sources as whole groups to splits: an exact subset for dev where one exists, the rest by room left."""
-    sizes = sorted((r["source"], r["count"]) for r in table("documents").groupBy("source").count().collect())  # a row for each source
-    total = sum(n for _, n in sizes)
-    dev = S.exact_subset(sizes, total // 10) or []
-    rest = S.fill_splits([x for x in sizes if x[0] not in dev], {"train": total * 8 // 10, "test": total // 10})
-    rows = sorted([(s, "dev") for s in dev] + list(rest.items()))
-    return table("documents").sparkSession.createDataFrame(rows, "source string, split string")
+    """Sources as whole groups to splits by share, the largest first."""
+    sizes = table("documents").groupBy(F.col("source").alias("group")).agg(F.count(F.lit(1)).alias("n"))
+    return S.group_split(sizes, {"train": 0.8, "test": 0.1, "dev": 0.1}, "g1").select(F.col("group").alias("source"), "n", "split")
 
 
 @query(
-    """WITH f AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 10 = 3),
-       r AS (SELECT o_orderkey AS reserve, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 10 = 4)
+    """WITH f AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS n FROM orders WHERE o_totalprice < 50000),
+       r AS (SELECT o_orderkey AS reserve, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS n FROM orders WHERE o_totalprice >= 400000)
        SELECT o_orderkey, reserve FROM f LEFT JOIN r USING (o_orderpriority, n)"""
 )
 def sel08_snk20_reserve_replacement(table: Table) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey"))
-    o = table("orders").select("o_orderkey", "o_orderpriority")
-    failed = o.where("o_orderkey % 10 = 3").withColumn("n", nth)
-    spare = o.where("o_orderkey % 10 = 4").withColumn("n", nth).withColumnRenamed("o_orderkey", "reserve")
-    return failed.join(spare, ["o_orderpriority", "n"], "left").select("o_orderkey", "reserve")
+    """Orders below a price are replaced by dear ones of the same priority, one by one in order."""
+    o = table("orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return S.replaced(o.where("o_totalprice < 50000"), o.where("o_totalprice >= 400000"), "o_orderpriority", "o_orderkey")
 
 
 @query("SELECT doc_id FROM documents WHERE ('0x' || left(sha256('e0:' || doc_id), 16))::UBIGINT::DOUBLE / 18446744073709551616 < CASE lang WHEN 'en' THEN 0.25 ELSE 0.75 END")
-def sel10_sel11_sel12_balanced_sample(table: Table) -> DataFrame:
+def sel12_balanced_sample(table: Table) -> DataFrame:
     """A balanced epoch by hash: the feature is sampling, at a rate for each stratum."""
     rate = F.when(F.col("lang") == "en", 0.25).otherwise(0.75)
     return table("documents").where(uniform(digest("e0", F.col("doc_id"))) < rate).select("doc_id")
 
 
+@query(
+    """WITH g AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('e1:' || doc_id), doc_id) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IN ('en', 'de', 'fr'))
+       SELECT doc_id, lang, ((CASE lang WHEN 'en' THEN 300 WHEN 'de' THEN 300 ELSE 150 END) // n + (r < (CASE lang WHEN 'en' THEN 300 WHEN 'de' THEN 300 ELSE 150 END) % n)::BIGINT)::BIGINT AS times FROM g
+       WHERE (CASE lang WHEN 'en' THEN 300 WHEN 'de' THEN 300 ELSE 150 END) // n + (r < (CASE lang WHEN 'en' THEN 300 WHEN 'de' THEN 300 ELSE 150 END) % n)::BIGINT > 0"""
+)
+def sel11_quota_epoch(table: Table) -> DataFrame:
+    """An epoch of fixed quotas: each stratum's rows in a seeded order, round after round until its quota is full."""
+    d = table("documents").select("doc_id", "lang")
+    return S.quota_epoch(d, "lang", {"en": 300, "de": 300, "fr": 150}, "e1", "doc_id").select("doc_id", "lang", "times")
+
+
+@query(
+    """WITH s AS (SELECT doc_id, lang, ('0x' || left(sha256('m0:' || doc_id), 16))::UBIGINT::DOUBLE / 18446744073709551616 AS u FROM documents), n AS (SELECT count(*) AS n FROM documents),
+       b AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('m1:' || doc_id), doc_id) - 1 AS r, count(*) OVER (PARTITION BY lang) AS c FROM documents),
+       k AS (SELECT count(DISTINCT lang) AS k FROM documents)
+       SELECT doc_id, (u < 0.5) AS by_nature, ((n // 2 // k) // c + (r < (n // 2 // k) % c)::BIGINT)::BIGINT AS by_balance FROM s JOIN b USING (doc_id), n, k"""
+)
+def sel10_mixed_epoch(table: Table) -> DataFrame:
+    """Half an epoch as the rows come, half with an equal quota for each language, repeats where a language is short."""
+    return S.mixed_epoch(table("documents").select("doc_id", "lang"), "lang", 0.5, ("m0", "m1"), "doc_id").select("doc_id", "by_nature", "by_balance")
+
+
 @query("SELECT event_id, event_id % 4 = 0 AS slot, round(greatest(0.0, 1.0 - event_id / 500.0), 6) AS decay FROM events")
 def sel18_exploration_schedule(table: Table) -> DataFrame:
     decay = F.greatest(F.lit(0.0), 1 - F.col("event_id") / 500)

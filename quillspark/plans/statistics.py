@@ -17,12 +17,12 @@ def _pairs(table: Table) -> DataFrame:
 
 @query()
 def sta01_sta02_sta03_paired_bootstrap(table: Table) -> DataFrame:
-    return S.bootstrap_interval(_pairs(table).select("id", "delta"), samples=200)
+    return S.bootstrap_interval(_pairs(table).select("id", "delta"), samples=1000)
 
 
 @query()
 def sta06_bootstrap_of_each(table: Table) -> DataFrame:
-    return S.grouped_bootstrap(_pairs(table).select("id", "event_type", "delta"), "event_type", samples=200)
+    return S.bootstrap_interval(_pairs(table).select("id", "event_type", "delta"), samples=1000, by=("event_type",))
 
 
 @query(
@@ -33,6 +33,11 @@ def sta04_discordant_counts(table: Table) -> DataFrame:
     return _pairs(table).groupBy("event_type").agg(F.count_if(left & ~right).alias("only_left"), F.count_if(~left & right).alias("only_right"))
 
 
-@query()
+@query(
+    """WITH c AS (SELECT a.event_type, count(*) FILTER (WHERE a.value > 50 AND b.value <= 50) AS x, count(*) FILTER (WHERE a.value <= 50 AND b.value > 50) AS y FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.event_id % 2 = 0 GROUP BY 1),
+       t AS (SELECT event_type, x, y, x + y AS n, unnest(range(0, least(x, y) + 1)) AS k FROM c),
+       s AS (SELECT event_type, x, y, 2 * sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))) AS p FROM t GROUP BY ALL)
+       SELECT event_type, x AS only_left, y AS only_right, round(least(1.0, p), 6) AS p FROM s"""
+)
 def sta04_mcnemar(table: Table) -> DataFrame:
-    return sta04_discordant_counts(table).withColumn("p", S.mcnemar_p("only_left", "only_right"))
+    return sta04_discordant_counts(table).withColumn("p", F.round(S.mcnemar_p("only_left", "only_right"), 6))
