@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,13 +28,6 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet to a new folder beside the checkpoints, and read again: for whole texts, which it compresses."""
-    folder = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def unused(name: str, *frames: DataFrame) -> str:
     """``name``, or a longer one where a column of ``frames`` has it (Spark tells no case apart)."""
     taken = {c.lower() for frame in frames for c in frame.columns}
