@@ -19,7 +19,7 @@ from quillspark.llm.common import WORD, checkpointed, skew_join, unused
 MOST_COPIES = 3
 BUCKET_ROWS = 1024  # rows of a source that a window orders at once, on average at most
 RUN_ROWS = 4096
-RANGE_ROWS = 500_000  # entries of a range of finish times
+RANGE_ROWS = 50_000  # entries of a range of finish times
 COARSE_BITS = 10
 PLACE = ("finish", "no_id", "id", "no_source", "source", "size", "nth", "copy")
 
