@@ -76,6 +76,12 @@ def shingles(tokens: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]))
 
 
+def hashed_shingles(tokens: Column, n: int) -> Column:
+    """``shingles`` as 64-bit hashes of their tokens' hashes: numbers alone travel. Pass a column of a table."""
+    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(n)]))
+
+
 def answer_bearing(blob: Column, refs: Column, recall: float = 0.5) -> Column:
     """Whether a text contains a reference, or half of the words of one."""
     found = T.words(blob)

@@ -12,9 +12,32 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.exchange import settled, skew_join
+
 K1, B = 1.2, 0.75
 
 
+def _weighed(queries: DataFrame, documents: DataFrame, tokens: Callable[[Column], Column], query_id: str, doc_id: str, text: str, scope: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(query, term) of the queries' distinct terms, and (document, term, part, df, n_docs) of all postings of these terms.
+
+    Terms travel as 64-bit hashes, and every document is read into such numbers once.
+    """
+    hashed = lambda df, *keys: df.select(*keys, *scope, F.transform(tokens(F.col(text)), lambda t: F.xxhash64(t)).alias("terms"))
+    terms = settled(hashed(queries, query_id).select(query_id, *scope, F.explode(F.array_distinct("terms")).alias("term")))
+    held = settled(hashed(documents, doc_id))
+    stats = held.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("terms")).alias("mean_length"))
+    wanted = terms.select(*scope, "term").distinct()
+    postings = held.select(doc_id, *scope, F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    postings = postings.join(wanted, [*scope, "term"], "left_semi").groupBy(doc_id, *scope, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    postings = settled(postings)
+    spread = postings.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
+    weighed = skew_join(postings, spread, [*scope, "term"], "inner")
+    weighed = weighed.join(stats, scope) if scope else weighed.crossJoin(F.broadcast(stats))  # one row
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+    return terms, weighed.select(doc_id, *scope, "term", part.alias("part"), "df", "n_docs")
+
+
 def bm25(
     queries: DataFrame, documents: DataFrame, tokens: Callable[[Column], Column], query_id: str, doc_id: str, text: str = "text",
     within: str | None = None, digits: int = 6,
@@ -25,19 +48,44 @@ def bm25(
     each of its values.  Scores are rounded so that the order of addition cannot turn ties.
     """
     scope = [within] if within else []
-    terms = queries.select(F.col(query_id), *scope, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    sized = documents.select(F.col(doc_id), *scope, tokens(F.col(text)).alias("tokens"))
-    stats = sized.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("mean_length"))
-    wanted = terms.select(*scope, "term").distinct()
-    postings = sized.select(doc_id, *scope, F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    postings = postings.join(wanted, [*scope, "term"], "left_semi").groupBy(doc_id, *scope, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    spread = postings.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = postings.join(spread, [*scope, "term"])
-    weighed = weighed.join(stats, scope) if scope else weighed.crossJoin(F.broadcast(stats))  # one row
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    weighed = weighed.select(doc_id, *scope, "term", part.alias("part"))
-    return terms.join(weighed, [*scope, "term"]).groupBy(query_id, doc_id).agg(F.round(F.sum("part"), digits).alias("score")).where("score > 0")
+    terms, weighed = _weighed(queries, documents, tokens, query_id, doc_id, text, scope)
+    return _summed(skew_join(terms, weighed.select(doc_id, *scope, "term", "part"), [*scope, "term"], "inner"), query_id, doc_id, digits)
+
+
+def _summed(parts: DataFrame, query_id: str, doc_id: str, digits: int) -> DataFrame:
+    return parts.groupBy(query_id, doc_id).agg(F.round(F.sum("part"), digits).alias("score")).where("score > 0")
+
+
+def bm25_top(
+    queries: DataFrame, documents: DataFrame, tokens: Callable[[Column], Column], query_id: str, doc_id: str, k: int, text: str = "text", digits: int = 6, common: float = 0.1
+) -> DataFrame:
+    """The ``k`` documents of highest ``bm25`` score for each query, ties to the smaller id, with rank; without scoring them all.
+
+    Terms in more than a share ``common`` of the documents would pair each query with most of
+    them.  The k-th best sum over the other terms bounds the result from below; where what
+    the common terms can add at most cannot reach it, documents without a rare term are
+    out, and so are those whose rare terms and that most fall short.  Only the rest have
+    their common terms added.  Queries without such a bound are scored in full.
+    """
+    terms, weighed = _weighed(queries, documents, tokens, query_id, doc_id, text, [])
+    weighed = settled(weighed.withColumn("rare", F.col("df") <= common * F.col("n_docs")))
+    of_terms = weighed.groupBy("term").agg(F.max("part").alias("most"), F.any_value("rare").alias("rare"))
+    asked = settled(skew_join(terms, of_terms, ["term"], "inner"))
+    spare = asked.groupBy(query_id).agg(F.coalesce(F.sum(F.when(~F.col("rare"), F.col("most"))), F.lit(0.0)).alias("spare"))
+    partial = skew_join(asked.where("rare").select(query_id, "term"), weighed.where("rare").select(doc_id, "term", "part"), ["term"], "inner")
+    partial = settled(partial.groupBy(query_id, doc_id).agg(F.sum("part").alias("sum")))
+    bound = top_k(partial, query_id, k, doc_id, "sum").where(F.col("rank") == k).select(query_id, F.col("sum").alias("bound"))
+    bounds = settled(spare.join(bound, query_id, "left"))
+    slack = 2 * 10.0**-digits  # rounded scores may tie where sums differ
+    pruned = bounds.where(F.col("bound") > F.col("spare") + slack)
+    close = partial.join(pruned, query_id).where(F.col("sum") + F.col("spare") + slack >= F.col("bound"))
+    close = settled(close.select(query_id, doc_id, "sum"))
+    extra = skew_join(close.select(query_id, doc_id), asked.where("not rare").select(query_id, "term"), [query_id], "inner")
+    extra = skew_join(extra, weighed.where("not rare").select(doc_id, "term", "part"), [doc_id, "term"], "inner").select(query_id, doc_id, "part")
+    some = _summed(close.select(query_id, doc_id, F.col("sum").alias("part")).unionByName(extra), query_id, doc_id, digits)
+    open_ones = bounds.where(~F.coalesce(F.col("bound") > F.col("spare") + slack, F.lit(False))).select(query_id)
+    full = skew_join(asked.join(open_ones, query_id, "left_semi").select(query_id, "term"), weighed.select(doc_id, "term", "part"), ["term"], "inner")
+    return top_k(some.unionByName(_summed(full, query_id, doc_id, digits)), query_id, k, doc_id)
 
 
 def top_k(scored: DataFrame, by: str | list[str], k: int, tie: str, score: str = "score") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import matching as M
 from quillspark.functions import text as T
 from quillspark.operators import gates as G
+from quillspark.operators.exchange import settled, skew_join
 from quillspark.plans.declare import Table, query
 from quillspark.plans.text import QUERY_WORD_SQL, WORD_SQL, sql_list
 
@@ -114,10 +115,12 @@ def flt19_query_faults(table: Table) -> DataFrame:
         SELECT item_id, doc_id, count(*) AS shared FROM x JOIN y USING (g) GROUP BY ALL HAVING count(*) >= 3"""
 )
 def flt21_context_leak(table: Table) -> DataFrame:
-    """Runs of four words that a benchmark item shares with a document."""
-    grams = lambda t, key: table(t).select(key, T.words(F.col("text")).alias("w")).where(F.size("w") >= 4).select(key, F.explode(F.array_distinct(M.shingles(F.col("w"), 4))).alias("g"))
-    met = grams("documents", "doc_id").join(grams("benchmark", "item_id"), "g")
-    return met.groupBy("item_id", "doc_id").agg(F.count("*").alias("shared")).where("shared >= 3")
+    """Runs of four words that a benchmark item shares with a document, as hashes; only runs that some item has are carried."""
+    worded = lambda t, key: settled(table(t).select(key, F.transform(T.words(F.col("text")), lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") >= 4))
+    grams = lambda t, key: worded(t, key).select(key, F.explode(F.array_distinct(M.hashed_shingles(F.col("w"), 4))).alias("g"))
+    asked = settled(grams("benchmark", "item_id"))
+    met = skew_join(grams("documents", "doc_id"), asked.select("g").distinct(), ["g"], "left_semi")
+    return skew_join(met, asked, ["g"], "inner").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared")).where("shared >= 3")
 
 
 @query(

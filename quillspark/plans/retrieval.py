@@ -30,8 +30,7 @@ def bm25_sql(where: str = "", corpus: str = "documents", queries: str = "benchma
 
 @query(f"WITH {bm25_sql()} SELECT qid AS item_id, did AS doc_id, score, rank::INT AS rank FROM r WHERE rank <= 3")
 def ret01_bm25_top3(table: Table) -> DataFrame:
-    scored = R.bm25(table("benchmark"), table("documents"), _ascii, "item_id", "doc_id")
-    return R.top_k(scored, "item_id", 3, "doc_id")
+    return R.bm25_top(table("benchmark"), table("documents"), _ascii, "item_id", "doc_id", 3)
 
 
 @query(
@@ -107,7 +106,7 @@ def ret22_phrase_coverage(table: Table) -> DataFrame:
         SELECT qid AS item_id, round(coalesce(max(CASE WHEN good THEN 1.0 / rank END), 0), 6) AS utility, min(CASE WHEN good THEN rank END)::INT AS best_rank FROM hit GROUP BY qid"""
 )
 def ret23_top10_rank_utility(table: Table) -> DataFrame:
-    best = R.top_k(R.bm25(table("benchmark"), table("documents"), _ascii, "item_id", "doc_id"), "item_id", 5, "doc_id")
+    best = R.bm25_top(table("benchmark"), table("documents"), _ascii, "item_id", "doc_id", 5)
     hits = best.join(table("documents").select("doc_id", F.contains(F.lower("text"), F.lit("the")).alias("good")), "doc_id")
     gain = F.when(F.col("good"), 1 / F.col("rank"))
     return hits.groupBy("item_id").agg(F.round(F.coalesce(F.max(gain), F.lit(0.0)), 6).alias("utility"), F.min(F.when(F.col("good"), F.col("rank"))).alias("best_rank"))
@@ -138,7 +137,7 @@ def ret08_sentences(table: Table) -> DataFrame:
 @query()
 def ret09_ret10_ret11_compact_evidence(table: Table) -> DataFrame:
     """The three best documents of each benchmark item, cut to the rank's budget at sentence ends."""
-    best = R.top_k(R.bm25(table("benchmark"), table("documents"), _ascii, "item_id", "doc_id"), "item_id", 3, "doc_id")
+    best = R.bm25_top(table("benchmark"), table("documents"), _ascii, "item_id", "doc_id", 3)
     texts = best.join(table("documents").select("doc_id", "text"), "doc_id").join(table("benchmark").select("item_id", F.col("text").alias("question")), "item_id")
     cut = texts.select("item_id", "rank", C.compacted(C.sentences(F.col("text")), T.content_words(F.col("question")), F.col("rank")).alias("evidence"))
     ranked = cut.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "evidence"))), lambda x: x["evidence"]).alias("evidence"))
