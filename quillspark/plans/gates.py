@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import matching as M
 from quillspark.functions import text as T
 from quillspark.operators import gates as G
+from quillspark.operators import retrieval as R
 from quillspark.operators.exchange import settled, skew_join
 from quillspark.plans.declare import Table, query
 from quillspark.plans.text import QUERY_WORD_SQL, WORD_SQL, sql_list
@@ -45,19 +46,19 @@ def _answer_gate(table: Table) -> DataFrame:
 
 
 @query(_ANSWER_SQL)
-def flt04_flt05_flt06_flt40_reason_arrays(table: Table) -> DataFrame:
+def flt05_flt40_reason_arrays(table: Table) -> DataFrame:
     return _answer_gate(table)
 
 
 @query(
-    f"""WITH q AS (SELECT b.item_id, regexp_extract_all(lower(left(b.text, 120)), '{WORD_SQL}') AS q, regexp_extract_all(lower(d.text), '{WORD_SQL}') AS v, b.text AS raw FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
+    f"""WITH q AS (SELECT b.item_id, regexp_extract_all(lower(b.text), '{WORD_SQL}') AS q, regexp_extract_all(lower(d.text), '{WORD_SQL}') AS v, b.text AS raw FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
         s AS (SELECT item_id, raw, q, list_filter(q, lambda w: NOT list_contains({sql_list(T.GENERIC_WORDS)}, w)) AS s, v FROM q)
         SELECT item_id, list_sort(list_filter([CASE WHEN len(s) = 0 THEN 'generic_query' END, CASE WHEN len(s) > 0 AND len(list_intersect(s, v)) = 0 THEN 'entity_not_visible' END,
                CASE WHEN len(list_intersect(q, {sql_list(T.VISUAL_WORDS)})) > 0 AND len(list_intersect(s, v)) = 0 THEN 'unresolvable_visual_reference' END, CASE WHEN contains(raw, '<') THEN 'strict_parser_invalid' END], lambda x: x IS NOT NULL)) AS reasons FROM s"""
 )
-def flt07_flt08_flt09_query_gate(table: Table) -> DataFrame:
+def flt08_flt09_query_gate(table: Table) -> DataFrame:
     both = table("benchmark").join(table("documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("seen")), "item_id")
-    worded = both.select("item_id", "text", T.words(F.left("text", F.lit(120))).alias("q"), T.words(F.col("seen")).alias("v")).withColumn("s", T.without(F.col("q"), T.GENERIC_WORDS))
+    worded = both.select("item_id", "text", T.words(F.col("text")).alias("q"), T.words(F.col("seen")).alias("v")).withColumn("s", T.without(F.col("q"), T.GENERIC_WORDS))
     shared = F.size(F.array_intersect("s", "v"))
     visual = F.arrays_overlap("q", F.array(*map(F.lit, T.VISUAL_WORDS)))
     rules = [
@@ -67,6 +68,19 @@ def flt07_flt08_flt09_query_gate(table: Table) -> DataFrame:
     return worded.select("item_id", G.reasons(*rules).alias("reasons"))
 
 
+@query()
+def flt07_text_search_faults(table: Table) -> DataFrame:
+    """Benchmark items as queries before the document of their number, with the three documents that BM25 finds as evidence."""
+    best = R.bm25_top(table("benchmark"), table("documents"), lambda t: T.all_matches(F.lower(t), "[a-z0-9]+"), "item_id", "doc_id", 3)
+    texts = skew_join(best.select("item_id", "doc_id"), table("documents").select("doc_id", F.col("text").alias("found")), ["doc_id"], "inner")
+    results = texts.groupBy("item_id").agg(F.collect_list(F.struct(F.col("doc_id").cast("string").alias("document_id"), F.col("found").alias("text"))).alias("results"))
+    seen = table("documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("seen"), F.array("source").alias("answers"))
+    asked = table("benchmark").join(seen, "item_id").join(results, "item_id", "left")
+    own = F.array(F.col("item_id").cast("string"))
+    faults = G.text_search_faults(F.col("text"), F.col("seen"), F.col("text"), F.col("answers"), F.col("results"), own)
+    return asked.select("item_id", F.array_join(faults, ",").alias("faults"))
+
+
 @query("SELECT o_orderkey, len(list_filter(list_distinct(list(l_suppkey)), lambda s: NOT list_contains([1, 2, 3], s))) = 0 AS inside FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def flt11_same_context_only(table: Table) -> DataFrame:
     ids = F.collect_set("l_suppkey")
@@ -126,7 +140,7 @@ def flt21_context_leak(table: Table) -> DataFrame:
 @query(
     """SELECT doc_id, CASE WHEN n_chars < 100 THEN 'too_short' WHEN lang NOT IN ('en', 'fr') THEN 'wrong_language' WHEN source = 'src0' THEN 'same_source' WHEN n_chars > 5000 THEN 'too_long' END AS reason FROM documents"""
 )
-def flt22_flt23_flt28_first_failure(table: Table) -> DataFrame:
+def flt28_first_failure(table: Table) -> DataFrame:
     rules = [("too_short", F.col("n_chars") < 100), ("wrong_language", ~F.col("lang").isin("en", "fr")), ("same_source", F.col("source") == "src0"), ("too_long", F.col("n_chars") > 5000)]
     return table("documents").select("doc_id", G.first_reason(*rules).alias("reason"))
 
@@ -147,11 +161,11 @@ def flt27_cmp14_dataset_audit(table: Table) -> DataFrame:
     return G.violations(table("documents"), rules)
 
 
-@query("SELECT doc_id, contains(lower(left(text, 300)), 'the') AND n_chars > 100 AS reachable, list_filter(CASE WHEN lang = 'en' THEN ['a', 'b'] ELSE ['b'] END, lambda x: list_contains(CASE WHEN n_chars > 500 THEN ['a', 'c'] ELSE ['b', 'c'] END, x)) AS eligible FROM documents")
+@query("SELECT doc_id, contains(lower(text), 'the') AND n_chars > 100 AS reachable, list_filter(CASE WHEN lang = 'en' THEN ['a', 'b'] ELSE ['b'] END, lambda x: list_contains(CASE WHEN n_chars > 500 THEN ['a', 'c'] ELSE ['b', 'c'] END, x)) AS eligible FROM documents")
 def flt30_flt31_cmp11_eligibility(table: Table) -> DataFrame:
     lits = lambda *xs: F.array(*map(F.lit, xs))
     declared, computed = F.when(F.col("lang") == "en", lits("a", "b")).otherwise(lits("b")), F.when(F.col("n_chars") > 500, lits("a", "c")).otherwise(lits("b", "c"))
-    reach = F.contains(F.lower(F.left("text", F.lit(300))), F.lit("the")) & (F.col("n_chars") > 100)
+    reach = F.contains(F.lower("text"), F.lit("the")) & (F.col("n_chars") > 100)
     return table("documents").select("doc_id", reach.alias("reachable"), F.array_intersect(declared, computed).alias("eligible"))
 
 

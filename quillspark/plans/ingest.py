@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from quillspark.operators.exchange import shared_folder
 from quillspark.plans.declare import Table, query
 from quillspark.sources import readers as R
 from quillspark.sources import sinks as K
-from quillspark.sources.registry import build, names
+from quillspark.sources.registry import build, reward
 from quillspark.streaming import incremental as I
 
 
@@ -45,7 +46,7 @@ def src13_src14_src15_csv_round_trip(table: Table) -> DataFrame:
 
 
 @query("SELECT event_id, 'k' AS field, json_extract_string(props, '$.k') AS value FROM events")
-def src04_src09_src12_src17_src38_json_fields(table: Table) -> DataFrame:
+def src38_json_fields(table: Table) -> DataFrame:
     return table("events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("field", "value"))
 
 
@@ -61,10 +62,50 @@ def src33_row_index(table: Table) -> DataFrame:
     return R.indexed(table("documents").select("doc_id"), "doc_id")
 
 
-@query("SELECT e.name AS adapter, true AS registered FROM (VALUES ('checked_parquet'), ('csv'), ('json_lines'), ('ranked_table')) e(name)")
-def udf01_udf02_udf03_udf04_udf06_registry(table: Table) -> DataFrame:
-    spark = table("nation").sparkSession
-    return spark.createDataFrame([(n, callable(build(n))) for n in names()], "adapter string, registered boolean")
+@query("SELECT adapter, n_nationkey, n_name FROM nation, (SELECT unnest(['checked_parquet', 'csv', 'json_lines']) AS adapter)")
+def udf03_udf04_adapter_scans(table: Table) -> DataFrame:
+    """The nations written in each format and scanned again by the adapter of that name."""
+    n = table("nation").select("n_nationkey", "n_name")
+    spark, path = n.sparkSession, fresh_folder(n, "adapters")
+    n.write.parquet(f"{path}/checked_parquet")
+    n.write.csv(f"{path}/csv", header=True)
+    K.write_json_lines(n, f"{path}/json_lines")
+    how = {"checked_parquet": (["n_nationkey", "n_name"], "n_nationkey"), "csv": (n.schema,), "json_lines": (n.schema,)}
+    scans = [build(name)(spark, f"{path}/{name}", *extra).select(F.lit(name).alias("adapter"), "n_nationkey", "n_name") for name, extra in how.items()]
+    return reduce(DataFrame.unionByName, scans)
+
+
+@query("SELECT event_id, name AS reward, round(CASE name WHEN 'clipped' THEN least(1.0, greatest(0.0, value / 100)) ELSE (value > 50)::INT END, 6) AS value FROM events, (SELECT unnest(['clipped', 'threshold']) AS name)")
+def udf01_udf02_reward_registry(table: Table) -> DataFrame:
+    """Rewards registered by name, made by the factory with their settings, and applied to every event."""
+    made = {"clipped": reward("clipped", scale=100.0), "threshold": reward("threshold", least=50.0)}
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("reward"), F.round(f(F.col("value")), 6).alias("value")) for n, f in made.items()]))
+    return table("events").select("event_id", named.alias("x")).select("event_id", "x.reward", "x.value")
+
+
+@query("SELECT i AS line, CASE WHEN i % 5 = 0 THEN NULL ELSE i END AS id FROM (SELECT (event_id + 1)::BIGINT AS i FROM events) WHERE i % 5 <> 0")
+def src04_tolerant_ids(table: Table) -> DataFrame:
+    """Ids under the first of three keys that a line has; every fifth line is broken and skipped."""
+    i = F.col("event_id") + 1
+    key = F.when(i % 3 == 0, "id").when(i % 3 == 1, "data_id").otherwise("question_id")
+    good = F.concat(F.lit('{"'), key, F.lit('": "'), i.cast("string"), F.lit('", "line": '), i.cast("string"), F.lit("}"))
+    lines = table("events").select(F.when(i % 5 == 0, F.concat(F.lit("{broken "), i.cast("string"))).otherwise(good).alias("value"))
+    path = fresh_folder(lines, "ids")
+    lines.write.text(path)
+    found = R.tolerant_ids(lines.sparkSession, path, ("id", "data_id", "question_id"))
+    return found.select(F.col("id").cast("long").alias("line"), F.col("id").cast("long").alias("id"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lower(to_hex(doc_id)) ELSE doc_id::VARCHAR END AS raw, doc_id AS hash FROM documents")
+def src12_reference_hashes(table: Table) -> DataFrame:
+    """References whose image hash is a hexadecimal text under one key, or a number under another."""
+    d = F.col("doc_id")
+    row = F.when(d % 2 == 0, F.to_json(F.struct(d.alias("doc_id"), F.lower(F.hex("doc_id")).alias("dhash_hex")))).otherwise(F.to_json(F.struct(d.alias("doc_id"), d.alias("dhash"))))
+    lines = table("documents").select(row.alias("value"))
+    path = fresh_folder(lines, "references")
+    lines.write.text(path)
+    found = R.reference_hashes(lines.sparkSession, path, ("dhash", "dhash_hex"))
+    return found.select(F.get_json_object("line", "$.doc_id").cast("long").alias("doc_id"), "raw", "hash")
 
 
 @query("SELECT page_id, octet_length(encode(html))::BIGINT AS bytes, sha256(html) AS digest FROM pages")

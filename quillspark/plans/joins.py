@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import gates as G
+from quillspark.operators import leakage as L
 from quillspark.plans.declare import Table, query
+from quillspark.plans.dedup import grp06_grp07_difference_hash
 from quillspark.plans.text import WORD_SQL
 
 
@@ -50,18 +52,36 @@ def join05_join06_first_non_null(table: Table) -> DataFrame:
     return table("events").groupBy("user_id").agg(F.min_by(F.get_json_object("props", "$.k"), order).alias("first_k"), F.min(high)["value"].alias("first_high"))
 
 
-@query(
-    f"""SELECT doc_id, doc_id IN (SELECT item_id FROM benchmark) AS same_id, sha256(text) IN (SELECT sha256(text) FROM benchmark) AS same_text,
-              sha256(left(array_to_string(regexp_extract_all(lower(text), '{WORD_SQL}'), ' '), 30)) IN (SELECT sha256(left(array_to_string(regexp_extract_all(lower(text), '{WORD_SQL}'), ' '), 30)) FROM benchmark) AS same_start FROM documents"""
-)
-def join08_leakage_keys(table: Table) -> DataFrame:
-    start = F.left(T.quality_text(F.col("text")), F.lit(30))
-    d = table("documents").select("doc_id", F.sha2("text", 256).alias("whole"), F.sha2(start, 256).alias("start"))
-    b = table("benchmark").select("item_id", F.sha2("text", 256).alias("whole"), F.sha2(start, 256).alias("start"))
-    for left, right, name in (("doc_id", "item_id", "same_id"), ("whole", "whole", "same_text"), ("start", "start", "same_start")):
-        keys = b.select(F.col(right).alias(left)).distinct().withColumn(name, F.lit(True))
-        d = d.join(keys, left, "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    return d.select("doc_id", "same_id", "same_text", "same_start")
+LEAK_KEYS = ("same_id", "same_text", "same_question", "same_question_and_answer")
+_LEAK_ROWS = """
+        hashes AS (SELECT vec_id, sum(CASE WHEN embedding[i + 1] < embedding[i + 2] THEN 1 << i ELSE 0 END)::BIGINT AS hash FROM embeddings, (SELECT unnest(range(0, 32)) AS i) GROUP BY vec_id),
+        c AS (SELECT doc_id AS id, doc_id AS same_id, sha256(text) AS same_text, key(text) AS same_question, key(text) || '|' || lang AS same_question_and_answer, hash, list_distinct(words(text)) AS w FROM documents LEFT JOIN hashes ON vec_id = doc_id),
+        r AS (SELECT item_id AS id, item_id AS same_id, sha256(text) AS same_text, key(text) AS same_question, key(text) || '|en' AS same_question_and_answer, hash, list_distinct(words(text)) AS w FROM benchmark LEFT JOIN hashes ON vec_id = 300 + item_id)"""
+
+
+def _leak_sql() -> str:
+    rows = _LEAK_ROWS.replace("key(text)", r"array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ')").replace("words(text)", f"regexp_extract_all(lower(text), '{WORD_SQL}')")
+    equal = " UNION ALL ".join(f"SELECT c.id AS candidate, min(r.id) AS reference, '{k}' AS kind FROM c JOIN r ON c.{k} = r.{k} GROUP BY c.id" for k in LEAK_KEYS)
+    return f"""WITH {rows},
+        s AS (SELECT c.id AS candidate, r.id AS reference, len(list_intersect(c.w, r.w)) AS n, len(c.w) + len(r.w) AS m FROM c, r WHERE len(r.w) > 0 AND len(c.w) BETWEEN 0.9 * len(r.w) AND len(r.w) / 0.9),
+        t AS (SELECT candidate, reference, row_number() OVER (PARTITION BY reference ORDER BY n / (m - n)::DOUBLE DESC, candidate) AS k FROM s WHERE n / (m - n)::DOUBLE >= 0.9 AND n < m - n)
+        {equal} UNION ALL SELECT c.id, r.id, 'near_hash' FROM c JOIN r ON bit_count(xor(c.hash, r.hash)) <= 5 UNION ALL SELECT candidate, reference, 'similar_tokens' FROM t WHERE k <= 20"""
+
+
+@query(_leak_sql())
+def join08_leakage_audit(table: Table) -> DataFrame:
+    """Documents that leak from the benchmark: by four equal keys, near hashes of the vectors of their numbers, and reworded texts."""
+    hashes = grp06_grp07_difference_hash(table)
+    text = F.col("text")
+
+    def rows(t: str, key: str, vector: Column, answer: Column) -> DataFrame:
+        question = T.question_key(text)
+        keys = [F.col(key), F.sha2(text, 256), question, F.concat_ws("|", question, answer)]
+        named = table(t).select(F.col(key).alias("id"), *[c.alias(k) for c, k in zip(keys, LEAK_KEYS, strict=True)], vector.alias("vec_id"), T.words(text).alias("tokens"))
+        return named.join(hashes.withColumnRenamed("dhash", "hash"), "vec_id", "left")
+
+    candidates, references = rows("documents", "doc_id", F.col("doc_id"), F.col("lang")), rows("benchmark", "item_id", F.col("item_id") + 300, F.lit("en"))
+    return L.audit(candidates, references, list(LEAK_KEYS), bits=32)
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import equivalence as E
 from quillspark.functions import matching as M
 from quillspark.functions import text as T
+from quillspark.operators import anchors as N
 from quillspark.plans.declare import Table, query
 from quillspark.plans.text import EVALUATION_SQL, WORD_SQL
 
@@ -60,11 +61,11 @@ def str25_str26_str27_str28_phrase_support(table: Table) -> DataFrame:
 
 @query(
     f"""SELECT item_id, round(CASE WHEN len(q) = 0 THEN 0.0 ELSE len(list_filter(q, lambda w: list_contains(c, w))) / len(q)::DOUBLE END, 9) AS ratio
-        FROM (SELECT item_id, regexp_extract_all(lower(left(t, 200)), '{WORD_SQL}') AS q, regexp_extract_all(lower(a), '{WORD_SQL}') AS c0,
+        FROM (SELECT item_id, regexp_extract_all(lower(t), '{WORD_SQL}') AS q, regexp_extract_all(lower(a), '{WORD_SQL}') AS c0,
               list_filter(regexp_extract_all(lower(a), '{WORD_SQL}'), lambda w: NOT list_contains([{", ".join(f"'{w}'" for w in T.QUESTION_WORDS)}], w)) AS c FROM {PAIRS_SQL})"""
 )
 def flt10_copy_ratio(table: Table) -> DataFrame:
-    return _pairs(table).select("item_id", F.round(M.copy_ratio(F.col("a"), F.left("t", F.lit(200))), 9).alias("ratio"))
+    return _pairs(table).select("item_id", F.round(M.copy_ratio(F.col("a"), F.col("t")), 9).alias("ratio"))
 
 
 @query(
@@ -104,3 +105,21 @@ def mat06_mat07_mat08_support_match(table: Table) -> DataFrame:
 @query()
 def str16_str19_str20_num02_num07_quantities(table: Table) -> DataFrame:
     return table("documents").select("doc_id", E.read(F.col("text"))["quantities"].alias("quantities"))
+
+
+@query()
+def str11_placed_tokens(table: Table) -> DataFrame:
+    return table("documents").select("doc_id", F.explode(N.placed_tokens("text")).alias("t")).select("doc_id", "t.*")
+
+
+@query()
+def str51_str52_query_anchors(table: Table) -> DataFrame:
+    """What each benchmark item holds on to, in itself as the question or in the document of its number."""
+    return _pairs(table).select("item_id", N.query_anchor(F.col("a"), F.col("a"), F.col("t")).alias("x")).select("item_id", "x.anchor", "x.kind", "x.source")
+
+
+@query()
+def str22_visible_entities(table: Table) -> DataFrame:
+    """Turns of a conversation as ranked titles: the entity that they show."""
+    results = table("conversations").select(F.col("conv_id").alias("request"), F.col("turn").alias("rank"), F.col("text").alias("title"))
+    return N.visible_entity(results)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as T
+from quillspark.operators import grouping as GR
 from quillspark.operators import metrics as K
-from quillspark.operators import retrieval as R
 from quillspark.operators.statistics import exact_quantiles
 from quillspark.plans.declare import Table, query
+from quillspark.plans.text import WORD_SQL
 
 SAID_SQL = "SELECT doc_id, lang, source, n_chars, toxic = 1 AS t, contains(lower(text), 'the') AS s FROM documents JOIN labels USING (doc_id)"
 
@@ -208,13 +210,47 @@ def agg49_snk09_snk23_main_table(table: Table) -> DataFrame:
     return _said(table).groupBy("lang").agg(F.round(F.avg(F.col("s").cast("int")), 6).alias("success"), F.round(F.avg("n_chars"), 3).alias("chars"))
 
 
-@query()
-def agg46_route_audit(table: Table) -> DataFrame:
-    """Template groups of benchmark items with several routes, and each item's nearest document of another language."""
-    scored = R.bm25(table("benchmark"), table("documents"), lambda t: F.regexp_extract_all(F.lower(t), F.lit("[a-z]+"), F.lit(0)), "item_id", "doc_id")
-    named = scored.join(table("documents").select("doc_id", "lang"), "doc_id")
-    best = named.groupBy("item_id", "lang").agg(F.min_by("doc_id", F.struct(-F.col("score"), F.col("doc_id"))).alias("nearest"), F.max("score").alias("score"))
-    return best.select("item_id", "lang", "nearest", "score")
+_ROUTES_SQL = f"""e AS (SELECT item_id AS id, item_id % 3 AS route, array_to_string(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), ' ') AS question, list_distinct(regexp_extract_all(lower(text), '{WORD_SQL}')) AS s FROM benchmark
+        UNION ALL SELECT 1000000 + doc_id, doc_id % 3, array_to_string(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), ' '), list_distinct(regexp_extract_all(lower(text), '{WORD_SQL}')) FROM documents WHERE n_chars < 400)"""
+
+
+def _examples(table: Table) -> DataFrame:
+    """Benchmark items and short documents as examples of three routes."""
+    rows = lambda t, key, add: t.select((F.col(key) + add).alias("id"), (F.col(key) % 3).alias("route"), T.question_key(F.col("text")).alias("question"), F.array_distinct(T.words(F.col("text"))).alias("s"))
+    return rows(table("benchmark"), "item_id", 0).unionByName(rows(table("documents").where("n_chars < 400"), "doc_id", 1_000_000))
+
+
+@query(f"WITH {_ROUTES_SQL} SELECT question, array_to_string(list_sort(list_distinct(list(route))), ',') AS routes, count(*) AS rows FROM e GROUP BY question HAVING count(DISTINCT route) > 1")
+def agg46_questions_of_several_routes(table: Table) -> DataFrame:
+    return GR.several_routes(_examples(table), "question").select("question", F.array_join("routes", ",").alias("routes"), "rows")
+
+
+@query(
+    f"""WITH {_ROUTES_SQL}, t AS (SELECT route, list_filter(string_split(regexp_replace(question, '\\d+', '#', 'g'), ' '), lambda w: length(w) > 3) AS w FROM e),
+        k AS (SELECT route, array_to_string(w, ' ') AS template FROM t) SELECT template, array_to_string(list_sort(list_distinct(list(route))), ',') AS routes, count(*) AS rows FROM k GROUP BY template HAVING count(DISTINCT route) > 1"""
+)
+def agg46_templates_of_several_routes(table: Table) -> DataFrame:
+    """Questions alike but for numbers and short words, under several routes."""
+    kept = F.filter(F.split(F.regexp_replace("question", r"\d+", "#"), " "), lambda w: F.length(w) > 3)
+    found = GR.several_routes(_examples(table).withColumn("template", F.array_join(kept, " ")), "template")
+    return found.select("template", F.array_join("routes", ",").alias("routes"), "rows")
+
+
+@query(
+    f"""WITH {_ROUTES_SQL}, o AS (SELECT min(id) AS id, route, list_sort(s) AS s FROM e WHERE len(s) > 0 GROUP BY route, list_sort(s)),
+        p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS c, len(a.s) + len(b.s) AS n FROM o a JOIN o b ON a.id < b.id AND a.route <> b.route AND len(a.s) >= 0.8 * len(b.s) AND len(b.s) >= 0.8 * len(a.s))
+        SELECT a, b, round(c / (n - c)::DOUBLE, 9) AS similarity FROM p WHERE c / (n - c)::DOUBLE >= 0.8 - 1e-12"""
+)
+def agg46_cross_route_pairs(table: Table) -> DataFrame:
+    return GR.cross_route_pairs(_examples(table), "id", "s", "route").withColumn("similarity", F.round("similarity", 9))
+
+
+@query(
+    f"""WITH {_ROUTES_SQL}, p AS (SELECT a.id, b.route AS other, b.id AS b, len(list_intersect(a.s, b.s)) AS c, len(a.s) + len(b.s) AS n FROM e a JOIN e b ON a.route <> b.route WHERE len(list_intersect(a.s, b.s)) > 0)
+        SELECT id, other, b AS nearest, round(c / (n - c)::DOUBLE, 9) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id, other ORDER BY c / (n - c)::DOUBLE DESC, b) AS r FROM p) WHERE r = 1"""
+)
+def agg46_nearest_of_other_routes(table: Table) -> DataFrame:
+    return GR.nearest_of_other_routes(_examples(table), "id", "s", "route").withColumn("similarity", F.round("similarity", 9))
 
 
 @query("SELECT CASE WHEN round(avg(value), 6) > 60 THEN 'strong' WHEN round(avg(value), 6) > 40 THEN 'pass' ELSE 'fail' END AS verdict, event_type FROM events GROUP BY event_type")

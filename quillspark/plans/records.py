@@ -74,7 +74,7 @@ def cmp13_cmp21_src11_reference_union(table: Table) -> DataFrame:
 
 
 @query("SELECT doc_id, lang AS split FROM documents")
-def snk04_snk05_snk06_snk08_src35_src36_partitioned_round_trip(table: Table) -> DataFrame:
+def snk06_src36_partitioned_round_trip(table: Table) -> DataFrame:
     """A table written in a folder for each split, the split read back from the path."""
     d = table("documents").select("doc_id", F.col("lang").alias("split"))
     path = fresh_folder(d, "splits")
@@ -85,3 +85,30 @@ def snk04_snk05_snk06_snk08_src35_src36_partitioned_round_trip(table: Table) ->
 @query("SELECT event_id, '[redacted]' AS api_key, event_type FROM events")
 def snk11_redacted_columns(table: Table) -> DataFrame:
     return K.without_secrets(table("events").select("event_id", F.col("props").alias("api_key"), "event_type"))
+
+
+@query(
+    """SELECT 'trajectories' AS part, count(*) AS n FROM documents WHERE n_chars >= 100 UNION ALL SELECT 'rejected', count(*) FROM documents WHERE n_chars < 100
+       UNION ALL SELECT 'split ' || lang, count(*) FROM documents WHERE n_chars >= 100 GROUP BY lang UNION ALL SELECT 'manifest gaps', 0"""
+)
+def snk04_snk05_dataset_folder(table: Table) -> DataFrame:
+    """A dataset's folder written and read again: rows of each part, and files whose digest the manifest has wrong."""
+    d = table("documents").select("doc_id", F.col("lang").alias("split"), "n_chars")
+    folder, spark = fresh_folder(d, "dataset"), d.sparkSession
+    listed = K.write_dataset(d.where("n_chars >= 100"), d.where("n_chars < 100"), folder)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(name.alias("part"), "n")
+    read = lambda part: spark.read.schema(d.schema).json(f"{folder}/{part}")
+    now = K.manifest(spark, f"{folder}").select("path", F.col("sha256").alias("now"))
+    gaps = listed.join(now, "path", "left").where("now is null or now <> sha256")
+    splits = read("splits").groupBy(F.concat(F.lit("split "), "split").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    return count(read("trajectories"), F.lit("trajectories")).unionByName(count(read("rejected"), F.lit("rejected"))).unionByName(splits).unionByName(count(gaps, F.lit("manifest gaps")))
+
+
+@query("SELECT event_id, 'b' || (event_id % 3) AS batch FROM events")
+def snk07_snk08_src35_append_log(table: Table) -> DataFrame:
+    """Events appended to a log in three batches, one of them twice; the second time adds nothing."""
+    e = table("events").select("event_id")
+    folder = fresh_folder(e, "log")
+    for k in (0, 1, 2, 1):
+        K.append_log(e.where(F.col("event_id") % 3 == k), folder, f"b{k}")
+    return K.read_log(e.sparkSession, folder, e.schema)

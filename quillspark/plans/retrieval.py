@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import compaction as C
 from quillspark.operators import retrieval as R
+from quillspark.operators.token_windows import token_windows
 from quillspark.plans.declare import Table, query
 
 
@@ -54,6 +55,16 @@ def ret04_word_chunks(table: Table) -> DataFrame:
     return chunks.select("doc_id", "chunk", F.col("c.text").alias("text"))
 
 
+@query()
+def ret06_token_windows(table: Table) -> DataFrame:
+    """Windows of 384 tokens of the pages' lines, 64 shared, 64 windows a page at most, as the reference's pages have."""
+    import public_tokenizers
+
+    lines = table("pages").select("page_id", T.html_lines(F.col("html")).alias("text"))
+    cut = lines.select("page_id", F.posexplode(token_windows(F.col("text"), str(public_tokenizers.path("byte_bpe_50k.json")))).alias("nth", "w"))
+    return cut.select("page_id", "nth", "w.start", "w.tokens", "w.text")
+
+
 def _page_chunks(table: Table) -> DataFrame:
     worded = table("pages").select("page_id", R.spaced_words(T.html_lines(F.col("html"))).alias("w"))
     lines = worded.select("page_id", F.posexplode(R.word_chunks(F.col("w"), 60, 10)).alias("chunk", "c"))
@@ -92,12 +103,12 @@ def ret15_ret16_ret17_ret18_ranked_lines(table: Table) -> DataFrame:
 
 
 @query(
-    r"""WITH p AS (SELECT item_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:6], ' ') || ' ' AS needle FROM benchmark WHERE len(regexp_extract_all(lower(text), '[a-z0-9]+')) >= 2),
+    r"""WITH p AS (SELECT item_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS needle FROM benchmark WHERE len(regexp_extract_all(lower(text), '[a-z0-9]+')) >= 2),
         d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS hay FROM documents)
         SELECT item_id, min(doc_id) AS doc_id FROM p JOIN d ON contains(hay, needle) GROUP BY item_id"""
 )
 def ret22_phrase_coverage(table: Table) -> DataFrame:
-    phrases = table("benchmark").select("item_id", F.array_join(F.slice(_ascii(F.col("text")), 1, 6), " ").alias("phrase"))
+    phrases = table("benchmark").select("item_id", F.array_join(_ascii(F.col("text")), " ").alias("phrase"))
     return R.phrase_coverage(phrases, table("documents"), _ascii, "item_id", "doc_id")
 
 
@@ -121,11 +132,11 @@ def ret26_weighted_evidence(table: Table) -> DataFrame:
 
 
 @query(
-    r"""SELECT doc_id, p.i::INT AS paragraph, p.t AS text FROM (SELECT doc_id, unnest(list_transform(list_filter(list_transform(string_split_regex(text, '\n'), lambda t, i: {'i': i - 1, 't': trim(t)}), lambda x: x.t <> ''), lambda x: {'i': x.i, 't': left(x.t, 200)})) AS p FROM documents)"""
+    r"""SELECT doc_id, p.i::INT AS paragraph, p.t AS text FROM (SELECT doc_id, unnest(list_transform(list_filter(list_transform(string_split_regex(text, '\n'), lambda t, i: {'i': i - 1, 't': trim(t)}), lambda x: x.t <> ''), lambda x: {'i': x.i, 't': x.t})) AS p FROM documents)"""
 )
 def ret24_ret25_paragraphs(table: Table) -> DataFrame:
     lines = table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "t"))
-    return lines.where(F.trim("t") != "").select("doc_id", "paragraph", F.left(F.trim("t"), F.lit(200)).alias("text"))
+    return lines.where(F.trim("t") != "").select("doc_id", "paragraph", F.trim("t").alias("text"))
 
 
 @query()
@@ -154,8 +165,11 @@ def ret14_sanitised(table: Table) -> DataFrame:
 
 @query()
 def ret12_ret13_hybrid_evidence(table: Table) -> DataFrame:
-    d = table("documents").select("doc_id", F.left("text", F.lit(600)).alias("long"), F.substring("text", 300, 400).alias("short"))
-    return d.select("doc_id", C.hybrid(C.sentences(F.col("long")), C.sentences(F.col("short")), F.lit(450)).alias("evidence"))
+    """An anchor from the best document of each benchmark item, evidence from the next two, within 450 characters."""
+    best = R.bm25_top(table("benchmark"), table("documents"), _ascii, "item_id", "doc_id", 3)
+    texts = best.join(table("documents").select("doc_id", "text"), "doc_id").groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("t"))
+    cut = texts.select("item_id", C.sentences(F.col("t")[0]).alias("long"), C.sentences(F.array_join(F.slice("t", 2, 2), " ")).alias("short"))
+    return cut.select("item_id", C.hybrid("long", "short", F.lit(450)).alias("evidence"))
 
 
 @query(

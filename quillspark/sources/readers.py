@@ -12,6 +12,19 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType, strict:
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
+def tolerant_ids(spark: SparkSession, path: str, keys: tuple[str, ...]) -> DataFrame:
+    """id of each line of JSON that is an object with one of ``keys``, the first of them it has; other lines are skipped."""
+    lines = spark.read.text(path).withColumn("row", F.from_json("value", "map<string,string>"))
+    return lines.select(F.coalesce(*[F.nullif(F.col("row")[k], F.lit("")) for k in keys]).alias("id")).where("id is not null")
+
+
+def reference_hashes(spark: SparkSession, path: str, keys: tuple[str, str]) -> DataFrame:
+    """line, raw, hash of lines of JSON: a number under the first key, or a hexadecimal text under the second."""
+    number, text = (F.get_json_object("value", f"$.{k}") for k in keys)
+    found = spark.read.text(path).select(F.col("value").alias("line"), F.coalesce(number, text).alias("raw"), F.coalesce(number.cast("long"), F.conv(text, 16, 10).cast("long")).alias("hash"))
+    return found.where("hash is not null")
+
+
 def read_wrapped_json(spark: SparkSession, path: str, keys: tuple[str, ...] = ("data", "records", "items", "examples")) -> DataFrame:
     """Rows of JSON documents that are arrays of objects, or objects that hold one under a known key."""
     found = spark.read.option("multiLine", True).json(path)
