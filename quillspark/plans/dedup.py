@@ -52,7 +52,7 @@ def set02_last_of_each(table: Table) -> DataFrame:
 
 
 @query("SELECT p_partkey, array_to_string([p_name, p_brand], '|') AS answers FROM part")
-def set03_set04_set05_accepted_answers(table: Table) -> DataFrame:
+def set03_accepted_answers(table: Table) -> DataFrame:
     listed = F.to_json(F.array(F.concat(F.lit("The "), "p_name"), F.upper("p_name"), "p_brand"))
     return table("part").select("p_partkey", F.array_join(T.accepted_answers(F.col("p_name"), listed), "|").alias("answers"))
 

@@ -146,7 +146,7 @@ def flt28_first_failure(table: Table) -> DataFrame:
 
 
 @query("SELECT conv_id, list(role ORDER BY turn) = ['user', 'assistant', 'user', 'assistant'] AS grammatical FROM conversations GROUP BY conv_id")
-def flt24_flt25_flt26_step_grammar(table: Table) -> DataFrame:
+def flt26_step_grammar(table: Table) -> DataFrame:
     roles = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
     expected = F.array(*map(F.lit, ("user", "assistant", "user", "assistant")))
     return table("conversations").groupBy("conv_id").agg((roles == expected).alias("grammatical"))
@@ -207,7 +207,7 @@ def flt41_flt45_query_quality(table: Table) -> DataFrame:
 @query(
     """WITH g AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS t FROM events GROUP BY user_id) SELECT user_id, len(t) <> len(list_distinct(t)) AS repeats, list_contains(t[1:3], 'purchase') AS copied FROM g"""
 )
-def flt42_flt43_flt44_repeat_and_copy(table: Table) -> DataFrame:
+def repeats_and_first_events(table: Table) -> DataFrame:
     t = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"])
     return table("events").groupBy("user_id").agg(t.alias("t")).select("user_id", (F.size("t") != F.size(F.array_distinct("t"))).alias("repeats"), F.array_contains(F.slice("t", 1, 3), "purchase").alias("copied"))
 

@@ -115,7 +115,7 @@ def join14_cmp22_evidence_lookup(table: Table) -> DataFrame:
 @query(
     """SELECT a.event_id, a.value AS left_value, b.value AS right_value FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.event_id % 2 = 0"""
 )
-def join15_join16_join17_join29_paired(table: Table) -> DataFrame:
+def join17_paired(table: Table) -> DataFrame:
     e = table("events").select("event_id", "value")
     left = e.where("event_id % 2 = 0").withColumnRenamed("value", "left_value")
     right = e.where("event_id % 2 = 1").select((F.col("event_id") - 1).alias("event_id"), F.col("value").alias("right_value"))

@@ -31,25 +31,26 @@ def nst02_fold_by_split(table: Table) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, 'direct:' || doc_id AS trajectory_id, 3::INT AS steps, ['question', 'search', 'answer'][doc_id % 3 + 1] AS kind, left(text, 20) AS content FROM documents"""
+    """SELECT doc_id, 'direct:' || doc_id AS trajectory_id, 3::INT AS steps, ['question', 'search', 'answer'][doc_id % 3 + 1] AS kind, text AS content FROM documents"""
 )
-def nst03_nst04_nst05_nst06_constructors(table: Table) -> DataFrame:
-    step = lambda kind: F.struct(F.lit(kind).alias("kind"), F.left("text", F.lit(20)).alias("content"))
+def nested_steps_of_documents(table: Table) -> DataFrame:
+    step = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col("text").alias("content"))
     made = table("documents").select("doc_id", F.concat(F.lit("direct:"), "doc_id").alias("trajectory_id"), F.array(step("question"), step("search"), step("answer")).alias("s"))
     chosen = F.element_at("s", (F.col("doc_id") % 3 + 1).cast("int"))
     return made.select("doc_id", "trajectory_id", F.size("s").alias("steps"), chosen["kind"].alias("kind"), chosen["content"].alias("content"))
 
 
 @query(
-    """SELECT doc_id, i::INT AS pos, sha256(part) AS digest, contains(lower(part), 'the') AS reachable FROM (SELECT doc_id, unnest(range(0, 2)) AS i, unnest([left(text, 50), substr(text, 51, 50)]) AS part FROM documents)"""
+    """SELECT doc_id, i::INT AS pos, sha256(part) AS digest, contains(lower(part), 'the') AS reachable FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)"""
 )
 def nst07_evidence_rows(table: Table) -> DataFrame:
-    parts = table("documents").select("doc_id", F.posexplode(F.array(F.left("text", F.lit(50)), F.substring("text", 51, 50))).alias("pos", "part"))
+    """Every paragraph of every document as evidence: its place, digest, and whether it bears the word."""
+    parts = table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "part"))
     return parts.select("doc_id", "pos", F.sha2("part", 256).alias("digest"), F.contains(F.lower("part"), F.lit("the")).alias("reachable"))
 
 
 @query("""SELECT conv_id, 'v2' AS version, string_agg(upper(role), ',' ORDER BY turn) AS roles, 'pool:' || conv_id AS id FROM conversations GROUP BY conv_id""")
-def nst09_nst10_nst13_cmp44_migrated(table: Table) -> DataFrame:
+def nst09_nst10_cmp44_migrated(table: Table) -> DataFrame:
     t = trajectories(table).select(F.struct("conv_id", F.lit("v1").alias("version"), "steps").alias("t"))
     upgraded = t.withColumn("t", F.col("t").withField("version", F.lit("v2")).withField("steps", F.transform("t.steps", lambda s: s.withField("role", F.upper(s["role"])))))
     return upgraded.select("t.conv_id", "t.version", F.array_join(F.transform("t.steps", lambda s: s["role"]), ",").alias("roles"), F.concat(F.lit("pool:"), "t.conv_id").alias("id"))
