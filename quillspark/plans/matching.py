@@ -50,13 +50,13 @@ def mat03_best_alias_f1(table: Table) -> DataFrame:
 
 
 @query(
-    f"""SELECT item_id, contains(' ' || array_to_string(y, ' ') || ' ', ' ' || array_to_string(x[1:2], ' ') || ' ') AND len(x) > 0 AS supported, contains(array_to_string(y, ' '), array_to_string(x[1:1], ' ')) AND len(x) > 0 AS reachable
+    f"""SELECT item_id, contains(' ' || array_to_string(y, ' ') || ' ', ' ' || array_to_string(x, ' ') || ' ') AND len(x) > 0 AS supported, contains(array_to_string(y, ' '), array_to_string(x, ' ')) AND len(x) > 0 AS reachable
         FROM (SELECT item_id, regexp_extract_all(lower(a), '{WORD_SQL}') AS x, regexp_extract_all(lower(t), '{WORD_SQL}') AS y FROM {PAIRS_SQL})"""
 )
 def str25_str26_str27_str28_phrase_support(table: Table) -> DataFrame:
     x, y = T.words(F.col("a")), T.quality_text(F.col("t"))
-    first = F.array_join(F.slice(x, 1, 1), " ")
-    return _pairs(table).select("item_id", M.has_phrase(y, F.array_join(F.slice(x, 1, 2), " ")).alias("supported"), (F.contains(y, first) & (first != "")).alias("reachable"))
+    whole = F.array_join(x, " ")
+    return _pairs(table).select("item_id", M.has_phrase(y, whole).alias("supported"), (F.contains(y, whole) & (whole != "")).alias("reachable"))
 
 
 @query(

@@ -73,9 +73,9 @@ def _page_chunks(table: Table) -> DataFrame:
 
 @query()
 def ret05_chunks_of_request(table: Table) -> DataFrame:
-    """Each page is a request of its own; its first words are the query against its chunks."""
+    """Each page is a request of its own: its chunks that say most of the whole page come first."""
     chunks = _page_chunks(table)
-    asked = table("pages").select("page_id", F.col("page_id").alias("query_id"), F.left(T.html_lines(F.col("html")), F.lit(60)).alias("text"))
+    asked = table("pages").select("page_id", F.col("page_id").alias("query_id"), T.html_lines(F.col("html")).alias("text"))
     return R.top_k(R.bm25(asked, chunks, _ascii, "query_id", "chunk_id", within="page_id"), "query_id", 2, "chunk_id")
 
 

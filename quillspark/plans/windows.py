@@ -88,13 +88,13 @@ def arr01_arr02_span_mask(table: Table) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: exp(x::DOUBLE)) AS ratio FROM embeddings)
-       SELECT vec_id, round(-list_sum(list_transform(ratio, lambda r: least(r * 0.5, least(greatest(r, 0.8), 1.2) * 0.5))) / 16, 6) AS loss,
-              round(list_sum(list_transform(ratio, lambda r: (abs(r - 1) > 0.2)::INT)) / 16.0, 6) AS clipped, round(list_max(list_transform(ratio, lambda r: abs(r - 1))), 6) AS worst FROM r"""
+    """WITH r AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE)) AS ratio FROM embeddings)
+       SELECT vec_id, round(-list_sum(list_transform(ratio, lambda r: least(r * 0.5, least(greatest(r, 0.8), 1.2) * 0.5))) / len(ratio), 6) AS loss,
+              round(list_sum(list_transform(ratio, lambda r: (abs(r - 1) > 0.2)::INT)) / len(ratio)::DOUBLE, 6) AS clipped, round(list_max(list_transform(ratio, lambda r: abs(r - 1))), 6) AS worst FROM r"""
 )
-def arr03_arr04_arr05_arr06_policy_replay(table: Table) -> DataFrame:
-    v = table("embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 16), lambda x: F.exp(x.cast("double"))).alias("ratio"))
+def arr03_arr04_policy_replay(table: Table) -> DataFrame:
+    v = table("embeddings").select("vec_id", F.transform("embedding", lambda x: F.exp(x.cast("double"))).alias("ratio"))
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
-    loss = -total(F.transform("ratio", lambda r: F.least(r * 0.5, K.clipped(r, 0.8, 1.2) * 0.5))) / 16
-    clipped = total(F.transform("ratio", lambda r: (F.abs(r - 1) > 0.2).cast("double"))) / 16
+    loss = -total(F.transform("ratio", lambda r: F.least(r * 0.5, K.clipped(r, 0.8, 1.2) * 0.5))) / F.size("ratio")
+    clipped = total(F.transform("ratio", lambda r: (F.abs(r - 1) > 0.2).cast("double"))) / F.size("ratio")
     return v.select("vec_id", F.round(loss, 6).alias("loss"), F.round(clipped, 6).alias("clipped"), F.round(F.array_max(F.transform("ratio", lambda r: F.abs(r - 1))), 6).alias("worst"))
