@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import episodes as E
 from quillspark.operators import grouping as G
+from quillspark.operators import routes as RO
 from quillspark.plans.declare import Table, query
 
 
@@ -89,3 +90,26 @@ def src07_last_user_message(table: Table) -> DataFrame:
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
     held = table("conversations").groupBy("conv_id").agg(turns.alias("m"))
     return held.select("conv_id", E.last_user_message(F.col("m")).alias("question")).where("question is not null")
+
+
+def _asked(table: Table) -> DataFrame:
+    """Benchmark items as questions whose answer is the source of the document of their number."""
+    d = table("documents").select(F.col("doc_id").alias("id"), "source")
+    b = table("benchmark").select(F.col("item_id").alias("id"), F.concat(F.lit("When was "), "text").alias("question"))
+    return b.join(d, "id").select("id", "question", F.array("source", "question").alias("aliases"))
+
+
+def _corpus(table: Table) -> DataFrame:
+    return table("documents").select("doc_id", F.col("doc_id").alias("source_id"), "text")
+
+
+@query()
+def flt22_text_route(table: Table) -> DataFrame:
+    titles = table("conversations").select(F.col("conv_id").alias("id"), F.col("text").alias("title"))
+    return RO.text_route(_asked(table), titles, _corpus(table)).select("id", "query", "reason", "hit_leave_one_out")
+
+
+@query()
+def flt23_image_text_route(table: Table) -> DataFrame:
+    shown = table("conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("rank"), F.col("text").alias("title"), (F.col("conv_id") * 10 + F.col("turn")).alias("doc_id"))
+    return RO.image_text_route(_asked(table), shown, _corpus(table)).select("id", "entity", "relation", "query", "reason")
