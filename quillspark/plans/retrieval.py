@@ -57,7 +57,7 @@ def ret04_word_chunks(table: Table) -> DataFrame:
 
 @query()
 def ret06_token_windows(table: Table) -> DataFrame:
-    """Windows of 384 tokens of the pages' lines, 64 shared, 64 windows a page at most, as the reference's pages have."""
+    """Windows of 384 tokens of the pages' lines, 64 shared; 64 windows a page are the feature."""
     import public_tokenizers
 
     lines = table("pages").select("page_id", T.html_lines(F.col("html")).alias("text"))

@@ -8,7 +8,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import exchange, grouping
+from quillspark.operators import exchange, grouping, retrieval
 from quillspark.operators import splits as S
 from quillspark.operators import statistics as T
 
@@ -136,3 +136,17 @@ def test_first_of_each_and_components(spark):
     assert {r["id"] for r in grouping.first_of_each(df, ["k"], ["v"], last=True).collect()} == {1, 4}
     edges = spark.createDataFrame([(1, 2), (2, 3), (7, 7), (9, 8)], "a long, b long")
     assert {r["id"]: r["component"] for r in grouping.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 8, 9: 8}
+
+
+@pytest.mark.parametrize("common", [0.1, 0.5, 1.0])
+def test_pruned_bm25_is_the_whole_one(spark, common):
+    """Queries of rare words are pruned, those of common words alone are scored in full; the best are the same."""
+    random.seed(8)
+    words = [f"r{k}" for k in range(60)]
+    docs = [(k, " ".join(random.choices(["the", "of", "and"], k=random.randint(1, 12)) + random.sample(words, random.randint(0, 4)))) for k in range(150)]
+    asked = [(k, " ".join(random.choices(["the", "of"], k=2) + random.sample(words, n))) for k, n in enumerate([0, 0, 1, 1, 2, 3, 5, 8])] + [(90, "unknown"), (91, ""), (92, None)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "id long, text string")
+    tokens = lambda t: F.filter(F.split(t, " "), lambda w: w != "")
+    best = sorted((r["id"], r["rank"], r["doc_id"], r["score"]) for r in retrieval.top_k(retrieval.bm25(q, d, tokens, "id", "doc_id"), "id", 3, "doc_id").collect())
+    got = sorted((r["id"], r["rank"], r["doc_id"], r["score"]) for r in retrieval.bm25_top(q, d, tokens, "id", "doc_id", 3, common=common).collect())
+    assert got == best and len(got) > 20
