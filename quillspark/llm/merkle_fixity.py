@@ -22,6 +22,7 @@ from quillspark.llm.common import checkpointed, skew_join, unused
 
 LEAF_BYTES, FANOUT = 65_536, 16
 END = "\r\n\r\n"
+_VERSION = re.compile(rb"WARC/1\.\d\r\n")
 _LENGTH = re.compile(rb"^content-length:[ \t]*(\d+)", re.I | re.M)
 _ID = re.compile(rb"^warc-record-id:[ \t]*<?(?:urn:record:)?([^>\r\n]*)", re.I | re.M)
 
@@ -62,9 +63,10 @@ def records_in(content: bytes) -> Iterator[tuple[int, int, str | None, str]]:
         head = content.find(END.encode(), at)
         said = _LENGTH.search(content, at, head) if head >= 0 else None
         end = head + 2 * len(END) + int(said[1]) if said else -1
-        if end != len(content) and content[end : end + 5] != b"WARC/":
-            following = content.find(b"WARC/1", at + 5)
-            end = following if following >= 0 else len(content)
+        cut_off = _VERSION.search(content, at + 5, max(at + 5, head))  # the next record starts within this one's head
+        if cut_off or end != len(content) and content[end : end + 5] != b"WARC/":
+            following = _VERSION.search(content, at + 5)
+            end = following.start() if following else len(content)
         name = _ID.search(content, at, max(at, head if head >= 0 else end))
         yield at, end - at, name[1].decode("utf-8", "replace") if name else None, hashlib.sha256(content[at:end]).hexdigest()
         at = end
