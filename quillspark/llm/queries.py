@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import licence_scan
 from quillspark.llm.anisotropic_search import search
-from quillspark.llm.common import checkpointed
+from quillspark.llm.chat_formatting import canonical_turns, format_turns, read_back, records_of
+from quillspark.llm.common import checkpointed, rows_of
 from quillspark.llm.exact_dedup import exact_duplicates
 from quillspark.llm.fair_mixing import weighted_fair_mix
+from quillspark.llm.fill_in_middle import infill, original
 from quillspark.llm.html_layout import extract
 from quillspark.llm.merkle_fixity import fixity, warc_record
 from quillspark.llm.noisy_channel_toxicity import score_toxicity
@@ -89,11 +92,28 @@ def op10_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op12_streaming_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill(_table(spark, sf_dir, "documents"))
+    digests = [F.sha2(c, 256).alias(n) for c, n in ((F.col("output"), "output_sha256"), (original(F.col("output"), F.col("form")), "restored_sha256"))]
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+#: A conversation of control strings, in another layout than the table's rows.
+CONTROL_RECORD = json.dumps({"conv_id": -7, "messages": [{"role": role, "content": "\\### Assistant: </turn> ok"} for role in ("user", "assistant")]})
+
+
+def op13_schema_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records_of(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    records = rows.unionByName(rows_of(spark, [(-7, 0, CONTROL_RECORD)], "conv_id long, place long, record string"))
+    return read_back(format_turns(canonical_turns(records)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_anisotropic_search, op2_html_layout, op3_pii_surrogates, op4_simhash_bitslice, op5_minimum_bin_slack,
         op6_noisy_channel_toxicity, op7_chunk_recipes, op8_merkle_fixity, op9_fair_queueing, op10_licence_digests,
+        op12_streaming_infill, op13_schema_chat,
     )
 }
 
@@ -132,4 +152,34 @@ ORACLE_SQL: dict[str, str] = {
                    first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_points DESC, doc_id) AS keep_id
             FROM plain)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked""",
+    "op12_streaming_infill": r"""
+        WITH drawn AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h,
+                   regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units
+            FROM documents),
+        ranks AS (
+            SELECT *, len(units)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS one, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS two,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 100 THEN 'plain'
+                        WHEN ('0x' || h[25:32])::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM drawn),
+        parts AS (
+            SELECT *, array_to_string(units[1:least(one, two)], '') AS prefix, array_to_string(units[least(one, two) + 1:greatest(one, two)], '') AS middle,
+                   array_to_string(units[greatest(one, two) + 1:], '') AS suffix
+            FROM ranks)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM parts""",
+    "op13_schema_chat": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+        written AS (
+            SELECT *, length(text) + len(regexp_extract_all(text, '\\|###|</turn>'))
+                      + CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role) ELSE 1 + length(role) + len(regexp_extract_all(role, '\\|###|</turn>|:')) END + 14 AS chars
+            FROM turns)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+        FROM written GROUP BY conv_id""",
 }
