@@ -21,6 +21,7 @@ from quillspark.llm.noisy_channel_toxicity import score_toxicity
 from quillspark.llm.pii_surrogates import surrogates
 from quillspark.llm.simhash_dedup import near_components
 from quillspark.llm.slack_packing import pack
+from quillspark.llm.source_audit import divergence
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +93,10 @@ def op10_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_table(spark, sf_dir, "documents"))
+
+
 def op12_streaming_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = infill(_table(spark, sf_dir, "documents"))
     digests = [F.sha2(c, 256).alias(n) for c, n in ((F.col("output"), "output_sha256"), (original(F.col("output"), F.col("form")), "restored_sha256"))]
@@ -113,7 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_anisotropic_search, op2_html_layout, op3_pii_surrogates, op4_simhash_bitslice, op5_minimum_bin_slack,
         op6_noisy_channel_toxicity, op7_chunk_recipes, op8_merkle_fixity, op9_fair_queueing, op10_licence_digests,
-        op12_streaming_infill, op13_schema_chat,
+        op11_source_divergence, op12_streaming_infill, op13_schema_chat,
     )
 }
 
@@ -152,6 +157,33 @@ ORACLE_SQL: dict[str, str] = {
                    first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_points DESC, doc_id) AS keep_id
             FROM plain)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked""",
+    "op11_source_divergence": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        found AS (
+            SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+        kept AS (
+            SELECT lang, term, count(*) AS n FROM found GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+        used AS (
+            SELECT lang, source, term, count(*) AS n FROM found SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        langs AS (
+            SELECT lang, count(*) AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY lang),
+        groups AS (
+            SELECT lang, source, coalesce(sum(u.n), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN used u USING (lang, source) GROUP BY lang, source),
+        shares AS (
+            SELECT g.lang, g.source, k.term, coalesce(u.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(u.n, 0) + 1)) // (g.n + l.v) AS p
+            FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term),
+        pairs AS (
+            SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        every AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+        whole AS (
+            SELECT k.lang, k.term, 1 + (1000000000::HUGEINT * (k.n + 1)) // (l.n + l.v) AS q FROM kept k JOIN langs l USING (lang)),
+        terms AS (
+            SELECT s.lang, s.source, 'term' AS part, s.term AS item, ((p - q) * (p - q)) // q AS value FROM shares s JOIN whole w ON s.lang = w.lang AND s.term = w.term WHERE s.n > 0 AND p > q)
+        SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+        FROM (SELECT * FROM every UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 200""",
     "op12_streaming_infill": r"""
         WITH drawn AS (
             SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h,
