@@ -43,12 +43,16 @@ CLOSES["tbody"] = CLOSES["tfoot"] = CLOSES["thead"]
 WALLS = {"li": LISTS, "td": frozenset(["table"]), "th": frozenset(["table"]), "tr": frozenset(["table"])}
 CELLS = frozenset(["td", "th"])
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|![^>]*>|\?[^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>)""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: A quote opens a value only behind "="; one that is never closed is a character. Nothing here goes back, so a page is read once.
+_VALUE = r"""\s*+=\s*+(?:"{0}"|'{1}'|{2})"""
+_SKIPPED, _KEPT = (_VALUE.format(*parts) for parts in ((r'[^"]*+', r"[^']*+", r"[^\s>]*+"), (r'([^"]*+)', r"([^']*+)", r"([^\s>]*+)")))
+_TAG = re.compile(rf"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:{_SKIPPED})?+)*+)(>|\Z))""", re.S)
+_ATTRIBUTE = re.compile(rf"""([^\s/>][^\s/>=]*+)(?:{_KEPT})?+""")
 _SPACES = re.compile(r"[ \t\n\f\r]+")
 _GONE = re.compile(r"(?:^|[;{\s])display\s*:\s*none", re.I)
 _VISIBILITY = re.compile(r"(?:^|[;{\s])visibility\s*:\s*(visible|hidden|collapse)", re.I)
-_COMMENT = re.compile(r"/\*.*?\*/", re.S)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_CSS_SIGN = re.compile(r"""[{};]|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'""", re.S)
 DEEPEST = 200  # deeper elements are hung on their ancestor at this depth, as browsers do
 WIDEST, TALLEST = 1000, 65_534  # columns and rows a cell may span: the bounds that HTML sets
 
@@ -66,22 +70,49 @@ class Node:
         return None
 
 
+def on_screen(media: str) -> bool:
+    """Whether a list of media queries holds for every screen: one of them is empty, all, screen or not print. Other conditions may hold or not, so they do not count."""
+    return any(" ".join(q.split()).lower().removeprefix("only ") in ("", "all", "screen", "not print") for q in media.split(","))
+
+
 def style_rules(sheet: str) -> dict[str, str]:
-    """Selector of one tag, class or id: its declarations, as far as they concern visibility."""
+    """Selector of one tag, class or id: its declarations, as far as they concern visibility.
+
+    Rules count at top level and within ``@media`` that holds for every screen; those within
+    other at-rules, and rules nested in rules, do not.
+    """
     found: dict[str, str] = {}
-    for block in re.finditer(r"([^{}]*)\{([^{}]*)\}", _COMMENT.sub("", sheet)):
-        if _GONE.search(block[2]) or _VISIBILITY.search(block[2]):
-            for selector in block[1].split(","):
-                if re.fullmatch(r"[.#]?[\w-]+", selector.strip()):
-                    found[selector.strip()] = found.get(selector.strip(), "") + ";" + block[2]
+    sheet, start, said = _COMMENT.sub(" ", sheet), 0, ""
+    open_blocks: list[str | None] = []  # selectors of a rule, "" for a group whose rules count, None for what does not
+    for sign in _CSS_SIGN.finditer(sheet):
+        if len(sign[0]) > 1:
+            continue  # a string
+        before, start = sheet[start : sign.start()].strip(), sign.end()
+        if sign[0] == "{":
+            if None in open_blocks or open_blocks and open_blocks[-1]:
+                open_blocks.append(None)
+            elif before.startswith("@"):
+                open_blocks.append("" if before[:6].lower() == "@media" and on_screen(before[6:]) else None)
+            else:
+                open_blocks.append(before or None)
+                said = ""
+        elif open_blocks and open_blocks[-1]:
+            said += f";{before}"
+        if sign[0] == "}" and open_blocks:
+            selectors = open_blocks.pop()
+            if selectors and (_GONE.search(said) or _VISIBILITY.search(said)):
+                for selector in map(str.strip, selectors.split(",")):
+                    if re.fullmatch(r"[.#]?[\w-]+", selector):
+                        found[selector] = found.get(selector, "") + said
     return found
 
 
-def build_tree(source: str) -> Node:
-    """The tree of a page; text that no tag claims hangs on the open element.
+def build_tree(source: str, sheets: list[str] | None = None) -> Node:
+    """The tree of a page; text that no tag claims hangs on the open element, and so does a tag that the page's end cuts off.
 
     Elements deeper than DEEPEST hang on their ancestor at that depth; four times as deep,
-    they no longer hold what follows them.  No text is lost by either.
+    they no longer hold what follows them.  No text is lost by either.  Style sheets for
+    the screen are added to ``sheets``.
     """
     root = Node("html")
     stack, at = [root], 0
@@ -92,6 +123,9 @@ def build_tree(source: str) -> Node:
 
     while (found := _TAG.search(source, at)) is not None:
         text(source[at : found.start()])
+        if found[2] and not found[4]:
+            at = found.start()
+            break
         at = found.end()
         closing, tag, attributes = found[1], (found[2] or "").lower(), found[3]
         if not tag or tag in ("html", "body"):
@@ -116,8 +150,10 @@ def build_tree(source: str) -> Node:
         node = Node(tag, attributes or "")
         stack[min(len(stack), DEEPEST) - 1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+>", re.I).search(source, at)
             node.children.append(source[at : end.start() if end else len(source)])
+            if tag == "style" and sheets is not None and on_screen(node.attribute("media") or ""):
+                sheets.append(node.children[0])
             at = end.end() if end else len(source)
         elif tag not in VOID and not (attributes or "").endswith("/") and len(stack) < 4 * DEEPEST:
             stack.append(node)
@@ -409,8 +445,8 @@ def visible_text(source: str | None) -> str:
     """The text that a reader of an HTML page sees; "" for none."""
     if not source:
         return ""
-    sheets = re.findall(r"<style\b[^>]*>(.*?)</style\s*>", source, re.S | re.I) if "<style" in source.lower() else ()
-    return rendered(build_tree(source), style_rules("\n".join(sheets)))
+    sheets: list[str] = []
+    return rendered(build_tree(source, sheets), style_rules("\n".join(sheets)) if sheets else None)
 
 
 def extract(pages: DataFrame, column: str = "html", into: str = "text") -> DataFrame:
