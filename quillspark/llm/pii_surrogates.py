@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small, written
+from quillspark.llm.common import checkpointed as settled
+from quillspark.llm.common import skew_join, small, written
 
 # Given names by gender and script, surnames by script; a surrogate name comes from the same list.
 GIVEN = {
@@ -36,23 +37,25 @@ SURNAMES = {
 }
 #: Endings of surnames that tell gender or origin; a surname keeps its own.
 ENDINGS = tuple("ская ский цкая цкий ова ева ёва ина ына ов ев ёв ин ын енко ук юк ян skaya skaia ska sky skiy ski ova eva ina ov ev in son sen mann berg stein ez opoulos opoulou".split())
-TITLES = {"Mr": "m", "Herr": "m", "Señor": "m", "Monsieur": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Señora": "f", "Madame": "f"}
+TITLES = ("Mr", "Herr", "Señor", "Monsieur", "Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Dr", "Prof", "Sir", "Lady", "Lord")
 #: Alphabets that a letter stays in.
 ALPHABETS = ("aeiouy", "bcdfghjklmnpqrstvwxz", "àáâäèéêëìíîïòóôöùúûü", "çñß", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "0123456789")
 SIGNS = "._%+-"  # what the local part of an address may have besides letters and digits
 _PLACE = {c: (a, a.index(c)) for a in ALPHABETS for c in a}
+_HEX = {c: (a, a.index(c)) for a in ("0123456789", "abcdef") for c in a}
 _UPPER = {c: "ẞ" if c == "ß" else c.upper() for c in _PLACE}
 _LOWER = {u: c for c, u in _UPPER.items()}  # only what the other leads back to, so that no two letters become one
 _LISTS = {**GIVEN, **{("surname", script): names for script, names in SURNAMES.items()}}
 #: Lower-case given names and surnames; no word is both.
 _NAMED = {name.lower(): (key, k) for key, names in GIVEN.items() for k, name in enumerate(names)}
 _SURNAMED = {name.lower(): (("surname", script), k) for script, names in SURNAMES.items() for k, name in enumerate(names)}
-_TITLED = {t.lower(): g for t, g in TITLES.items()}
+_TITLED = {t.lower() for t in TITLES}
 _CALLED = [w for name in sorted({n for names in GIVEN.values() for n in names}, key=lambda n: (-len(n), n)) for w in dict.fromkeys((name, name.upper()))]
 _ADDRESSED = [w for t in TITLES for w in dict.fromkeys((t, t.upper()))]
 
-#: Words within a name that stay as they are.
+#: Words within a name that stay as they are, but for its last word: as a surname one goes to another of them.
 PARTICLES = "al bin da dal de del della den der di do dos du el la las le los ten ter van von zu zum zur".split()
+_PARTICLED = {word: ("particle", k) for k, word in enumerate(PARTICLES)}
 _PART = r"(?:[^\W\d_]{1,2}['’](?=[^\W\d_]{2}))?[^\W\d_]{2,}"
 _NAME = rf"(?:[^\W\d_]\. )*(?:(?:{'|'.join([*PARTICLES, *map(str.upper, PARTICLES)])}) )*{_PART}(?:-{_PART})*"
 PATTERNS = (
@@ -60,6 +63,7 @@ PATTERNS = (
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"),
+    ("ipv6", r"(?<![\w:.])(?=(?:[0-9A-Fa-f]*:){3})(?=[A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:])"),
     ("card", r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])"),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"),
     ("title", rf"\b(?:{'|'.join(_ADDRESSED)})\.? {_NAME}(?: {_NAME})?"),
@@ -121,10 +125,10 @@ def _others() -> dict[str, tuple[str, int]]:
     return {c: (a, k) for a in alphabets.values() for k, c in enumerate(a)}
 
 
-def alike(value: str, key: bytes) -> str:
+def alike(value: str, key: bytes, places: dict[str, tuple[str, int]] = _PLACE) -> str:
     """Another string of the same form: digits stay digits, letters stay in their alphabet and case, all else stays."""
     low = "".join(_LOWER.get(c, c) for c in value)
-    spots = [(i, *(_PLACE.get(c) or _others()[c])) for i, c in enumerate(low) if c in _PLACE or c > "\x7f" and c in _others()]
+    spots = [(i, *(places.get(c) or _others()[c])) for i, c in enumerate(low) if c in places or c > "\x7f" and c in _others()]
     n, x = 1, 0
     for _, alphabet, at in spots:
         n, x = n * len(alphabet), x * len(alphabet) + at
@@ -167,6 +171,11 @@ def surrogate(kind: str, value: str, key: bytes) -> str:
         n = 256 ** (4 - fixed)
         x = permuted(int.from_bytes(bytes(parts), "big") % n, n, hmac.digest(key, bytes(parts[:fixed]), "sha256"))
         return ".".join(map(str, [*parts[:fixed], *x.to_bytes(4 - fixed, "big")]))
+    if kind == "ipv6":
+        network, _, host = value.partition(":")  # the network's first group stays
+        if not re.search("[0-9A-Fa-f]", host):
+            return alike(value, key, _HEX)
+        return f"{network}:{alike(host, hmac.digest(key, network.lower().encode(), 'sha256'), _HEX)}"
     if kind == "card":
         digits = re.sub(r"\D", "", value)
         body = alike(digits[:-1], key)
@@ -186,7 +195,7 @@ def surrogate(kind: str, value: str, key: bytes) -> str:
     if kind in ("title", "name"):
         words = value.split(" ")
         first = 1 if words[0].rstrip(".").lower() in _TITLED and len(words) > 1 else 0
-        return " ".join([*words[:first], *(_name(w, key) for w in words[first:])])
+        return " ".join([*words[:first], *(_name(w, key, k == len(words) - 1) for k, w in enumerate(words) if k >= first)])
     if kind in ("phone", "ssn"):
         return _refilled(value, alike(re.sub(r"\D", "", value), key))
     return alike(value, key)
@@ -202,16 +211,16 @@ def _check_digits(plain: str, account: str) -> str:
 
 
 def _listed(word: str, known: dict[str, tuple], key: bytes) -> str:
-    (kind, script), at = known[word.lower()]
-    names = _LISTS[kind, script]
-    new = names[permuted(at, len(names), hmac.digest(key, f"{kind}{script}".encode(), "sha256"))]
-    return new.upper() if word.isupper() else new
+    kind, at = known[word.lower()]
+    names = PARTICLES if kind == "particle" else _LISTS[kind]
+    new = names[permuted(at, len(names), hmac.digest(key, "".join(kind).encode(), "sha256"))]
+    return new.upper() if word.isupper() else new.capitalize() if word[0].isupper() else new
 
 
-def _kept_apart(word: str) -> str:
+def _kept_apart(word: str, last: bool = False) -> str:
     """"particle" and "listed" for words that have no surrogate of letters, and so are none; else ""."""
     low = word.lower()
-    if low in PARTICLES and (word == low or word.isupper()):
+    if low in _PARTICLED and (word in (low, low.upper()) or last and word == low.capitalize()):
         return "particle"
     return "listed" if (low in _NAMED or low in _SURNAMED) and (word.isupper() or word == word.capitalize()) else ""
 
@@ -221,19 +230,22 @@ def _ending(word: str) -> str:
     return next((e for e in ENDINGS if low.endswith(e) and len(low) - len(e) > 1), "")
 
 
-def _name(word: str, key: bytes) -> str:
+def _name(word: str, key: bytes, last: bool = False) -> str:
     """The surrogate of a word of a name: upper or lower case, one word gets one surrogate.
 
     Listed names go to names of their own list, if they are written as there or all in
-    capitals; other words to letters of the same kind before the same ending.
+    capitals, and a particle that is the last word to another particle; other words to
+    letters of the same kind before the same ending.
     """
-    if kind := _kept_apart(word):
-        return word if kind == "particle" else _listed(word, _NAMED if word.lower() in _NAMED else _SURNAMED, key)
+    if kind := _kept_apart(word, last):
+        if kind == "particle":
+            return _listed(word, _PARTICLED, key) if last else word
+        return _listed(word, _NAMED if word.lower() in _NAMED else _SURNAMED, key)
     ending = _ending(word)
     at = len(word) - len(ending)
     within = hmac.digest(key, b"stem" + ending.encode(), "sha256")
     new = alike(word[:at], within)
-    while _kept_apart(new + word[at:]) or _ending(new + word[at:]) != ending:  # on in the same cycle, so that no two words meet
+    while _kept_apart(new + word[at:], last) or _ending(new + word[at:]) != ending:  # on in the same cycle, so that no two words meet
         new = alike(new, within)
     return new + word[at:]
 
@@ -252,20 +264,29 @@ def _signs(local: str, key: bytes) -> str:
 
 def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, kind, value) of the entities of a text, in order and apart."""
-    for found in _FIND.finditer(text) if _HINT.search(text) else ():
-        kind, value = found.lastgroup, found[0]
-        if kind in ("title", "name") and not value.split(" ")[-1][0].isupper():
-            value = " ".join(value.split(" ")[:-1])
-            if kind == "name" or value.split(" ")[-1].rstrip(".").lower() in _TITLED or not value.split(" ")[-1][0].isupper():
-                continue
-        yield found.start(), found.start() + len(value), kind, value
-
-
-def replacer(key: bytes) -> Callable[[str], tuple[str, list[tuple[str, str, str]]]]:
+    found = _FIND.search(text) if _HINT.search(text) else None
+    while found:
+        kind, value, at = found.lastgroup, found[0], found.end()
+        if kind in ("title", "name"):
+            words = value.split(" ")
+            # A name ends before the first word that is neither capitalised nor a particle, and with no small particle.
+            n = next((k for k, w in enumerate(words) if not w[0].isupper() and w not in _PARTICLED), len(words))
+            while n and not words[n - 1][0].isupper():
+                n -= 1
+            if n < len(words):
+                value, at = " ".join(words[:n]), found.start() + max(1, len(" ".join(words[:n])))
+            if n < 2:
+                kind = None
+        if kind:
+            yield found.start(), found.start() + len(value), kind, value
+        found = _FIND.search(text, at)
+
+
+def replacer(key: bytes) -> Callable[[str], tuple[str, list[tuple[str, str, str, int]]]]:
     known: dict[tuple[str, str], str] = {}
 
-    def replace(text: str) -> tuple[str, list[tuple[str, str, str]]]:
-        out, at, found = [], 0, []
+    def replace(text: str) -> tuple[str, list[tuple[str, str, str, int]]]:
+        out, at, found, moved = [], 0, [], 0
         for start, end, kind, value in entities(text):
             if (new := known.get((kind, value))) is None:
                 if len(known) > 100_000:
@@ -273,7 +294,8 @@ def replacer(key: bytes) -> Callable[[str], tuple[str, list[tuple[str, str, str]
                 new = known[kind, value] = surrogate(kind, value, key)
             out += [text[at:start], new]
             at = end
-            found.append((kind, value, new))
+            found.append((kind, value, new, start + moved))
+            moved += len(new) - len(value)
         return "".join([*out, text[at:]]), found
 
     return replace
@@ -282,25 +304,28 @@ def replacer(key: bytes) -> Callable[[str], tuple[str, list[tuple[str, str, str]
 # --- the operator ---------------------------------------------------------------------------------------
 
 
+ENTITIES = "array<struct<kind:string,value:string,surrogate:string,start:long>>"
+_ENTITIES = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string()), ("surrogate", pa.string()), ("start", pa.int64())]))
+
+
 def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
-    """doc_id, text (entities replaced), entities (array of kind, value, surrogate in order) of each row of ``docs``.
+    """doc_id, text (entities replaced), entities (array of kind, value, surrogate and its start in the new text, in order) of each row of ``docs``.
 
     Null texts stay null without entities; other columns are ignored; an empty table gives no rows.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replace = replacer(key.encode())
-        kinds = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string()), ("surrogate", pa.string())]))
         for batch in small(batches):
             texts, lists = [], []
             for text in batch.column("text").to_pylist():
                 new, found = replace(text) if text else (text, [])
                 texts.append(new)
-                lists.append([{"kind": k, "value": v, "surrogate": s} for k, v, s in found])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(lists, kinds)], ["doc_id", "text", "entities"])
+                lists.append([{"kind": k, "value": v, "surrogate": s, "start": at} for k, v, s, at in found])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(lists, _ENTITIES)], ["doc_id", "text", "entities"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return named.mapInArrow(rows, "doc_id long, text string, entities array<struct<kind:string,value:string,surrogate:string>>")
+    return named.mapInArrow(rows, f"doc_id long, text string, entities {ENTITIES}")
 
 
 def collisions(replaced: DataFrame) -> DataFrame:
@@ -311,15 +336,44 @@ def collisions(replaced: DataFrame) -> DataFrame:
     return met.where("n > 1 or bad").select("kind", "surrogate")
 
 
-def surrogates(docs: DataFrame, key: str, attempts: int = 4) -> DataFrame:
-    """``with_surrogates`` under a key that the collision check accepts: the first of ``attempts`` derived ones.
+def mended(replaced: DataFrame, met: DataFrame, key: str) -> DataFrame:
+    """``replaced`` (written) with a token of its own for each value whose surrogate is one of ``met`` (kind, surrogate); all else stays.
+
+    A token is 96 bits of a keyed hash behind the entity's kind.  Only rows that hold such a
+    value are rewritten, each with what a join tells of its own entities.
+    """
+    row, told = "_row", "_tokens"
+    found = replaced.select(F.monotonically_increasing_id().alias(row), "*")
+    each = found.select(row, F.posexplode("entities").alias("at", "e")).select(row, "at", F.col("e.kind").alias("kind"), F.col("e.value").alias("value"), F.col("e.surrogate").alias("surrogate"))
+    bad = skew_join(each, met.select("kind", "surrogate"), ["kind", "surrogate"], "left_semi")
+    token = F.concat(F.col("kind"), F.lit("-"), F.substring(F.sha2(F.concat_ws("\0", F.lit(key), "kind", "value"), 256), 1, 24))
+    tokens = settled(bad.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(F.col("at"), token))).alias(told)))
+    joined = skew_join(found, tokens, [row], "left")
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            texts, lists = [], []
+            for text, entities, new in zip(*(batch.column(c).to_pylist() for c in ("text", "entities", told)), strict=True):
+                out, at, moved, new = [], 0, 0, dict(new or ())
+                for k, entity in enumerate(entities if new else ()):
+                    start, end = entity["start"], entity["start"] + len(entity["surrogate"])
+                    out += [text[at:start], new.get(k, entity["surrogate"])]
+                    entity["surrogate"], entity["start"], at = out[-1], start + moved, end
+                    moved += len(out[-1]) - (end - start)
+                texts.append("".join([*out, text[at:]]) if new else text)
+                lists.append(entities)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(lists, _ENTITIES)], ["doc_id", "text", "entities"])
+
+    return joined.select("doc_id", "text", "entities", told).mapInArrow(rewrite, replaced.schema)
+
+
+def surrogates(docs: DataFrame, key: str) -> DataFrame:
+    """``with_surrogates``, checked: values that have their own or another's surrogate get tokens instead (``mended``), and no other value changes.
 
     ``key`` is a secret of the caller's: who knows it can lead surrogates back to values.
     Texts are searched once and written to the shared folder; the check and the caller read
     what was written.  Very long texts are read whole; repeated rows get equal surrogates.
     """
-    for attempt in range(attempts):
-        replaced = written(with_surrogates(docs, key if not attempt else f"{key}/{attempt}"))
-        if collisions(replaced).isEmpty():
-            return replaced
-    raise ValueError("surrogates collide under every key tried")
+    replaced = written(with_surrogates(docs, key))
+    met = settled(collisions(replaced))
+    return replaced if met.isEmpty() else written(mended(replaced, met, key))
