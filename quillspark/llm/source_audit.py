@@ -1,17 +1,20 @@
 """How the sources of a language diverge from each other and from the language: counts of terms in mergeable byte tries.
 
-Each task counts the terms of its documents into radix tries over UTF-8 bytes, one for each
-language, whose leaves hold a counter for each source.  Tries are cut below common prefixes
-and the pieces of a prefix, from all tasks, merged; a prefix with too many leaves is cut
-further down first, so that no merge outgrows its task.  A merged trie is walked in UTF-8
-order, and the walk streams the divergence of source pairs and each source's best terms.
+Each task makes radix tries of its documents' terms over UTF-8 bytes, one for each language,
+whose leaves hold a counter for each source.  A trie is kept in preorder: a leaf tells the
+depth at which its path leaves that of the leaf before, and the bytes below.  Tries are cut
+below common prefixes and the pieces of a prefix, from all tasks, merged; a prefix with too
+many leaves is cut further down first, so that no merge outgrows its task.  A merged trie is
+walked in UTF-8 order, and the walk streams the divergence of source pairs and each source's
+best terms.
 """
 
 from __future__ import annotations
 
-from array import array
+import struct
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 from typing import NamedTuple
 
@@ -24,9 +27,12 @@ from quillspark.llm.common import checkpointed, skew_join, written
 from quillspark.operators.exchange import grouped_rank
 
 SCALE = 1_000_000_000  # shares are counted in billionths
-HELD = 300_000  # entries (language, source, term) that a task counts before they go to tries and out
-HEAD = 3  # bytes of the first prefixes
-MOST_LEAVES = 200_000  # leaves of all tasks below a prefix that one merge holds
+HELD = 600_000  # entries (language, source, term) that a task counts before they go to tries and out
+HEAD = 2  # bytes of the first prefixes
+MOST_LEAVES = 500_000  # leaves of all tasks below a prefix that one merge holds
+MOST_HEADS = 10_000  # prefixes with more than that, up to which they are broadcast; more are joined
+FOLD = 4096  # pieces of a prefix whose counts are added up at once
+COMPARED = 32  # bytes in which neighbours are compared
 GROUPS = 2048  # groups (language, source) whose pairs a walk adds up at once
 CELLS = 500_000  # shares compared in one vector step
 PIECE = 1 << 20  # bytes of a text that are split into terms at once
@@ -47,96 +53,136 @@ def terms_of(text: bytes, piece: int = PIECE) -> Iterator[list[bytes]]:
 # --- tries ---
 
 
-class Node:
-    __slots__ = ("label", "children", "leaf")
-
-    def __init__(self, label: bytes):
-        self.label, self.children, self.leaf = label, None, None
-
-
-class Trie:
-    """A radix trie over bytes; a leaf is [documents, {source: count}]."""
+class Trie(NamedTuple):
+    """A radix trie in preorder: its terms in UTF-8 order, the bytes that each shares with the one before, its documents, and its counters from ``first`` on."""
+
+    terms: list[bytes]
+    shared: np.ndarray
+    docs: np.ndarray
+    first: np.ndarray  # one more than terms
+    sources: np.ndarray  # places in ``names``
+    counts: np.ndarray
+    names: list[str]
+
+
+def trie_of(docs: dict[bytes, int], counts: dict[str, dict[bytes, int]]) -> Trie:
+    """The trie of terms with their documents and, for each source, their counts."""
+    terms = sorted(docs)
+    place = dict(zip(terms, range(len(terms)), strict=True))
+    names = sorted(counts)
+    leaf = [np.fromiter(map(place.__getitem__, counts[s]), np.int64, len(counts[s])) for s in names]
+    n = np.concatenate([np.fromiter(counts[s].values(), np.int64, len(counts[s])) for s in names])
+    source = np.repeat(np.arange(len(names)), [len(x) for x in leaf])
+    leaf = np.concatenate(leaf)
+    order = np.argsort(leaf, kind="stable")
+    first = np.concatenate(([0], np.cumsum(np.bincount(leaf, minlength=len(terms)))))
+    return Trie(terms, shared_bytes(terms), np.fromiter(map(docs.__getitem__, terms), np.int64, len(terms)), first, source[order], n[order], names)
+
+
+def shared_bytes(terms: list[bytes]) -> np.ndarray:
+    """How many bytes each term has in common with the one before, as far as their first COMPARED bytes tell."""
+    cells = np.array(terms, f"S{COMPARED}").view(np.uint8).reshape(len(terms), COMPARED)
+    same = np.zeros(len(terms), np.int64)
+    same[1:] = np.cumprod((cells[1:] == cells[:-1]) & (cells[1:] > 0), axis=1, dtype=np.uint8).sum(axis=1)
+    return same
+
+
+_WIDTHS = (np.uint8, np.uint16, np.uint32, np.uint64)
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers, each as narrow as it may be."""
+    parts = []
+    for numbers in arrays:
+        most = int(numbers.max(initial=0))
+        width = 0 if most < 1 << 8 else 1 if most < 1 << 16 else 2 if most < 1 << 32 else 3
+        parts += [struct.pack("<BI", width, len(numbers)), numbers.astype(_WIDTHS[width]).tobytes()]
+    return b"".join(parts)
+
+
+def _unpacked(packed: bytes, n: int) -> tuple[list[np.ndarray], int]:
+    arrays, at = [], 0
+    for _ in range(n):
+        width, size = struct.unpack_from("<BI", packed, at)
+        arrays.append(np.frombuffer(packed, _WIDTHS[width], size, at + 5).astype(np.int64))
+        at += 5 + size * (1 << width)
+    return arrays, at
+
+
+def pieces(trie: Trie, depth: int) -> Iterator[tuple[bytes, int, list[str], bytes]]:
+    """(head, leaves, sources, subtrie) for each run of terms with the same first ``depth`` bytes."""
+    if not (terms := trie.terms):
+        return
+    heads = np.array(terms, f"S{depth}")  # (no term has a zero byte)
+    starts = np.concatenate(([0], np.flatnonzero(heads[1:] != heads[:-1]) + 1))
+    trie.shared[starts] = 0
+    for i, j in zip(starts, [*starts[1:], len(terms)], strict=True):
+        a, b = trie.first[i], trie.first[j]
+        used, source = np.unique(trie.sources[a:b], return_inverse=True)
+        tails = [t[s:] for t, s in zip(terms[i:j], trie.shared[i:j].tolist(), strict=True)]
+        sizes = np.fromiter(map(len, tails), np.int64, j - i)
+        numbers = _packed(trie.shared[i:j], sizes, trie.docs[i:j], np.diff(trie.first[i : j + 1]), source, trie.counts[a:b])
+        yield terms[i][:depth], int(j - i), [trie.names[k] for k in used], numbers + b"".join(tails)
+
+
+def trie_in(sources: list[str], subtrie: bytes) -> Trie:
+    """The trie that ``pieces`` wrote."""
+    (shared, sizes, docs, n, source, counts), at = _unpacked(subtrie, 6)
+    terms, term = [], b""
+    for keep, size in zip(shared.tolist(), sizes.tolist(), strict=True):
+        term = term[:keep] + subtrie[at : at + size]
+        at += size
+        terms.append(term)
+    return Trie(terms, shared, docs, np.concatenate(([0], np.cumsum(n))), source, counts, sources)
+
+
+class Merge:
+    """Tries that are added up; memory goes with their distinct terms."""
 
     def __init__(self):
-        self.root = Node(b"")
-
-    def at(self, term: bytes) -> list:
-        """The leaf of ``term``, made if need be: a label that ``term`` leaves halfway is divided there."""
-        node, at, end = self.root, 0, len(term)
-        while at < end:
-            if node.children is None:
-                node.children = {}
-            child = node.children.get(term[at])
-            if child is None:
-                child = node.children[term[at]] = Node(term[at:])
-                at = end
-            elif term.startswith(child.label, at):
-                at += len(child.label)
-            else:
-                label, shared = child.label, 1
-                while shared < len(label) and at + shared < end and label[shared] == term[at + shared]:
-                    shared += 1
-                upper = node.children[term[at]] = Node(label[:shared])
-                child.label, upper.children, child, at = label[shared:], {label[shared]: child}, upper, at + shared
-            node = child
-        if node.leaf is None:
-            node.leaf = [0, {}]
-        return node.leaf
-
-    def add(self, term: bytes, docs: int, counts: dict[str, int]) -> None:
-        leaf = self.at(term)
-        leaf[0] += docs
-        for source, n in counts.items():
-            leaf[1][source] = leaf[1].get(source, 0) + n
-
-    def leaves(self) -> Iterator[tuple[int, bytes, list]]:
-        """(bytes shared with the term before, term, leaf) of all terms, in UTF-8 order."""
-        stack, low = [(self.root, b"", 0)], 0
-        while stack:
-            node, above, branch = stack.pop()
-            term, low = above + node.label, min(low, branch)
-            if node.leaf is not None:
-                yield low, term, node.leaf
-                low = len(term)
-            if node.children:
-                stack.extend((node.children[first], term, len(term)) for first in sorted(node.children, reverse=True))
-
-
-def pieces(leaves: Iterator[tuple[int, bytes, list]], depth: int) -> Iterator[tuple[bytes, int, list[str], bytes]]:
-    """(head, leaves, sources, subtrie) for each run of terms with the same first ``depth`` bytes; a term counts its bytes after those it shares with the one before."""
-    for head, run in groupby(leaves, lambda leaf: leaf[1][:depth]):
-        names, numbers, tails, size = {}, array("Q"), [], 0
-        for shared, term, (docs, counts) in run:
-            shared = shared if size else 0
-            numbers.extend((shared, len(term) - shared, docs, len(counts)))
-            for source, n in counts.items():
-                numbers.extend((names.setdefault(source, len(names)), n))
-            tails.append(term[shared:])
-            size += 1
-        yield head, size, list(names), b"".join((len(numbers).to_bytes(8, "little"), numbers.tobytes(), *tails))
-
-
-def leaves_of(sources: list[str], subtrie: bytes) -> Iterator[tuple[int, bytes, list]]:
-    """What ``pieces`` wrote, in the form of ``Trie.leaves``."""
-    tails = 8 + 8 * int.from_bytes(subtrie[:8], "little")
-    numbers, at, term = array("Q", subtrie[8:tails]), 0, b""
-    while at < len(numbers):
-        shared, size, docs, n = numbers[at : at + 4]
-        end = at + 4 + 2 * n
-        pairs = numbers[at + 4 : end]
-        term, tails, at = term[:shared] + subtrie[tails : tails + size], tails + size, end
-        yield shared, term, [docs, {sources[pairs[k]]: pairs[k + 1] for k in range(0, len(pairs), 2)}]
+        self.place: dict[bytes, int] = {}
+        self.names: dict[str, int] = {}
+        self.docs: list[tuple[np.ndarray, np.ndarray]] = []  # (leaf, documents)
+        self.counts: list[tuple[np.ndarray, np.ndarray]] = []  # (leaf << 32 | source, count)
+
+    def add(self, trie: Trie) -> None:
+        place = self.place
+        leaf = np.fromiter([place.setdefault(term, len(place)) for term in trie.terms], np.int64, len(trie.terms))
+        names = np.fromiter([self.names.setdefault(s, len(self.names)) for s in trie.names], np.int64, len(trie.names))
+        self.docs.append((leaf, trie.docs))
+        self.counts.append((np.repeat(leaf, np.diff(trie.first)) << 32 | names[trie.sources], trie.counts))
+        if len(self.docs) >= FOLD:
+            self.fold()
+
+    def fold(self) -> None:
+        for parts in (self.docs, self.counts):
+            keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            sums = np.zeros(len(keys), np.int64)
+            np.add.at(sums, at, np.concatenate([n for _, n in parts]))
+            parts[:] = [(keys, sums)]
+
+    def trie(self, least: int) -> Trie:
+        """The sum, without the terms of fewer than ``least`` documents."""
+        self.fold()
+        (_, docs), (keys, counts) = self.docs[0], self.counts[0]
+        terms = [t for t in sorted(self.place) if docs[self.place[t]] >= least]
+        leaf = np.fromiter(map(self.place.__getitem__, terms), np.int64, len(terms))
+        to = np.full(len(docs), -1)
+        to[leaf] = np.arange(len(terms))
+        new = to[keys >> 32]
+        order = np.flatnonzero(new >= 0)[np.argsort(new[new >= 0], kind="stable")]
+        first = np.concatenate(([0], np.cumsum(np.bincount(new[order], minlength=len(terms)))))
+        return Trie(terms, np.zeros(len(terms), np.int64), docs[leaf], first, (keys & 0xFFFFFFFF)[order], counts[order], list(self.names))
 
 
 # --- counting and merging ---
 
 PIECES = pa.schema([("lang", pa.string()), ("head", pa.binary()), ("leaves", pa.int64()), ("sources", pa.list_(pa.string())), ("subtrie", pa.binary())])
 PIECES_DDL = "lang string, head binary, leaves long, sources array<string>, subtrie binary"
-TERMS = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int64()), ("total", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 TERMS_DDL = "lang string, term binary, docs long, total long, sources array<string>, counts array<long>"
 
 
-def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4096) -> Iterator[pa.RecordBatch]:
+def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 1024) -> Iterator[pa.RecordBatch]:
     held = []
     for row in rows:
         held.append(row)
@@ -151,62 +197,64 @@ def _counting(most: int, depth: int):
     """The tries of a task's documents, in pieces below prefixes of ``depth`` bytes; out they go whenever ``most`` entries are counted."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        counts: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
         docs: dict[str, Counter] = defaultdict(Counter)
 
         def out() -> Iterator[tuple]:
             for lang in sorted(docs):
-                trie = Trie()
-                for term, n in docs.pop(lang).items():
-                    trie.at(term)[0] = n
-                for group in [g for g in counts if g[0] == lang]:
-                    for term, n in counts.pop(group).items():
-                        trie.at(term)[1][group[1]] = n
-                yield from ((lang, *piece) for piece in pieces(trie.leaves(), depth))
+                found, by_source = docs.pop(lang), counts.pop(lang)
+                if found:
+                    yield from ((lang, *piece) for piece in pieces(trie_of(found, by_source), depth))
 
         held = 0
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             for lang, source, text in zip(batch.column("lang"), batch.column("source"), texts, strict=True):
-                lang, group, seen = lang.as_py(), (lang.as_py(), source.as_py()), set()
-                held -= len(counts[group])
+                lang, seen = lang.as_py(), set()
+                group = counts[lang][source.as_py()]
+                held -= len(group)
                 for terms in terms_of(text.as_py()):
-                    counts[group].update(terms)
+                    group.update(terms)
                     seen.update(terms)
-                held += len(counts[group])
+                held += len(group)
                 docs[lang].update(seen)
                 if held >= most:
                     yield from _batches(out(), PIECES)
                     held = 0
-                    counts.clear()
         yield from _batches(out(), PIECES)
 
     return counted
 
 
-def _cut_at(depth: int):
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, Trie]]:
+    for batch in batches:
+        for lang, head, sources, subtrie in zip(*map(batch.column, ("lang", "head", "sources", "subtrie")), strict=True):
+            yield lang.as_py(), head.as_py(), trie_in(sources.as_py(), subtrie.as_py())
+
+
+def _cutting(depth: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((lang.as_py(), *piece) for b in batches for lang, sources, subtrie in zip(*map(b.column, ("lang", "sources", "subtrie")), strict=True) for piece in pieces(leaves_of(sources.as_py(), subtrie.as_py()), depth))
-        yield from _batches(rows, PIECES)
+        yield from _batches(((lang, *piece) for lang, _, trie in _rows(batches) for piece in pieces(trie, depth)), PIECES)
 
     return cut
 
 
 def _merging(least: int):
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((lang.as_py(), head.as_py(), sources, subtrie) for b in batches for lang, head, sources, subtrie in zip(*map(b.column, ("lang", "head", "sources", "subtrie")), strict=True))
-
-        def walked() -> Iterator[tuple]:
-            for (lang, _), run in groupby(rows, lambda row: row[:2]):
-                trie = Trie()
-                for _, _, sources, subtrie in run:
-                    for _, term, leaf in leaves_of(sources.as_py(), subtrie.as_py()):
-                        trie.add(term, *leaf)
-                for _, term, (docs, counts) in trie.leaves():
-                    if docs >= least:
-                        yield lang, term, docs, sum(counts.values()), list(counts), list(counts.values())
-
-        yield from _batches(walked(), TERMS)
+        for (lang, _), run in groupby(_rows(batches), lambda row: row[:2]):
+            merge = Merge()
+            for _, _, trie in run:
+                merge.add(trie)
+            trie = merge.trie(least)
+            if trie.terms:
+                total = np.add.reduceat(trie.counts, trie.first[:-1])
+                sources = pa.ListArray.from_arrays(pa.array(trie.first, pa.int32()), pa.array(trie.names, pa.string()).take(pa.array(trie.sources)))
+                counts = pa.ListArray.from_arrays(pa.array(trie.first, pa.int32()), pa.array(trie.counts))
+                whole = pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(trie.terms), pa.string()), pa.array(trie.terms, pa.binary()), pa.array(trie.docs), pa.array(total), sources, counts],
+                    ["lang", "term", "docs", "total", "sources", "counts"],
+                )
+                yield from (whole.slice(at, 8192) for at in range(0, whole.num_rows, 8192))
 
     return merged
 
@@ -217,19 +265,21 @@ def kept_terms(docs: DataFrame, least_docs: int = 3) -> DataFrame:
     Written once; rows lie in the order of lang and term.
     """
     read = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    level, depth, closed = written(read.mapInArrow(_counting(HELD, HEAD), PIECES_DDL)), HEAD, None
+    level, depth, closed = written(read.mapInArrow(_counting(HELD, HEAD), PIECES_DDL)), HEAD, []
     while True:
         sums = level.groupBy("lang", "head").agg(F.sum("leaves").alias("n")).where((F.col("n") > MOST_LEAVES) & (F.octet_length("head") == depth))
         full = checkpointed(sums.select("lang", "head"))
-        if full.isEmpty():
-            closed = level if closed is None else closed.unionByName(level)
+        n = full.count()
+        if not n:
             break
-        whole = skew_join(level, full, ["lang", "head"], "left_anti")
-        closed, depth = whole if closed is None else closed.unionByName(whole), 2 * depth
-        level = written(skew_join(level, full, ["lang", "head"], "left_semi").mapInArrow(_cut_at(depth), PIECES_DDL))
+        keys = ["lang", "head"]
+        whole, rest = (level.join(F.broadcast(full), keys, how) if n <= MOST_HEADS else skew_join(level, full, keys, how) for how in ("left_anti", "left_semi"))
+        closed.append(whole)
+        depth *= 2
+        level = written(rest.mapInArrow(_cutting(depth), PIECES_DDL))
     # All pieces of a prefix come to one range, next to each other; ranges are cut between prefixes.
-    ranged = closed.repartitionByRange("lang", "head").sortWithinPartitions("lang", "head")
-    return written(ranged.mapInArrow(_merging(least_docs), TERMS_DDL))
+    every = reduce(DataFrame.unionByName, [*closed, level])
+    return written(every.repartitionByRange("lang", "head").sortWithinPartitions("lang", "head").mapInArrow(_merging(least_docs), TERMS_DDL))
 
 
 # --- divergence ---

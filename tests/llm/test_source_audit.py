@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import source_audit
-from quillspark.llm.source_audit import Trie, leaves_of, pieces, terms_of
+from quillspark.llm.source_audit import Merge, pieces, shared_bytes, terms_of, trie_in, trie_of
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -84,23 +84,45 @@ def test_divergence_of_empty_tables(spark):
     assert rows_of(source_audit.divergence(frame(spark, [("a", "en", "s"), (None, "en", None)]))) == [("en", "", "pair", "s", 0, 1), ("en", "s", "pair", "", 0, 1)]
 
 
-def test_tries_hold_what_dictionaries_hold():
+def told_by(trie):
+    return {t: (int(trie.docs[k]), {trie.names[trie.sources[e]]: int(trie.counts[e]) for e in range(trie.first[k], trie.first[k + 1])}) for k, t in enumerate(trie.terms)}
+
+
+@pytest.mark.parametrize("letters", [b"ab", bytes(range(1, 256))])
+def test_tries_add_up_like_dictionaries(letters, monkeypatch):
+    monkeypatch.setattr(source_audit, "FOLD", 5)
     random.seed(1)
-    for letters in (b"ab", bytes(range(1, 256))):
-        trie, told = Trie(), {}
-        for _ in range(2000):
-            term, source, n = bytes(random.choices(letters, k=random.randrange(1, 7))), random.choice("xyz"), random.randrange(1, 9)
-            trie.add(term, 1, {source: n})
-            docs, counts = told.setdefault(term, [0, Counter()])
-            told[term][0] = docs + 1
-            counts[source] += n
-        walked = [(term, leaf) for _, term, leaf in trie.leaves()]
-        assert walked == sorted((t, [d, dict(c)]) for t, (d, c) in told.items())
-        for depth in (1, 3, 6):
-            cut = [(head, size, sources, subtrie) for head, size, sources, subtrie in pieces(trie.leaves(), depth)]
-            assert [head for head, *_ in cut] == sorted({t[:depth] for t in told})
-            again = [(t, leaf) for _, _, sources, subtrie in cut for _, t, leaf in leaves_of(sources, subtrie)]
-            assert again == walked and sum(size for _, size, *_ in cut) == len(told)
+    merge, every = Merge(), {}
+    for size in (1, 2000, 0, 700, 300, 300, 40, 1):
+        docs, counts = Counter(), defaultdict(Counter)
+        for _ in range(size):
+            term, source = bytes(random.choices(letters, k=random.choice([1, 2, 3, 5, 80]))), random.choice("xyz")
+            docs[term] += random.choice([1, 1, 300, 70_000])
+            counts[source][term] += random.choice([1, 2, 70_000, 5_000_000_000])
+        if not docs:
+            continue
+        told = {t: (n, {s: c[t] for s, c in counts.items() if c[t]}) for t, n in docs.items()}
+        assert told_by(trie_of(docs, counts)) == told and trie_of(docs, counts).terms == sorted(told)
+        for depth in (1, 3, 90):
+            trie = trie_of(docs, counts)
+            cut = list(pieces(trie, depth))
+            assert [head for head, *_ in cut] == sorted({t[:depth] for t in told}) and sum(n for _, n, *_ in cut) == len(told)
+            again = [trie_in(sources, subtrie) for _, _, sources, subtrie in cut]
+            assert {k: v for t in again for k, v in told_by(t).items()} == told
+        for part in again:
+            merge.add(part)
+        for t, (n, c) in told.items():
+            old = every.get(t, (0, {}))
+            every[t] = (old[0] + n, {s: old[1].get(s, 0) + c.get(s, 0) for s in {*old[1], *c}})
+    for least in (1, 3):
+        assert told_by(merge.trie(least)) == {t: x for t, x in every.items() if x[0] >= least}
+        assert merge.trie(least).terms == sorted(t for t, x in every.items() if x[0] >= least)
+
+
+def test_shared_bytes():
+    terms = sorted([b"a", b"ab", b"abc", b"b" * 40, b"b" * 41, b"b" * 50 + b"c", "é".encode(), "è".encode()])
+    found = shared_bytes(terms).tolist()
+    assert found[:3] == [0, 1, 2] and found[-1] == 1 and all(a[:n] == b[:n] for a, b, n in zip(terms[:-1], terms[1:], found[1:], strict=True))
 
 
 def test_terms_of_long_texts():
