@@ -22,7 +22,8 @@ from quillspark.llm.common import checkpointed, connected_components, skew_join,
 SEED = 42
 RADIUS = 3
 SIGNATURE = tuple(range(42, 58))  # seeds of the sixteen words of a similarity signature
-FORESTS = 3  # spanning forests of each block whose pairs are held against their exact similarity
+FORESTS = 3  # spanning forests of each bucket whose pairs are held against their exact similarity at first; then four times as many
+FEW = 32  # shingles under which the angle tells too little, and every pair that shares a key is a candidate
 BANDS, BAND_MINIMA = 16, 4  # at a similarity of 0.8, all bands miss one pair in 4,000
 HASHES_AT_ONCE = 1 << 17
 BLOCK = 2048  # fingerprints compared with each other at once
@@ -236,68 +237,90 @@ def least_forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label, a, b = parent[label], parent[a], parent[b]
 
 
-def _nearest(ids: np.ndarray, words: np.ndarray, radius: int, forests: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (a, b) of one block: the spanning forest of the nearest pairs within the radius, again of the pairs left, and so on."""
-    found = [(rows[k], j, near[k, j]) for rows, near in near_rows(words, radius) for k, j in [np.nonzero(near)]]
+def _nearest(keys: np.ndarray, ids: np.ndarray, words: np.ndarray, labels: np.ndarray, radius: int, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (a, b) of one block, and the keys that have more: those of its buckets' spanning forests number ``start`` to ``end``.
+
+    The first forest is that of the nearest pairs within the radius, each other that of the
+    pairs the ones before left; it depends on a bucket's rows alone.  Pairs of one label
+    are in no result.
+    """
+    found = []
+    for rows, near in near_rows(words, radius):
+        k, j = np.nonzero(near)
+        same = keys[rows[k]] == keys[j]
+        found.append((rows[k][same], j[same], near[k[same], j[same]]))
+    none = np.zeros(0, np.int64)
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none, none
     i, j, distance = (np.concatenate(c) for c in zip(*found, strict=True))
     order = np.lexsort((j, i, distance))
-    i, j, a, b = i[order], j[order], [], []
-    for _ in range(forests):
+    i, j, a, b = i[order], j[order], [none], [none]
+    for nth in range(end):
+        if not len(i):
+            break
         chosen = least_forest(len(ids), i, j)
-        a.append(ids[i[chosen]])
-        b.append(ids[j[chosen]])
+        if nth >= start:
+            apart = chosen[labels[i[chosen]] != labels[j[chosen]]]
+            a.append(ids[i[apart]])
+            b.append(ids[j[apart]])
         i, j = np.delete(i, chosen), np.delete(j, chosen)
-    return np.concatenate(a), np.concatenate(b)
+    return np.concatenate(a), np.concatenate(b), np.unique(keys[i[labels[i] != labels[j]]])
 
 
-def bucket_edges(keyed: DataFrame, radius: int, forests: int = 0) -> DataFrame:
+def bucket_edges(keyed: DataFrame, radius: int, start: int = 0, end: int = 0) -> DataFrame:
     """Edges (a, b) that join all rows (key, id, fp) within ``radius`` bits of each other that share a key.
 
     Buckets must be bounded: each is compared whole, in blocks that hold several; rows
     alone in their bucket meet none. Only ids, fingerprints and a forest of a task's rows
-    are in memory.  With ``forests``, edges are pairs within the radius: those of so many
-    spanning forests of each block, the nearest first; else they join a task's rows to
-    the least of each component.
+    are in memory.  With ``end``, edges are pairs within the radius: those of forests
+    ``start`` to ``end`` of each bucket (``_nearest``), without those that agree in the column
+    label; a row (null, null, key) tells of a bucket that has more.  Else they join a task's
+    rows to the least of each component.
     """
+    nearest = end > 0
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
-        pairs: list[tuple[np.ndarray, np.ndarray]] = []
-        keys, ids, words = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        none = np.zeros(0, np.int64)
+        keys, ids, labels, words = none, none, none, None
 
         def settle(last: bool) -> None:
-            nonlocal keys, ids, words
+            nonlocal keys, ids, labels, words
             while len(keys) and (last or keys[0] != keys[-1]):
                 ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys) if last else 0)
                 ends = ends[ends > 0]
-                end = ends[max(0, np.searchsorted(ends, BLOCK, side="right") - 1)]
-                if end < min(BLOCK, len(keys)) // 2 and not last and len(keys) < BLOCK:
+                cut = ends[max(0, np.searchsorted(ends, BLOCK, side="right") - 1)]
+                if cut < min(BLOCK, len(keys)) // 2 and not last and len(keys) < BLOCK:
                     return
-                if end > 1 and forests:
-                    pairs.append(_nearest(ids[:end], words[:end], radius, forests))
-                elif end > 1:
-                    _forest(ids[:end], words[:end], radius, parent)
-                keys, ids, words = keys[end:], ids[end:], words[end:]
+                if cut > 1 and nearest:
+                    pairs.append(_nearest(keys[:cut], ids[:cut], words[:cut], labels[:cut], radius, start, end))
+                elif cut > 1:
+                    _forest(ids[:cut], words[:cut], radius, parent)
+                keys, ids, labels, words = keys[cut:], ids[cut:], labels[cut:], words[cut:]
 
         def drop_single(last: bool) -> None:
-            nonlocal keys, ids, words
+            nonlocal keys, ids, labels, words
             same = keys[1:] == keys[:-1]
             met = np.append(False, same) | np.append(same, False)
             met[-1:] |= not last  # the last bucket may go on
-            keys, ids, words = keys[met], ids[met], words[met]
+            keys, ids, labels, words = keys[met], ids[met], labels[met], words[met]
 
         def found() -> Iterator[pa.RecordBatch]:
-            for a, b in pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            for a, b, more in pairs:
+                yield batch_of(a, b, None)
+                yield batch_of(None, None, more)
             pairs.clear()
 
+        def batch_of(*columns: np.ndarray | None) -> pa.RecordBatch:
+            rows = max(len(c) for c in columns if c is not None)
+            return pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], ["a", "b", "key"])
+
         for batch in batches:
-            k, i = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id"))
+            k, i, g = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "label"))
             fp = batch.column("fp")
             w = fp.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(k), -1) if len(k) else np.zeros((0, 1), np.uint64)
-            keys, ids = np.concatenate([keys, k]), np.concatenate([ids, i])
+            keys, ids, labels = np.concatenate([keys, k]), np.concatenate([ids, i]), np.concatenate([labels, g])
             words = w if words is None else np.concatenate([words, w])
             drop_single(last=False)
             if len(keys) >= 4 * BLOCK:
@@ -309,9 +332,34 @@ def bucket_edges(keyed: DataFrame, radius: int, forests: int = 0) -> DataFrame:
         yield from found()
         joined = [(x, _root(parent, x)) for x in list(parent)]
         joined = [p for p in joined if p[0] != p[1]]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in joined], pa.int64()), pa.array([r for _, r in joined], pa.int64())], ["a", "b"])
+        yield batch_of(np.array([x for x, _ in joined], np.int64), np.array([r for _, r in joined], np.int64), None)
+
+    if "label" not in keyed.columns:
+        keyed = keyed.withColumn("label", F.col("id"))
+    dealt = keyed.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "fp", "label")
+    out = dealt.mapInArrow(edges, "a long, b long, key long")
+    return out if nearest else out.select("a", "b")
 
-    return keyed.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "fp").mapInArrow(edges, "a long, b long")
+
+def checked_edges(keyed: DataFrame, radius: int, check: Callable[[DataFrame], DataFrame], whole: bool) -> DataFrame:
+    """Edges (a, b) of pairs (key, id, fp) that share a key, lie within ``radius`` and pass ``check``; with ``whole``, enough of them to connect all that do.
+
+    The nearest pairs of each bucket are checked first.  Buckets with further pairs of rows
+    that are not yet connected offer four times as many forests then, and so on until no
+    bucket has any; without ``whole`` it ends after the first.
+    """
+    held = checkpointed(keyed.select("key", "id", "fp")) if whole else keyed
+    rest, edges, start, end = held, None, 0, FORESTS
+    while True:
+        offered = checkpointed(bucket_edges(rest, radius, start, end))
+        passed = checkpointed(check(offered.where("key is null").select("a", "b")))
+        edges = passed if edges is None else edges.unionByName(passed)
+        more = offered.where("key is not null").select("key")
+        if not whole or more.isEmpty():
+            return edges
+        linked = connected_components(edges).withColumnRenamed("component", "label")
+        rest = skew_join(skew_join(held, checkpointed(more), ["key"], "left_semi"), linked, ["id"], "left").withColumn("label", F.coalesce("label", "id"))
+        rest, start, end = checkpointed(rest), end, 4 * end
 
 
 # --- exact search within a small radius ---------------------------------------------------------
@@ -383,20 +431,23 @@ def _next_mask(known: Column, part: int, parts: int, depth: int) -> Column:
 def signature_links(sigs: DataFrame, radius: int, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Edges (a, b) that connect all rows (id, fp: array of 64-bit words, keys; fps distinct) within ``radius`` bits that share a key.
 
-    ``check`` keeps those pairs that are links indeed; each block offers it FORESTS spanning
-    forests of its nearest pairs, so that what one pair fails to connect another may.
+    ``check`` keeps those pairs that are links indeed (``checked_edges``).
     Keys shared by more than half a block of rows are dealt into salted blocks; then what
     each block found alike is represented by one row, and the representatives meet again,
     as long as that joins more.  This only saves work: at last all rows of these keys that
     are not connected yet are compared across the blocks.
     """
-    links = lambda keyed: checkpointed(check(bucket_edges(keyed, radius, FORESTS)) if check else bucket_edges(keyed, radius))
+
+    def links(keyed: DataFrame, whole: bool = False) -> DataFrame:
+        return checked_edges(keyed, radius, check, whole) if check else checkpointed(bucket_edges(keyed, radius))
+
     wide = sigs.select("id", "fp", F.explode("keys").alias("key"))
     full = _crowded(wide)
-    found = edges = links(_dealt(wide, full))
     if full.isEmpty():
-        return edges
+        return links(wide, whole=True)
     held = level = checkpointed(skew_join(wide, full.select("key"), ["key"], "left_semi"))
+    found = links(_dealt(held, full))
+    edges = found.unionByName(links(skew_join(wide, full.select("key"), ["key"], "left_anti"), whole=True))
     before = held.count()
     while not full.isEmpty():
         joined = connected_components(found).where("id <> component").select("id")
@@ -407,7 +458,7 @@ def signature_links(sigs: DataFrame, radius: int, check: Callable[[DataFrame], D
         before, full = rows, _crowded(level)
         found = links(_dealt(level, full))
         edges = edges.unionByName(found)
-    return edges.unionByName(links(_across_blocks(held, connected_components(edges))))
+    return edges.unionByName(links(_across_blocks(held, connected_components(edges)), whole=True))
 
 
 def _crowded(wide: DataFrame) -> DataFrame:
@@ -467,7 +518,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, sl
     (a shorter text is one shingle) is ``similarity`` or more.  Candidates share the least of
     their shingles' hashes in one of BANDS ways, and sixteen SimHash words of theirs lie
     within the angle of that similarity, widened by ``slack`` as a share of the bits (four
-    standard errors); nearest first, they are then held against the exact similarity.  One
+    standard errors), if both have FEW shingles or more; nearest first, they are then held
+    against the exact similarity, until all that pass are connected.  One
     document of each group stays, that of the smallest doc_id (null last); of rows that
     repeat a doc_id and its text all stay or go.  Texts without words, null ones too, are
     in no row; very long texts are read whole; an empty table gives no rows; other columns
@@ -477,10 +529,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, sl
     radius = int(64 * len(SIGNATURE) * (float(np.arccos(cosine)) / np.pi + slack))
     found = fingerprints(docs.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")), words, SIGNATURE, repeats=False)
     found = checkpointed(found.withColumn("row_id", F.monotonically_increasing_id()))
-    nodes = checkpointed(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("row_id").alias("id"), F.min("keys").alias("keys")))
+    nodes = checkpointed(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("row_id").alias("id"), F.min("keys").alias("keys"), F.min(F.size("shingles")).alias("size")))
     sets = found.select(F.col("row_id").alias("id"), "shingles")
-    linked = connected_components(signature_links(nodes.select("id", "fp", "keys"), radius, lambda pairs: similar(pairs, sets, similarity)))
-    groups = skew_join(nodes.drop("keys"), linked, ["id"], "left").withColumn("component", F.coalesce("component", "id"))
+    # A pair of which one has under FEW shingles is within the few; all others are within the many.
+    few, many = nodes.where(F.col("size") * similarity < FEW), nodes.where(F.col("size") >= FEW)
+    check = lambda pairs: similar(pairs, sets, similarity)
+    edges = [signature_links(some.select("id", "fp", "keys"), bits, check) for some, bits in ((many, radius), (few, 64 * len(SIGNATURE)))]
+    linked = connected_components(edges[0].unionByName(edges[1]))
+    groups = skew_join(nodes.drop("keys", "size"), linked, ["id"], "left").withColumn("component", F.coalesce("component", "id"))
     smallest = groups.groupBy("component").agg(F.min("first").alias("group_id"))
     classes = skew_join(groups.select("fp", "component"), smallest, ["component"], "inner").select("fp", "group_id")
     return skew_join(found.select("doc_id", "fp"), classes, ["fp"], "inner").select("doc_id", "group_id", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))

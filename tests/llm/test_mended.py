@@ -4,10 +4,12 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import html_layout, pii_surrogates
+from quillspark.llm import html_layout, pii_surrogates, simhash_dedup
+from quillspark.llm.common import connected_components
 from tests.oracle import SF_DIR
 
 # --- 2: HTML ---
@@ -94,3 +96,57 @@ def test_colliding_values_are_mended_alone(spark):
     assert sorted(r[1] or "" for r in found) == sorted(["", "9.9.9.9", bo, f"hello {ann} and 5.6.7.8 {bo}!"])
     assert pii_surrogates.collisions(pii_surrogates.mended(replaced, met, "k")).isEmpty()
     assert all(r[1][e["start"] :].startswith(e["surrogate"]) for r in found for e in r[2])
+
+
+# --- near duplicates ---
+
+
+def components_of(nodes, pairs):
+    up = {x: x for x in nodes}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {x: root(x) for x in nodes}
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+def test_links_are_found_however_many_nearer_pairs_fail(spark, monkeypatch, block):
+    """Few of the pairs within the radius pass the check, and those at random: far ones as well as near ones."""
+    monkeypatch.setattr(simhash_dedup, "BLOCK", block)
+    random.seed(3)
+    fps = [sum(1 << random.randrange(64) for _ in range(4)) & (2**64 - 1) for _ in range(60)]
+    keys = [[i % 2 + 1, 7] if i % 5 else [7] for i in range(len(fps))]
+    close = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 7]
+    allowed = [(min(p), max(p)) for p in random.sample(close, 25)]
+    passes = spark.createDataFrame(allowed, "a long, b long")
+    df = spark.createDataFrame([(i, [int(np.uint64(f).astype(np.int64))], k) for i, (f, k) in enumerate(zip(fps, keys, strict=True))], "id long, fp array<long>, keys array<long>")
+
+    def check(pairs):
+        pairs = pairs.selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
+        return pairs.join(passes, ["a", "b"])
+
+    got = {r["id"]: r["component"] for r in connected_components(simhash_dedup.signature_links(df, 7, check)).collect()}
+    expected = components_of(range(len(fps)), allowed)
+    assert {i: got.get(i, i) for i in range(len(fps))} == expected and len(close) > 300
+
+
+def test_short_near_copies_are_found(spark):
+    random.seed(8)
+    word = lambda: "".join(random.choices("abcdefghij", k=6))
+    rows, pairs = [], []
+    for k in range(300):
+        long = [word() for _ in range(random.choice([9, 10, 14, 24, 36, 44]))]
+        n = len(long) - 4
+        short = long[: len(long) - int(0.2 * n + 1e-9)]  # shares its shingles, four fifths or more of the longer one's
+        rows += [(2 * k, " ".join(long)), (2 * k + 1, " ".join(short))]
+        pairs.append((2 * k, 2 * k + 1))
+    rows += [(10_000 + k, " ".join(word() for _ in range(9))) for k in range(300)]
+    got = {r["doc_id"]: r["group_id"] for r in simhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[a] == got[b] for a, b in pairs)
+    assert found >= 0.99 * len(pairs) and len(set(got.values())) >= len(rows) - len(pairs)
