@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import checkpointed, rows_of, skew_join
-from quillspark.llm.licence_texts import LICENCES, NOTICES
+from quillspark.llm.licence_texts import LICENCES, NOTICES, TITLES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (pattern, replacement) in order, after lower-casing A-Z; the same in Java, Python and RE2.
 STEPS = (
-    (r"(^|\n)[ \t]*(copyright[ \t]*(\(c\)|©|[0-9<\[{])|\(c\)[ \t]|©)[^\n]*", "\n"),
+    (r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[{])|\(c\)[ \t]|©)[^\n]*", "\n"),  # copyright lines, in comments too
+    (r"(^|\n)[^a-z0-9\n]*([0-9][0-9]?|[a-z])[.)][ \t]+", "\n"),  # marks of a list
     (r"&", " and "),
     (r"https?://", "url "),
     (r"[^a-z0-9]+", " "),
@@ -29,6 +30,8 @@ STEPS = (
     (r"\bsub licens", "sublicens"),
     (r"\bnon infring", "noninfring"),
     (r"\bcopyright owner", "copyright holder"),
+    (r"\ball rights reserved\b", ""),
+    (r" +", " "),
     (r"^ +| +$", ""),
 )
 
@@ -55,6 +58,11 @@ def digest_of(text: str) -> str:
     return hashlib.sha256(canonical_text(text).encode()).hexdigest()
 
 
+def titled(texts: dict[str, str]) -> list[tuple[str, str]]:
+    """(licence, text) of each text, alone and below each of its titles: files carry either."""
+    return [(name, text if not title else f"{title}\n\n{text}") for name, text in texts.items() for title in ("", *TITLES.get(name, ()))]
+
+
 def known(texts: Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
     """(digest, licence) of known texts; of equal ones the first name."""
     found: dict[str, str] = {}
@@ -66,7 +74,8 @@ def known(texts: Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, digest, licence, notices.
 
-    Licence is that whose canonical text the whole document is, or null; notices lists the
+    Licence is that whose canonical text the whole document is, with one of its titles or
+    without, as plain text or as a comment, or null; notices lists the
     licences of which a line of the document is a known notice, sorted and joined by commas
     ("" for none).  Null texts are empty and match nothing, as empty ones do; texts are read
     whole, however long; rows that repeat a doc_id share their notices; other columns are
@@ -74,7 +83,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     # Both tables of known digests are constants of this module: they are broadcast.
-    whole = F.broadcast(rows_of(spark, known([*LICENCES.items(), *NOTICES.items()]), "digest string, licence string"))
+    whole = F.broadcast(rows_of(spark, known([*titled(LICENCES), *NOTICES.items()]), "digest string, licence string"))
     lines = F.broadcast(rows_of(spark, known(NOTICES.items()), "line_digest string, notice string"))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     looked_up = named.select("doc_id", F.sha2(canonical("text"), 256).alias("digest")).join(whole, "digest", "left")
@@ -97,7 +106,7 @@ def canonical_sql(column: str) -> str:
 def oracle_sql() -> str:
     values = lambda rows: ", ".join(f"('{d}', '{n}')" for d, n in rows)
     return f"""
-        WITH whole(digest, licence) AS (VALUES {values(known([*LICENCES.items(), *NOTICES.items()]))}),
+        WITH whole(digest, licence) AS (VALUES {values(known([*titled(LICENCES), *NOTICES.items()]))}),
         lines(line_digest, notice) AS (VALUES {values(known(NOTICES.items()))}),
         docs AS (SELECT doc_id, text, sha256({canonical_sql("text")}) AS digest FROM documents),
         split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),

@@ -60,3 +60,14 @@ LICENCES["BSD-3-Clause"] = LICENCES["BSD-2-Clause"].replace(
     "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED BY",
 )
 LICENCES |= {file.name.removesuffix(".txt"): file.read_text("utf-8") for file in sorted(files("quillspark.llm").joinpath("licences").iterdir(), key=lambda f: f.name) if file.name.endswith(".txt")}
+
+# The titles that stand above a licence's text in files.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD License", "New BSD License", "Modified BSD License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"),
+}
