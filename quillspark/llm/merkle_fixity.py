@@ -9,9 +9,10 @@ apart from what is corrupt.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +24,8 @@ from quillspark.llm.common import checkpointed, skew_join, unused
 LEAF_BYTES, FANOUT = 65_536, 16
 END = "\r\n\r\n"
 _VERSION = re.compile(rb"WARC/1\.\d\r\n")
-_LENGTH = re.compile(rb"^content-length:[ \t]*(\d+)", re.I | re.M)
+_LENGTH = re.compile(rb"^content-length:[ \t]*(\d{1,15})(?!\d)", re.I | re.M)
+_MEMBER = b"\x1f\x8b\x08"
 _ID = re.compile(rb"^warc-record-id:[ \t]*<?(?:urn:record:)?([^>\r\n]*)", re.I | re.M)
 
 
@@ -52,13 +54,52 @@ def write_archives(records: DataFrame, folder: str, compression: str = "none") -
     rows.write.partitionBy("archive").option("lineSep", END).option("compression", compression).text(folder)
 
 
-def records_in(content: bytes) -> Iterator[tuple[int, int, str | None, str]]:
-    """(offset, length, record id, digest) of the records of a WARC file.
+def inflated(content: bytes, piece: int = 1 << 16) -> Iterator[tuple[int, int, bytes, bool]]:
+    """(offset, length, inflated bytes, whether whole) of the members of a gzip file.
+
+    Of a damaged or cut-off member, the bytes that can be read; then on where the next one
+    seems to start.  Bytes that belong to no member are a damaged one.
+    """
+    view, at = memoryview(content), 0
+    while at < len(content):
+        member, parts, end, whole = zlib.decompressobj(31), [], at, False
+        try:
+            while end < len(content) and not member.eof:
+                parts.append(member.decompress(view[end : end + piece]))
+                end += piece
+            whole = member.eof
+        except zlib.error:
+            pass
+        if whole:
+            end = min(end, len(content)) - len(member.unused_data)
+        else:
+            following = content.find(_MEMBER, at + 1)
+            end = following if following >= 0 else len(content)
+        yield at, end - at, b"".join(parts), whole
+        at = end
+
+
+def records_in(content: bytes) -> Iterator[tuple[int, int, str | None, str, int]]:
+    """(offset, length, record id, digest, place in the file) of the records of a WARC file.
 
     A record goes as far as its Content-Length says, if another or the end follows there;
-    else, as in a damaged file, to where the next one starts.
+    else, as in a damaged file, to where the next one starts.  Offsets are those of the
+    inflated bytes; the place is the offset itself or, in a gzipped file, that of the member in which
+    the record starts.  A member that cannot be read whole gives a record of its own beside what it still
+    holds: "unreadable:" and its place, without length, with the digest of its bytes as they stand.
     """
-    at, content = 0, gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+    parts, size, starts, places, unreadable, plain = [], 0, [], [], [], content[:2] != _MEMBER[:2]
+    if not plain:
+        for at, length, data, whole in inflated(content):
+            if not whole:
+                unreadable.append((size, 0, f"unreadable:{at}", hashlib.sha256(content[at : at + length]).hexdigest(), at))
+            if data:
+                starts.append(size)
+                places.append(at)
+                parts.append(data)
+                size += len(data)
+        content = b"".join(parts)
+    at = 0
     while at < len(content):
         head = content.find(END.encode(), at)
         said = _LENGTH.search(content, at, head) if head >= 0 else None
@@ -68,24 +109,30 @@ def records_in(content: bytes) -> Iterator[tuple[int, int, str | None, str]]:
             following = _VERSION.search(content, at + 5)
             end = following.start() if following else len(content)
         name = _ID.search(content, at, max(at, head if head >= 0 else end))
-        yield at, end - at, name[1].decode("utf-8", "replace") if name else None, hashlib.sha256(content[at:end]).hexdigest()
+        place = at if plain else places[bisect_right(starts, at) - 1]
+        yield at, end - at, name[1].decode("utf-8", "replace") if name else None, hashlib.sha256(content[at:end]).hexdigest(), place
         at = end
+    yield from unreadable
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """archive, offset, length, record_id, digest of the WARC files under ``folder``, plain or gzipped as a whole; a task holds one file."""
+def read_archives(spark: SparkSession, folder: str, places: bool = False) -> DataFrame:
+    """archive, offset, length, record_id, digest (and place, if asked for) of the WARC files under ``folder``, plain or gzipped, by record or as a whole.
+
+    A task holds one file.  No file ends the audit, however damaged: see ``records_in``.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive, content in zip(batch.column("archive").to_pylist(), batch.column("content"), strict=True):
-                found = list(zip(*records_in(content.as_py()), strict=True)) or [(), (), (), ()]
-                types = (pa.int64(), pa.int64(), pa.string(), pa.string())
+                found = list(zip(*records_in(content.as_py()), strict=True)) or [(), (), (), (), ()]
+                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 columns = [pa.array(c, t) for c, t in zip(found, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([archive] * len(found[0]), pa.string()), *columns], ["archive", "offset", "length", "record_id", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array([archive] * len(found[0]), pa.string()), *columns], ["archive", "offset", "length", "record_id", "digest", "place"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = F.coalesce(F.nullif(F.regexp_extract("path", "archive=([^/]+)/", 1), F.lit("")), F.element_at(F.split("path", "/"), -1))
-    return files.select(name.alias("archive"), "content").mapInArrow(split, "archive string, offset long, length long, record_id string, digest string")
+    found = files.select(name.alias("archive"), "content").mapInArrow(split, "archive string, offset long, length long, record_id string, digest string, place long")
+    return found if places else found.drop("place")
 
 
 # --- trees ----------------------------------------------------------------------------------------

@@ -1,5 +1,7 @@
 """Faults that were found in the operators, each with the case that showed it."""
 
+import gzip
+import hashlib
 import random
 import re
 import time
@@ -8,9 +10,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import html_layout, pii_surrogates, simhash_dedup
+from quillspark.llm import html_layout, licence_scan, merkle_fixity, pii_surrogates, simhash_dedup
 from quillspark.llm.common import connected_components
-from tests.oracle import SF_DIR
+from quillspark.llm.licence_texts import LICENCES, TITLES
+from tests.oracle import SF_DIR, connection, of_frame, of_sql
 
 # --- 2: HTML ---
 
@@ -150,3 +153,63 @@ def test_short_near_copies_are_found(spark):
     got = {r["doc_id"]: r["group_id"] for r in simhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     found = sum(got[a] == got[b] for a, b in pairs)
     assert found >= 0.99 * len(pairs) and len(set(got.values())) >= len(rows) - len(pairs)
+
+
+# --- 8: damaged archives ---
+
+
+def warc(name, body):
+    return f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:record:{name}>\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+
+
+def test_damaged_archives_give_rows(spark, tmp_path):
+    random.seed(4)
+    records = [warc(k, "".join(random.choices("abcdef \n", k=3000))) for k in range(20)]
+    members = [gzip.compress(r) for r in records]
+    places = [sum(map(len, members[:k])) for k in range(21)]
+    digests = [hashlib.sha256(r).hexdigest() for r in records]
+    whole, file = gzip.compress(b"".join(records)), b"".join(members)
+    for name, content in {
+        "good": file, "cut": file[: places[9] + 40], "flip": file[: places[5] + 60] + bytes([file[places[5] + 60] ^ 255]) + file[places[5] + 61 :],
+        "head": file[: places[7]] + b"\x1f\x8b\x09" + file[places[7] + 3 :], "one": whole[: len(whole) // 2], "noise": b"\x1f\x8b" + bytes(1000), "empty": b"",
+        "long": warc(1, "x").replace(b"Content-Length: 1", b"Content-Length: " + b"9" * 5000) + records[2], "plain": b"".join(records),
+    }.items():
+        (tmp_path / f"{name}.warc.gz").write_bytes(content)
+    found = {}
+    for r in merkle_fixity.read_archives(spark, str(tmp_path), places=True).collect():
+        found.setdefault(r["archive"].removesuffix(".warc.gz"), []).append(r)
+    told = {name: [(r["record_id"], r["digest"]) for r in rows] for name, rows in found.items()}
+    every = list(zip(map(str, range(20)), digests, strict=True))
+    assert told["good"] == told["plain"] == every and [r["place"] for r in found["good"]] == places[:-1] and [r["offset"] for r in found["good"]] == [r["offset"] for r in found["plain"]] == [r["place"] for r in found["plain"]]
+    assert told["cut"][:9] == every[:9] and f"unreadable:{places[9]}" in dict(told["cut"]) and not set(told["cut"]) & set(every[9:])
+    assert set(every) - set(told["flip"]) == {every[5]} and f"unreadable:{places[5]}" in dict(told["flip"])
+    assert set(every) - set(told["head"]) == {every[7]} and f"unreadable:{places[7]}" in dict(told["head"])
+    assert "unreadable:0" in dict(told["one"]) and 5 <= len(set(told["one"]) & set(every)) < 15
+    assert [name for name, _ in told["noise"]] == ["unreadable:0"] and "empty" not in told
+    assert ("2", digests[2]) in told["long"] and len(told["long"]) == 2
+    read = merkle_fixity.read_archives(spark, str(tmp_path))
+    good, flip = (read.where(f"archive = '{name}.warc.gz'").withColumn("archive", F.lit("a")) for name in ("good", "flip"))
+    status = {r["record_id"]: r["status"] for r in merkle_fixity.audit(good, flip).collect()}
+    assert status["5"] in ("missing", "corrupt") and status[f"unreadable:{places[5]}"] == "extra" and {s for i, s in status.items() if i not in ("5", f"unreadable:{places[5]}")} <= {"moved"}
+
+
+# --- 10: licence files ---
+
+
+def test_licence_files_as_published_are_found(spark, tmp_path):
+    mit, bsd = LICENCES["MIT"], LICENCES["BSD-3-Clause"]
+    commented = "/*\n * Copyright (c) 2020 Some One\n *\n" + "\n".join(f" * {line}" for line in mit.split("\n")) + "\n */"
+    texts = {
+        "MIT": [f"MIT License\n\nCopyright (c) 2019 A\n\n{mit}", f"The MIT License (MIT)\n\nCopyright © 2020 B\nCopyright 2021 C\n\n{mit}\n", commented, "\n".join(f"# {line}" for line in mit.split("\n")), mit.upper()],
+        "ISC": [f"ISC License\n\nCopyright (c) 2001, A\n\n{LICENCES['ISC']}"], "Zlib": [f"zlib License\n\n(C) 2001 A\n\n{LICENCES['Zlib']}"],
+        "BSD-3-Clause": [f"BSD 3-Clause License\n\nCopyright (c) 2020, A\nAll rights reserved.\n\n{bsd}", f"Copyright (c) 2020, A. All rights reserved.\n\n{re.sub('(?m)^[0-9][.] ', '* ', bsd)}", re.sub("(?m)^([0-9])[.] ", r"  \1) ", bsd), re.sub("(?m)^1[.] ", "a. ", bsd)],
+        None: [mit + " And more.", "MIT License", "", None, f"Title of a book\n{mit}", "All rights reserved."],
+    }
+    rows = [(k, name, text) for k, (name, text) in enumerate((n, t) for n, ts in texts.items() for t in ts)]
+    rows += [(1000 + k, name, f"{title}\n\n{LICENCES[name]}") for name, titles in TITLES.items() for k, title in enumerate(titles)]
+    spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = licence_scan.scan(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    assert sorted((r["doc_id"], r["licence"] or "") for r in found.collect()) == sorted((i, n or "") for i, n, _ in rows)
+    con = connection()
+    con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert of_frame(found) == of_sql(con, licence_scan.oracle_sql())
