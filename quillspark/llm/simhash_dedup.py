@@ -22,7 +22,7 @@ from quillspark.llm.common import checkpointed, connected_components, skew_join,
 SEED = 42
 RADIUS = 3
 SIGNATURE = tuple(range(42, 58))  # seeds of the sixteen words of a similarity signature
-FORESTS = 3  # spanning forests of each bucket whose pairs are held against their exact similarity at first; then four times as many
+FORESTS, MORE_FORESTS = 4, 8  # spanning forests of each bucket whose pairs are held against their exact similarity at first, and how many times as many then
 FEW = 32  # shingles under which the angle tells too little, and every pair that shares a key is a candidate
 BANDS, BAND_MINIMA = 16, 4  # at a similarity of 0.8, all bands miss one pair in 4,000
 HASHES_AT_ONCE = 1 << 17
@@ -274,8 +274,9 @@ def bucket_edges(keyed: DataFrame, radius: int, start: int = 0, end: int = 0) ->
     alone in their bucket meet none. Only ids, fingerprints and a forest of a task's rows
     are in memory.  With ``end``, edges are pairs within the radius: those of forests
     ``start`` to ``end`` of each bucket (``_nearest``), without those that agree in the column
-    label; a row (null, null, key) tells of a bucket that has more.  Else they join a task's
-    rows to the least of each component.
+    label; a row (null, null, key) tells of a bucket that has more.  There keys below zero
+    are those of buckets without a radius, whose pairs are all near.  Else they join a
+    task's rows to the least of each component.
     """
     nearest = end > 0
 
@@ -291,10 +292,13 @@ def bucket_edges(keyed: DataFrame, radius: int, start: int = 0, end: int = 0) ->
                 ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys) if last else 0)
                 ends = ends[ends > 0]
                 cut = ends[max(0, np.searchsorted(ends, BLOCK, side="right") - 1)]
-                if cut < min(BLOCK, len(keys)) // 2 and not last and len(keys) < BLOCK:
+                free = nearest and keys[0] < 0
+                if free and keys[cut - 1] >= 0:
+                    cut = np.searchsorted(keys, 0)
+                elif cut < min(BLOCK, len(keys)) // 2 and not last and len(keys) < BLOCK:
                     return
                 if cut > 1 and nearest:
-                    pairs.append(_nearest(keys[:cut], ids[:cut], words[:cut], labels[:cut], radius, start, end))
+                    pairs.append(_nearest(keys[:cut], ids[:cut], words[:cut], labels[:cut], 64 * words.shape[1] if free else radius, start, end))
                 elif cut > 1:
                     _forest(ids[:cut], words[:cut], radius, parent)
                 keys, ids, labels, words = keys[cut:], ids[cut:], labels[cut:], words[cut:]
@@ -345,7 +349,7 @@ def checked_edges(keyed: DataFrame, radius: int, check: Callable[[DataFrame], Da
     """Edges (a, b) of pairs (key, id, fp) that share a key, lie within ``radius`` and pass ``check``; with ``whole``, enough of them to connect all that do.
 
     The nearest pairs of each bucket are checked first.  Buckets with further pairs of rows
-    that are not yet connected offer four times as many forests then, and so on until no
+    that are not yet connected offer MORE_FORESTS times as many forests then, and so on until no
     bucket has any; without ``whole`` it ends after the first.
     """
     held = checkpointed(keyed.select("key", "id", "fp")) if whole else keyed
@@ -359,7 +363,7 @@ def checked_edges(keyed: DataFrame, radius: int, check: Callable[[DataFrame], Da
             return edges
         linked = connected_components(edges).withColumnRenamed("component", "label")
         rest = skew_join(skew_join(held, checkpointed(more), ["key"], "left_semi"), linked, ["id"], "left").withColumn("label", F.coalesce("label", "id"))
-        rest, start, end = checkpointed(rest), end, 4 * end
+        rest, start, end = checkpointed(rest), end, MORE_FORESTS * end
 
 
 # --- exact search within a small radius ---------------------------------------------------------
@@ -461,6 +465,11 @@ def signature_links(sigs: DataFrame, radius: int, check: Callable[[DataFrame], D
     return edges.unionByName(links(_across_blocks(held, connected_components(edges)), whole=True))
 
 
+def _like(key: Column, other: str = "key") -> Column:
+    """A key of the same side of zero as ``other``."""
+    return F.when(F.col(other) < 0, key.bitwiseOR(F.lit(-(2**63)))).otherwise(key.bitwiseAND(F.lit(2**63 - 1)))
+
+
 def _crowded(wide: DataFrame) -> DataFrame:
     """key, blocks of the keys of more than half a block of rows."""
     full = wide.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK // 2)
@@ -472,7 +481,7 @@ def _dealt(wide: DataFrame, full: DataFrame) -> DataFrame:
     if full.isEmpty():
         return wide
     salt = F.pmod(F.xxhash64("id", F.lit(BANDS)), F.coalesce("blocks", F.lit(1)).cast("long"))
-    return skew_join(wide, full, ["key"], "left").withColumn("key", F.xxhash64("key", salt)).drop("blocks")
+    return skew_join(wide, full, ["key"], "left").withColumn("key", _like(F.xxhash64("key", salt))).drop("blocks")
 
 
 def _across_blocks(held: DataFrame, linked: DataFrame) -> DataFrame:
@@ -495,7 +504,7 @@ def _across_blocks(held: DataFrame, linked: DataFrame) -> DataFrame:
     blocks = checkpointed(rows.select("key", "owner", "block").distinct())
     others = blocks.select("key", F.col("owner").alias("owner_b"), F.col("block").alias("block_b"))
     pairs = skew_join(blocks, others, ["key"], "inner").where("block < block_b and not owner <=> owner_b or block <= block_b and owner is null and owner_b is null")
-    pairs = pairs.withColumn("pair", F.xxhash64("key", "block", "block_b"))
+    pairs = pairs.withColumn("pair", _like(F.xxhash64("key", "block", "block_b")))
     sides = pairs.select("key", "block", "pair").unionByName(pairs.select("key", F.col("block_b").alias("block"), "pair")).distinct()
     return skew_join(rows, sides, ["key", "block"], "inner").select(F.col("pair").alias("key"), "id", "fp")
 
@@ -531,11 +540,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, sl
     found = checkpointed(found.withColumn("row_id", F.monotonically_increasing_id()))
     nodes = checkpointed(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("row_id").alias("id"), F.min("keys").alias("keys"), F.min(F.size("shingles")).alias("size")))
     sets = found.select(F.col("row_id").alias("id"), "shingles")
-    # A pair of which one has under FEW shingles is within the few; all others are within the many.
-    few, many = nodes.where(F.col("size") * similarity < FEW), nodes.where(F.col("size") >= FEW)
-    check = lambda pairs: similar(pairs, sets, similarity)
-    edges = [signature_links(some.select("id", "fp", "keys"), bits, check) for some, bits in ((many, radius), (few, 64 * len(SIGNATURE)))]
-    linked = connected_components(edges[0].unionByName(edges[1]))
+    # A pair of which one has under FEW shingles meets under a key below zero, which asks for no angle; all others under one above.
+    below, above = (F.transform("keys", lambda k: _like(k, side)) for side in ("minus", "plus"))
+    keys = F.concat(F.when(F.col("size") * similarity < FEW, below).otherwise(F.array()), F.when(F.col("size") >= FEW, above).otherwise(F.array()))
+    sided = nodes.withColumns({"minus": F.lit(-1), "plus": F.lit(1)}).select("id", "fp", keys.alias("keys"))
+    linked = connected_components(signature_links(sided, radius, lambda pairs: similar(pairs, sets, similarity)))
     groups = skew_join(nodes.drop("keys", "size"), linked, ["id"], "left").withColumn("component", F.coalesce("component", "id"))
     smallest = groups.groupBy("component").agg(F.min("first").alias("group_id"))
     classes = skew_join(groups.select("fp", "component"), smallest, ["component"], "inner").select("fp", "group_id")
