@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import matching as M
 from quillspark.functions import text as T
+from quillspark.functions.information import has_placeholder
+from quillspark.functions.relations import question_relation
 from quillspark.operators import anchors
 from quillspark.operators import retrieval as R
 from quillspark.operators.exchange import settled, skew_join
@@ -83,11 +85,23 @@ def text_route(records: DataFrame, titles: DataFrame, corpus: DataFrame, k: int
     return decided.select("id", "query", "reason", F.when(F.col("reason").isNull(), F.coalesce(held(F.col("others")), F.lit(False))).alias("hit_leave_one_out"), F.when(F.col("reason").isNull(), F.transform("hits", lambda h: h["doc_id"])).alias("documents"))
 
 
-def image_text_route(records: DataFrame, results: DataFrame, corpus: DataFrame, k: int = 3, relations: tuple = RELATIONS) -> DataFrame:
+def _asked_for(relations: tuple | None) -> tuple[Column, Column]:
+    """struct<name, words> of what a question asks for, and the query that asks it of the entity."""
+    if relations is None:
+        found = question_relation(F.col("question"))
+        named = F.when(found["name"].isNotNull(), F.struct(found["relation"].alias("name"), found["prefix"].alias("words")))
+        return named, F.array_join(F.concat(F.split("found.words", " "), T.query_words(F.col("entity"))), " ")
+    relation = F.coalesce(*[F.when(F.lower("question").rlike(p), F.struct(F.lit(n).alias("name"), F.lit(w).alias("words"))) for n, p, w in relations])
+    return relation, F.concat_ws(" ", F.col("found.words"), F.col("entity"))
+
+
+def image_text_route(records: DataFrame, results: DataFrame, corpus: DataFrame, k: int = 3, relations: tuple | None = RELATIONS) -> DataFrame:
     """id, entity, relation, query, reason, documents of records (id, question, aliases).
 
     ``results`` (id, rank, title, doc_id) are what the image search shows, ``corpus`` has
-    doc_id and text.  The entity comes from the titles, the relation from the question.
+    doc_id and text.  The entity comes from the titles, the relation from the question: the
+    first of ``relations`` (name, pattern, words) or, for None, of the ordered table of
+    ``quillspark.functions.relations``, where a query of too few or too many words is an empty_query.
     Reasons in order: cache_miss, forbidden_visual_placeholder,
     answer_already_in_image_information, image_entity_not_found or image_entity_too_generic,
     relation_not_found, empty_query, query_too_short, query_too_long, answer_leak,
@@ -97,14 +111,15 @@ def image_text_route(records: DataFrame, results: DataFrame, corpus: DataFrame,
     shown = results.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("shown"), F.collect_set("doc_id").alias("shown_ids"))
     entities = anchors.visible_entity(results.select(F.col("id").alias("request"), "rank", "title")).select(F.col("request").alias("id"), "entity", F.col("fault").alias("entity_fault"))
     held = records.join(shown, "id", "left").join(entities, "id", "left")
-    asks = F.lower("question")
-    relation = F.coalesce(*[F.when(asks.rlike(p), F.struct(F.lit(n).alias("name"), F.lit(w).alias("words"))) for n, p, w in relations])
-    held = held.withColumn("found", relation).withColumn("query", F.concat_ws(" ", F.col("found.words"), F.col("entity")))
+    relation, query = _asked_for(relations)
+    held = held.withColumn("found", relation).withColumn("query", F.coalesce(query, F.lit("")))
     lines = F.array_join(F.transform("shown", lambda x: x["title"]), "\n")
+    faults = T.query_faults(F.col("query"))
+    rules = _query_rules(faults) if relations is not None else [("empty_query", F.size(faults) > 0)]
     early = first_reason(
-        ("cache_miss", F.col("shown").isNull()), ("forbidden_visual_placeholder", lines.rlike(PLACEHOLDER)), ("answer_already_in_image_information", supports(lines, F.col("aliases"))),
+        ("cache_miss", F.col("shown").isNull()), ("forbidden_visual_placeholder", lines.rlike(PLACEHOLDER) | has_placeholder(lines)), ("answer_already_in_image_information", supports(lines, F.col("aliases"))),
         ("image_entity_not_found", F.coalesce("entity_fault", F.lit("")) == "image_entity_not_found"), ("image_entity_too_generic", F.coalesce("entity_fault", F.lit("")) == "image_entity_too_generic"),
-        ("relation_not_found", F.col("found").isNull()), *_query_rules(T.query_faults(F.col("query"))), ("answer_leak", M.leaks_answer(F.col("query"), F.col("aliases"))),
+        ("relation_not_found", F.col("found").isNull()), *rules, ("answer_leak", M.leaks_answer(F.col("query"), F.col("aliases"))),
     )
     asked = settled(held.withColumn("lines", lines).withColumn("early", early))
     open_ones = asked.where("early is null")

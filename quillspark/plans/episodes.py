@@ -112,4 +112,4 @@ def flt22_text_route(table: Table) -> DataFrame:
 @query()
 def flt23_image_text_route(table: Table) -> DataFrame:
     shown = table("conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("rank"), F.col("text").alias("title"), (F.col("conv_id") * 10 + F.col("turn")).alias("doc_id"))
-    return RO.image_text_route(_asked(table), shown, _corpus(table)).select("id", "entity", "relation", "query", "reason")
+    return RO.image_text_route(_asked(table), shown, _corpus(table), relations=None).select("id", "entity", "relation", "query", "reason")
