@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators import resampling as R
 from quillspark.operators import statistics as S
 from quillspark.plans.declare import Table, query
 
@@ -41,3 +42,25 @@ def sta04_discordant_counts(table: Table) -> DataFrame:
 )
 def sta04_mcnemar(table: Table) -> DataFrame:
     return sta04_discordant_counts(table).withColumn("p", F.round(S.mcnemar_p("only_left", "only_right"), 6))
+
+
+@query()
+def sta01_sta02_sta03_bootstrap_rules(table: Table) -> DataFrame:
+    """Resamples of exactly n rows, and the interval that each of three rules makes of them."""
+    return R.bootstrap_rules(_pairs(table).select("delta"), samples=2000)
+
+
+@query(
+    """WITH d AS (SELECT a.event_type, b.value - a.value AS delta FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.event_id % 2 = 0)
+       SELECT event_type, count(*) AS n, round(avg(delta), 6) AS mean, round(quantile_cont(delta, 0.5), 6) AS median, count(*) FILTER (delta > 0) AS rescue, count(*) FILTER (delta < 0) AS harm, count(*) FILTER (delta = 0) AS tie FROM d GROUP BY event_type"""
+)
+def sta03_difference_counts(table: Table) -> DataFrame:
+    found = R.difference_counts(_pairs(table), ("event_type",))
+    return found.withColumns({c: F.round(c, 6) for c in ("mean", "median")})
+
+
+@query("SELECT event_type, (SELECT count(*) FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.event_id % 2 = 0 AND a.event_type = e.event_type) AS n, resample FROM (SELECT DISTINCT event_type FROM events WHERE event_id % 2 = 0 AND event_id + 1 IN (SELECT event_id FROM events)) e, range(0, 50) r(resample)")
+def sta01_resample_sizes(table: Table) -> DataFrame:
+    """Every resample has as many rows as its group: differences of one sum to their number."""
+    ones = R.resampled_sums(_pairs(table).withColumn("delta", F.lit(1.0)), 50, by=("event_type",))
+    return ones.select("event_type", F.col("total").cast("long").alias("n"), F.col("resample").cast("long").alias("resample"))
