@@ -9,7 +9,8 @@ spanning forest, never with all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,8 @@ from quillspark.llm.common import checkpointed, connected_components, skew_join,
 SEED = 42
 RADIUS = 3
 SIGNATURE = tuple(range(42, 58))  # seeds of the sixteen words of a similarity signature
-FORESTS, MORE_FORESTS = 4, 8  # spanning forests of each bucket whose pairs are held against their exact similarity at first, and how many times as many then
+FORESTS = 3  # spanning forests of each bucket whose pairs are held against their exact similarity first
+COLUMNS = 4096  # shingles of a bucket that are counted at once
 FEW = 32  # shingles under which the angle tells too little, and every pair that shares a key is a candidate
 BANDS, BAND_MINIMA = 16, 4  # at a similarity of 0.8, all bands miss one pair in 4,000
 HASHES_AT_ONCE = 1 << 17
@@ -237,94 +239,83 @@ def least_forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label, a, b = parent[label], parent[a], parent[b]
 
 
-def _nearest(keys: np.ndarray, ids: np.ndarray, words: np.ndarray, labels: np.ndarray, radius: int, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (a, b) of one block, and the keys that have more: those of its buckets' spanning forests number ``start`` to ``end``.
+def _nearest(keys: np.ndarray, ids: np.ndarray, words: np.ndarray, radius: int, forests: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (a, b) of one block, those of its buckets' first spanning forests, and the keys of buckets that have more pairs.
 
     The first forest is that of the nearest pairs within the radius, each other that of the
-    pairs the ones before left; it depends on a bucket's rows alone.  Pairs of one label
-    are in no result.
+    pairs the ones before left.
     """
-    found = []
+    i, j, distance = _near_pairs(keys, words, radius)
+    order = np.lexsort((j, i, distance))
+    i, j, a, b = i[order], j[order], [ids[:0]], [ids[:0]]
+    for _ in range(forests):
+        chosen = least_forest(len(ids), i, j)
+        a.append(ids[i[chosen]])
+        b.append(ids[j[chosen]])
+        i, j = np.delete(i, chosen), np.delete(j, chosen)
+    return np.concatenate(a), np.concatenate(b), np.unique(keys[i])
+
+
+def _near_pairs(keys: np.ndarray, words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) of the rows of one key within the radius."""
+    found = [(np.zeros(0, np.intp), np.zeros(0, np.intp), np.zeros(0, np.uint16))]
     for rows, near in near_rows(words, radius):
         k, j = np.nonzero(near)
         same = keys[rows[k]] == keys[j]
         found.append((rows[k][same], j[same], near[k[same], j[same]]))
-    none = np.zeros(0, np.int64)
-    if not found:
-        return none, none, none
-    i, j, distance = (np.concatenate(c) for c in zip(*found, strict=True))
-    order = np.lexsort((j, i, distance))
-    i, j, a, b = i[order], j[order], [none], [none]
-    for nth in range(end):
-        if not len(i):
-            break
-        chosen = least_forest(len(ids), i, j)
-        if nth >= start:
-            apart = chosen[labels[i[chosen]] != labels[j[chosen]]]
-            a.append(ids[i[apart]])
-            b.append(ids[j[apart]])
-        i, j = np.delete(i, chosen), np.delete(j, chosen)
-    return np.concatenate(a), np.concatenate(b), np.unique(keys[i[labels[i] != labels[j]]])
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def bucket_edges(keyed: DataFrame, radius: int, start: int = 0, end: int = 0) -> DataFrame:
+def bucket_edges(keyed: DataFrame, radius: int, forests: int = 0) -> DataFrame:
     """Edges (a, b) that join all rows (key, id, fp) within ``radius`` bits of each other that share a key.
 
     Buckets must be bounded: each is compared whole, in blocks that hold several; rows
     alone in their bucket meet none. Only ids, fingerprints and a forest of a task's rows
-    are in memory.  With ``end``, edges are pairs within the radius: those of forests
-    ``start`` to ``end`` of each bucket (``_nearest``), without those that agree in the column
-    label; a row (null, null, key) tells of a bucket that has more.  There keys below zero
-    are those of buckets without a radius, whose pairs are all near.  Else they join a
-    task's rows to the least of each component.
+    are in memory.  With ``forests``, edges are pairs within the radius: those of so many
+    forests of each bucket (``_nearest``), and a row (null, null, key) tells of a bucket that
+    has more; there keys below zero are those of buckets without a radius, whose pairs are
+    all near.  Else they join a task's rows to the least of each component.
     """
-    nearest = end > 0
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
         pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        none = np.zeros(0, np.int64)
-        keys, ids, labels, words = none, none, none, None
+        keys, ids, words = np.zeros(0, np.int64), np.zeros(0, np.int64), None
 
         def settle(last: bool) -> None:
-            nonlocal keys, ids, labels, words
+            nonlocal keys, ids, words
             while len(keys) and (last or keys[0] != keys[-1]):
                 ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys) if last else 0)
                 ends = ends[ends > 0]
                 cut = ends[max(0, np.searchsorted(ends, BLOCK, side="right") - 1)]
-                free = nearest and keys[0] < 0
+                free = forests > 0 and keys[0] < 0
                 if free and keys[cut - 1] >= 0:
                     cut = np.searchsorted(keys, 0)
                 elif cut < min(BLOCK, len(keys)) // 2 and not last and len(keys) < BLOCK:
                     return
-                if cut > 1 and nearest:
-                    pairs.append(_nearest(keys[:cut], ids[:cut], words[:cut], labels[:cut], 64 * words.shape[1] if free else radius, start, end))
+                if cut > 1 and forests:
+                    pairs.append(_nearest(keys[:cut], ids[:cut], words[:cut], 64 * words.shape[1] if free else radius, forests))
                 elif cut > 1:
                     _forest(ids[:cut], words[:cut], radius, parent)
-                keys, ids, labels, words = keys[cut:], ids[cut:], labels[cut:], words[cut:]
+                keys, ids, words = keys[cut:], ids[cut:], words[cut:]
 
         def drop_single(last: bool) -> None:
-            nonlocal keys, ids, labels, words
+            nonlocal keys, ids, words
             same = keys[1:] == keys[:-1]
             met = np.append(False, same) | np.append(same, False)
             met[-1:] |= not last  # the last bucket may go on
-            keys, ids, labels, words = keys[met], ids[met], labels[met], words[met]
+            keys, ids, words = keys[met], ids[met], words[met]
 
         def found() -> Iterator[pa.RecordBatch]:
             for a, b, more in pairs:
-                yield batch_of(a, b, None)
-                yield batch_of(None, None, more)
+                yield _edge_batch(a, b, None)
+                yield _edge_batch(None, None, more)
             pairs.clear()
 
-        def batch_of(*columns: np.ndarray | None) -> pa.RecordBatch:
-            rows = max(len(c) for c in columns if c is not None)
-            return pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], ["a", "b", "key"])
-
         for batch in batches:
-            k, i, g = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "label"))
-            fp = batch.column("fp")
-            w = fp.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(k), -1) if len(k) else np.zeros((0, 1), np.uint64)
-            keys, ids, labels = np.concatenate([keys, k]), np.concatenate([ids, i]), np.concatenate([labels, g])
+            k, i = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id"))
+            w = _words_of(batch)
+            keys, ids = np.concatenate([keys, k]), np.concatenate([ids, i])
             words = w if words is None else np.concatenate([words, w])
             drop_single(last=False)
             if len(keys) >= 4 * BLOCK:
@@ -336,34 +327,90 @@ def bucket_edges(keyed: DataFrame, radius: int, start: int = 0, end: int = 0) ->
         yield from found()
         joined = [(x, _root(parent, x)) for x in list(parent)]
         joined = [p for p in joined if p[0] != p[1]]
-        yield batch_of(np.array([x for x, _ in joined], np.int64), np.array([r for _, r in joined], np.int64), None)
+        yield _edge_batch(np.array([x for x, _ in joined], np.int64), np.array([r for _, r in joined], np.int64), None)
+
+    out = keyed.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "fp").mapInArrow(edges, "a long, b long, key long")
+    return out if forests else out.select("a", "b")
 
-    if "label" not in keyed.columns:
-        keyed = keyed.withColumn("label", F.col("id"))
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "fp", "label")
-    out = dealt.mapInArrow(edges, "a long, b long, key long")
-    return out if nearest else out.select("a", "b")
 
+def _edge_batch(*columns: np.ndarray | None) -> pa.RecordBatch:
+    rows = max(len(c) for c in columns if c is not None)
+    return pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], ["a", "b", "key"])
 
-def checked_edges(keyed: DataFrame, radius: int, check: Callable[[DataFrame], DataFrame], whole: bool) -> DataFrame:
-    """Edges (a, b) of pairs (key, id, fp) that share a key, lie within ``radius`` and pass ``check``; with ``whole``, enough of them to connect all that do.
 
-    The nearest pairs of each bucket are checked first.  Buckets with further pairs of rows
-    that are not yet connected offer MORE_FORESTS times as many forests then, and so on until no
-    bucket has any; without ``whole`` it ends after the first.
+def _words_of(batch: pa.RecordBatch) -> np.ndarray:
+    n = batch.num_rows
+    return batch.column("fp").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(n, -1) if n else np.zeros((0, 1), np.uint64)
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share."""
+    shared, row = np.zeros((len(sets), len(sets)), np.float32), np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times[column] > 1
+    row, column = row[several], np.unique(column[several], return_inverse=True)[1]
+    for at in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        some = (column >= at) & (column < at + COLUMNS)
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[row[some], column[some] - at] = 1
+        shared += has @ has.T
+    return shared
+
+
+def exact_bucket_edges(keyed: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect all rows (key, id, fp, label, shingles) which share a key, lie within ``radius`` and have a Jaccard similarity of ``similarity``.
+
+    Rows of one label count as connected.  A bucket's exact similarities are counted in its
+    own task, so no pair leaves it but those that connect.  Buckets must be bounded.
+    """
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                words, held = _words_of(batch), batch.column("shingles")
+                for at, (key, i, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "id", "label")), strict=True)):
+                    yield key, i, label, words[at], held[at].values.to_numpy(zero_copy_only=False)
+
+        for key, run in groupby(rows(), lambda r: r[0]):
+            _, ids, labels, words, sets = zip(*run, strict=True)
+            ids, labels, sizes = np.array(ids), np.unique(labels, return_inverse=True)[1], np.array(list(map(len, sets)))
+            if labels.max() == 0:
+                continue
+            i, j, _ = _near_pairs(np.zeros(len(ids)), np.stack(words), 64 * len(words[0]) if key < 0 else radius)
+            apart = labels[i] != labels[j]
+            i, j = i[apart], j[apart]
+            both = _shared(sets)[i, j]
+            alike = both >= similarity * (sizes[i] + sizes[j] - both) - 1e-6
+            i, j = i[alike], j[alike]
+            chosen = least_forest(labels.max() + 1, labels[i], labels[j])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i[chosen]], pa.int64()), pa.array(ids[j[chosen]], pa.int64())], ["a", "b"])
+
+    dealt = keyed.repartition("key").sortWithinPartitions("key").select("key", "id", "fp", "label", "shingles")
+    return dealt.mapInArrow(edges, "a long, b long")
+
+
+def checked_edges(keyed: DataFrame, radius: int, sets: DataFrame, similarity: float, whole: bool) -> DataFrame:
+    """Edges (a, b) of rows (key, id, fp) that share a key, lie within ``radius`` and are ``similar``; with ``whole``, enough of them to connect all that are.
+
+    The nearest pairs of each bucket are held against the exact similarity first, which
+    connects most.  Buckets that have more pairs, and rows that are not connected yet, are
+    then compared whole, each in its own task.
     """
     held = checkpointed(keyed.select("key", "id", "fp")) if whole else keyed
-    rest, edges, start, end = held, None, 0, FORESTS
-    while True:
-        offered = checkpointed(bucket_edges(rest, radius, start, end))
-        passed = checkpointed(check(offered.where("key is null").select("a", "b")))
-        edges = passed if edges is None else edges.unionByName(passed)
-        more = offered.where("key is not null").select("key")
-        if not whole or more.isEmpty():
-            return edges
-        linked = connected_components(edges).withColumnRenamed("component", "label")
-        rest = skew_join(skew_join(held, checkpointed(more), ["key"], "left_semi"), linked, ["id"], "left").withColumn("label", F.coalesce("label", "id"))
-        rest, start, end = checkpointed(rest), end, MORE_FORESTS * end
+    offered = checkpointed(bucket_edges(held, radius, FORESTS))
+    passed = checkpointed(similar(offered.where("key is null").select("a", "b"), sets, similarity))
+    more = offered.where("key is not null").select("key")
+    if not whole or more.isEmpty():
+        return passed
+    linked = connected_components(passed).withColumnRenamed("component", "label")
+    rest = skew_join(skew_join(held, more, ["key"], "left_semi"), linked, ["id"], "left").withColumn("label", F.coalesce("label", "id"))
+    rest = checkpointed(rest)
+    several = rest.groupBy("key").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("key")
+    rest = checkpointed(skew_join(rest, several, ["key"], "left_semi"))
+    if rest.isEmpty():
+        return passed
+    asked = checkpointed(skew_join(sets.select("id", "shingles"), rest.select("id").distinct(), ["id"], "left_semi"))
+    return passed.unionByName(checkpointed(exact_bucket_edges(skew_join(rest, asked, ["id"], "inner"), radius, similarity)))
 
 
 # --- exact search within a small radius ---------------------------------------------------------
@@ -432,10 +479,10 @@ def _next_mask(known: Column, part: int, parts: int, depth: int) -> Column:
     return F.element_at(F.create_map(*pairs), known)
 
 
-def signature_links(sigs: DataFrame, radius: int, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def signature_links(sigs: DataFrame, radius: int, sets: DataFrame | None = None, similarity: float = 0.8) -> DataFrame:
     """Edges (a, b) that connect all rows (id, fp: array of 64-bit words, keys; fps distinct) within ``radius`` bits that share a key.
 
-    ``check`` keeps those pairs that are links indeed (``checked_edges``).
+    With ``sets`` (id, shingles), links have an exact similarity too (``checked_edges``).
     Keys shared by more than half a block of rows are dealt into salted blocks; then what
     each block found alike is represented by one row, and the representatives meet again,
     as long as that joins more.  This only saves work: at last all rows of these keys that
@@ -443,7 +490,7 @@ def signature_links(sigs: DataFrame, radius: int, check: Callable[[DataFrame], D
     """
 
     def links(keyed: DataFrame, whole: bool = False) -> DataFrame:
-        return checked_edges(keyed, radius, check, whole) if check else checkpointed(bucket_edges(keyed, radius))
+        return checkpointed(bucket_edges(keyed, radius)) if sets is None else checked_edges(keyed, radius, sets, similarity, whole)
 
     wide = sigs.select("id", "fp", F.explode("keys").alias("key"))
     full = _crowded(wide)
@@ -544,7 +591,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, sl
     below, above = (F.transform("keys", lambda k: _like(k, side)) for side in ("minus", "plus"))
     keys = F.concat(F.when(F.col("size") * similarity < FEW, below).otherwise(F.array()), F.when(F.col("size") >= FEW, above).otherwise(F.array()))
     sided = nodes.withColumns({"minus": F.lit(-1), "plus": F.lit(1)}).select("id", "fp", keys.alias("keys"))
-    linked = connected_components(signature_links(sided, radius, lambda pairs: similar(pairs, sets, similarity)))
+    linked = connected_components(signature_links(sided, radius, sets, similarity))
     groups = skew_join(nodes.drop("keys", "size"), linked, ["id"], "left").withColumn("component", F.coalesce("component", "id"))
     smallest = groups.groupBy("component").agg(F.min("first").alias("group_id"))
     classes = skew_join(groups.select("fp", "component"), smallest, ["component"], "inner").select("fp", "group_id")

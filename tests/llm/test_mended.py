@@ -120,23 +120,26 @@ def components_of(nodes, pairs):
 
 @pytest.mark.parametrize("block", [16, 2048])
 def test_links_are_found_however_many_nearer_pairs_fail(spark, monkeypatch, block):
-    """Few of the pairs within the radius pass the check, and those at random: far ones as well as near ones."""
+    """Few of the pairs within the radius are alike, and those at random: far ones as well as near ones."""
     monkeypatch.setattr(simhash_dedup, "BLOCK", block)
     random.seed(3)
     fps = [sum(1 << random.randrange(64) for _ in range(4)) & (2**64 - 1) for _ in range(60)]
     keys = [[i % 2 + 1, 7] if i % 5 else [7] for i in range(len(fps))]
+    kinds = [random.sample(range(10_000), random.choice([10, 40])) for _ in range(20)]
+    sets = [sorted({*random.choice(kinds), 20_000 + i % 2}) for i in range(len(fps))]
     close = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 7]
-    allowed = [(min(p), max(p)) for p in random.sample(close, 25)]
-    passes = spark.createDataFrame(allowed, "a long, b long")
+    alike = [(a, b) for a, b in close if len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})]
     df = spark.createDataFrame([(i, [int(np.uint64(f).astype(np.int64))], k) for i, (f, k) in enumerate(zip(fps, keys, strict=True))], "id long, fp array<long>, keys array<long>")
+    held = spark.createDataFrame(list(enumerate(sets)), "id long, shingles array<int>")
+    got = {r["id"]: r["component"] for r in connected_components(simhash_dedup.signature_links(df, 7, held)).collect()}
+    assert {i: got.get(i, i) for i in range(len(fps))} == components_of(range(len(fps)), alike) and len(close) > 300 and 20 < len(alike) < 100
 
-    def check(pairs):
-        pairs = pairs.selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
-        return pairs.join(passes, ["a", "b"])
 
-    got = {r["id"]: r["component"] for r in connected_components(simhash_dedup.signature_links(df, 7, check)).collect()}
-    expected = components_of(range(len(fps)), allowed)
-    assert {i: got.get(i, i) for i in range(len(fps))} == expected and len(close) > 300
+def test_shared_elements():
+    random.seed(9)
+    sets = [np.array(sorted(random.sample(range(30_000), random.randrange(1, 9000))), np.int32) for _ in range(12)]
+    found = simhash_dedup._shared(sets)
+    assert all(found[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(12) for j in range(12) if i != j)
 
 
 def test_short_near_copies_are_found(spark):
