@@ -130,6 +130,31 @@ def sim01_near_hashes(table: Table) -> DataFrame:
     return G.near_hashes(h, h, 5, bits=32).where("a < b")
 
 
+_HASHES_SQL = """h AS (SELECT vec_id, sum(CASE WHEN embedding[i + 1] < embedding[i + 2] THEN 1 << i ELSE 0 END)::BIGINT AS h FROM embeddings, (SELECT unnest(range(0, 32)) AS i) GROUP BY vec_id),
+       u AS (SELECT vec_id % 50 * 40503 % 65536 * 65536 + h % 32 AS h, vec_id FROM h)"""
+
+
+def _crowded(table: Table) -> DataFrame:
+    """Hashes of which many are equal, and many within a few bits."""
+    h = grp06_grp07_difference_hash(table)
+    return h.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 50 * 40503 % 65536 * 65536 + F.col("dhash") % 32).alias("hash"))
+
+
+@query(f"WITH {_HASHES_SQL} SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY h) AS representative FROM u")
+def sim01_hash_classes(table: Table) -> DataFrame:
+    """Each vector with the first one of its hash."""
+    return G.hash_classes(_crowded(table), 5, bits=32)[0]
+
+
+@query(
+    f"""WITH {_HASHES_SQL}, r AS (SELECT h, min(vec_id) AS id FROM u GROUP BY h)
+       SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM r a JOIN r b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 5"""
+)
+def sim01_class_links(table: Table) -> DataFrame:
+    """Links of unequal hashes within five bits, between the vectors that stand for them."""
+    return G.hash_classes(_crowded(table), 5, bits=32)[1]
+
+
 @query(
     """WITH RECURSIVE n AS (SELECT supplier.s_suppkey AS id, s_nationkey AS k FROM supplier), g AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.k = b.k OR abs(a.id - b.id) = 7 AND a.k % 2 = b.k % 2),
        r AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a) SELECT a AS id, min(b) AS component FROM r GROUP BY a"""
