@@ -139,12 +139,19 @@ def parsed_ranked_lines(block: Column) -> Column:
 def phrase_coverage(phrases: DataFrame, documents: DataFrame, tokens: Callable[[Column], Column], phrase_id: str, doc_id: str) -> DataFrame:
     """phrase_id, doc_id: the first document (by id) that holds each phrase of two words or more as a run of tokens.
 
-    Phrases and documents meet on runs of the phrase's first two tokens, never pair by pair.
+    Documents are looked up by the rarest of a phrase's runs of two tokens; only ids meet
+    there, and the texts of documents that are candidates are read once those are known.
     """
-    wanted = phrases.select(phrase_id, tokens(F.col("phrase")).alias("p")).where(F.size("p") >= 2)
-    wanted = wanted.withColumn("pair", F.concat_ws(" ", F.col("p")[0], F.col("p")[1])).withColumn("needle", F.concat(F.lit(" "), F.array_join("p", " "), F.lit(" ")))
-    held = documents.select(doc_id, tokens(F.col("text")).alias("t")).where(F.size("t") >= 2)
-    pairs = F.transform(F.sequence(F.lit(0), F.size("t") - 2), lambda i: F.concat_ws(" ", F.get(F.col("t"), i), F.get(F.col("t"), i + 1)))
-    held = held.withColumn("hay", F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" "))).withColumn("pair", F.explode(F.array_distinct(pairs)))
-    met = held.join(wanted.drop("p"), "pair")
-    return met.where(F.contains("hay", "needle")).groupBy(phrase_id).agg(F.min(doc_id).alias(doc_id))
+    pairs = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda i: F.xxhash64(F.get(t, i), F.get(t, i + 1))))
+    line = lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
+    wanted = phrases.select(F.col(phrase_id).alias("_phrase"), tokens(F.col("phrase")).alias("p")).where(F.size("p") >= 2)
+    wanted = settled(wanted.select("_phrase", line(F.col("p")).alias("needle"), F.explode(pairs(F.col("p"))).alias("pair")))
+    asked = wanted.select("pair").distinct()
+    held = documents.select(F.col(doc_id).alias("_doc"), tokens(F.col("text")).alias("t")).where(F.size("t") >= 2)
+    met = settled(skew_join(held.select("_doc", F.explode(pairs(F.col("t"))).alias("pair")), asked, ["pair"], "left_semi"))
+    often = met.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    rarest = skew_join(wanted, often, ["pair"], "left").groupBy("_phrase", "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pair")).alias("r")).where("r.n > 0")
+    open_pairs = settled(skew_join(met, rarest.select("_phrase", "needle", F.col("r.pair").alias("pair")), ["pair"], "inner").drop("pair"))
+    texts = skew_join(held.select("_doc", line(F.col("t")).alias("hay")), open_pairs.select("_doc").distinct(), ["_doc"], "left_semi")
+    found = skew_join(open_pairs, texts, ["_doc"], "inner").where(F.contains("hay", "needle"))
+    return found.groupBy(F.col("_phrase").alias(phrase_id)).agg(F.min("_doc").alias(doc_id))
