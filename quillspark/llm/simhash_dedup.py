@@ -239,8 +239,8 @@ def least_forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label, a, b = parent[label], parent[a], parent[b]
 
 
-def _nearest(keys: np.ndarray, ids: np.ndarray, words: np.ndarray, radius: int, forests: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (a, b) of one block, those of its buckets' first spanning forests, and the keys of buckets that have more pairs.
+def _nearest(keys: np.ndarray, ids: np.ndarray, words: np.ndarray, radius: int, forests: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (a, b) of one block, those of its buckets' first spanning forests, and (key, id) of the rows that have more pairs.
 
     The first forest is that of the nearest pairs within the radius, each other that of the
     pairs the ones before left.
@@ -253,7 +253,8 @@ def _nearest(keys: np.ndarray, ids: np.ndarray, words: np.ndarray, radius: int,
         a.append(ids[i[chosen]])
         b.append(ids[j[chosen]])
         i, j = np.delete(i, chosen), np.delete(j, chosen)
-    return np.concatenate(a), np.concatenate(b), np.unique(keys[i])
+    rest = np.unique(np.concatenate((i, j)))
+    return np.concatenate(a), np.concatenate(b), keys[rest], ids[rest]
 
 
 def _near_pairs(keys: np.ndarray, words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,14 +273,14 @@ def bucket_edges(keyed: DataFrame, radius: int, forests: int = 0) -> DataFrame:
     Buckets must be bounded: each is compared whole, in blocks that hold several; rows
     alone in their bucket meet none. Only ids, fingerprints and a forest of a task's rows
     are in memory.  With ``forests``, edges are pairs within the radius: those of so many
-    forests of each bucket (``_nearest``), and a row (null, null, key) tells of a bucket that
-    has more; there keys below zero are those of buckets without a radius, whose pairs are
-    all near.  Else they join a task's rows to the least of each component.
+    forests of each bucket (``_nearest``), and a row (id, null, key) tells of one that has
+    more there; there keys below zero are those of buckets without a radius, whose pairs
+    are all near.  Else they join a task's rows to the least of each component.
     """
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
-        pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         keys, ids, words = np.zeros(0, np.int64), np.zeros(0, np.int64), None
 
         def settle(last: bool) -> None:
@@ -307,9 +308,9 @@ def bucket_edges(keyed: DataFrame, radius: int, forests: int = 0) -> DataFrame:
             keys, ids, words = keys[met], ids[met], words[met]
 
         def found() -> Iterator[pa.RecordBatch]:
-            for a, b, more in pairs:
+            for a, b, key, more in pairs:
                 yield _edge_batch(a, b, None)
-                yield _edge_batch(None, None, more)
+                yield _edge_batch(more, None, key)
             pairs.clear()
 
         for batch in batches:
@@ -393,17 +394,17 @@ def checked_edges(keyed: DataFrame, radius: int, sets: DataFrame, similarity: fl
     """Edges (a, b) of rows (key, id, fp) that share a key, lie within ``radius`` and are ``similar``; with ``whole``, enough of them to connect all that are.
 
     The nearest pairs of each bucket are held against the exact similarity first, which
-    connects most.  Buckets that have more pairs, and rows that are not connected yet, are
-    then compared whole, each in its own task.
+    connects most.  Rows that have more pairs in a bucket are then compared whole there,
+    unless all of them are connected already.
     """
     held = checkpointed(keyed.select("key", "id", "fp")) if whole else keyed
     offered = checkpointed(bucket_edges(held, radius, FORESTS))
     passed = checkpointed(similar(offered.where("key is null").select("a", "b"), sets, similarity))
-    more = offered.where("key is not null").select("key")
+    more = offered.where("key is not null").select("key", F.col("a").alias("id"))
     if not whole or more.isEmpty():
         return passed
     linked = connected_components(passed).withColumnRenamed("component", "label")
-    rest = skew_join(skew_join(held, more, ["key"], "left_semi"), linked, ["id"], "left").withColumn("label", F.coalesce("label", "id"))
+    rest = skew_join(skew_join(held, more, ["key", "id"], "left_semi"), linked, ["id"], "left").withColumn("label", F.coalesce("label", "id"))
     rest = checkpointed(rest)
     several = rest.groupBy("key").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("key")
     rest = checkpointed(skew_join(rest, several, ["key"], "left_semi"))
