@@ -36,12 +36,16 @@ def spl06_spl07_exact_weight_splits(table: Table) -> DataFrame:
     return S.exact_weight_splits(d, "steps", "doc_id", "w1", {"test": tenth, "dev": tenth}, "train")
 
 
+#: What tells lines apart: an order's line numbers repeat.
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+
+
 def _candidates(table: Table) -> DataFrame:
     """Orders' lines as candidates: a route, a source, an entity and a group of near copies each."""
-    line = table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+    line = table("lineitem").select(*LINE, "l_returnflag", "l_linestatus")
     route = F.when(F.col("l_returnflag") == "R", "text").when(F.col("l_returnflag") == "A", "image_text").when(F.col("l_quantity") < 25, "direct").otherwise("image")
     return line.select(
-        F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"), route.alias("route"), F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("entity"),
+        F.concat_ws(":", *LINE).alias("id"), route.alias("route"), F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("entity"),
         F.concat_ws(":", "l_suppkey", F.col("l_quantity").cast("int").cast("string"), F.col("l_orderkey") % 101).alias("near"), "l_linestatus",
     )
 
@@ -76,7 +80,7 @@ def sel04_tiered_selection(table: Table) -> DataFrame:
 @query()
 def sel13_anchored_first(table: Table) -> DataFrame:
     """At most a thousand parts and suppliers' lines, anchored ones first, each question, image and page once."""
-    line = table("lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"), F.col("l_orderkey").alias("question"), F.concat_ws("::", "l_suppkey", "l_partkey").alias("image"), F.col("l_partkey").alias("url"), (F.col("l_quantity") < 20).alias("anchored"))
+    line = table("lineitem").select(F.concat_ws(":", *LINE).alias("id"), F.col("l_orderkey").alias("question"), F.concat_ws("::", "l_suppkey", "l_partkey").alias("image"), F.col("l_partkey").alias("url"), (F.col("l_quantity") < 20).alias("anchored"))
     stages = [S.Stage("anchored", F.col("anchored"), _order("s13"), None), S.Stage("other", ~F.col("anchored"), _order("s13"), None)]
     return S.select_in_stages(line, ["question", "image", "url"], stages, most=1000).select("id", "stage", "nth")
 
