@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import invariants as V
 from quillspark.plans.declare import Table, query
 from quillspark.plans.ingest import fresh_folder
+from quillspark.plans.ranges import write_lines
 
 ROUTES = ("direct_answer", "text_search_answer", "image_text_search_answer")
 ACTIONS = {"answer": "answer", "text_search": "text_search", "image_search": "search"}
@@ -42,62 +43,63 @@ def _trajectories(table: Table) -> DataFrame:
     route = F.element_at(F.array(*map(F.lit, ROUTES)), (n % 3 + 1).cast("int"))
     every = F.coalesce(*[F.when(route == r, steps(r)) for r in ROUTES])
     return c.select(
-        n.alias("number"), n.cast("string").alias("trajectory_id"), F.lit("s").alias("source_data_id"), route.alias("route"), "question", said.alias("canonical_answer"),
+        F.floor(n / 100).alias("part"), n.alias("number"), n.cast("string").alias("trajectory_id"), F.lit("s").alias("source_data_id"), route.alias("route"), "question", said.alias("canonical_answer"),
         F.array(F.when(bad(2), F.concat(said, F.lit("!"))).otherwise(said), F.lit("other")).alias("accepted_answers"),
         F.when(bad(1), "v9").otherwise("protocol-sft-v0.5").alias("schema_version"), every.alias("steps"),
     )
 
 
-def _lines(rows: DataFrame, name: str) -> str:
-    """The file of ``rows`` in the order of number; a line is a row's JSON, so a line's number is its rank."""
+def _violations(rows: DataFrame, name: str, kind: str) -> DataFrame:
+    """Files of ``rows``, a hundred conversations each, in the order of number, and their violations under file and line."""
     path = fresh_folder(rows, name)
-    rows.orderBy("number", "trajectory_id").drop("number").coalesce(1).write.json(path)
-    return path
+    row = F.to_json(F.struct(*[c for c in rows.columns if c not in ("number", "part")]))
+    write_lines(rows.select("part", "number", row.alias("value")), path, "part", "number")
+    return V.line_violations(rows.sparkSession, path, kind).withColumn("file", F.regexp_extract("file", r"part=(-?\d+)", 1).cast("long"))
 
 
 @query(
-    """WITH c AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS line, conv_id % 3 AS route, conv_id % 10 AS bad FROM
+    """WITH c AS (SELECT conv_id, conv_id // 100 AS file, row_number() OVER (PARTITION BY conv_id // 100 ORDER BY conv_id) AS line, conv_id % 3 AS route, conv_id % 10 AS bad FROM
          (SELECT conv_id FROM conversations GROUP BY conv_id HAVING regexp_matches(arg_max(text, turn), '\\S') AND regexp_matches(arg_min(text, turn), '\\S'))),
        s AS (SELECT *, unnest(range(0, route + 1 - (bad = 3)::INT)) AS step FROM c)
-       SELECT line, NULL::INT AS step, 'unsupported version' AS rule FROM c WHERE bad = 1
-       UNION ALL SELECT line, NULL, 'answer not accepted' FROM c WHERE bad = 2
-       UNION ALL SELECT line, NULL, 'wrong number of steps' FROM c WHERE bad = 3
-       UNION ALL SELECT line, step, 'unsupported role' FROM s WHERE bad = 4
-       UNION ALL SELECT line, step, 'trainable history' FROM s WHERE bad = 5
-       UNION ALL SELECT line, step, 'answer differs' FROM s WHERE bad = 6 AND step = route
-       UNION ALL SELECT line, NULL, 'steps off the route' FROM c WHERE bad IN (7, 8)
-       UNION ALL SELECT line, step, 'invalid target: missing_reason' FROM s WHERE bad = 8
-       UNION ALL SELECT line, step, 'empty state' FROM s WHERE bad = 9 AND step = route"""
+       SELECT file, line, NULL::INT AS step, 'unsupported version' AS rule FROM c WHERE bad = 1
+       UNION ALL SELECT file, line, NULL, 'answer not accepted' FROM c WHERE bad = 2
+       UNION ALL SELECT file, line, NULL, 'wrong number of steps' FROM c WHERE bad = 3
+       UNION ALL SELECT file, line, step, 'unsupported role' FROM s WHERE bad = 4
+       UNION ALL SELECT file, line, step, 'trainable history' FROM s WHERE bad = 5
+       UNION ALL SELECT file, line, step, 'answer differs' FROM s WHERE bad = 6 AND step = route
+       UNION ALL SELECT file, line, NULL, 'steps off the route' FROM c WHERE bad IN (7, 8)
+       UNION ALL SELECT file, line, step, 'invalid target: missing_reason' FROM s WHERE bad = 8
+       UNION ALL SELECT file, line, step, 'empty state' FROM s WHERE bad = 9 AND step = route"""
 )
 def flt25_trajectory_invariants(table: Table) -> DataFrame:
     """A file of trajectories, audited: every broken rule under its line and step."""
     t = _trajectories(table)
-    return V.line_violations(t.sparkSession, _lines(t, "trajectories")).select("line", "step", "rule")
+    return _violations(t, "trajectories", "trajectory").select("file", "line", "step", "rule")
 
 
 @query(
     """WITH c AS (SELECT conv_id, conv_id % 3 AS route, conv_id % 10 AS bad FROM
          (SELECT conv_id FROM conversations GROUP BY conv_id HAVING regexp_matches(arg_max(text, turn), '\\S') AND regexp_matches(arg_min(text, turn), '\\S'))),
        s AS (SELECT *, unnest(range(0, route + 1 - (bad = 3)::INT)) AS step FROM c),
-       e AS (SELECT *, row_number() OVER (ORDER BY conv_id * 10 + step) AS line FROM s)
-       SELECT line, 'unsupported version' AS rule FROM e WHERE bad = 1
-       UNION ALL SELECT line, 'answer not accepted' FROM e WHERE bad = 2
-       UNION ALL SELECT line, 'unsupported role' FROM e WHERE bad = 4
-       UNION ALL SELECT line, 'trainable history' FROM e WHERE bad = 5
-       UNION ALL SELECT line, 'answer differs' FROM e WHERE bad = 6 AND step = route
-       UNION ALL SELECT line, 'action off the transition' FROM e WHERE bad = 7 AND step = 0 AND route > 0
-       UNION ALL SELECT line, 'invalid target: missing_reason' FROM e WHERE bad = 8
-       UNION ALL SELECT line, 'wrong number of turns' FROM e WHERE bad = 9 AND step = route AND step > 0
-       UNION ALL SELECT line, 'wrong turn' FROM e WHERE bad = 9 AND step = route AND step > 0
-       UNION ALL SELECT line, 'invalid split' FROM e WHERE conv_id % 7 = 3"""
+       e AS (SELECT *, conv_id // 100 AS file, row_number() OVER (PARTITION BY conv_id // 100 ORDER BY conv_id * 10 + step) AS line FROM s)
+       SELECT file, line, 'unsupported version' AS rule FROM e WHERE bad = 1
+       UNION ALL SELECT file, line, 'answer not accepted' FROM e WHERE bad = 2
+       UNION ALL SELECT file, line, 'unsupported role' FROM e WHERE bad = 4
+       UNION ALL SELECT file, line, 'trainable history' FROM e WHERE bad = 5
+       UNION ALL SELECT file, line, 'answer differs' FROM e WHERE bad = 6 AND step = route
+       UNION ALL SELECT file, line, 'action off the transition' FROM e WHERE bad = 7 AND step = 0 AND route > 0
+       UNION ALL SELECT file, line, 'invalid target: missing_reason' FROM e WHERE bad = 8
+       UNION ALL SELECT file, line, 'wrong number of turns' FROM e WHERE bad = 9 AND step = route AND step > 0
+       UNION ALL SELECT file, line, 'wrong turn' FROM e WHERE bad = 9 AND step = route AND step > 0
+       UNION ALL SELECT file, line, 'invalid split' FROM e WHERE conv_id % 7 = 3"""
 )
 def flt26_example_invariants(table: Table) -> DataFrame:
     """The same trajectories unfolded into examples, audited."""
     t = _trajectories(table)
     n = F.col("number")
     unfolded = t.select("*", F.posexplode("steps").alias("step", "s")).select(
-        (n * 10 + F.col("step")).alias("number"), F.concat_ws(":", "trajectory_id", "step").alias("example_id"), "trajectory_id", "source_data_id", F.when(n % 7 == 3, "held").otherwise("train").alias("split"),
+        "part", (n * 10 + F.col("step")).alias("number"), F.concat_ws(":", "trajectory_id", "step").alias("example_id"), "trajectory_id", "source_data_id", F.when(n % 7 == 3, "held").otherwise("train").alias("split"),
         "route", "s.transition", "s.state", "s.target", "canonical_answer", "accepted_answers", "schema_version", F.col("step").alias("target_turn_index"), F.col("step").alias("history_turn_count"),
         F.coalesce(*[F.when(F.contains(F.col("s.target"), F.lit(f"<{tag}>")), F.lit(a)) for a, tag in ACTIONS.items()]).alias("target_action_type"),
     )
-    return V.line_violations(t.sparkSession, _lines(unfolded, "examples"), "example").select("line", "rule")
+    return _violations(unfolded, "examples", "example").select("file", "line", "rule")

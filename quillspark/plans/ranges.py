@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tarfile
 from collections.abc import Iterator
 
@@ -14,20 +15,32 @@ from quillspark.plans.ingest import fresh_folder
 from quillspark.sources import ranges as R
 
 
+def write_lines(rows: DataFrame, path: str, by: str, order: str) -> None:
+    """Rows (by, order, value) as files of lines, one for each value of ``by``, each in its order."""
+    rows.repartition(by).sortWithinPartitions(by, order).select(by, "value").write.partitionBy(by).text(path)
+
+
 def write_objects(rows: DataFrame, path: str) -> None:
-    """Rows (key, value: JSON) as JSON objects of many entries, one a partition."""
+    """Rows (part, key, value: JSON) as JSON objects of many entries, one for each part, in the order of keys."""
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign = "{"
+        part, nth, out = None, 0, []
         for batch in batches:
-            out = []
-            for key, value in zip(batch.column("key").to_pylist(), batch.column("value").to_pylist(), strict=True):
-                out.append(f"{sign} {key}: {value}")
-                sign = ","
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
-        yield pa.RecordBatch.from_arrays([pa.array(["}" if sign == "," else "{}"])], ["value"])
-
-    rows.select(F.to_json(F.struct(F.col("key").alias("k"))).substr(F.lit(6), F.length("key") * 6 + 20).alias("key"), "value").select(F.regexp_replace("key", r"\}$", "").alias("key"), "value").mapInArrow(lines, "value string").write.text(path)
+            for now, key, value in zip(*(batch.column(c).to_pylist() for c in ("part", "key", "value")), strict=True):
+                if part not in (None, now):
+                    out.append((part, nth, "}"))
+                sign, nth = ("{", 0) if part != now else (",", nth)
+                part = now
+                out.append((part, nth, f"{sign} {json.dumps(key, ensure_ascii=False)}: {value}"))
+                nth += 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["part", "nth", "value"])
+                out = []
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([nth]), pa.array(["}"])], ["part", "nth", "value"])
+
+    dealt = rows.select(F.col("part").cast("string").alias("part"), "key", "value").repartition("part").sortWithinPartitions("part", "key")
+    dealt.mapInArrow(lines, "part string, nth long, value string").sortWithinPartitions("part", "nth").select("part", "value").write.partitionBy("part").text(path)
 
 
 @query("SELECT url AS key, page_id, html FROM pages")
@@ -35,25 +48,22 @@ def src17_object_entries(table: Table) -> DataFrame:
     """Pages written as huge JSON objects by URL, and read again entry by entry in ranges."""
     pages = table("pages")
     path = fresh_folder(pages, "objects")
-    write_objects(pages.select(F.col("url").alias("key"), F.to_json(F.struct("page_id", "html")).alias("value")), path)
+    write_objects(pages.select(F.floor(F.col("page_id") / 5000).alias("part"), F.col("url").alias("key"), F.to_json(F.struct("page_id", "html")).alias("value")), path)
     entries = R.json_entries(pages.sparkSession, path)
     return entries.select("key", F.from_json("value", "page_id long, html string").alias("v")).select("key", "v.page_id", "v.html")
 
 
 @query(
-    """WITH firsts AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id) AS nth, count(*) AS turns, count(*) FILTER (role = 'user') AS users FROM conversations GROUP BY conv_id)
-       SELECT conv_id::VARCHAR AS key, CASE WHEN conv_id % 3 = 0 THEN ['source', 'url'] ELSE ['url'] END AS missing, CASE WHEN turns <> users THEN ['roles/users'] ELSE [] END AS uneven, false AS passed FROM firsts WHERE nth <= 3"""
+    """WITH firsts AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id // 20 ORDER BY lpad(conv_id::VARCHAR, 12, '0')) AS nth, count(*) AS turns, count(*) FILTER (role = 'user') AS users FROM conversations GROUP BY conv_id)
+       SELECT lpad(conv_id::VARCHAR, 12, '0') AS key, CASE WHEN conv_id % 3 = 0 THEN ['source', 'url'] ELSE ['url'] END AS missing, CASE WHEN turns <> users THEN ['roles/users'] ELSE [] END AS uneven, false AS passed FROM firsts WHERE nth <= 3"""
 )
 def src18_schema_audit(table: Table) -> DataFrame:
-    """The first three conversations of each of five huge objects against the fields and equal lengths that they should have."""
+    """The first three conversations of each huge object against the fields and equal lengths that they should have."""
     c = table("conversations").groupBy("conv_id").agg(F.array_agg("role").alias("roles"), F.array_agg(F.when(F.col("role") == "user", F.col("turn"))).alias("users"))
     source = F.when(F.col("conv_id") % 3 != 0, F.lit("a"))
-    rows = c.select(F.col("conv_id"), F.col("conv_id").cast("string").alias("key"), F.to_json(F.struct("roles", "users", source.alias("source"))).alias("value"))
+    rows = c.select(F.floor(F.col("conv_id") / 20).alias("part"), F.lpad(F.col("conv_id").cast("string"), 12, "0").alias("key"), F.to_json(F.struct("roles", "users", source.alias("source"))).alias("value"))
     path = fresh_folder(rows, "audited")
-    dealt = rows.withColumn("file", F.col("conv_id") % 5).repartitionByRange(5, "file").sortWithinPartitions("file", "conv_id")
-    # A file for each of the five, whichever partitions they came to.
-    for k in range(5):
-        write_objects(dealt.where(F.col("file") == k).coalesce(1).sortWithinPartitions("conv_id"), f"{path}/{k}")
+    write_objects(rows, path)
     found = R.schema_audit(R.json_entries(rows.sparkSession, path), ["roles", "source", "url", "users"], [("roles", "users")])
     return found.select("key", "missing", "uneven", "passed")
 
@@ -98,16 +108,17 @@ def src19_tar_members(table: Table) -> DataFrame:
 
 
 @query(
-    """WITH lines AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS line FROM events)
-       SELECT line, unnest(CASE WHEN event_id % 11 = 0 THEN ['not JSON'] WHEN event_id % 13 = 0 THEN ['not an object'] WHEN event_id % 17 = 0 THEN ['no id'] WHEN event_id % 19 = 0 THEN ['low value', 'no id'] ELSE [] END) AS fault
+    """WITH lines AS (SELECT event_id, event_id // 5000 AS file, row_number() OVER (PARTITION BY event_id // 5000 ORDER BY event_id) AS line FROM events)
+       SELECT file, line, unnest(CASE WHEN event_id % 11 = 0 THEN ['not JSON'] WHEN event_id % 13 = 0 THEN ['not an object'] WHEN event_id % 17 = 0 THEN ['no id'] WHEN event_id % 19 = 0 THEN ['low value', 'no id'] ELSE [] END) AS fault
        FROM lines WHERE event_id % 7 <> 0"""
 )
 def src02_line_faults(table: Table) -> DataFrame:
-    """Events as lines of JSON, some blank, broken, no objects or without an id: each fault under the number of its line."""
-    e, i = table("events").orderBy("event_id"), F.col("event_id")
+    """Events as files of JSON lines, some blank, broken, no objects or without an id: each fault under its file and the number of its line."""
+    e, i = table("events"), F.col("event_id")
     good = F.to_json(F.struct(F.when(~((i % 17 == 0) | (i % 19 == 0)), i).alias("id"), F.when((i % 19 == 0) & (i % 17 != 0), F.lit(-1)).otherwise(F.lit(1)).alias("value")))
     line = F.when(i % 7 == 0, F.lit("  ")).when(i % 11 == 0, F.lit('{"id": ')).when(i % 13 == 0, F.lit("[1, 2]")).otherwise(good)
     path = fresh_folder(e, "lines")
-    e.select(line.alias("value")).coalesce(1).write.text(path)
+    write_lines(e.select(F.floor(i / 5000).alias("part"), "event_id", line.alias("value")), path, "part", "event_id")
     rules = {"low value": F.try_variant_get("row", "$.value", "int") < 0, "no id": F.try_variant_get("row", "$.id", "long").isNull()}
-    return R.json_line_faults(e.sparkSession, path, rules).select("line", "fault")
+    found = R.json_line_faults(e.sparkSession, path, rules)
+    return found.select(F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("file"), "line", "fault")
