@@ -390,28 +390,26 @@ def exact_bucket_edges(keyed: DataFrame, radius: int, similarity: float) -> Data
     return dealt.mapInArrow(edges, "a long, b long")
 
 
-def checked_edges(keyed: DataFrame, radius: int, sets: DataFrame, similarity: float, whole: bool) -> DataFrame:
+def checked_edges(keyed: DataFrame, fps: DataFrame, radius: int, sets: DataFrame, similarity: float, whole: bool) -> DataFrame:
     """Edges (a, b) of rows (key, id, fp) that share a key, lie within ``radius`` and are ``similar``; with ``whole``, enough of them to connect all that are.
 
     The nearest pairs of each bucket are held against the exact similarity first, which
     connects most.  Rows that have more pairs in a bucket are then compared whole there,
-    unless all of them are connected already.
+    unless all of them are connected already; ``fps`` (id, fp) has their fingerprints.
     """
-    held = checkpointed(keyed.select("key", "id", "fp")) if whole else keyed
-    offered = checkpointed(bucket_edges(held, radius, FORESTS))
+    offered = checkpointed(bucket_edges(keyed, radius, FORESTS))
     passed = checkpointed(similar(offered.where("key is null").select("a", "b"), sets, similarity))
     more = offered.where("key is not null").select("key", F.col("a").alias("id"))
     if not whole or more.isEmpty():
         return passed
     linked = connected_components(passed).withColumnRenamed("component", "label")
-    rest = skew_join(skew_join(held, more, ["key", "id"], "left_semi"), linked, ["id"], "left").withColumn("label", F.coalesce("label", "id"))
-    rest = checkpointed(rest)
+    rest = checkpointed(skew_join(more, linked, ["id"], "left").withColumn("label", F.coalesce("label", "id")))
     several = rest.groupBy("key").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("key")
     rest = checkpointed(skew_join(rest, several, ["key"], "left_semi"))
     if rest.isEmpty():
         return passed
-    asked = checkpointed(skew_join(sets.select("id", "shingles"), rest.select("id").distinct(), ["id"], "left_semi"))
-    return passed.unionByName(checkpointed(exact_bucket_edges(skew_join(rest, asked, ["id"], "inner"), radius, similarity)))
+    asked = skew_join(skew_join(fps, rest.select("id").distinct(), ["id"], "left_semi"), sets.select("id", "shingles"), ["id"], "inner")
+    return passed.unionByName(checkpointed(exact_bucket_edges(skew_join(rest, checkpointed(asked), ["id"], "inner"), radius, similarity)))
 
 
 # --- exact search within a small radius ---------------------------------------------------------
@@ -491,7 +489,7 @@ def signature_links(sigs: DataFrame, radius: int, sets: DataFrame | None = None,
     """
 
     def links(keyed: DataFrame, whole: bool = False) -> DataFrame:
-        return checkpointed(bucket_edges(keyed, radius)) if sets is None else checked_edges(keyed, radius, sets, similarity, whole)
+        return checkpointed(bucket_edges(keyed, radius)) if sets is None else checked_edges(keyed, sigs.select("id", "fp"), radius, sets, similarity, whole)
 
     wide = sigs.select("id", "fp", F.explode("keys").alias("key"))
     full = _crowded(wide)
