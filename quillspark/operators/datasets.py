@@ -161,6 +161,38 @@ def pool_dataset(pool: DataFrame, exposed: DataFrame, keys: list[str], exposed_k
     return Build(taken.select("id", "route", "split"), seen.select("id", "route", reason.alias("reason")))
 
 
+def format_view(pool: DataFrame, train: DataFrame, dev: DataFrame, keys: list[str], quotas: list[tuple[str, str, int]], seed: str, strict: bool = True) -> Build:
+    """A view of a pool (id, route, source, ``keys``) for learning the format alone: taken rows from sources that training or dev data already have.
+
+    ``train`` and ``dev`` (source) are what they have; a row whose source is in neither is
+    forbidden, and so is any row that shares a key with it.  ``quotas`` are (split, route,
+    rows) in the order in which they are filled: sources of the split first, then those of
+    neither alone, those of the other last, each in a seeded order of the split.  No two
+    rows share a key.
+    """
+    held = pool
+    for name, known in (("_train", train), ("_dev", dev)):
+        held = skew_join(held, known.select("source").distinct().withColumn(name, F.lit(True)), ["source"], "left")
+    held = settled(held.withColumns({n: F.coalesce(n, F.lit(False)) for n in ("_train", "_dev")}))
+    allowed, forbidden = held.where("_train or _dev"), held.where("not (_train or _dev)")
+    for k in keys:
+        allowed = skew_join(allowed, forbidden.select(k).where(F.col(k).isNotNull()).distinct(), [k], "left_anti")
+    allowed = settled(allowed)
+
+    def order(split: str) -> list[Column]:
+        own, other = ("_dev", "_train") if split == "dev" else ("_train", "_dev")
+        tier = F.when(F.col(own), 0).when(F.col(other), 2).otherwise(1)
+        return [tier, digest(seed, F.lit(split), F.col("id")), F.col("id")]
+
+    stages = [S.Stage(f"{split}/{route}", F.col("route") == route, order(split), n) for split, route, n in quotas]
+    chosen = S.select_in_stages(allowed, keys, stages, strict=strict)
+    taken = settled(chosen.select("id", "route", F.split("stage", "/")[0].alias("split")))
+    seen = skew_join(held.select("id", "route"), allowed.select("id").withColumn("_allowed", F.lit(True)), ["id"], "left")
+    seen = skew_join(seen, taken.select("id").withColumn("_taken", F.lit(True)), ["id"], "left")
+    reason = F.when(F.col("_allowed").isNull(), "forbidden").when(F.col("_taken").isNull(), "not_selected")
+    return Build(taken, seen.select("id", "route", reason.alias("reason")))
+
+
 def prompt_pool(candidates: DataFrame, rules: list[tuple[str, Column]], historical: DataFrame, keys: list[str], quotas: list[tuple[str, str, int]], seed: str) -> Build:
     """Prompts (id, uid, nth, category, ``keys``) dealt to pools that share no key: taken (id, route: category, split: pool) and a decision for each row.
 

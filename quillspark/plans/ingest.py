@@ -114,6 +114,28 @@ def src37_snk03_snk16_binary_manifest(table: Table) -> DataFrame:
     return pages.select("page_id", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("digest"))
 
 
+@query("SELECT 'records' AS kind, n_nationkey, n_name FROM nation UNION ALL SELECT 'array', n_nationkey, n_name FROM nation UNION ALL SELECT 'lines', n_nationkey, n_name FROM nation")
+def src09_wrapped_tables(table: Table) -> DataFrame:
+    """The nations as a JSON document that holds its rows under a key, as an array, and as lines, read alike."""
+    n = table("nation").select("n_nationkey", "n_name")
+    path, spark = fresh_folder(n, "wrapped"), n.sparkSession
+    rows = F.to_json(F.array_sort(F.collect_list(F.struct(*n.columns))))  # 25 rows
+    n.agg(F.concat(F.lit('{"version": 1, "records": '), rows, F.lit("}")).alias("value")).write.text(f"{path}/records")
+    n.agg(rows.alias("value")).write.text(f"{path}/array")
+    K.write_json_lines(n, f"{path}/lines")
+    scans = [R.read_wrapped_json(spark, f"{path}/{k}") if k != "lines" else R.read_json_lines(spark, f"{path}/{k}", n.schema) for k in ("records", "array", "lines")]
+    return reduce(DataFrame.unionByName, [x.select(F.lit(k).alias("kind"), F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name") for k, x in zip(("records", "array", "lines"), scans, strict=True)])
+
+
+@query("SELECT doc_id, sha256(text) AS digest, lang FROM documents")
+def src16_compressed_lines(table: Table) -> DataFrame:
+    """Documents as gzipped JSON lines, read again; a file is read by one task, so there are many."""
+    d = table("documents").select("doc_id", "lang", "text")
+    path = fresh_folder(d, "gz")
+    d.write.option("compression", "gzip").json(path)
+    return R.read_json_lines(d.sparkSession, path, d.schema).select("doc_id", F.sha2("text", 256).alias("digest"), "lang")
+
+
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def stream01_incremental_metrics(table: Table) -> DataFrame:
     e = table("events").select("event_id", "ts", "user_id", "event_type", "value")

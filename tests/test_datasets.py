@@ -1,5 +1,6 @@
 """Dataset builders: every row accounted for, quotas and splits exact, no key shared; the plan against full search."""
 
+import hashlib
 import random
 from collections import Counter
 from itertools import product
@@ -83,3 +84,25 @@ def test_prompt_pools(spark, table):
     rows = P._candidates(table).withColumn("image", F.concat_ws("/", F.col("entity") % 17, F.col("source"))).withColumn("near", F.col("source") % 997)
     placed = S.skew_join(rows.drop("route"), build.taken.select("id", "split"), ["id"], "inner")
     assert S.shared_values(placed, "split", P.POOL_KEYS).isEmpty()
+
+
+def test_format_views(spark, table):
+    build, pool = P.view_build(table), {r["id"]: r for r in P._pool(table).withColumn("near", F.col("source") % 997).where("route is not null").collect()}
+    known = {"train": {r["source"] for r in pool.values() if r["source"] % 3}, "dev": {r["source"] for r in pool.values() if r["source"] % 4 < 3}}
+    banned = [r for r in pool.values() if r["source"] not in known["train"] | known["dev"]]
+    gone = {k: {r[k] for r in banned} for k in P.KEYS}
+    allowed = [r for r in pool.values() if all(r[k] not in gone[k] for k in P.KEYS)]
+    used, want = {k: set() for k in P.KEYS}, {}
+    for split, route, n in P.VIEW:
+        other = "train" if split == "dev" else "dev"
+        tier = lambda r: 0 if r["source"] in known[split] else 2 if r["source"] in known[other] else 1  # noqa: E731, B023
+        taken = 0
+        for r in sorted((r for r in allowed if r["route"] == route), key=lambda r: (tier(r), hashlib.sha256(f"v6:{split}:{r['id']}".encode()).hexdigest(), r["id"])):
+            if taken < n and all(r[k] not in used[k] for k in P.KEYS):
+                taken += 1
+                want[r["id"]] = split
+                for k in P.KEYS:
+                    used[k].add(r[k])
+    assert {r["id"]: r["split"] for r in build.taken.collect()} == want
+    reasons = Counter(r["reason"] for r in build.decisions.collect())
+    assert sum(reasons.values()) == len(pool) and reasons[None] == len(want) and reasons["forbidden"] == len(pool) - len(allowed)
