@@ -63,3 +63,21 @@ def transitions(df: DataFrame, left: str, right: str, labels: list[str]) -> Data
 
 def clipped(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+
+def prediction_table(df: DataFrame, transition: str, said: Column, labels: list[str]) -> DataFrame:
+    """transition, targets, and how often each label was predicted, "invalid" for what is none of them."""
+    named = df.select(F.col(transition).alias("transition"), F.when(said.isin(*labels), said).otherwise("invalid").alias("_said"))
+    return named.groupBy("transition").agg(F.count(F.lit(1)).alias("targets"), *[F.count_if(F.col("_said") == x).alias(x) for x in [*labels, "invalid"]])
+
+
+def failure_examples(df: DataFrame, transition: str, order: str, failed: Column, limits: dict[str, int | None]) -> DataFrame:
+    """The rows that failed, for the transitions in ``limits``: the first so many of each, or all of them (None).
+
+    Spark keeps so many rows of a transition in each task before the exchange.
+    """
+    wrong = df.where(F.col(transition).isin(*limits)).where(failed)
+    bounded = {k: n for k, n in limits.items() if n is not None}
+    most = F.coalesce(*[F.when(F.col(transition) == k, F.lit(n)) for k, n in bounded.items()]) if bounded else F.lit(0)
+    ranked = wrong.where(F.col(transition).isin(*bounded)).withColumn("_nth", F.row_number().over(Window.partitionBy(transition).orderBy(order))).where(F.col("_nth") <= max([0, *bounded.values()]))
+    return ranked.where(F.col("_nth") <= most).drop("_nth").unionByName(wrong.where(~F.col(transition).isin(*bounded)))

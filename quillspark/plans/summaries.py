@@ -1,11 +1,12 @@
-"""Queries of whole metric families and gates (AGG07, AGG08, AGG24, AGG27, AGG31, FLT37, FLT38, CMP31), and of answers copied from what was found (FLT42, FLT43)."""
+"""Queries of whole metric families and gates (AGG07, AGG08, AGG24, AGG27, AGG31, FLT37, FLT38, CMP31, CMP34, AGG47), and of answers copied from what was found (FLT42, FLT43)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators import episodes as E
+from quillspark.operators import metrics as K
 from quillspark.operators import summaries as S
 from quillspark.plans.declare import Table, query
 
@@ -130,3 +131,33 @@ def flt42_flt43_copied_answers(table: Table) -> DataFrame:
     answer, accepted = F.col("p_name"), F.when(k % 3 == 2, F.array("p_name")).otherwise(F.array(F.lit("zebra")))
     entity = E.copies_entity(answer, accepted, F.array(F.lit("someone else"), F.lower("p_name")), k % 4 == 0)
     return table("part").select("p_partkey", E.copies_span(answer, k % 3 == 0, calls).alias("span_copied"), entity.alias("entity_copied"))
+
+
+_TRANSITIONS = """p AS (SELECT event_id, user_id, event_type AS target, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS said, CASE user_id % 3 WHEN 0 THEN 'initial_to_direct_answer' WHEN 1 THEN 'initial_to_text_search' ELSE 'image_information_to_text_search' END AS transition FROM events)"""
+
+
+def _predicted(table: Table) -> DataFrame:
+    """Events as targets, the next event of a user as what was predicted, users as three transitions."""
+    k = F.col("user_id") % 3
+    said = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    transition = F.when(k == 0, "initial_to_direct_answer").when(k == 1, "initial_to_text_search").otherwise("image_information_to_text_search")
+    return table("events").select("event_id", F.col("event_type").alias("target"), said.alias("said"), transition.alias("transition"))
+
+
+@query(
+    f"""WITH {_TRANSITIONS} SELECT transition, count(*) AS targets, count(*) FILTER (said = 'view') AS "view", count(*) FILTER (said = 'click') AS click, count(*) FILTER (said = 'purchase') AS purchase,
+        count(*) FILTER (said IS NULL OR said NOT IN ('view', 'click', 'purchase')) AS invalid FROM p GROUP BY transition"""
+)
+def cmp34_prediction_table(table: Table) -> DataFrame:
+    return K.prediction_table(_predicted(table), "transition", F.col("said"), ["view", "click", "purchase"])
+
+
+@query(
+    f"""WITH {_TRANSITIONS}, f AS (SELECT event_id, transition, target, said, row_number() OVER (PARTITION BY transition ORDER BY event_id) AS nth FROM p WHERE said IS NULL OR said <> target)
+        SELECT event_id, transition, target, said FROM f WHERE nth <= 10 OR transition = 'image_information_to_text_search'"""
+)
+def agg47_failure_examples(table: Table) -> DataFrame:
+    """Failed predictions: the first ten of two transitions, and all of the third."""
+    limits = {"initial_to_direct_answer": 10, "initial_to_text_search": 10, "image_information_to_text_search": None}
+    failed = F.col("said").isNull() | (F.col("said") != F.col("target"))
+    return K.failure_examples(_predicted(table), "transition", "event_id", failed, limits).select("event_id", "transition", "target", "said")
