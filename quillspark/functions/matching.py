@@ -8,10 +8,29 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 
 
+def _merged(left: Column, right: Column, once: bool) -> Column:
+    """How many elements of ``left`` meet an equal one of ``right``, each of these once, or any number of times: both are sorted and walked side by side."""
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("n"))
+
+    def walked(z: Column) -> Column:
+        most = F.size(z["a"]) + F.size(z["b"])
+        steps = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
+
+        def step(s: Column, _: Column) -> Column:
+            x, y = F.get(z["a"], s["i"]), F.get(z["b"], s["j"])  # null behind the end, where nothing moves on
+            one = lambda c: F.when(c, 1).otherwise(0)
+            return F.struct((s["i"] + one(x <= y)).alias("i"), (s["j"] + one(y <= x if once else y < x)).alias("j"), (s["n"] + one(x == y)).alias("n"))
+
+        return F.aggregate(steps, start, step, lambda s: s["n"])
+
+    # Bound by a lambda, the arrays are sorted once and not at each step.
+    both = F.struct(F.array_sort(left).alias("a"), F.array_sort(right).alias("b"))
+    return F.get(F.transform(F.array(both), walked), F.lit(0))
+
+
 def overlap_count(left: Column, right: Column) -> Column:
     """Size of the multiset intersection of two arrays."""
-    count = lambda xs, t: F.size(F.filter(xs, lambda x: x == t))
-    return F.aggregate(F.array_distinct(F.array_intersect(left, right)), F.lit(0), lambda n, t: n + F.least(count(left, t), count(right, t)))
+    return _merged(left, right, True)
 
 
 def token_f1(prediction: Column, target: Column) -> Column:
@@ -62,8 +81,7 @@ def jaccard(left: Column, right: Column) -> Column:
 def copy_ratio(question: Column, query: Column) -> Column:
     """Share of a query's words that the question's core has."""
     q, core = T.words(query), T.without(T.words(question), T.QUESTION_WORDS)
-    hits = F.size(F.filter(q, lambda t: F.array_contains(core, t)))
-    return F.when(F.size(q) == 0, 0.0).otherwise(hits / F.size(q))
+    return F.when(F.size(q) == 0, 0.0).otherwise(_merged(q, F.array_distinct(core), False) / F.size(q))
 
 
 def shingles(tokens: Column, n: int) -> Column:
