@@ -493,15 +493,16 @@ def signature_links(sigs: DataFrame, radius: int, sets: DataFrame | None = None,
 
     wide = sigs.select("id", "fp", F.explode("keys").alias("key"))
     full = _crowded(wide)
+    found = edges = links(_dealt(wide, full), whole=True)
     if full.isEmpty():
-        return links(wide, whole=True)
+        return edges
     held = level = checkpointed(skew_join(wide, full.select("key"), ["key"], "left_semi"))
-    found = links(_dealt(held, full))
-    edges = found.unionByName(links(skew_join(wide, full.select("key"), ["key"], "left_anti"), whole=True))
+    inside = held.select(F.col("id").alias("to")).distinct()
     before = held.count()
     while not full.isEmpty():
-        joined = connected_components(found).where("id <> component").select("id")
-        level = checkpointed(skew_join(level, joined, ["id"], "left_anti"))
+        # A row that was joined to one of a smaller id here is stood for by it, or by what stands for that.
+        joined = found.where("a <> b").select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("to"))
+        level = checkpointed(skew_join(level, skew_join(joined, inside, ["to"], "left_semi").select("id").distinct(), ["id"], "left_anti"))
         rows = level.count()
         if rows == before:
             break
