@@ -46,7 +46,7 @@ def round_robin(df: DataFrame, stratum: str, seed: str, key: str, most: int) ->
 def rarity_order(df: DataFrame, dimensions: list[str], seed: str, key: str) -> tuple[DataFrame, list[Column]]:
     """``df`` with how often each row's value of each dimension occurs, and sort keys that put rare ones first."""
     for d in dimensions:
-        df = df.join(df.groupBy(d).agg(F.count(F.lit(1)).alias(f"_often_{d}")), d)
+        df = skew_join(df, df.groupBy(d).agg(F.count(F.lit(1)).alias(f"_often_{d}")), [d], "inner")
     return df, [*[F.col(f"_often_{d}") for d in dimensions], digest(seed, F.col(key)), F.col(key)]
 
 

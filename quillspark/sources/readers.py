@@ -43,12 +43,15 @@ def read_records(spark: SparkSession, path: str, columns: list[str], key: str |
     return found
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """CSV with a header or without: a first line that names the columns is one."""
-    raw = spark.read.option("multiLine", True).option("escape", '"').csv(path)
-    first = raw.first()
+def read_csv(spark: SparkSession, path: str, schema: StructType, multi_line: bool = True) -> DataFrame:
+    """CSV with a header or without: a first line that names the columns is one.
+
+    Cells may hold line ends; if they do not, say so (``multi_line`` false): then a large file is read by many tasks.
+    """
+    reader = lambda: spark.read.option("multiLine", multi_line).option("escape", '"')
+    first = reader().csv(path).first()
     header = first is not None and [x for x in first] == schema.fieldNames()
-    return spark.read.schema(schema).option("header", header).option("multiLine", True).option("escape", '"').csv(path)
+    return reader().schema(schema).option("header", header).csv(path)
 
 
 def indexed(df: DataFrame, key: str) -> DataFrame:
