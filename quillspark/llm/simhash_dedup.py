@@ -390,26 +390,28 @@ def exact_bucket_edges(keyed: DataFrame, radius: int, similarity: float) -> Data
     return dealt.mapInArrow(edges, "a long, b long")
 
 
-def checked_edges(keyed: DataFrame, fps: DataFrame, radius: int, sets: DataFrame, similarity: float, whole: bool) -> DataFrame:
-    """Edges (a, b) of rows (key, id, fp) that share a key, lie within ``radius`` and are ``similar``; with ``whole``, enough of them to connect all that are.
+def nearest_links(keyed: DataFrame, radius: int, sets: DataFrame | None, similarity: float) -> tuple[DataFrame, DataFrame | None]:
+    """Edges (a, b) of rows (key, id, fp) that share a key and lie within ``radius``, and the rows (key, id) that have more such pairs.
 
-    The nearest pairs of each bucket are held against the exact similarity first, which
-    connects most.  Rows that have more pairs in a bucket are then compared whole there,
-    unless all of them are connected already; ``fps`` (id, fp) has their fingerprints.
+    Without ``sets`` the edges connect all of them, and no row has more.  With them, edges
+    are the nearest pairs of each bucket that are ``similar``.
     """
+    if sets is None:
+        return checkpointed(bucket_edges(keyed, radius)), None
     offered = checkpointed(bucket_edges(keyed, radius, FORESTS))
     passed = checkpointed(similar(offered.where("key is null").select("a", "b"), sets, similarity))
-    more = offered.where("key is not null").select("key", F.col("a").alias("id"))
-    if not whole or more.isEmpty():
-        return passed
-    linked = connected_components(passed).withColumnRenamed("component", "label")
-    rest = checkpointed(skew_join(more, linked, ["id"], "left").withColumn("label", F.coalesce("label", "id")))
+    return passed, offered.where("key is not null").select("key", F.col("a").alias("id"))
+
+
+def exact_links(more: DataFrame, linked: DataFrame, fps: DataFrame, radius: int, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """Edges (a, b) that connect all rows (key, id) in ``more`` which share a key and are alike, but for those ``linked`` (id, component) already; None if there is nothing left."""
+    rest = checkpointed(skew_join(more, linked.withColumnRenamed("component", "label"), ["id"], "left").withColumn("label", F.coalesce("label", "id")))
     several = rest.groupBy("key").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("key")
     rest = checkpointed(skew_join(rest, several, ["key"], "left_semi"))
     if rest.isEmpty():
-        return passed
+        return None
     asked = skew_join(skew_join(fps, rest.select("id").distinct(), ["id"], "left_semi"), sets.select("id", "shingles"), ["id"], "inner")
-    return passed.unionByName(checkpointed(exact_bucket_edges(skew_join(rest, checkpointed(asked), ["id"], "inner"), radius, similarity)))
+    return checkpointed(exact_bucket_edges(skew_join(rest, checkpointed(asked), ["id"], "inner"), radius, similarity))
 
 
 # --- exact search within a small radius ---------------------------------------------------------
@@ -481,35 +483,42 @@ def _next_mask(known: Column, part: int, parts: int, depth: int) -> Column:
 def signature_links(sigs: DataFrame, radius: int, sets: DataFrame | None = None, similarity: float = 0.8) -> DataFrame:
     """Edges (a, b) that connect all rows (id, fp: array of 64-bit words, keys; fps distinct) within ``radius`` bits that share a key.
 
-    With ``sets`` (id, shingles), links have an exact similarity too (``checked_edges``).
+    With ``sets`` (id, shingles), links have an exact similarity too: the nearest pairs of
+    each bucket are held against it first, which connects most (``nearest_links``), and rows that
+    have more pairs are compared whole at last, unless they are connected (``exact_links``).
     Keys shared by more than half a block of rows are dealt into salted blocks; then what
     each block found alike is represented by one row, and the representatives meet again,
     as long as that joins more.  This only saves work: at last all rows of these keys that
     are not connected yet are compared across the blocks.
     """
-
-    def links(keyed: DataFrame, whole: bool = False) -> DataFrame:
-        return checkpointed(bucket_edges(keyed, radius)) if sets is None else checked_edges(keyed, sigs.select("id", "fp"), radius, sets, similarity, whole)
-
     wide = sigs.select("id", "fp", F.explode("keys").alias("key"))
     full = _crowded(wide)
-    found = edges = links(_dealt(wide, full), whole=True)
-    if full.isEmpty():
+    crowded = not full.isEmpty()
+    found, more = nearest_links(_dealt(wide, full), radius, sets, similarity)
+    edges = found
+    if crowded:
+        held = level = checkpointed(skew_join(wide, full.select("key"), ["key"], "left_semi"))
+        inside = held.select(F.col("id").alias("to")).distinct()
+        before = held.count()
+        while not full.isEmpty():
+            # A row that was joined to one of a smaller id here is stood for by it, or by what stands for that.
+            joined = found.where("a <> b").select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("to"))
+            level = checkpointed(skew_join(level, skew_join(joined, inside, ["to"], "left_semi").select("id").distinct(), ["id"], "left_anti"))
+            rows = level.count()
+            if rows == before:
+                break
+            before, full = rows, _crowded(level)
+            found, _ = nearest_links(_dealt(level, full), radius, sets, similarity)
+            edges = edges.unionByName(found)
+    elif more is None or more.isEmpty():
         return edges
-    held = level = checkpointed(skew_join(wide, full.select("key"), ["key"], "left_semi"))
-    inside = held.select(F.col("id").alias("to")).distinct()
-    before = held.count()
-    while not full.isEmpty():
-        # A row that was joined to one of a smaller id here is stood for by it, or by what stands for that.
-        joined = found.where("a <> b").select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("to"))
-        level = checkpointed(skew_join(level, skew_join(joined, inside, ["to"], "left_semi").select("id").distinct(), ["id"], "left_anti"))
-        rows = level.count()
-        if rows == before:
-            break
-        before, full = rows, _crowded(level)
-        found = links(_dealt(level, full))
+    linked = connected_components(edges)
+    if crowded:
+        found, further = nearest_links(_across_blocks(held, linked), radius, sets, similarity)
         edges = edges.unionByName(found)
-    return edges.unionByName(links(_across_blocks(held, connected_components(edges)), whole=True))
+        more = more if further is None else more.unionByName(further)
+    rest = None if more is None else exact_links(more, linked, sigs.select("id", "fp"), radius, sets, similarity)
+    return edges if rest is None else edges.unionByName(rest)
 
 
 def _like(key: Column, other: str = "key") -> Column:
