@@ -126,7 +126,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: those ``exact_duplicates`` keeps.
 
-    Of rows that repeat doc_id and text, one stays.
+    Of rows that repeat doc_id and text, one stays.  Null texts count as empty; columns of
+    any name stay as they are; very long texts are compared whole; an empty table gives no rows.
     """
     repeated, digest, stays = (unused(n, docs) for n in ("_repeated", "_digest", "_stays"))
     decided = checkpointed(exact_duplicates(docs))

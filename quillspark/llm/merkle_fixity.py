@@ -47,7 +47,8 @@ def write_archives(records: DataFrame, folder: str, compression: str = "none") -
     """Writes ``records`` (archive, nth, record) as one WARC file an archive, in the order of nth.
 
     A record is the text of ``warc_record``.  An archive is written by one task: it should
-    be of the usual size of WARC files, a gigabyte at most.
+    be of the usual size of WARC files, a gigabyte at most.  Of a null record only the
+    end of a record is written; an empty table writes no file.
     """
     bare = F.expr(f"left(record, length(record) - {len(END)})")  # the writer ends each row with the end of a record
     rows = records.repartition("archive").sortWithinPartitions("archive", "nth").select("archive", bare.alias("value"))
@@ -206,6 +207,7 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     be the same), "moved" (it has the bytes elsewhere), "missing" (it lacks the record) or
     "extra" (only ``right`` has it; its own offset).  Equal replicas give no rows, as do empty
     ones; repeated rows are one; of records that share a name, each is held against all.
+    Offsets and lengths are 64 bits wide, so archives may be of any size.
     """
     suspects = _suspects(left, right)
     name, body = ["archive", "record_id"], ["length", "digest"]

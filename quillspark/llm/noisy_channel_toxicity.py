@@ -297,6 +297,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns; rows that share a doc_id go together."""
+    """The rows of ``docs`` that are not predicted toxic, with all their columns; rows that share a doc_id go together.
+
+    Null and empty texts are scored like any other, and rows of a null doc_id go or stay
+    together; very long texts are read whole; an empty table gives no rows.
+    """
     toxic = score_toxicity(docs, labels).where("predicted = 1").select("doc_id").distinct()
     return skew_join(docs, toxic, ["doc_id"], "left_anti")

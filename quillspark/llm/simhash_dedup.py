@@ -608,7 +608,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, sl
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; texts without words all stay, as in ``near_duplicates``."""
+    """The rows of ``docs`` that stay, with all their columns; texts without words all stay, as in ``near_duplicates``.
+
+    Rows of a null doc_id stay or go together; very long texts are read whole; an empty table gives no rows.
+    """
     decided = near_duplicates(docs, words, similarity)
     dropped = decided.groupBy("doc_id").agg(F.max("kept").alias("stays")).where("not stays").select("doc_id")
     return skew_join(docs, dropped, ["doc_id"], "left_anti")

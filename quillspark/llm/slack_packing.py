@@ -185,7 +185,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SIZE) -> DataF
     A document is its ids and an end id; a null text is empty and so one id long.  Longer
     ones than ``size`` are cut; the first piece may be shorter.  A sequence's pieces follow
     each other without gaps from 0.  Repeated rows are packed as often as they occur;
-    other columns are ignored; an empty table gives no rows.
+    other columns are ignored; texts are read whole, however long; an empty table gives no rows.
     """
     found = checkpointed(pieces(docs, tokenizer, size).withColumn("row_id", F.monotonically_increasing_id()))
     whole = found.where(F.col("length") == size)
