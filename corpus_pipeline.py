@@ -15,22 +15,27 @@ from quillspark.llm.slack_packing import pack
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` without those predicted toxic, as ``drop_toxic`` says for nulls, long texts and empty tables."""
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each set of equal texts (``keep_one``)."""
     return keep_one(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, and all without words (``keep_one_of_each``)."""
     return keep_one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix of sources takes them; those without words are in no mix (``apply_mix``)."""
     return apply_mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each text; null texts are empty and one id long (``pack``)."""
     return pack(docs)
 
 
