@@ -9,6 +9,7 @@ pass the text through ``compatibility_fold`` first.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,6 +44,13 @@ WORD = r"[\p{L}\p{N}]+"
 JOINED_WORD = rf"{WORD}(?:['’-]{WORD})*"
 QUERY_WORD = rf"{WORD}(?:['’-]{WORD})?"
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "MMMM d yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy")
+#: What every text in one of DATE_FORMATS looks like: a parser that fails is far slower than this.
+DATE_SHAPE = r"^(?:\+?[0-9]{4,}[-/][0-9]{2}[-/][0-9]{2}|[0-9]{2}/[0-9]{2}/\+?[0-9]{4,}|(?:[^ ]+ [-+]?[0-9]+|[-+]?[0-9]+ [^ ]+) \+?[0-9]{4,})$"
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once a row, however often ``f`` names it: a lambda binds it. In the bodies of lambdas Spark shares no common expressions."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 @F.pandas_udf(StringType())
@@ -74,10 +82,9 @@ def protocol_answer(text: Column) -> Column:
 
 def normal_date(text: Column) -> Column:
     """A date in one of DATE_FORMATS as "yyyy MM dd"; any other text as it is."""
-    plain = collapsed(F.translate(text, ",", " "))
-    months = F.initcap(plain)
-    read = F.coalesce(*[F.try_to_timestamp(months, F.lit(f)) for f in DATE_FORMATS])
-    return F.coalesce(F.date_format(read, "yyyy MM dd"), text)
+    read = lambda months: F.date_format(F.coalesce(*[F.try_to_timestamp(months, F.lit(f)) for f in DATE_FORMATS]), "yyyy MM dd")
+    dated = lambda plain: F.when(plain.rlike(DATE_SHAPE), once(F.initcap(plain), read))
+    return once(text, lambda t: F.coalesce(once(collapsed(F.translate(t, ",", " ")), dated), t))
 
 
 def evaluation_answer(text: Column, dates: bool = True) -> Column:
@@ -133,14 +140,19 @@ def singular_words(tokens: Column) -> Column:
 
 def person_core(text: Column) -> Column:
     """A normalised name without a leading title and without the plain words from "of" on that end it."""
-    tokens = F.filter(F.split(text, " "), lambda t: t != "")
-    first, two = F.get(tokens, F.lit(0)), F.array_join(F.slice(tokens, 1, 2), " ")
-    title = F.when(two.isin(*TITLES), 2).when(first.isin(*TITLES), 1).otherwise(0)
-    name = F.when(F.size(tokens) > title, F.slice(tokens, title + 1, F.size(tokens))).otherwise(tokens)
-    plain_after = lambda i: F.forall(F.slice(name, i + 2, F.size(name)), lambda t: t.rlike("^[a-z-]+$"))
-    places = F.when(F.size(name) > 2, F.sequence(F.lit(1), F.size(name) - 2)).otherwise(F.array().cast("array<int>"))
-    origin = F.get(F.filter(places, lambda i: (F.get(name, i) == "of") & plain_after(i)), F.lit(0))
-    return F.array_join(F.when(origin.isNotNull(), F.slice(name, 1, origin)).otherwise(name), " ")
+
+    def untitled(tokens: Column) -> Column:
+        first, two = F.get(tokens, F.lit(0)), F.array_join(F.slice(tokens, 1, 2), " ")
+        titles = once(F.when(two.isin(*TITLES), 2).when(first.isin(*TITLES), 1).otherwise(0), lambda title: F.when(F.size(tokens) > title, F.slice(tokens, title + 1, F.size(tokens))).otherwise(tokens))
+        return once(titles, without_origin)
+
+    def without_origin(name: Column) -> Column:
+        plain_after = lambda i: F.forall(F.slice(name, i + 2, F.size(name)), lambda t: t.rlike("^[a-z-]+$"))
+        places = F.when(F.size(name) > 2, F.sequence(F.lit(1), F.size(name) - 2)).otherwise(F.array().cast("array<int>"))
+        origin = F.get(F.filter(places, lambda i: (F.get(name, i) == "of") & plain_after(i)), F.lit(0))
+        return F.array_join(once(origin, lambda at: F.when(at.isNotNull(), F.slice(name, 1, at)).otherwise(name)), " ")
+
+    return once(F.filter(F.split(text, " "), lambda t: t != ""), untitled)
 
 
 def search_title(title: Column) -> Column:
@@ -210,5 +222,5 @@ def accepted_answers(canonical: Column, candidates: Column) -> Column:
     """The canonical answer and the candidates, the first of each normalised form."""
     every = F.filter(F.transform(F.concat(F.array(canonical), candidate_answers(candidates)), lambda x: F.trim(x)), lambda x: protocol_answer(x) != "")
     keyed = F.transform(every, lambda x: F.struct(protocol_answer(x).alias("key"), x.alias("value")))
-    keys = F.transform(keyed, lambda x: x["key"])
-    return F.transform(F.filter(keyed, lambda x, i: F.array_position(keys, x["key"]) == i + 1), lambda x: x["value"])
+    found = F.struct(keyed.alias("rows"), F.transform(keyed, lambda x: x["key"]).alias("keys"))
+    return once(found, lambda z: F.transform(F.filter(z["rows"], lambda x, i: F.array_position(z["keys"], x["key"]) == i + 1), lambda x: x["value"]))

@@ -45,21 +45,23 @@ def constructed(route: Column, contents: Column) -> Column:
 def repeats_search(calls: Column) -> Column:
     """Whether two calls (array of struct<tool, query>) are of one tool and one normalised query."""
     signs = F.transform(calls, lambda c: F.concat_ws("\u0001", c["tool"], T.evaluation_answer(F.coalesce(c["query"], F.lit("")))))
-    return F.size(signs) != F.size(F.array_distinct(signs))
+    return T.once(signs, lambda s: F.size(s) != F.size(F.array_distinct(s)))
 
 
 def copies_span(answer: Column, correct: Column, calls: Column) -> Column:
     """Whether a wrong answer stands in a result of a successful call (array of struct<status, results: array<string>>)."""
-    said = T.evaluation_answer(F.coalesce(answer, F.lit("")))
-    held = F.exists(calls, lambda c: (c["status"] == "success") & F.exists(c["results"], lambda r: F.contains(T.evaluation_answer(r), said)))
-    return ~correct & (said != "") & F.coalesce(held, F.lit(False))
+    held = lambda said: F.exists(calls, lambda c: (c["status"] == "success") & F.exists(c["results"], lambda r: F.contains(T.evaluation_answer(r), said)))
+    return ~correct & T.once(T.evaluation_answer(F.coalesce(answer, F.lit(""))), lambda said: (said != "") & F.coalesce(held(said), F.lit(False)))
 
 
 def copies_entity(answer: Column, accepted: Column, entities: Column, asks_for_entity: Column) -> Column:
     """The first entity that an answer repeats though no accepted answer is it; null for none, and where the question asks for an entity."""
-    same = lambda a, b: (T.evaluation_answer(a) == T.evaluation_answer(b)) | (T.person_core(T.evaluation_answer(a)) == T.person_core(T.evaluation_answer(b)))
-    wrong = F.filter(entities, lambda e: same(answer, e) & ~F.exists(accepted, lambda a: same(a, e)))
-    return F.when(~asks_for_entity & (F.trim(answer) != ""), F.get(wrong, F.lit(0)))
+    # Each text is normalised once, not for every pair that is compared.
+    forms = lambda x: T.once(T.evaluation_answer(x), lambda n: F.struct(x.alias("text"), n.alias("normal"), T.person_core(n).alias("core")))
+    same = lambda a, b: (a["normal"] == b["normal"]) | (a["core"] == b["core"])
+    every = F.struct(forms(answer).alias("answer"), F.transform(accepted, forms).alias("accepted"), F.transform(entities, forms).alias("entities"))
+    wrong = T.once(every, lambda z: F.filter(z["entities"], lambda e: same(z["answer"], e) & ~F.exists(z["accepted"], lambda a: same(a, e))))
+    return F.when(~asks_for_entity & (F.trim(answer) != ""), F.get(wrong, F.lit(0))["text"])
 
 
 def paired(left: DataFrame, right: DataFrame, key: str, identity: Iterable[str], expected: int | None = None) -> DataFrame:
@@ -90,8 +92,8 @@ def paired(left: DataFrame, right: DataFrame, key: str, identity: Iterable[str],
 def unique_aliases(values: Column) -> Column:
     """The strings of an array, collapsed and without blank ones, the first of each lower-case form."""
     plain = F.filter(F.transform(values, lambda v: T.collapsed(v)), lambda v: v.isNotNull() & (v != ""))
-    folded = F.transform(plain, lambda v: F.lower(v))
-    return F.filter(plain, lambda v, i: F.array_position(folded, F.lower(v)) == i + 1)
+    found = T.once(plain, lambda p: F.struct(p.alias("plain"), F.transform(p, lambda v: F.lower(v)).alias("folded")))
+    return T.once(found, lambda z: F.filter(z["plain"], lambda v, i: F.array_position(z["folded"], F.get(z["folded"], i)) == i + 1))
 
 
 def answer_aliases(row: Column, fields: tuple[str, ...] = ANSWER_FIELDS) -> Column:
@@ -101,14 +103,16 @@ def answer_aliases(row: Column, fields: tuple[str, ...] = ANSWER_FIELDS) -> Colu
     answers or text.
     """
 
-    def of_field(name: str) -> Column:
-        value = F.trim(F.try_element_at(row, F.lit(name)))
+    as_list = lambda x: F.when(x.startswith("["), F.from_json(x, "array<string>")).otherwise(F.array(F.regexp_replace(x, '^"(.*)"$', "$1")))
+
+    def listed(value: Column) -> Column:
         inner = F.coalesce(*[F.get_json_object(value, f"$.{k}") for k in ("aliases", "answers", "text")])
-        as_list = lambda x: F.when(x.startswith("["), F.from_json(x, "array<string>")).otherwise(F.array(F.regexp_replace(x, '^"(.*)"$', "$1")))
-        found = F.when(value.startswith("{"), as_list(inner)).otherwise(as_list(value))
+        found = F.when(value.startswith("{"), T.once(inner, as_list)).otherwise(as_list(value))
         return F.coalesce(F.when(value != "", found), F.array().cast("array<string>"))
 
-    return unique_aliases(F.flatten(F.array(*map(of_field, fields))))
+    # One reading of each field for all of them: the row is built once.
+    values = T.once(row, lambda r: F.array(*[F.trim(F.try_element_at(r, F.lit(name))) for name in fields]))
+    return unique_aliases(F.flatten(F.transform(values, listed)))
 
 
 def last_user_message(messages: Column) -> Column:
