@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import once
+
 # Tags of the grammar and the errors a reader of it reports.
 OPENINGS = ("<search>", "<text_search>", "<answer>")
 MARKERS = ("<search>", "</search>", "<img>", "</img>", "<text_search>", "</text_search>", "<answer>", "</answer>")
@@ -38,22 +40,37 @@ def _stripped(text: Column) -> Column:
 
 def parsed_action(raw: Column) -> Column:
     """A struct valid, action, reason, content, error; the first broken rule of the grammar names the error."""
-    text = _stripped(F.coalesce(raw, F.lit("")))
-    low = F.lower(text)
-    opens, closes = times(text, "<reason>"), times(text, "</reason>")
-    reason, bare = _between(text, "reason"), _stripped(F.coalesce(_between(text, "reason"), F.lit("")))
-    before = F.regexp_extract(text, r"(?s)^(.*?)<reason>", 1)
+    # Each step reads the one before from a bound struct, so that no expression is computed at each place that names it.
+    return once(once(once(_stripped(F.coalesce(raw, F.lit(""))), _parts_of), _action_of), _judged)
+
+
+def _parts_of(text: Column) -> Column:
     rest = F.regexp_extract(text, r"(?s)</reason>(.*)$", 1)
-    tail = _stripped(rest)
-    actions = sum((times(rest, o) for o in OPENINGS), F.lit(0))
+    return F.struct(
+        text.alias("text"), F.lower(text).alias("low"), times(text, "<reason>").alias("opens"), times(text, "</reason>").alias("closes"), _between(text, "reason").alias("reason"),
+        F.regexp_extract(text, r"(?s)^(.*?)<reason>", 1).alias("before"), rest.alias("rest"),
+    )
+
+
+def _action_of(p: Column) -> Column:
+    rest = p["rest"]
+    tag = F.when(F.contains(rest, F.lit("<search>")), "search").when(F.contains(rest, F.lit("<text_search>")), "text_search").otherwise("answer")
+    pick = lambda f: F.when(tag == "search", f("search")).when(tag == "text_search", f("text_search")).otherwise(f("answer"))
+    return F.struct(
+        p.alias("p"), tag.alias("tag"), _stripped(rest).alias("tail"), _stripped(F.coalesce(p["reason"], F.lit(""))).alias("bare"), sum((times(rest, o) for o in OPENINGS), F.lit(0)).alias("actions"),
+        pick(lambda t: F.coalesce(_between(rest, t), F.lit(""))).alias("content"),
+    )
+
+
+def _judged(z: Column) -> Column:
+    text, low, opens, closes, reason, before, rest = (z["p"][c] for c in ("text", "low", "opens", "closes", "reason", "before", "rest"))
+    tag, tail, bare, actions, content = (z[c] for c in ("tag", "tail", "bare", "actions", "content"))
     inner = [F.coalesce(_between(rest, t), F.lit("")) for t in NAMES]
     nested = F.lit(False)
     for i in inner:
         nested = nested | _any(i, OPENINGS)
-    tag = F.when(F.contains(rest, F.lit("<search>")), "search").when(F.contains(rest, F.lit("<text_search>")), "text_search").otherwise("answer")
     pick = lambda f: F.when(tag == "search", f("search")).when(tag == "text_search", f("text_search")).otherwise(f("answer"))
     closed = pick(lambda t: (times(rest, f"<{t}>") == 1) & (times(rest, f"</{t}>") == 1) & rest.rlike(rf"(?s)<{t}>.*</{t}>"))
-    content = pick(lambda t: F.coalesce(_between(rest, t), F.lit("")))
     outside = pick(lambda t: F.regexp_replace(tail, rf"(?s)<{t}>.*</{t}>", ""))
     image, odd = tag == "search", content.rlike("[<>]")
     rules = [
@@ -80,12 +97,15 @@ def parsed_action(raw: Column) -> Column:
         (~image & (_stripped(outside) != ""), "extra_text"),
         (~image & (_stripped(content) == ""), F.when(tag == "answer", "empty_answer").otherwise("empty_query")),
     ]
-    error = F.coalesce(*[F.when(c, F.lit(e) if isinstance(e, str) else e) for c, e in rules])
-    fine = error.isNull()
-    kind = F.when(tag == "search", "image_search").otherwise(tag)
+    return once(F.coalesce(*[F.when(c, F.lit(e) if isinstance(e, str) else e) for c, e in rules]), lambda error: _action(z, error))
+
+
+def _action(z: Column, error: Column) -> Column:
+    fine, image = error.isNull(), z["tag"] == "search"
+    kind = F.when(image, "image_search").otherwise(z["tag"])
     return F.struct(
-        fine.alias("valid"), F.when(fine, kind).alias("action"), F.when(fine, bare).alias("reason"),
-        F.when(fine, F.when(image, "img").otherwise(_stripped(content))).alias("content"), error.alias("error"),
+        fine.alias("valid"), F.when(fine, kind).alias("action"), F.when(fine, z["bare"]).alias("reason"),
+        F.when(fine, F.when(image, "img").otherwise(_stripped(z["content"]))).alias("content"), error.alias("error"),
     )
 
 

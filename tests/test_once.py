@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import matching as M
 from quillspark.functions import text as T
+from quillspark.functions.actions import parsed_action
 from quillspark.operators import episodes as E
 
-NAMES = {"date": ("initcap", 1), "person": ("split", 1), "match": ("split", 2), "f1": ("split", 4), "entity": ("split", 6), "aliases": ("initcap", 1)}
+NAMES = {"date": ("initcap", 1), "person": ("split", 1), "match": ("split", 2), "f1": ("split", 4), "entity": ("split", 6), "aliases": ("initcap", 1), "action": ("upper", 1)}
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -15,7 +16,7 @@ def test_steps_stand_once(spark, name):
     a, aliases, (step, most) = F.col("a"), F.col("aliases"), NAMES[name]
     column = {
         "date": lambda: T.normal_date(a), "person": lambda: T.person_core(a), "match": lambda: M.exact_match(a, aliases), "f1": lambda: M.best_alias_f1(a, aliases), "entity": lambda: E.copies_entity(a, aliases, aliases, F.lit(False)),
-        "aliases": lambda: E.answer_aliases(F.create_map(F.lit("answer"), F.initcap("a")), ("answer", "answers")),
+        "aliases": lambda: E.answer_aliases(F.create_map(F.lit("answer"), F.initcap("a")), ("answer", "answers")), "action": lambda: parsed_action(F.upper(a)),
     }[name]()
     assert 1 <= str(column).count(f"{step}(") <= most
 
