@@ -14,7 +14,7 @@ from quillspark.operators.exchange import skew_join
 from quillspark.operators.metrics import clipped
 
 TEXT, IMAGE = "text_search", "image_search"
-EPSILON, LEAST_VARIANCE = 1e-6, 1e-12
+EPSILON, LEAST_VARIANCE, ROUNDING = 1e-6, 1e-12, 1e-14
 
 
 def marginal_gain(before: Column, after: Column) -> Column:
@@ -37,8 +37,10 @@ def group_advantages(df: DataFrame, by: list[str], value: str, into: str, least_
     Groups are summed first and joined back, so that a large one is no window of one task.
     """
     moments = df.groupBy(*by).agg(F.count(value).alias("_n"), F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
-    flat = (F.col("_n") < least_rows) | (F.col("_std") <= LEAST_VARIANCE)
-    return skew_join(df, moments, by, "inner").withColumn(into, F.when(flat, 0.0).otherwise((F.col(value) - F.col("_mean")) / (F.col("_std") + EPSILON))).drop("_n", "_mean", "_std")
+    # A mean's last digits depend on the order of its sum: a value as far off as that is the mean.
+    gap = F.col(value) - F.col("_mean")
+    flat = (F.col("_n") < least_rows) | (F.col("_std") <= LEAST_VARIANCE) | (F.abs(gap) <= ROUNDING * F.greatest(F.abs(value), F.abs("_mean")))
+    return skew_join(df, moments, by, "inner").withColumn(into, F.when(flat, 0.0).otherwise(gap / (F.col("_std") + EPSILON))).drop("_n", "_mean", "_std")
 
 
 def local_advantages(rollouts: DataFrame, text_enabled: bool = True, positive_only: bool = True) -> DataFrame:
