@@ -12,12 +12,15 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from quillspark.functions import matching as M
 from quillspark.functions import text as T
+from quillspark.functions.batches import few
 
 # Units, by the dimension they measure and their size in its base unit.
 UNITS = (
@@ -162,9 +165,19 @@ def name_core(words: list[str]) -> list[str]:
     return name[:origin]
 
 
-def reading(text: str | None) -> dict:
+def _folded(text: str | None) -> tuple[str, list[str]]:
+    """A text in compatibility form, blanks collapsed, and its tokens without digit commas."""
     folded = " ".join(unicodedata.normalize("NFKC", text or "").casefold().split())
-    plain = [m[0] for m in _TOKEN.finditer(folded.replace(",", ""))]
+    return folded, [m[0] for m in _TOKEN.finditer(folded.replace(",", ""))]
+
+
+def quantities_in(tokens: list[str]) -> list[dict]:
+    """The quantities of tokens (numbers in digits), each with a signature that tells equal ones."""
+    return [{**m, "signature": f"{m['dimension'] or 'number'}:{m['base'] if m['dimension'] else m['value']:.9g}"} for m in measures(tokens)]
+
+
+def reading(text: str | None) -> dict:
+    folded, plain = _folded(text)
     tokens, normal = in_digits(plain), bare_words(folded)
     to = next((k for k in range(1, len(tokens)) if tokens[k] in ("-", "–", "—", "to") and _is_number(tokens, k - 1) and _is_number(tokens, k + 1)), None)
     sums = [m for m in measures(plain) if m["money"]]
@@ -174,7 +187,7 @@ def reading(text: str | None) -> dict:
         "counted": [one_of(w) for w in bare_words(" ".join(in_digits([m[0] for m in _TOKEN.finditer(folded)])))], "core": " ".join(name_core(normal)),
         "words": words, "clock": clock_minutes(plain), "low": float(tokens[to - 1]) if to else None, "high": float(tokens[to + 1]) if to else None,
         "currency": sums[0]["money"] if sums else None, "amount": sums[0]["value"] if sums else None,
-        "quantities": [{**m, "signature": f"{m['dimension'] or 'number'}:{m['base'] if m['dimension'] else m['value']:.9g}"} for m in measures(tokens)],
+        "quantities": quantities_in(tokens),
     }
 
 
@@ -199,6 +212,19 @@ def read(text: Column) -> Column:
     return readings(F.array(F.coalesce(text, F.lit(""))))[0]
 
 
+def with_quantities(df: DataFrame, text: str, into: str = "quantities") -> DataFrame:
+    """``df`` with the quantities of whole texts instead of the texts: nothing else of a reading is made, and a few rows at a time."""
+    kept = [c for c in df.columns if c != text]
+    schema = StructType([df.schema[c] for c in kept]).add(into, ArrayType(_QUANTITY))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few(batches):
+            made = [quantities_in(in_digits(_folded(t)[1])) for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(made, to_arrow_type(ArrayType(_QUANTITY)))], names=[*kept, into])
+
+    return df.mapInArrow(found, schema)
+
+
 # --- comparing readings ----------------------------------------------------------------------------
 
 

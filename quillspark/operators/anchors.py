@@ -4,32 +4,52 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from quillspark.functions import matching as M
 from quillspark.functions import text as T
+from quillspark.functions.batches import few
 
 _TOKEN = StructType().add("token", StringType()).add("raw", StringType()).add("start", IntegerType()).add("end", IntegerType())
 _EVIDENCE_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 MOST_ENTITY_TOKENS = 12
 
 
+def _evidence_tokens(value: str | None) -> Iterator[tuple[str, str, int, int]]:
+    for m in _EVIDENCE_WORD.finditer(unicodedata.normalize("NFKC", value or "")):
+        if (word := m[0].casefold()) not in T.ARTICLES:
+            yield T.NUMBER_WORDS.get(word, word), m[0], m.start(), m.end()
+
+
 @F.pandas_udf(ArrayType(_TOKEN))
 def placed_tokens(text: pd.Series) -> pd.Series:
     """The evidence tokens of a compatibility-normalised text, without articles, small numbers as digits, with their places in it."""
 
-    def tokens(value: str | None) -> list[dict]:
-        plain, out = unicodedata.normalize("NFKC", value or ""), []
-        for m in _EVIDENCE_WORD.finditer(plain):
-            if (word := m[0].casefold()) not in T.ARTICLES:
-                out.append({"token": T.NUMBER_WORDS.get(word, word), "raw": m[0], "start": m.start(), "end": m.end()})
-        return out
+    return text.map(lambda value: [dict(zip(_TOKEN.names, t, strict=True)) for t in _evidence_tokens(value)])
+
+
+def with_placed_tokens(df: DataFrame, text: str) -> DataFrame:
+    """The other columns of ``df`` and token, raw, start, end: a row for each of ``placed_tokens`` of whole texts, made of a few texts at a time."""
+    kept = [c for c in df.columns if c != text]
+    schema = StructType([*(df.schema[c] for c in kept), *_TOKEN.fields])
+    types = [to_arrow_type(f.dataType) for f in _TOKEN.fields]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few(batches):
+            found = [(k, *t) for k, value in enumerate(batch.column(text).to_pylist()) for t in _evidence_tokens(value)]
+            if found:
+                at, *fields = zip(*found, strict=True)
+                columns = [batch.column(c).take(pa.array(at)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(f, t) for f, t in zip(fields, types, strict=True))], names=schema.names)
 
-    return text.map(tokens)
+    return df.mapInArrow(placed, schema)
 
 
 def named_shape(token: Column) -> Column:

@@ -104,12 +104,12 @@ def mat06_mat07_mat08_support_match(table: Table) -> DataFrame:
 
 @query()
 def str16_str19_str20_num02_num07_quantities(table: Table) -> DataFrame:
-    return table("documents").select("doc_id", E.read(F.col("text"))["quantities"].alias("quantities"))
+    return E.with_quantities(table("documents").select("doc_id", "text"), "text")
 
 
 @query()
 def str11_placed_tokens(table: Table) -> DataFrame:
-    return table("documents").select("doc_id", F.explode(N.placed_tokens("text")).alias("t")).select("doc_id", "t.*")
+    return N.with_placed_tokens(table("documents").select("doc_id", "text"), "text")
 
 
 @query()
