@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import hashing as H
 from quillspark.functions import text as T
-from quillspark.functions.matching import shingles
+from quillspark.functions.matching import hashed_shingles
 from quillspark.operators import grouping as G
 from quillspark.operators.exchange import skew_join
 from quillspark.plans.declare import Table, query
@@ -89,8 +89,9 @@ _SHINGLES_SQL = f"""w AS (SELECT doc_id, list_distinct(list_transform(range(1, l
 
 
 def _shingled(table: Table) -> DataFrame:
-    worded = G.settled(table("documents").select("doc_id", T.words(F.col("text")).alias("w")))  # tokens once a row, not once a shingle
-    return worded.select("doc_id", shingles(F.col("w"), 5).alias("s"))
+    # Tokens once a row, not once a shingle, and as hashes.
+    worded = G.settled(table("documents").select("doc_id", F.transform(T.words(F.col("text")), lambda t: F.xxhash64(t)).alias("w")))
+    return worded.select("doc_id", hashed_shingles(F.col("w"), 5).alias("s"))
 
 
 @query(
@@ -106,7 +107,7 @@ def sim02_similar_documents(table: Table) -> DataFrame:
 @query(f"WITH {_SHINGLES_SQL} SELECT doc_id AS id, same FROM m")
 def sim02_equal_documents(table: Table) -> DataFrame:
     """Each document with the first one of equal shingles, which stands for it in ``sim02_similar_documents``."""
-    return G.similar_pairs(_shingled(table), "doc_id", "s", 0.8)[1]
+    return G.equal_sets(_shingled(table), "doc_id", "s")
 
 
 @query(
