@@ -8,34 +8,39 @@ alone.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.exchange import settled, skew_join
 
 K1, B = 1.2, 0.75
+QUERY_BLOCK, VECTOR_BLOCK = 2048, 16_384  # of dense vectors that meet in one task
 
 
-def _weighed(queries: DataFrame, documents: DataFrame, tokens: Callable[[Column], Column], query_id: str, doc_id: str, text: str, scope: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(query, term) of the queries' distinct terms, and (document, term, part, df, n_docs) of all postings of these terms.
+def _weighed(queries: DataFrame, documents: DataFrame, tokens: Callable[[Column], Column], query_id: str, doc_id: str, text: str, scope: list[str], apart: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(query, term) of the queries' distinct terms, and (document, term, part, df, n_docs) of all postings of these terms; with ``apart`` a column more of each.
 
     Terms travel as 64-bit hashes, and every document is read into such numbers once.
     """
+    of_query, of_doc = ([c] for c in apart) if apart else ([], [])
     hashed = lambda df, *keys: df.select(*keys, *scope, F.transform(tokens(F.col(text)), lambda t: F.xxhash64(t)).alias("terms"))
-    terms = settled(hashed(queries, query_id).select(query_id, *scope, F.explode(F.array_distinct("terms")).alias("term")))
-    held = settled(hashed(documents, doc_id))
+    terms = settled(hashed(queries, query_id, *of_query).select(query_id, *of_query, *scope, F.explode(F.array_distinct("terms")).alias("term")))
+    held = settled(hashed(documents, doc_id, *of_doc))
     stats = held.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("terms")).alias("mean_length"))
     wanted = terms.select(*scope, "term").distinct()
-    postings = held.select(doc_id, *scope, F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    postings = postings.join(wanted, [*scope, "term"], "left_semi").groupBy(doc_id, *scope, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    postings = held.select(doc_id, *of_doc, *scope, F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    postings = postings.join(wanted, [*scope, "term"], "left_semi").groupBy(doc_id, *of_doc, *scope, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     postings = settled(postings)
     spread = postings.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
     weighed = skew_join(postings, spread, [*scope, "term"], "inner")
     weighed = weighed.join(stats, scope) if scope else weighed.crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    return terms, weighed.select(doc_id, *scope, "term", part.alias("part"), "df", "n_docs")
+    return terms, weighed.select(doc_id, *of_doc, *scope, "term", part.alias("part"), "df", "n_docs")
 
 
 def bm25(
@@ -57,7 +62,8 @@ def _summed(parts: DataFrame, query_id: str, doc_id: str, digits: int) -> DataFr
 
 
 def bm25_top(
-    queries: DataFrame, documents: DataFrame, tokens: Callable[[Column], Column], query_id: str, doc_id: str, k: int, text: str = "text", digits: int = 6, common: float = 0.1
+    queries: DataFrame, documents: DataFrame, tokens: Callable[[Column], Column], query_id: str, doc_id: str, k: int, text: str = "text", digits: int = 6, common: float = 0.1,
+    without: DataFrame | None = None, apart: tuple[str, str] | None = None,
 ) -> DataFrame:
     """The ``k`` documents of highest ``bm25`` score for each query, ties to the smaller id, with rank; without scoring them all.
 
@@ -66,14 +72,21 @@ def bm25_top(
     the common terms can add at most cannot reach it, documents without a rare term are
     out, and so are those whose rare terms and that most fall short.  Only the rest have
     their common terms added.  Queries without such a bound are scored in full.
-    """
-    terms, weighed = _weighed(queries, documents, tokens, query_id, doc_id, text, [])
+
+    Pairs (query_id, doc_id) in ``without`` are out, and so are, with ``apart``, those whose
+    values of these columns, one of the queries and one of the documents, are equal or
+    null; documents count in the frequencies of terms all the same.
+    """
+    terms, weighed = _weighed(queries, documents, tokens, query_id, doc_id, text, [], apart)
+    (of_query, of_doc), fit = (([apart[0]], [apart[1]]), F.col(apart[0]) != F.col(apart[1])) if apart else (([], []), F.lit(True))
+    out = settled(without.select(query_id, doc_id).distinct()) if without is not None else None
+    allowed = lambda pairs: pairs if out is None else skew_join(pairs, out, [query_id, doc_id], "left_anti")
     weighed = settled(weighed.withColumn("rare", F.col("df") <= common * F.col("n_docs")))
     of_terms = weighed.groupBy("term").agg(F.max("part").alias("most"), F.any_value("rare").alias("rare"))
     asked = settled(skew_join(terms, of_terms, ["term"], "inner"))
     spare = asked.groupBy(query_id).agg(F.coalesce(F.sum(F.when(~F.col("rare"), F.col("most"))), F.lit(0.0)).alias("spare"))
-    partial = skew_join(asked.where("rare").select(query_id, "term"), weighed.where("rare").select(doc_id, "term", "part"), ["term"], "inner")
-    partial = settled(partial.groupBy(query_id, doc_id).agg(F.sum("part").alias("sum")))
+    partial = skew_join(asked.where("rare").select(query_id, *of_query, "term"), weighed.where("rare").select(doc_id, *of_doc, "term", "part"), ["term"], "inner").where(fit)
+    partial = settled(allowed(partial.groupBy(query_id, doc_id).agg(F.sum("part").alias("sum"))))
     bound = top_k(partial, query_id, k, doc_id, "sum").where(F.col("rank") == k).select(query_id, F.col("sum").alias("bound"))
     bounds = settled(spare.join(bound, query_id, "left"))
     slack = 2 * 10.0**-digits  # rounded scores may tie where sums differ
@@ -84,8 +97,8 @@ def bm25_top(
     extra = skew_join(extra, weighed.where("not rare").select(doc_id, "term", "part"), [doc_id, "term"], "inner").select(query_id, doc_id, "part")
     some = _summed(close.select(query_id, doc_id, F.col("sum").alias("part")).unionByName(extra), query_id, doc_id, digits)
     open_ones = bounds.where(~F.coalesce(F.col("bound") > F.col("spare") + slack, F.lit(False))).select(query_id)
-    full = skew_join(asked.join(open_ones, query_id, "left_semi").select(query_id, "term"), weighed.select(doc_id, "term", "part"), ["term"], "inner")
-    return top_k(some.unionByName(_summed(full, query_id, doc_id, digits)), query_id, k, doc_id)
+    full = skew_join(asked.join(open_ones, query_id, "left_semi").select(query_id, *of_query, "term"), weighed.select(doc_id, *of_doc, "term", "part"), ["term"], "inner").where(fit)
+    return top_k(some.unionByName(allowed(_summed(full, query_id, doc_id, digits))), query_id, k, doc_id)
 
 
 def top_k(scored: DataFrame, by: str | list[str], k: int, tie: str, score: str = "score") -> DataFrame:
@@ -118,11 +131,74 @@ def cosine(left: Column, right: Column) -> Column:
     return dot(left, right) / F.sqrt(dot(left, left) * dot(right, right))
 
 
+def _rows_of(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+
+
+def _best_of_block(query_ids: np.ndarray, q: np.ndarray, q_norms: np.ndarray, ids: np.ndarray, x: np.ndarray, norms: np.ndarray, gap: float) -> list[tuple]:
+    """Arrays (query, vector, score) of the vectors whose cosine comes within ``gap`` of a query's largest, the least id of each such score.
+
+    A matrix product finds them; their scores are then summed from the first component to the last, as ``dot`` does.
+    """
+    _, copy = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_inverse=True)
+    by = np.lexsort((ids, copy.ravel()))
+    copy = copy.ravel()[by]
+    kept = np.sort(by[np.arange(len(by)) - np.searchsorted(copy, copy) < 2])  # of equal vectors two: one may be the query itself
+    ids, x, norms, found = ids[kept], x[kept], norms[kept], []
+    for at in range(0, len(q), 256):
+        qi, qs, qn = query_ids[at : at + 256], q[at : at + 256], q_norms[at : at + 256]
+        score = qs @ x.T / np.sqrt(qn[:, None] * norms[None])
+        score[qi[:, None] == ids[None]] = -np.inf
+        i, j = np.nonzero((score >= score.max(axis=1, keepdims=True) - gap) & (score > -np.inf))
+        total = np.zeros(len(i))
+        for c in range(x.shape[1]):
+            total = total + qs[i, c] * x[j, c]
+        exact = total / np.sqrt(qn[i] * norms[j])
+        by = np.lexsort((ids[j], exact, i))
+        i, j, exact = i[by], j[by], exact[by]
+        first = np.ones(len(i), bool)
+        first[1:] = (i[1:] != i[:-1]) | (exact[1:] != exact[:-1])
+        found.append((qi[i[first]], ids[j[first]], exact[first]))
+    return found
+
+
 def nearest_of_group(vectors: DataFrame, queries: DataFrame, group: str, vec_id: str = "vec_id", digits: int = 9) -> DataFrame:
-    """For each query (query_id, q, group): the vector of its group with the largest cosine, the smallest id on ties."""
-    pairs = queries.join(vectors, group).withColumn("score", F.round(cosine(F.col("q"), F.col("embedding")), digits))
-    best = pairs.groupBy("query_id").agg(F.max(F.struct("score", (-F.col(vec_id)).alias("order"))).alias("b"))
-    return best.select("query_id", (-F.col("b.order")).alias(vec_id), F.col("b.score").alias("score"))
+    """For each query (query_id, q, group): the other vector of its group with the largest cosine, the smallest id on ties.
+
+    A block of queries and a block of vectors of a group are one task's matrix product.
+    Pairs that have no cosine (nulls, unequal lengths) come last; those of vectors that have
+    no norm of a usual size are scored one by one.
+    """
+    norm = lambda x: dot(F.col(x), F.col(x))
+    v = settled(vectors.where(F.col(group).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(group).alias("g"), F.col("embedding").alias("x"), norm("embedding").alias("norm")))
+    asked = settled(queries.where(F.col(group).isNotNull()).select(F.col("query_id").cast("long").alias("id"), F.col(group).alias("g"), F.col("q").alias("x"), norm("q").alias("norm")))
+    plain, odd = F.col("norm").between(1e-150, 1e150), F.col("norm").isNotNull() & ~F.col("norm").between(1e-150, 1e150)
+    sized = lambda df: df.where(plain).withColumn("d", F.size("x"))
+    blocks = lambda df, n, name: df.groupBy("g", "d").agg(F.ceil(F.count(F.lit(1)) / n).cast("int").alias(name))
+    plan = settled(skew_join(blocks(sized(v), VECTOR_BLOCK, "blocks"), blocks(sized(asked), QUERY_BLOCK, "parts"), ["g", "d"], "inner"))
+    deal = lambda df, own, n_own, other, n_other: skew_join(sized(df), plan, ["g", "d"], "inner").withColumn(own, F.pmod(F.xxhash64("id"), F.col(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).drop("blocks", "parts")
+    gap = 10.0**-digits + 1e-11
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        n, m, found = left.num_rows, right.num_rows, []
+        if n and m:
+            found = _best_of_block(left["id"].to_numpy(), _rows_of(left["x"], n), left["norm"].to_numpy(), right["id"].to_numpy(), _rows_of(right["x"], m), right["norm"].to_numpy(), gap)
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table([pa.array(c) for c in columns], names=["query_id", "id", "score"])
+
+    keys = ["g", "d", "part", "block"]
+    scored = deal(asked, "part", "parts", "block", "blocks").groupBy(*keys).cogroup(deal(v, "block", "blocks", "part", "parts").groupBy(*keys)).applyInArrow(best, "query_id long, id long, score double")
+    one = asked.select(F.col("id").alias("query_id"), "g", F.col("x").alias("q"), "norm")
+    rest = [one.where(odd).drop("norm").join(v.where("norm is not null").select("id", "g", "x"), "g"), one.where(plain).drop("norm").join(v.where(odd).select("id", "g", "x"), "g")]
+    rest = [pairs.where("query_id <> id").select("query_id", "id", cosine(F.col("q"), F.col("x")).alias("score")) for pairs in rest] if not v.where(odd).isEmpty() or not asked.where(odd).isEmpty() else []
+    # The first other id of the group, for queries that have a cosine with none.
+    first = v.groupBy("g").agg(F.min("id").alias("a"))
+    second = skew_join(v.select("g", "id"), first, ["g"], "inner").where("id <> a").groupBy("g").agg(F.min("id").alias("b"))
+    ends = settled(skew_join(first, second, ["g"], "left"))
+    last = skew_join(one.select("query_id", "g"), ends, ["g"], "inner").select("query_id", F.when(F.col("a") == F.col("query_id"), F.col("b")).otherwise(F.col("a")).alias("id"), F.lit(None).cast("double").alias("score")).where("id is not null")
+    every = reduce(DataFrame.unionByName, [scored, *rest, last])
+    found = every.groupBy("query_id").agg(F.max(F.struct(F.round("score", digits).alias("score"), (-F.col("id")).alias("order"))).alias("b"))
+    return found.select("query_id", (-F.col("b.order")).alias(vec_id), F.col("b.score").alias("score"))
 
 
 def ranked_lines(items: Column) -> Column:

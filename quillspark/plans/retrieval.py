@@ -88,9 +88,7 @@ def ret05_chunks_of_request(table: Table) -> DataFrame:
 def ret07_top07_dense_best(table: Table) -> DataFrame:
     v = table("embeddings")
     asked = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
-    pairs = asked.join(v, "label").where("vec_id <> query_id").withColumn("score", F.round(R.cosine(F.col("q"), F.col("embedding")), 9))
-    best = pairs.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("o"))).alias("b"))
-    return best.select("query_id", (-F.col("b.o")).alias("vec_id"), F.col("b.score").alias("score"))
+    return R.nearest_of_group(v, asked, "label")
 
 
 @query(
