@@ -19,6 +19,16 @@ from quillspark.operators.exchange import settled, skew_join
 
 K1, B = 1.2, 0.75
 QUERY_BLOCK, VECTOR_BLOCK = 2048, 16_384  # of dense vectors that meet in one task
+FEW = 100_000  # terms of queries that every task may hold
+
+
+def _few(terms: DataFrame) -> bool:
+    return terms.limit(FEW + 1).count() <= FEW
+
+
+def _sent(df: DataFrame, terms: DataFrame) -> DataFrame:
+    """``df``, of no more rows than ``terms``, to be sent to every task where these are few, so that no postings are shuffled to meet it."""
+    return F.broadcast(df) if _few(terms) else df  # bounded by FEW
 
 
 def _weighed(queries: DataFrame, documents: DataFrame, tokens: Callable[[Column], Column], query_id: str, doc_id: str, text: str, scope: list[str], apart: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -35,8 +45,8 @@ def _weighed(queries: DataFrame, documents: DataFrame, tokens: Callable[[Column]
     postings = held.select(doc_id, *of_doc, *scope, F.size("terms").alias("length"), F.explode("terms").alias("term"))
     postings = postings.join(wanted, [*scope, "term"], "left_semi").groupBy(doc_id, *of_doc, *scope, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     postings = settled(postings)
-    spread = postings.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = skew_join(postings, spread, [*scope, "term"], "inner")
+    spread = settled(postings.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df")))
+    weighed = skew_join(postings, _sent(spread, terms), [*scope, "term"], "inner")
     weighed = weighed.join(stats, scope) if scope else weighed.crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
@@ -54,7 +64,7 @@ def bm25(
     """
     scope = [within] if within else []
     terms, weighed = _weighed(queries, documents, tokens, query_id, doc_id, text, scope)
-    return _summed(skew_join(terms, weighed.select(doc_id, *scope, "term", "part"), [*scope, "term"], "inner"), query_id, doc_id, digits)
+    return _summed(skew_join(_sent(terms, terms), weighed.select(doc_id, *scope, "term", "part"), [*scope, "term"], "inner"), query_id, doc_id, digits)
 
 
 def _summed(parts: DataFrame, query_id: str, doc_id: str, digits: int) -> DataFrame:
@@ -81,11 +91,14 @@ def bm25_top(
     (of_query, of_doc), fit = (([apart[0]], [apart[1]]), F.col(apart[0]) != F.col(apart[1])) if apart else (([], []), F.lit(True))
     out = settled(without.select(query_id, doc_id).distinct()) if without is not None else None
     allowed = lambda pairs: pairs if out is None else skew_join(pairs, out, [query_id, doc_id], "left_anti")
-    weighed = settled(weighed.withColumn("rare", F.col("df") <= common * F.col("n_docs")))
+    weighed = weighed.withColumn("rare", F.col("df") <= common * F.col("n_docs"))
+    if not _few(terms):
+        weighed = settled(weighed)
     of_terms = weighed.groupBy("term").agg(F.max("part").alias("most"), F.any_value("rare").alias("rare"))
     asked = settled(skew_join(terms, of_terms, ["term"], "inner"))
+    of_all = lambda df: _sent(df, terms)
     spare = asked.groupBy(query_id).agg(F.coalesce(F.sum(F.when(~F.col("rare"), F.col("most"))), F.lit(0.0)).alias("spare"))
-    partial = skew_join(asked.where("rare").select(query_id, *of_query, "term"), weighed.where("rare").select(doc_id, *of_doc, "term", "part"), ["term"], "inner").where(fit)
+    partial = skew_join(of_all(asked.where("rare").select(query_id, *of_query, "term")), weighed.where("rare").select(doc_id, *of_doc, "term", "part"), ["term"], "inner").where(fit)
     partial = settled(allowed(partial.groupBy(query_id, doc_id).agg(F.sum("part").alias("sum"))))
     bound = top_k(partial, query_id, k, doc_id, "sum").where(F.col("rank") == k).select(query_id, F.col("sum").alias("bound"))
     bounds = settled(spare.join(bound, query_id, "left"))
@@ -97,7 +110,7 @@ def bm25_top(
     extra = skew_join(extra, weighed.where("not rare").select(doc_id, "term", "part"), [doc_id, "term"], "inner").select(query_id, doc_id, "part")
     some = _summed(close.select(query_id, doc_id, F.col("sum").alias("part")).unionByName(extra), query_id, doc_id, digits)
     open_ones = bounds.where(~F.coalesce(F.col("bound") > F.col("spare") + slack, F.lit(False))).select(query_id)
-    full = skew_join(asked.join(open_ones, query_id, "left_semi").select(query_id, *of_query, "term"), weighed.select(doc_id, *of_doc, "term", "part"), ["term"], "inner").where(fit)
+    full = skew_join(of_all(asked.join(open_ones, query_id, "left_semi").select(query_id, *of_query, "term")), weighed.select(doc_id, *of_doc, "term", "part"), ["term"], "inner").where(fit)
     return top_k(some.unionByName(allowed(_summed(full, query_id, doc_id, digits))), query_id, k, doc_id)
 
 

@@ -45,3 +45,17 @@ def test_pruned_bm25_without_pairs(spark, common):
     got = R.bm25_top(q, d, tokens, "id", "doc_id", 3, common=common, without=out)
     assert rows(got) == rows(R.top_k(scored.join(out, ["id", "doc_id"], "left_anti"), "id", 3, "doc_id"))
     assert rows(R.bm25_top(q, d, tokens, "id", "doc_id", 3, common=common, apart=("own", "source"))) == rows(R.top_k(apart, "id", 3, "doc_id"))
+
+
+def test_few_terms_shuffle_no_postings(spark, monkeypatch):
+    """Sums of a query and a document are shuffled, postings are not; where terms are many, rows are the same."""
+    d = spark.createDataFrame([(k, f"w{k % 7} w{k % 5} the") for k in range(60)], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "w1 w2 the"), (2, "w6")], "id long, text string")
+    tokens = lambda t: F.split(t, " ")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = R.bm25(q, d, tokens, "id", "doc_id")
+    assert "SortMergeJoin" not in plan(found) and "BroadcastHashJoin" in plan(found)
+    rows = lambda: [sorted(map(tuple, x.collect())) for x in (R.bm25(q, d, tokens, "id", "doc_id"), R.bm25_top(q, d, tokens, "id", "doc_id", 3))]
+    few = rows()
+    monkeypatch.setattr(R, "FEW", 1)
+    assert rows() == few and all(few)
