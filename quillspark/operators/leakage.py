@@ -21,8 +21,10 @@ def audit(candidates: DataFrame, references: DataFrame, keys: list[str], radius:
     """
     found = []
     for key in keys:
-        first = references.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias("reference"))
-        met = skew_join(candidates.where(F.col(key).isNotNull()).select(F.col("id").alias("candidate"), key), first, [key], "inner")
+        # Digests meet, not the keys, which may be whole texts.
+        digested = lambda df: df.where(F.col(key).isNotNull()).select("id", F.unhex(F.sha2(F.col(key).cast("string"), 256)).alias("digest"))  # noqa: B023, E731
+        first = digested(references).groupBy("digest").agg(F.min("id").alias("reference"))
+        met = skew_join(digested(candidates).withColumnRenamed("id", "candidate"), first, ["digest"], "inner")
         found.append(met.select("candidate", "reference", F.lit(key).alias("kind")))
     hashed = lambda df: df.where(F.col("hash").isNotNull()).select("id", "hash")
     near = near_hashes(hashed(candidates), hashed(references), radius, bits)
