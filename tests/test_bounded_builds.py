@@ -1,5 +1,6 @@
 """Builds of a bounded size copy no whole table, and account for every row of it."""
 
+import hashlib
 from collections import Counter
 
 import pytest
@@ -50,3 +51,31 @@ def test_availability_counts_all_where_first_rows_do_not_do(spark, monkeypatch):
     pool = spark.createDataFrame([(k, "a" if k < 900 else "b", k // 2) for k in range(1000)], "id long, route string, source long")
     free = lambda rows: rows.where(F.col("source") >= 440)
     assert D.availability(pool, ["source"], {"a": 40, "b": 40, "c": 40}, free) == {"a": 10, "b": 40, "c": 0}
+
+
+@pytest.mark.parametrize("few", [D.FEW, 10])
+def test_prompt_pools_copy_first_rows_alone(spark, copied, monkeypatch, few):
+    monkeypatch.setattr(D, "FEW", few)
+    # Of ten rows two share a uid; in the order of ids the other of them is the last where nth is greater.
+    rows = [{"id": f"{k:05d}", "uid": str(k - 1 if k % 10 == 3 else k), "nth": -k if k % 20 == 3 else k, "category": "ab"[k % 3 > 1], "source": k // 3, "near": k % 700} for k in range(ROWS)]
+    df = spark.createDataFrame(rows, "id string, uid string, nth long, category string, source long, near long").repartition(8)
+    quotas = [(pool, c, n) for pool, n in (("dev", 5), ("train", 20)) for c in "ab"]
+    build = D.prompt_pool(df, [("odd", F.col("source") % 11 == 1)], df.where("near % 5 = 0"), ["source", "near"], quotas, "t")
+    last, sound = {}, [r for r in rows if r["source"] % 11 != 1]
+    for r in sound:
+        last[r["uid"]] = max(last.get(r["uid"], (-ROWS, "")), (r["nth"], r["id"]))
+    one = [r for r in sound if last[r["uid"]][1] == r["id"]]
+    old = {k: {r[k] for r in rows if r["near"] % 5 == 0} for k in ("source", "near")}
+    held, want = {}, {}
+    for pool, c, n in quotas:
+        fit = [r for r in one if r["category"] == c and r["id"] not in want and (pool == "train" or not any(r[k] in old[k] for k in old))]
+        fit = [r for r in fit if all(held.get((k, r[k]), pool) == pool for k in old)]
+        for r in sorted(fit, key=lambda r: (hashlib.sha256(f"t:{r['uid']}".encode()).hexdigest(), r["uid"]))[:n]:
+            want[r["id"]] = pool
+            held |= {(k, r[k]): pool for k in old}
+    assert {r["id"]: r["split"] for r in build.taken.collect()} == want and Counter(want.values()) == {"dev": 10, "train": 40}
+    kept = {r["id"] for r in one}
+    reason = {r["id"]: "odd" if r["source"] % 11 == 1 else "repeated" if r["id"] not in kept else None if r["id"] in want else "not_selected" for r in rows}
+    got = [tuple(r) for r in build.decisions.select("id", "reason").collect()]
+    assert len(got) == ROWS and dict(got) == reason
+    assert max(copied) < ROWS / 3
