@@ -79,3 +79,25 @@ def test_prompt_pools_copy_first_rows_alone(spark, copied, monkeypatch, few):
     got = [tuple(r) for r in build.decisions.select("id", "reason").collect()]
     assert len(got) == ROWS and dict(got) == reason
     assert max(copied) < ROWS / 3
+
+
+def test_stages_of_a_share_cut_the_order_and_move_keys_alone(spark, monkeypatch):
+    monkeypatch.setattr(S, "PREFIX", 10)
+    rows = [{"id": k * 7919 % ROWS, "route": "abc"[k % 3], "x": k % 400, "y": k // 5} for k in range(ROWS)]
+    df = spark.createDataFrame(rows, "id long, route string, x long, y long").withColumn("text", F.repeat(F.lit("t"), 50)).repartition(8)
+    given, written, unique, settled = [], [], S.unique_on, splits.settled
+    monkeypatch.setattr(S, "unique_on", lambda found, *rest: given.append(found.count()) or unique(found, *rest))
+    monkeypatch.setattr(splits, "settled", lambda found: written.append(found.columns) or settled(found))
+    quotas = {"a": 150, "b": 200, "c": 100}
+    got = S.select_in_stages(df, ["y", "x"], [S.Stage(r, F.col("route") == r, [F.col("id")], n) for r, n in quotas.items()])
+    want, used = [], {"x": set(), "y": set()}
+    for route, n in quotas.items():
+        nth = 0
+        for r in sorted((r for r in rows if r["route"] == route), key=lambda r: r["id"]):
+            if nth < n and all(r[k] not in used[k] for k in used):
+                nth += 1
+                want.append((r["id"], route, nth))
+                for k in used:
+                    used[k].add(r[k])
+    assert sorted(map(tuple, got.select("id", "stage", "nth").collect())) == sorted(want)
+    assert given[0] < ROWS / 6 and sum("text" in columns for columns in written) == len(given)
