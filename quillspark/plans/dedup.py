@@ -90,8 +90,8 @@ _SHINGLES_SQL = f"""w AS (SELECT doc_id, list_distinct(list_transform(range(1, l
 
 def _shingled(table: Table) -> DataFrame:
     # Tokens once a row, not once a shingle, and as hashes.
-    worded = G.settled(table("documents").select("doc_id", F.transform(T.words(F.col("text")), lambda t: F.xxhash64(t)).alias("w")))
-    return worded.select("doc_id", hashed_shingles(F.col("w"), 5).alias("s"))
+    hashed = F.transform(T.words(F.col("text")), lambda t: F.xxhash64(t))
+    return table("documents").select("doc_id", T.once(hashed, lambda w: hashed_shingles(w, 5)).alias("s"))
 
 
 @query(
