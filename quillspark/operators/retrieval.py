@@ -7,7 +7,7 @@ alone.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.batches import few
 from quillspark.operators.exchange import settled, skew_join
 
 K1, B = 1.2, 0.75
@@ -31,6 +32,30 @@ def _sent(df: DataFrame, terms: DataFrame) -> DataFrame:
     return F.broadcast(df) if _few(terms) else df  # bounded by FEW
 
 
+def _counted(hashed: DataFrame, only: np.ndarray | None) -> DataFrame:
+    """``hashed`` with length, how many terms a row has, and its different terms with their counts instead of all of them; with ``only``, those among it (sorted)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few(batches, 256):
+            lists = batch["terms"]
+            lengths = lists.value_lengths()
+            t, row = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), lengths.fill_null(0).to_numpy())
+            if only is not None:
+                mine = np.isin(t, only)
+                t, row = t[mine], row[mine]
+            by = np.lexsort((t, row))
+            t, row = t[by], row[by]
+            first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (row[1:] != row[:-1])])) if len(t) else np.zeros(0, np.int64)
+            tf = np.diff(np.append(first, len(t))).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=len(lists)))]).astype(np.int32)
+            terms = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(t[first]), pa.array(tf)], ["term", "tf"]))
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in keys], lengths.cast(pa.int32()), terms], names=[*keys, "length", "terms"])
+
+    keys = [c for c in hashed.columns if c != "terms"]
+    told = [f"`{c}` {hashed.schema[c].dataType.simpleString()}" for c in keys]
+    return hashed.mapInArrow(count, ", ".join([*told, "length int", "terms array<struct<term: bigint, tf: bigint>>"]))
+
+
 def _weighed(queries: DataFrame, documents: DataFrame, tokens: Callable[[Column], Column], query_id: str, doc_id: str, text: str, scope: list[str], apart: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(query, term) of the queries' distinct terms, and (document, term, part, df, n_docs) of all postings of these terms; with ``apart`` a column more of each.
 
@@ -39,12 +64,13 @@ def _weighed(queries: DataFrame, documents: DataFrame, tokens: Callable[[Column]
     of_query, of_doc = ([c] for c in apart) if apart else ([], [])
     hashed = lambda df, *keys: df.select(*keys, *scope, F.transform(tokens(F.col(text)), lambda t: F.xxhash64(t)).alias("terms"))
     terms = settled(hashed(queries, query_id, *of_query).select(query_id, *of_query, *scope, F.explode(F.array_distinct("terms")).alias("term")))
-    held = settled(hashed(documents, doc_id, *of_doc))
-    stats = held.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("terms")).alias("mean_length"))
-    wanted = terms.select(*scope, "term").distinct()
-    postings = held.select(doc_id, *of_doc, *scope, F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    postings = postings.join(wanted, [*scope, "term"], "left_semi").groupBy(doc_id, *of_doc, *scope, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    postings = settled(postings)
+    wanted, known = terms.select(*scope, "term").distinct(), _few(terms)
+    only = np.unique(terms.select("term").distinct().toArrow()["term"].to_numpy()) if known else None  # bounded by FEW
+    held = settled(_counted(hashed(documents, doc_id, *of_doc), only))
+    stats = held.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
+    postings = held.select(doc_id, *of_doc, *scope, "length", F.explode("terms").alias("_t")).select(doc_id, *of_doc, *scope, "length", "_t.term", "_t.tf")
+    if scope or not known:
+        postings = settled(postings.join(_sent(wanted, terms), [*scope, "term"], "left_semi"))
     spread = settled(postings.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df")))
     weighed = skew_join(postings, _sent(spread, terms), [*scope, "term"], "inner")
     weighed = weighed.join(stats, scope) if scope else weighed.crossJoin(F.broadcast(stats))  # one row

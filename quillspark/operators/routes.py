@@ -23,6 +23,7 @@ RELATIONS = (
     ("date", r"\b(when|what year|which year|what date)\b", "date of"), ("place", r"\b(where|which country|which city|what country|what city)\b", "location of"),
     ("person", r"\b(who|whom|whose)\b", "person behind"), ("number", r"\b(how many|how much|how tall|how long|how old)\b", "number of"), ("kind", r"\b(what type|what kind|which type|which kind)\b", "type of"),
 )
+APART = 100  # documents of a query that one search may look past
 PLACEHOLDER = r"(?i)<image>|\[image\]|<img\b"
 
 
@@ -43,16 +44,26 @@ def _tokens(text: Column) -> Column:
     return T.all_matches(F.lower(text), T.WORD)
 
 
-def _hits(asked: DataFrame, corpus: DataFrame, k: int, without: DataFrame | None = None) -> DataFrame:
-    """id, hits: the ``k`` best documents (array of struct<rank, doc_id, text>) of each query (id, query), but for pairs (id, doc_id) in ``without``."""
+def _hits(asked: DataFrame, corpus: DataFrame, k: int, without: DataFrame) -> DataFrame:
+    """id, hits, others: the ``k`` best documents (array of struct<rank, doc_id, text>) of each query (id, query), and the same but for pairs (id, doc_id) in ``without``.
+
+    One search gives both where no query has more than APART pairs: it goes on for so many ranks.
+    """
     queries = asked.select("id", F.col("query").alias("text"))
-    if without is None:
-        best = R.bm25_top(queries, corpus, _tokens, "id", "doc_id", k)
+    out = settled(without.select("id", "doc_id").distinct())
+    most = out.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    best = settled(R.bm25_top(queries, corpus, _tokens, "id", "doc_id", k + (most if most <= APART else 0)).select("id", "doc_id", "score", "rank"))
+    if most <= APART:
+        others = R.top_k(skew_join(best.drop("rank"), out, ["id", "doc_id"], "left_anti"), "id", k, "doc_id")
     else:
-        scored = skew_join(R.bm25(queries, corpus, _tokens, "id", "doc_id"), without.select("id", "doc_id").distinct(), ["id", "doc_id"], "left_anti")
-        best = R.top_k(scored, "id", k, "doc_id")
-    texts = skew_join(best.select("id", "rank", "doc_id"), corpus.select("doc_id", "text"), ["doc_id"], "inner")
-    return texts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "text"))).alias("hits"))
+        others = R.bm25_top(queries, corpus, _tokens, "id", "doc_id", k, without=out)
+    told = lambda df, name: df.select("id", "rank", "doc_id", F.lit(name).alias("kind"))
+    both = settled(told(best.where(F.col("rank") <= k), "hits").unionByName(told(others, "others")))
+    wanted = F.broadcast(both) if both.limit(R.FEW + 1).count() <= R.FEW else both
+    texts = skew_join(corpus.select("doc_id", "text"), wanted, ["doc_id"], "inner")
+    of = lambda name: F.array_sort(F.collect_list(F.when(F.col("kind") == name, F.struct("rank", "doc_id", "text"))))
+    some = lambda hits: F.when(F.size(hits) > 0, F.col(hits)).alias(hits)
+    return texts.groupBy("id").agg(of("hits").alias("hits"), of("others").alias("others")).select("id", some("hits"), some("others"))
 
 
 def _query_rules(faults: Column) -> list[tuple[str, Column]]:
@@ -75,9 +86,7 @@ def text_route(records: DataFrame, titles: DataFrame, corpus: DataFrame, k: int
     asked = settled(asked.withColumn("early", early))
     open_ones = asked.where("early is null")
     own = skew_join(open_ones.select("id"), corpus.select(F.col("source_id").alias("id"), "doc_id"), ["id"], "inner")
-    found = _hits(open_ones, corpus, k)
-    others = _hits(open_ones, corpus, k, own).withColumnRenamed("hits", "others")
-    both = asked.join(found, "id", "left").join(others, "id", "left")
+    both = asked.join(_hits(open_ones, corpus, k, own), "id", "left")
     held = lambda hits: F.exists(hits, lambda h: supports(h["text"], F.col("aliases")))
     hit = F.coalesce(held(F.col("hits")), F.lit(False))
     reason = F.coalesce("early", F.when(~hit, "evidence_miss"))
@@ -124,9 +133,8 @@ def image_text_route(records: DataFrame, results: DataFrame, corpus: DataFrame,
     asked = settled(held.withColumn("lines", lines).withColumn("early", early))
     open_ones = asked.where("early is null")
     pairs = results.where(F.col("doc_id").isNotNull()).select("id", "doc_id")
-    near = _hits(open_ones, corpus, k).withColumnRenamed("hits", "all_hits")
-    far = _hits(open_ones, corpus, k, pairs)
-    both = asked.join(near, "id", "left").join(far, "id", "left")
+    found = _hits(open_ones, corpus, k, pairs).withColumnsRenamed({"hits": "all_hits", "others": "hits"})
+    both = asked.join(found, "id", "left")
     bearing = lambda hits: F.filter(F.coalesce(hits, F.array().cast(both.schema["hits"].dataType)), lambda h: supports(h["text"], F.col("aliases")))
     apart, together = bearing(F.col("hits")), bearing(F.col("all_hits"))
     context = F.col("early").isNull() & leaks_context(F.col("query"), F.array("question", "lines", "query"), F.transform("hits", lambda h: h["text"]))
