@@ -20,6 +20,7 @@ from quillspark.operators.exchange import settled, skew_join
 
 K1, B = 1.2, 0.75
 QUERY_BLOCK, VECTOR_BLOCK = 2048, 16_384  # of dense vectors that meet in one task
+SCOPE = 4_000_000  # characters, and pairs of a query and a document, of a corpus that is scored in one task
 FEW = 100_000  # terms of queries that every task may hold
 
 
@@ -86,11 +87,64 @@ def bm25(
     """query_id, doc_id, score > 0 for each query and each document with a term of it.
 
     ``within`` names a column of both tables: documents then form a corpus of their own for
-    each of its values.  Scores are rounded so that the order of addition cannot turn ties.
+    each of its values.  Of such corpora those of up to SCOPE characters and pairs of rows
+    are scored in one task each, so that their texts are shuffled and not their terms.
+    Scores are rounded so that the order of addition cannot turn ties.
     """
-    scope = [within] if within else []
+    if within is None:
+        return _summed(_parts(queries, documents, tokens, query_id, doc_id, text, []), query_id, doc_id, digits)
+    asked, held = queries.where(F.col(within).isNotNull()), documents.where(F.col(within).isNotNull())
+    sized = lambda df, n: df.groupBy(within).agg(F.count(F.lit(1)).cast("double").alias(n), F.sum(F.length(text)).alias(f"{n}_chars"))
+    sizes = skew_join(sized(asked, "_q"), sized(held, "_d"), [within], "inner")
+    large = settled(sizes.where((F.coalesce("_q_chars", F.lit(0)) + F.coalesce("_d_chars", F.lit(0)) > SCOPE) | (F.col("_q") * F.col("_d") > SCOPE)).select(within))
+    if large.isEmpty():
+        return _summed(_in_tasks(asked, held, tokens, query_id, doc_id, text, within), query_id, doc_id, digits)
+    apart = F.broadcast(large) if _few(large) else large
+    rest = _in_tasks(asked.join(apart, within, "left_anti"), held.join(apart, within, "left_anti"), tokens, query_id, doc_id, text, within)
+    joined = _parts(asked.join(apart, within, "left_semi"), held.join(apart, within, "left_semi"), tokens, query_id, doc_id, text, [within])
+    return _summed(joined.select(query_id, doc_id, "part").unionByName(rest), query_id, doc_id, digits)
+
+
+def _parts(queries: DataFrame, documents: DataFrame, tokens: Callable[[Column], Column], query_id: str, doc_id: str, text: str, scope: list[str]) -> DataFrame:
+    """(query, document, part) for each term that both have."""
     terms, weighed = _weighed(queries, documents, tokens, query_id, doc_id, text, scope)
-    return _summed(skew_join(_sent(terms, terms), weighed.select(doc_id, *scope, "term", "part"), [*scope, "term"], "inner"), query_id, doc_id, digits)
+    return skew_join(_sent(terms, terms), weighed.select(doc_id, *scope, "term", "part"), [*scope, "term"], "inner")
+
+
+def _scored(queries: pa.Table, documents: pa.Table) -> pa.Table:
+    """id, doc, part: the sum of all parts of each query (id, terms) and each document (doc, terms) of one corpus that have a term in common."""
+    asked, held = queries["terms"].combine_chunks(), documents["terms"].combine_chunks()
+    lengths = held.value_lengths().drop_null().to_numpy()
+    flat = lambda lists: (np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy()), lists.flatten().to_numpy(zero_copy_only=False))
+    (q, wanted), (d, t) = flat(asked), flat(held)
+    every = np.unique(wanted)
+    at = np.searchsorted(every, t)
+    mine = every[np.minimum(at, len(every) - 1)] == t if len(every) else np.zeros(len(t), bool)
+    cells, tf = np.unique(at[mine] * max(1, len(held)) + d[mine], return_counts=True)
+    term, doc = cells // max(1, len(held)), cells % max(1, len(held))
+    df = np.bincount(term, minlength=len(every))
+    length = held.value_lengths().fill_null(0).to_numpy()[doc]
+    part = np.log(1 + (len(held) - df[term] + 0.5) / (df[term] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / (lengths.mean() if len(lengths) else 1)))
+    starts, found = np.concatenate([[0], np.cumsum(df)]), []
+    ends = np.searchsorted(q, np.arange(len(asked) + 1))
+    for i in range(len(asked)):
+        terms = np.unique(np.searchsorted(every, wanted[ends[i] : ends[i + 1]]))
+        n = df[terms]
+        places = np.repeat(starts[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        total = np.bincount(doc[places], part[places], minlength=len(held))
+        met = np.flatnonzero(total)
+        found.append((np.full(len(met), i), met, total[met]))
+    x, y, total = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    return pa.table([queries["id"].combine_chunks().take(pa.array(x)), documents["doc"].combine_chunks().take(pa.array(y)), pa.array(total.astype(np.float64))], names=["id", "doc", "part"])
+
+
+def _in_tasks(queries: DataFrame, documents: DataFrame, tokens: Callable[[Column], Column], query_id: str, doc_id: str, text: str, within: str) -> DataFrame:
+    """(query, document, part) as ``_parts`` gives them, summed, each corpus scored in one task; texts are shuffled before they are read into terms."""
+    read = F.transform(tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("terms")
+    sides = [df.select(F.col(within).alias(scope), F.col(key).alias(name), F.col(text).alias("text")).repartition(scope).select(scope, name, read) for df, key, name, scope in ((queries, query_id, "id", "_qs"), (documents, doc_id, "doc", "_ds"))]
+    kinds = [df.schema[name].dataType.simpleString() for df, name in zip(sides, ("id", "doc"), strict=True)]
+    found = sides[0].groupBy("_qs").cogroup(sides[1].groupBy("_ds")).applyInArrow(_scored, f"id {kinds[0]}, doc {kinds[1]}, part double")
+    return found.select(F.col("id").alias(query_id), F.col("doc").alias(doc_id), "part")
 
 
 def _summed(parts: DataFrame, query_id: str, doc_id: str, digits: int) -> DataFrame:
